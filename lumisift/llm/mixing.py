@@ -96,4 +96,4 @@ def mix(docs: DataFrame, schedules=SCHEDULES, cap: int = 3, seed: int = 8) -> Da
     for k, knots in enumerate(schedules):
         position = F.when(F.col("class") == k, inverted(knots, share)).otherwise(position)
     out = taken.withColumn("position", F.when(F.col("taken") > 0, position)).withColumn("class", F.col("class"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "position", "class", "at").repartitionByRange("position").sortWithinPartitions("position", "doc_id")
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "position", "class", "at").repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
