@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, simhash, tokencount
+from . import chat, licenses, mixing, simhash, substring, tokencount
 from .common import table
 
 #: A conversation whose texts look like control strings, formatted beside the table's own.
@@ -51,12 +51,17 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_substring_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_rules": op3_license_rules,
     "op5_simhash_golay": op5_simhash_golay,
     "op6_token_counts": op6_token_counts,
     "op8_curriculum_mix": op8_curriculum_mix,
     "op9_chat_format": op9_chat_format,
+    "op10_substring_rlz": op10_substring_rlz,
 }
 
 

@@ -126,3 +126,52 @@ def test_components_of_a_path(spark, n):
     edges = spark.createDataFrame([(k, k + 1) for k in range(n)], "u long, v long")
     got = {r.u: r.root for r in graph.components(edges).collect()}
     assert got == {k: 0 for k in range(1, n + 1)}
+
+
+def plain_cut(rows, window=50):
+    import hashlib
+
+    first = {}
+    words = [(d, (t or "").encode().split()) for d, t in rows]
+    for d, w in words:
+        if d is not None:
+            for k in range(len(w) - window + 1):
+                key = tuple(w[k : k + window])
+                first[key] = min(first.get(key, d), d)
+    out = []
+    for d, w in words:
+        gone = set()
+        for k in range(len(w) - window + 1) if d is not None else ():
+            if first[tuple(w[k : k + window])] < d:
+                gone.update(range(k, k + window))
+        kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
+        out.append((d, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_substring_dedup_against_every_window(spark, seed, monkeypatch):
+    from lumisift.llm import substring
+
+    if seed == 2:  # small groups, so that hot keys and long texts take their own ways
+        monkeypatch.setattr(substring, "GROUP_BYTES", 3000)
+        monkeypatch.setattr(substring, "SEGMENT_WORDS", 70)
+        monkeypatch.setattr(substring, "HOT_ROWS", 3)
+    rng = random.Random(seed)
+    new = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    passages = [new(rng.choice([49, 50, 51, 60, 90, 300])) for _ in range(8)] + [["x"] * 120, ["y", "z"] * 60]
+    rows = [(None, " ".join(passages[0])), (None, None), (70, None), (71, "")]
+    for k in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            p = list(rng.choice(passages))
+            if rng.random() < 0.4:
+                p[rng.randrange(len(p))] = "changed"
+            parts += rng.choice([new(rng.randrange(0, 90)), p, p[rng.randrange(len(p)) :]])
+        rows.append((rng.randrange(70), rng.choice([" ", "\n", " \t "]).join(parts)))
+    rows += rows[-5:]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup_digests(df).collect()), key=str)
+    assert got == plain_cut(rows)
+    assert sum(x[2] for x in got) > 0
+    assert substring.dedup_substrings(df.limit(0)).count() == 0
