@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, simhash, substring, tokencount
+from . import chat, licenses, mixing, simhash, substring, tokencount, tokenstore
 from .common import table
 
 #: A conversation whose texts look like control strings, formatted beside the table's own.
@@ -29,6 +29,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as given
+
+    return tokenstore.materialise_order(table(spark, sf_dir, "documents", "doc_id", "text"), given.path("byte_bpe_50k.tiktoken"), given.PATTERN)
+
+
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "passes", F.round("position", 9).alias("position"))
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_rules": op3_license_rules,
     "op5_simhash_golay": op5_simhash_golay,
     "op6_token_counts": op6_token_counts,
+    "op7_token_shards": op7_token_shards,
     "op8_curriculum_mix": op8_curriculum_mix,
     "op9_chat_format": op9_chat_format,
     "op10_substring_rlz": op10_substring_rlz,
@@ -167,4 +174,17 @@ SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256
 FROM g"""
 
 
-ORACLE_SQL: dict[str, str] = {"op3_license_rules": _op3_sql(), "op8_curriculum_mix": _op8_sql(), "op9_chat_format": _op9_sql()}
+def _op10_sql() -> str:
+    return r"""
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+k AS (SELECT row_no, doc_id, ws, unnest(range(1, greatest(len(ws) - 48, 1))) AS k FROM d WHERE doc_id IS NOT NULL),
+w AS (SELECT row_no, doc_id, k, md5(array_to_string(ws[k:k + 49], ' ')) AS h FROM k),
+f AS (SELECT h, min(doc_id) AS first FROM w GROUP BY h),
+g AS (SELECT DISTINCT row_no, unnest(range(k, k + 50)) AS at FROM w JOIN f USING (h) WHERE doc_id > first),
+p AS (SELECT row_no, unnest(ws) AS word, generate_subscripts(ws, 1) AS at FROM d),
+l AS (SELECT p.row_no, string_agg(word, ' ' ORDER BY p.at) AS kept, count(*) AS n FROM p ANTI JOIN g ON g.row_no = p.row_no AND g.at = p.at GROUP BY p.row_no)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN l USING (row_no)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op3_license_rules": _op3_sql(), "op8_curriculum_mix": _op8_sql(), "op9_chat_format": _op9_sql(), "op10_substring_rlz": _op10_sql()}
