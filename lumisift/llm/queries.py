@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, simhash, substring, tokencount, tokenstore
+from . import chat, langid, licenses, mixing, simhash, substring, tokencount, tokenstore
 from .common import table
 
 #: A conversation whose texts look like control strings, formatted beside the table's own.
@@ -19,6 +19,13 @@ def op3_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("licences", ",").alias("licences"), F.array_join("sentence_ids", ",").alias("sentence_ids"))
 
 
+def op4_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op5_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -63,6 +70,7 @@ def op10_substring_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_rules": op3_license_rules,
+    "op4_language_ppm": op4_language_ppm,
     "op5_simhash_golay": op5_simhash_golay,
     "op6_token_counts": op6_token_counts,
     "op7_token_shards": op7_token_shards,
