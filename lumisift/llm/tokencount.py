@@ -5,6 +5,8 @@ neighbouring encodings are spliced at a place inside their overlap where neither
 from other than white space to white space. Such a place is proven stable: the tokenizers served here cut a text
 there before they merge (`splits_at_blanks` tells whether a given file does; if not, texts are encoded whole), so what stands
 before it can't change what comes after, nor the reverse. An overlap without such a place is doubled until one is found.
+By the same proof a shorter text's count is the sum over its stretches between such places, so a worker asks the library
+once for each different stretch and keeps the answers (KEPT at most).
 
 Runs in Arrow batches on the executors: the encoder is a native library that only Python reaches. Memory is bounded
 by a chunk, not by the text. Lost tasks are simply run again.
@@ -27,7 +29,13 @@ from .common import ship, worker_cache
 
 ship(__name__)
 
-CHUNK_CHARS, OVERLAP_CHARS, GROUP_CHARS = 16_384, 512, 400_000
+CHUNK_CHARS, OVERLAP_CHARS, GROUP_CHARS, KEPT = 16_384, 512, 400_000, 1_000_000
+
+
+_TURN = re.compile(r"(?<=[^\s])(?=[ \n\r\t])")
+#: What lies between two such places, for texts without other white space.
+_STRETCH = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
+_OTHER_BLANK = re.compile(r"[^\S \n\r\t]")
 
 
 class JsonEncoder:
@@ -45,14 +53,25 @@ class JsonEncoder:
         kinds = said.get("pre_tokenizer") or {}
         steps = kinds.get("pretokenizers", [kinds])
         cuts = any(s.get("type") == "ByteLevel" and s.get("use_regex", True) or s.get("type") == "Split" and r"[^\s\p{L}\p{N}]+" in str(s.get("pattern")) for s in steps)
+        self.known: dict[str, int] = {}
         self.splits_at_blanks = cuts and not any(t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in said["added_tokens"])
 
     def counts(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def spans(self, text: str) -> np.ndarray:
-        offsets = self.encoder.encode(text, add_special_tokens=False).offsets
-        return np.array(offsets, dtype=np.int64).reshape(-1, 2)
+    def sums(self, texts: list[str]) -> list[int]:
+        """As counts, by stretches."""
+        if not self.splits_at_blanks:
+            return self.counts(texts)
+        cut = [[t] if _OTHER_BLANK.search(t) else _STRETCH.findall(t) for t in texts]
+        if len(self.known) > KEPT:
+            self.known.clear()
+        new = list(set().union(*cut).difference(self.known))
+        self.known.update(zip(new, self.counts(new)))
+        return [sum(map(self.known.__getitem__, parts)) for parts in cut]
+
+    def encoded(self, text: str) -> "Encoded":
+        return JsonEncoded(self.encoder.encode(text, add_special_tokens=False))
 
 
 class PieceEncoder:
@@ -69,57 +88,77 @@ class PieceEncoder:
     def counts(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.encoder.encode(texts, num_threads=1)]
 
-    def spans(self, text: str) -> np.ndarray:
+    sums = counts
+
+    def encoded(self, text: str) -> "Encoded":
         pieces = self.encoder.encode(text, return_type="proto").pieces
         spans = np.array([(p.begin, p.end) for p in pieces], dtype=np.int64).reshape(-1, 2)  # in bytes
         starts = (np.frombuffer(text.encode("utf-8"), dtype=np.uint8) & 0xC0) != 0x80
-        chars = np.concatenate(([0], np.cumsum(starts)))
-        return chars[spans]
+        return Encoded(np.concatenate(([0], np.cumsum(starts)))[spans])
 
 
-def encoder(path: str):
-    return worker_cache(("encoder", path), lambda: (PieceEncoder if path.endswith(".model") else JsonEncoder)(path))
+class Encoded:
+    """Where the tokens of a chunk start and end, in characters."""
 
+    def __init__(self, spans: np.ndarray):
+        order = np.argsort(spans[:, 0], kind="stable")
+        self.starts, self.ends = spans[order, 0], np.maximum.accumulate(spans[order, 1])
 
-_TURN = re.compile(r"(?<=[^\s])(?=[ \n\r\t])")
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def before(self, at: int) -> int | None:
+        """Tokens before a place, or None if one goes across it."""
+        k = int(np.searchsorted(self.starts, at, side="left"))
+        return k if k == 0 or self.ends[k - 1] <= at else None
 
 
-def _uncrossed(spans: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which of these places no token crosses."""
-    order = np.argsort(spans[:, 0], kind="stable")
-    starts, ends = spans[order, 0], np.maximum.accumulate(spans[order, 1])
-    before = np.searchsorted(starts, at, side="left")  # tokens that start before the place
-    return (before == 0) | (ends[np.maximum(before - 1, 0)] <= at)
+class JsonEncoded:
+    """The same from the library's own encoding; all offsets are fetched only where it drops the character at a place."""
+
+    def __init__(self, encoding):
+        self.encoding, self.all = encoding, None
+
+    def __len__(self) -> int:
+        return len(self.encoding)
+
+    def before(self, at: int) -> int | None:
+        k = self.encoding.char_to_token(at)
+        if k is not None:
+            return k if self.encoding.token_to_chars(k)[0] == at else None
+        self.all = self.all or Encoded(np.array(self.encoding.offsets, dtype=np.int64).reshape(-1, 2))
+        return self.all.before(at)
+
+
+def encoder(path: str):
+    return worker_cache(("encoder", path), lambda: (PieceEncoder if path.endswith(".model") else JsonEncoder)(path))
 
 
 def spliced_count(text: str, enc, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
     """Tokens of a long text, from overlapping chunks of it."""
     if len(text) <= chunk or not enc.splits_at_blanks:
         return enc.counts([text])[0]
-    total, left, begin, end = 0, 0, 0, chunk
-    spans = enc.spans(text[:end])
+    begin, end, total, skip = 0, chunk, 0, 0  # skip: tokens of this chunk that stand before the last splice
+    now = enc.encoded(text[:end])
     while end < len(text):
         width, found = overlap, None
-        while found is None:
+        while found is None and end - width > begin:
             start = end - width
-            if start <= max(left, begin):  # nothing left to widen into: lengthen this chunk instead
-                end = min(len(text), end + chunk)
-                spans = enc.spans(text[begin:end]) + begin
-                break
-            at = np.array([m.start() for m in _TURN.finditer(text, start + 1, end)], dtype=np.int64)
-            at = at[(at > start) & (at < end)]
-            if len(at):
-                stop = min(len(text), start + max(chunk, 2 * width))
-                after = enc.spans(text[start:stop]) + start
-                both = at[_uncrossed(spans, at) & _uncrossed(after, at)]
-                if len(both):
-                    found = int(both[-1])
+            stop = min(len(text), start + max(chunk, 2 * width))
+            after = enc.encoded(text[start:stop])
+            for turn in reversed(list(_TURN.finditer(text, start + 1, end))):
+                a, b = now.before(turn.start() - begin), after.before(turn.start() - start)
+                if a is not None and b is not None and a >= skip:
+                    found = a, b
                     break
             width *= 2
-        if found is not None:
-            total += int(np.count_nonzero((spans[:, 0] >= left) & (spans[:, 0] < found)))
-            spans, left, begin, end = after, found, start, stop
-    return total + int(np.count_nonzero(spans[:, 0] >= left))
+        if found is None:  # nothing left to widen into: lengthen this chunk instead
+            end = min(len(text), end + chunk)
+            now = enc.encoded(text[begin:end])
+        else:
+            total += found[0] - skip
+            begin, end, now, skip = start, stop, after, found[1]
+    return total + len(now) - skip
 
 
 def counts_of(texts: list[str], path: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> np.ndarray:
@@ -130,7 +169,7 @@ def counts_of(texts: list[str], path: str, chunk: int = CHUNK_CHARS, overlap: in
     def flush():
         nonlocal held
         if group:
-            out[group] = enc.counts([texts[k] for k in group])
+            out[group] = enc.sums([texts[k] for k in group])
         group.clear()
         held = 0
 

@@ -23,6 +23,7 @@ def test_long_texts_splice_to_the_same_count():
         for _ in range(25):
             text = "".join(rng.choice(words) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randrange(1, 400)))
             assert tokencount.spliced_count(text, enc, 120, 8) == enc.counts([text])[0], (name, text)
+            assert enc.sums([text, "", text[3:]]) == enc.counts([text, "", text[3:]]), (name, text)
 
 
 def test_overlap_widens_where_nothing_aligns():
