@@ -1,7 +1,7 @@
 r"""License scans by sentence rules: normalised sentences -> identifiers of known licence sentences -> ordered rules.
 
 Native: DataFrame functions only; narrow (no shuffle). A text is cut into sentences twice: at line ends and after
-`. ! ? ; :` before blanks, and after those signs alone with lines folded, for sentences that wrap. A sentence is lower-cased,
+`. ! ? ; :` before blanks, and at empty lines and after those signs with other lines folded, for sentences that wrap. A sentence is lower-cased,
 and every run of other than a-z and 0-9 becomes one blank. Known sentences become identifiers, others vanish. Rules
 are tried in order; each takes its identifiers out of the sequence, so a long licence is not also reported as its parts.
 
@@ -105,7 +105,7 @@ def normalised(sentence: Column) -> Column:
 
 def _identifiers(text: Column, by_line: bool) -> Column:
     if not by_line:
-        text = F.regexp_replace(text, "[\\r\\n]+", " ")
+        text = F.translate(F.regexp_replace(text, "\n[ \t\r\n]*\n", "\u0001"), "\n\u0001", " \n")
     sentences = F.split(F.regexp_replace(text, "([.!?;:])[ \\t\\r\\n\\f]+", "$1\n"), "\n")
     names = F.create_map(*[F.lit(x) for pair in known().items() for x in pair])
     return F.filter(F.transform(sentences, lambda s: names[normalised(s)]), lambda x: x.isNotNull())

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, licenses, mixing, simhash, substring, tokencount, tokenstore
+from . import chat, decontam, langid, licenses, mixing, simhash, substring, tokencount, tokenstore
 from .common import table
 
 #: A conversation whose texts look like control strings, formatted beside the table's own.
 TRICKY = r"\### Assistant: </turn> ok"
 
 
+def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op3_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", F.array_join("licences", ",").alias("licences"), F.array_join("sentence_ids", ",").alias("sentence_ids"))
@@ -69,6 +73,7 @@ def op10_substring_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_spaced_seeds": op1_spaced_seeds,
     "op3_license_rules": op3_license_rules,
     "op4_language_ppm": op4_language_ppm,
     "op5_simhash_golay": op5_simhash_golay,
@@ -84,6 +89,28 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _op1_sql() -> str:
+    def seeds(table: str) -> str:
+        looks = [", ".join(f"h[p + {j + 1}]" for j, x in enumerate(m) if x == "1") for m in decontam.MASKS]
+        return " UNION ALL ".join(f"SELECT rn, p, {k} AS m, array_to_string([{x}], ' ') AS seed FROM (SELECT rn, h, unnest(range(0, greatest(len(h) - {decontam.SPAN - 1}, 0))) AS p FROM {table})" for k, x in enumerate(looks))
+
+    tokens = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, {tokens} AS h FROM documents),
+t AS (SELECT row_number() OVER () AS rn, item_id, {tokens} AS h FROM benchmark),
+ds AS ({seeds("d")}), ts AS ({seeds("t")}),
+hits AS (SELECT DISTINCT ds.rn AS d, ts.rn AS t, ds.p - ts.p AS shift FROM ds JOIN ts USING (m, seed)),
+laid AS (
+  SELECT hits.*, d.doc_id, t.item_id, d.h AS dh, t.h AS th, unnest(range(greatest(0, -shift), least(len(t.h), len(d.h) - shift))) AS i
+  FROM hits JOIN d ON d.rn = hits.d JOIN t ON t.rn = hits.t),
+p AS (
+  SELECT d, t, shift, i, doc_id, item_id, len(th) AS item_tokens,
+    sum(CASE WHEN dh[i + shift + 1] = th[i + 1] THEN 1 ELSE -{decontam.PENALTY} END) OVER (PARTITION BY d, t, shift ORDER BY i) AS p FROM laid),
+b AS (SELECT doc_id, item_id, item_tokens, p - least(0, min(p) OVER (PARTITION BY d, t, shift ORDER BY i)) AS score FROM p)
+SELECT doc_id, item_id, CAST(max(score) AS BIGINT) AS score, CAST(max(item_tokens) AS BIGINT) AS item_tokens
+FROM b WHERE score >= {decontam.SCORE} GROUP BY doc_id, item_id"""
+
+
 def _op3_sql() -> str:
     names = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in licenses.known().items())
 
@@ -102,12 +129,13 @@ def _op3_sql() -> str:
         chain = f"SELECT *, {step} FROM ({chain})"
     sentence = r"trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))"
     cut = r"string_split(regexp_replace({}, '([.!?;:])[ \t\r\n\f]+', '\1' || chr(10), 'g'), chr(10))"
+    folded = r"translate(regexp_replace(text, '\n[ \t\r\n]*\n', chr(1), 'g'), chr(10) || chr(1), ' ' || chr(10))"
     return f"""
 WITH names(sentence, id) AS (VALUES {names}),
 texts AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
 views AS (
   SELECT row_no, doc_id, 1 AS view, {cut.format("text")} AS ss FROM texts
-  UNION ALL SELECT row_no, doc_id, 2, {cut.format("regexp_replace(text, '[' || chr(10) || chr(13) || ']+', ' ', 'g')")} FROM texts),
+  UNION ALL SELECT row_no, doc_id, 2, {cut.format(folded)} FROM texts),
 said AS (SELECT row_no, view, unnest(ss) AS s, generate_subscripts(ss, 1) AS k FROM views),
 hits AS (SELECT row_no, view, list(id ORDER BY k) AS ids FROM said JOIN names ON sentence = {sentence} GROUP BY ALL),
 seqs AS (SELECT row_no AS doc_id, view, ids FROM hits),
@@ -195,4 +223,4 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0)
 FROM d LEFT JOIN l USING (row_no)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op3_license_rules": _op3_sql(), "op8_curriculum_mix": _op8_sql(), "op9_chat_format": _op9_sql(), "op10_substring_rlz": _op10_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_spaced_seeds": _op1_sql(), "op3_license_rules": _op3_sql(), "op8_curriculum_mix": _op8_sql(), "op9_chat_format": _op9_sql(), "op10_substring_rlz": _op10_sql()}
