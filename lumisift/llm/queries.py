@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, licenses, mixing, simhash, substring, tokencount, tokenstore
+from . import ann, chat, decontam, langid, licenses, mixing, simhash, substring, tokencount, tokenstore
 from .common import table
 
 #: A conversation whose texts look like control strings, formatted beside the table's own.
@@ -18,6 +18,10 @@ def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op2_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), lambda i: i % 20 == 0, k=20)
+
+
 def op3_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", F.array_join("licences", ",").alias("licences"), F.array_join("sentence_ids", ",").alias("sentence_ids"))
@@ -74,6 +78,7 @@ def op10_substring_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seeds": op1_spaced_seeds,
+    "op2_kmeans_tree": op2_kmeans_tree,
     "op3_license_rules": op3_license_rules,
     "op4_language_ppm": op4_language_ppm,
     "op5_simhash_golay": op5_simhash_golay,
