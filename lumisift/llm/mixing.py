@@ -66,34 +66,41 @@ def targets(sources: DataFrame, schedules=SCHEDULES, cap: int = 3) -> DataFrame:
     return first.select("skey", "source_size", "class", F.when(F.col("fill").isNull(), F.col("limit")).otherwise(F.least(F.col("limit"), F.col("weight") * F.col("fill"))).alias("target"))
 
 
-def mix(docs: DataFrame, schedules=SCHEDULES, cap: int = 3, seed: int = 8) -> DataFrame:
-    """docs(doc_id, text, source, ...) -> doc_id, source, size, source_size, target, taken, passes, position.
+def _position(share: Column, schedules) -> Column:
+    out = F.lit(None).cast("double")
+    for k, knots in enumerate(schedules):
+        out = F.when(F.col("class") == k, inverted(knots, share)).otherwise(out)
+    return out
+
+
+def mix(docs: DataFrame, schedules=SCHEDULES, cap: int = 3, seed: int = 8, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs(doc_id, text, source, ...) -> doc_id, source, size, source_size, target, taken, passes, position, class, start_at.
 
     taken: words the mix takes of the document, repeats counted; passes: copies begun; position: training time of the
-    first copy, null where nothing is taken. Rows are range-partitioned and sorted by position.
+    first copy, null where nothing is taken; start_at: words of the source before the document. Columns in `carry` are kept. Rows are
+    range-partitioned and sorted by position.
     """
     key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("long")
-    slim = materialise(
-        docs.select(
-            "doc_id", "source", n_words(F.col("text")).alias("size"),
-            F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")).alias("skey"), key.alias("h"),
-        ).withColumn("bucket", F.shiftright("h", 60 - BUCKETS.bit_length() + 1)),
-        "mix",
-    )
+    skey = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
+    sized = docs.select("doc_id", "source", *carry, n_words(F.col("text")).alias("size"), skey.alias("skey"), key.alias("h"))
+    slim = materialise(sized.withColumn("bucket", F.shiftright("h", 60 - BUCKETS.bit_length() + 1)), "mix")
     sums = slim.groupBy("skey", "bucket").agg(F.sum("size").alias("words"))
     goal = targets(sums.groupBy("skey").agg(F.sum("words").alias("source_size")), schedules, cap)
     before = W.partitionBy("skey").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     ranges = sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words").join(goal, "skey")
     within = W.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    at = slim.join(ranges, ["skey", "bucket"]).withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    placed = slim.join(ranges, ["skey", "bucket"]).withColumn("start_at", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     goal_words, whole = F.round("target").cast("long"), F.col("source_size")
     full = F.expr("CAST(round(target) AS BIGINT) div greatest(source_size, 1L)")
-    rest = goal_words - full * whole
-    cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("at")))
-    taken = at.withColumn("taken", full * F.col("size") + cut).withColumn("passes", (full * (F.col("size") > 0).cast("long") + (cut > 0).cast("long")).cast("int"))
-    share = (F.col("at") + F.least("size", "taken") / 2) / F.greatest(goal_words, F.lit(1))
-    position = F.lit(None).cast("double")
-    for k, knots in enumerate(schedules):
-        position = F.when(F.col("class") == k, inverted(knots, share)).otherwise(position)
-    out = taken.withColumn("position", F.when(F.col("taken") > 0, position)).withColumn("class", F.col("class"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "position", "class", "at").repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    cut = F.greatest(F.lit(0), F.least(F.col("size"), goal_words - full * whole - F.col("start_at")))
+    taken = placed.withColumn("taken", full * F.col("size") + cut).withColumn("passes", (full * (F.col("size") > 0).cast("long") + (cut > 0).cast("long")).cast("int"))
+    share = (F.col("start_at") + F.least("size", "taken") / 2) / F.greatest(goal_words, F.lit(1))
+    out = taken.withColumn("position", F.when(F.col("taken") > 0, _position(share, schedules)))
+    return out.select("doc_id", "source", *carry, "size", "source_size", "target", "taken", "passes", "position", "class", "start_at").repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+
+
+def copies(mixed: DataFrame, schedules=SCHEDULES) -> DataFrame:
+    """A row for each copy that a mix takes: the mix's columns with `copy` (from 1), `words` of it that are taken, and its own position."""
+    each = mixed.where("passes > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("passes")))).withColumn("words", F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")))
+    share = (F.col("start_at") + (F.col("copy") - 1) * F.col("source_size") + F.col("words") / 2) / F.greatest(F.round("target"), F.lit(1.0))
+    return each.withColumn("position", _position(share, schedules))

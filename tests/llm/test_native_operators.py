@@ -111,6 +111,11 @@ def test_mix_meets_targets(spark):
     assert all(abs(taken[s] - want[s]) <= 1 for s in want)
     assert sorted(map(str, mixing.mix(df.repartition(7)).collect())) == sorted(map(str, got))
     assert mixing.mix(df.limit(0)).count() == 0
+    copies = mixing.copies(mixing.mix(df)).collect()
+    assert sum(r.words for r in copies) == sum(taken.values()) and all(0 < r.words <= r.size for r in copies)
+    for source in sizes:  # the demand of a source is met in order
+        own = sorted((r.copy, r.start_at, r.position) for r in copies if r.source == source)
+        assert [x[2] for x in own] == sorted(x[2] for x in own)
 
 
 def test_positions_follow_the_schedule(spark):
