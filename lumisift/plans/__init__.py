@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Named plans: the cull, and profiles."""

@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Structured Streaming counterparts of the stateful operators."""
