@@ -5,7 +5,7 @@ an anchor, the least 26-word hash among the 25 in a window. Equal windows pick e
 lies under its anchor's key. A document is parsed greedily: at each word, the index gives the earliest document (smallest
 doc_id, then place) in which the window at that word starts; while the next window continues there on the same diagonal, the
 factor grows. A factor of 50 words or more becomes a duplicate span. Windows across factor boundaries are looked up like
-any other, so none is lost at a boundary. A factor found in one batch of documents is settled there; the rest meets in a
+any other, so none is lost at a boundary. A document's repeats of itself are factors that refer to it. A factor found in one batch of documents is settled there; the rest meets in a
 shuffle by anchor key.
 
 A key that is frequent in a batch even after that is marked hot. Its windows are then dealt out by the window itself, for
@@ -176,8 +176,16 @@ def group_rows(words: np.ndarray, doc_of: np.ndarray, place: np.ndarray, docs: n
         hit = np.flatnonzero(again)
         ref = first[hit]
         yield factor_rows(row[hit], doc[hit], tag[hit], pos[hit], doc[ref], row[ref], pos[ref])
-        keep = ~again
-        whole, anchor, own, row, doc, tag, pos = whole[keep], anchor[keep], own[keep], row[keep], doc[keep], tag[keep], pos[keep]
+    # a document's own repeats are looked up once: factors that refer to the document itself say what else that settles
+    own_repeat = ~again & (first != np.arange(len(first))) & (row[first] == row)
+    if own_repeat.any():
+        hit = np.flatnonzero(own_repeat)
+        ref = first[hit]
+        yield factor_rows(row[hit], doc[hit], tag[hit], pos[hit], doc[ref], row[ref], pos[ref])
+    keep = ~(again | own_repeat)
+    whole, anchor, own, row, doc, tag, pos = whole[keep], anchor[keep], own[keep], row[keep], doc[keep], tag[keep], pos[keep]
+    if not len(whole):
+        return
     begins = np.flatnonzero(np.concatenate(([True], (np.diff(anchor) != 0) | (np.diff(whole) != 1))))
     sizes = np.diff(np.concatenate((begins, [len(whole)])))
     key = grams[anchor[begins]]
@@ -333,7 +341,8 @@ def said(rows: Held):
 def factors(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, tag, at, n_words, ref_doc, ref_at: spans of 50 words or more that an earlier document has.
 
-    tag: a hash of the text, to tell rows of equal doc_id apart. Spans of a document may touch or overlap.
+    tag: a hash of the text, to tell rows of equal doc_id apart. Spans of a document may touch or overlap. Where ref_doc is the
+    document itself, the span repeats an earlier one of its own, and is a duplicate as far as that is.
     """
     tagged = docs.select("doc_id", "text", F.hash("text").bitwiseAND(0x7FFFFFFF).alias("tag"))
     indexed = tagged.mapInArrow(index_rows, ROW)
@@ -353,15 +362,24 @@ def factors(docs: DataFrame) -> DataFrame:
 
 
 def cut_text(text: str | None, spans) -> tuple[int, int, bytes]:
-    """Words of a text, words removed, and what is kept, joined by one space."""
+    """Words of a text, words removed, and what is kept, joined by one space. spans: at, n_words, and ref_at of those within the text."""
     words = text.encode("utf-8").split() if text else []
     if not spans:
         return len(words), 0, b" ".join(words)
-    edge = np.zeros(len(words) + 1, dtype=np.int64)
+    again = np.zeros(len(words), dtype=bool)  # windows that an earlier document has, by their first word
+    for span in spans:
+        if span["ref_at"] is None:
+            again[span["at"] : span["at"] + span["n_words"] - WINDOW + 1] = True
+    known = again.copy()
     for span in spans:
-        edge[span["at"]] += 1
-        edge[span["at"] + span["n_words"]] -= 1
-    gone = np.cumsum(edge[:-1]) > 0
+        if span["ref_at"] is not None:
+            n = span["n_words"] - WINDOW + 1
+            again[span["at"] : span["at"] + n] |= known[span["ref_at"] : span["ref_at"] + n]
+    edge = np.zeros(len(words) + WINDOW, dtype=np.int64)
+    at = np.flatnonzero(again)
+    edge[at] += 1
+    edge[at + WINDOW] -= 1
+    gone = np.cumsum(edge)[: len(words)] > 0
     return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
 
 
@@ -376,7 +394,8 @@ def dedup_digests(docs: DataFrame) -> DataFrame:
 
 
 def _cut(docs: DataFrame, digest: bool) -> DataFrame:
-    spans = factors(docs).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n_words")).alias("spans"))
+    span = F.struct("at", "n_words", F.when(F.col("ref_doc") == F.col("doc_id"), F.col("ref_at")).alias("ref_at"))
+    spans = factors(docs).groupBy("doc_id", "tag").agg(F.collect_list(span).alias("spans")).where(F.exists("spans", lambda s: s["ref_at"].isNull()))
     tagged = docs.select("doc_id", "text", F.hash("text").bitwiseAND(0x7FFFFFFF).cast("long").alias("tag"))
 
     def run(batches):

@@ -160,7 +160,7 @@ def test_substring_dedup_against_every_window(spark, seed, monkeypatch):
         monkeypatch.setattr(substring, "HOT_ROWS", 3)
     rng = random.Random(seed)
     new = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
-    passages = [new(rng.choice([49, 50, 51, 60, 90, 300])) for _ in range(8)] + [["x"] * 120, ["y", "z"] * 60]
+    passages = [new(rng.choice([49, 50, 51, 60, 90, 300])) for _ in range(8)] + [["x"] * 120, ["y", "z"] * 60, [*"abcdefghij"] * 12]
     rows = [(None, " ".join(passages[0])), (None, None), (70, None), (71, "")]
     for k in range(60):
         parts = []
