@@ -73,7 +73,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, penalty: int =
     around = named.join(F.broadcast(hits) if few else hits, "dk").join(F.broadcast(items) if small else items, "ik")
     laid = around.select("doc_id", "item_id", "t", "shift", token_hashes(F.col("text")).alias("h"))
     scored = laid.select("doc_id", "item_id", F.size("t").alias("item_tokens"), best_stretch(F.col("h"), F.col("t"), F.col("shift"), penalty).alias("score"))
-    return scored.where(F.col("score") >= score).groupBy("doc_id", "item_id").agg(F.max("score").cast("long").alias("score"), F.max("item_tokens").cast("long").alias("item_tokens"))
+    # filtered after the maximum: a filter before it would be pushed into the join and tokenise texts there again and again
+    best = scored.groupBy("doc_id", "item_id").agg(F.max("score").cast("long").alias("score"), F.max("item_tokens").cast("long").alias("item_tokens"))
+    return best.where(F.col("score") >= score)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
