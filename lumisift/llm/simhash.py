@@ -199,5 +199,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, b
     grouped = rooted.unionByName(roots)
     least = grouped.groupBy("root").agg(F.min("first").alias("least"))
     named = grouped.join(least, "root").select(F.col("u").alias("fp"), "least")
-    names = first.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # written, so that the last join has an exchange on both sides and Spark can split a fingerprint that many documents share
+    names = materialise(first.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "simhash-names")
     return each.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
