@@ -31,7 +31,7 @@ from .common import materialise, ship, worker_cache
 ship(__name__)
 
 WINDOW, GRAM, HASH_BYTES = 50, 26, 5
-GROUP_BYTES, SEGMENT_WORDS, HOT_ROWS = 2_000_000, 300_000, 64
+GROUP_BYTES, SEGMENT_WORDS, HOT_ROWS = 800_000, 150_000, 64
 MARK, COLD, FACTOR, HOT = 0, 1, 2, 3
 ROW = "key long, kind int, doc_id long, meta long, data binary"
 _U = np.uint64
@@ -46,15 +46,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**k modulo 2**64 for k below n."""
-
-    def build(size):
-        out = np.full(size, base, dtype=_U)
+    """base**k modulo 2**64 for k below n. A worker keeps the longest run asked for, so its memory follows GROUP_BYTES."""
+    kept = worker_cache("powers", dict)
+    if base not in kept or len(kept[base]) < n:
+        out = np.full(max(n, 1 << 16), base, dtype=_U)
         out[0] = 1
-        return np.multiply.accumulate(out)
-
-    size = 1 << max(16, (n - 1).bit_length())
-    return worker_cache(("powers", base, size), lambda: build(size))[:n]
+        kept[base] = np.multiply.accumulate(out)
+    return kept[base][:n]
 
 
 #: Two odd multipliers.
@@ -403,7 +401,7 @@ def _cut(docs: DataFrame, digest: bool) -> DataFrame:
 
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             found = [cut_text(t.as_py(), s.as_py()) for t, s in zip(batch.column(1), batch.column(2))]
             last = [hashlib.sha256(x[2]).hexdigest() if digest else x[2].decode("utf-8") for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array(last, pa.string())], names=["doc_id", "n_words", "n_removed", "last"])
