@@ -5,6 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from lumisift.shipping import ship
+
+ship(__name__)
 
 SIDE = 8
 CELLS = SIDE * SIDE

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from lumisift.shipping import ship
+
+ship(__name__)
 
 #: Fixed values of the formats: the XMP namespace header of a JPEG APP1 segment, and the packet around a rating.
 HEADER = b"http://ns.adobe.com/xap/1.0/\x00"
@@ -72,8 +76,6 @@ def with_rating(data: bytes, rating: int) -> bytes:
 
 def embed(content: Column, rating: Column) -> Column:
     """JPEG bytes with a rating; null for other bytes or a rating outside 0..5."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def run(data: pd.Series, stars: pd.Series) -> pd.Series:
         def one(raw, n):

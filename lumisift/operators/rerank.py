@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from lumisift.functions.text import reply
 from lumisift.session import checkpoint_dir
+from lumisift.shipping import ship
+
+ship(__name__)
 
 BASE_DELAY, MAX_DELAY, JITTER, MAX_ATTEMPTS = 1.0, 30.0, 0.25, 4
 

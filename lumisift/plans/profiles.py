@@ -18,7 +18,6 @@ from lumisift.operators.rules import MAX_BONUS, Rule, Rules, best_label
 from lumisift.operators.selection import Selection
 
 DEFAULT_TOP, PER_BUCKET, OTHERS, PER_PHASE = 9, 6, 6, 8
-BEST = [F.desc("total"), F.asc("name")]
 
 
 @dataclass(frozen=True)
@@ -47,6 +46,10 @@ def names() -> list[str]:
     return sorted(_REGISTRY)
 
 
+def _best() -> list:
+    return [F.desc("total"), F.asc("name")]
+
+
 def _explained(frames: DataFrame, rules: Rules | None) -> DataFrame:
     """Adds breakdown and total; without rules the total is the bare score."""
     if rules is None:
@@ -74,7 +77,7 @@ def featured(frames: DataFrame, n: int = DEFAULT_TOP) -> Selection:
 def bucketed(frames: DataFrame, buckets: dict[str, str], rules: Rules | None, cap: int = PER_BUCKET) -> Selection:
     """The best `cap` by total in the bucket of each frame's likeliest label."""
     rows = _staged(_explained(frames, rules), buckets)
-    best = rank.top_per_group(rows, ["category"], cap, BEST)
+    best = rank.top_per_group(rows, ["category"], cap, _best())
     return Selection(best.select("category", "cat_idx", "rank", "name"), explain=rows.select("name", "breakdown"))
 
 
@@ -92,7 +95,7 @@ def staged(frames: DataFrame, phases: dict[str, str], rules: Rules | None, other
         p = F.coalesce(F.try_element_at(F.col("probs"), F.lit(label)), F.lit(0.0))
         pick = free.orderBy(F.desc(ours), F.desc(p), F.desc("total"), F.asc("name")).limit(1)
         taken = taken.unionByName(pick.select("name", F.lit(stage).alias("category"), F.lit(k).alias("cat_idx")))
-    rest = rank.ranked(rank.top(rows.join(taken.select("name"), "name", "left_anti"), others, BEST), BEST)
+    rest = rank.ranked(rank.top(rows.join(taken.select("name"), "name", "left_anti"), others, _best()), _best())
     picked = taken.withColumn("rank", F.lit(1)).unionByName(rest.select("name", F.lit("others").alias("category"), F.lit(len(phases)).alias("cat_idx"), "rank"))
     return Selection(picked.select("category", "cat_idx", "rank", "name"), explain=rows.select("name", "breakdown"))
 

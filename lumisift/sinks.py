@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from lumisift.functions import xmp
 from lumisift.operators.selection import RENAME_SCHEMES
+from lumisift.shipping import ship
+
+ship(__name__)
 
 
 def thumbnail_plan(frames: DataFrame, widths: list[int]) -> DataFrame:

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisift.functions import raster, text
+from lumisift.shipping import ship
+
+ship(__name__)
 
 FEATURES = "path string, width int, height int, decode_ok boolean, sharpness double, exposure double, grid array<int>"
 

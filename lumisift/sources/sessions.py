@@ -10,10 +10,10 @@ CANDIDATE = f"struct<idx int, path string, filename string, score double, ai_sco
 SESSION = f"source_folder string, prompt string, input_count int, reject_summary map<string,int>, candidates array<{CANDIDATE}>, history array<int>, _corrupt_record string"
 
 
-def read_sessions(spark: SparkSession, *folders: str, root: str | None = None, file_name: str = ".lumisift-session.json") -> DataFrame:
+def read_sessions(spark: SparkSession, *folders: str, root: str | None = None, file_name: str = "lumisift-session.json") -> DataFrame:
     """One row a readable session file: file, and the session's fields. Broken files and records are left out.
 
-    Files directly in `folders`, and any below `root`; each once.
+    Files directly in `folders`, and any below `root`; each once. Spark skips names that start with a dot.
     """
     def read(where, deep):
         return spark.read.schema(SESSION).option("multiLine", True).option("pathGlobFilter", file_name).option("recursiveFileLookup", deep).json(where).select(F.input_file_name().alias("file"), "*")

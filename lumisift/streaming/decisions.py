@@ -6,6 +6,10 @@ import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from lumisift.shipping import ship
+
+ship(__name__)
 
 ACTIONS = ("keep", "reject", "clear", "undo", "reset")
 
@@ -37,8 +41,10 @@ def decision_stream(log: DataFrame) -> DataFrame:
         for row in sorted((r for f in frames for r in f.itertuples(index=False)), key=lambda r: r.at):
             applied(decisions, history, row.action, None if pd.isna(row.idx) else int(row.idx))
         version += 1
-        state.update((json.dumps({"decisions": decisions, "history": history}), version))
-        yield pd.DataFrame({"session": [key[0]], "version": [version], "decisions": [decisions], "history": [history]})
+        kept = json.dumps({"decisions": decisions, "history": history})
+        state.update((kept, version))
+        yield pd.DataFrame({"session": [key[0]], "version": [version], "kept": [kept]})
 
-    out = "session long, version long, decisions map<int,string>, history array<int>"
-    return log.groupBy("session").applyInPandasWithState(step, out, "kept string, version long", "update", "NoTimeout")
+    said = log.groupBy("session").applyInPandasWithState(step, "session string, version long, kept string", "kept string, version long", "update", "NoTimeout")
+    state = F.from_json("kept", "decisions map<string,string>, history array<int>")
+    return said.select("session", "version", F.transform_keys(state["decisions"], lambda k, _: k.cast("int")).alias("decisions"), state["history"].alias("history"))

@@ -7,6 +7,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from lumisift.shipping import ship
+
+ship(__name__)
 
 CHANGES = "run string, seq long, stage string, done int, total int, serial long"
 
