@@ -34,16 +34,24 @@ def top_per_group(rows: DataFrame, group: list[str], n: int, by: list[Column]) -
     return ranked(rows, by, group).where(F.col("rank") <= n)
 
 
-def percentiles(rows: DataFrame, score: str = "score") -> DataFrame:
+def percentiles(rows: DataFrame, score: str = "score", buckets: int = 256) -> DataFrame:
     """Adds percentile, "top N %": ranks are 1 plus the rows strictly above, rounded half up, at least 1.
 
-    Counts by distinct score are accumulated first, so what one task orders is scores, and rows only meet in a join.
+    Distinct scores are counted, then dealt to `buckets` ranges at approximate quantiles; sums of ranges come first, so that no task
+    orders more than one range. Null scores rank last.
     """
-    counts = rows.groupBy(score).agg(F.count("*").alias("_n"))
-    above = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, -1)
-    place = counts.select(F.col(score).alias("_s"), (F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).alias("_r"), F.sum("_n").over(W.partitionBy()).alias("_all"))
+    key = F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))
+    counts = rows.groupBy(key.alias("_s")).agg(F.count("*").alias("_n"))
+    edges = counts.agg(F.percentile_approx("_s", [k / buckets for k in range(1, buckets)], 10_000)).first()[0] or []
+    edges = sorted(set(edges), reverse=True)
+    bucket = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e > F.col("_s"))) if edges else F.lit(0)
+    dealt = counts.withColumn("_b", bucket)
+    sums = dealt.groupBy("_b").agg(F.sum("_n").alias("_w"))  # a row a range
+    before = sums.select("_b", F.coalesce(F.sum("_w").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_w").over(W.partitionBy()).alias("_all"))
+    above = W.partitionBy("_b").orderBy(F.desc("_s")).rowsBetween(W.unboundedPreceding, -1)
+    place = dealt.join(F.broadcast(before), "_b").select("_s", (F.col("_before") + F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).alias("_r"), "_all")
     share = F.floor(F.col("_r") / F.col("_all") * 100 + 0.5)
-    return rows.join(place, F.col(score).eqNullSafe(F.col("_s"))).withColumn("percentile", F.greatest(F.lit(1), share.cast("int"))).drop("_s", "_r", "_all")
+    return rows.withColumn("_k", key).join(place, F.col("_k") == F.col("_s")).withColumn("percentile", F.greatest(F.lit(1), share.cast("int"))).drop("_k", "_s", "_r", "_all")
 
 
 def unseen(rows: DataFrame, key: str, by: list[Column]) -> DataFrame:

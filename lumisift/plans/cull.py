@@ -26,6 +26,7 @@ class Cull:
     clusters: DataFrame
     scored: DataFrame
     input: DataFrame
+    survivors: DataFrame
 
     def reject_counts(self) -> DataFrame:
         return gate.reason_counts(self.rejects)
@@ -41,12 +42,14 @@ def cull(frames: DataFrame, top_n: int = TOP_N, min_sharpness: float = gate.MIN_
     """frames(name, score, h, width, height, decode_ok, sharpness, capture_time, ...); faces(name, multiplier) scale scores.
 
     Duplicates are dropped before the gate and in order of score, so a leader that fails the gate takes its cluster with it.
+    Survivors (without grids) are persisted, so that frames are decoded once; unpersist `survivors` when done.
     """
     rank.check_sort(sort)
     survivors = twins.collapse_twins(frames)
     if faces is not None:
         survivors = survivors.join(faces.select("name", "multiplier"), "name", "left").withColumn("score", F.col("score") * F.coalesce("multiplier", F.lit(1.0))).drop("multiplier")
     best = [F.desc("score"), F.asc("name")]
+    survivors = survivors.drop("grid").persist()
     led = neardup.leaders(survivors, [-F.col("score")], threshold)
     leaders = survivors.join(led.where("kept").select("name"), "name", "left_semi")
     gated = gate.with_gate(leaders, min_sharpness, min_long_edge)
@@ -56,4 +59,4 @@ def cull(frames: DataFrame, top_n: int = TOP_N, min_sharpness: float = gate.MIN_
     near_drops = led.where("NOT kept").select("name", F.lit("duplicates").alias("reason"))
     failed = gated.where("NOT gate.kept").select("name", F.col("gate.code").alias("reason"))
     rejects = twin_drops.unionByName(near_drops).distinct().unionByName(failed)
-    return Cull(keepers, rejects, neardup.clusters(led, survivors, [F.desc("score")]), survivors.select("name", "score"), frames)
+    return Cull(keepers, rejects, neardup.clusters(led, survivors, [F.desc("score")]), survivors.select("name", "score"), frames, survivors)

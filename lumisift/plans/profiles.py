@@ -84,25 +84,31 @@ def bucketed(frames: DataFrame, buckets: dict[str, str], rules: Rules | None, ca
 def staged(frames: DataFrame, phases: dict[str, str], rules: Rules | None, others: int = OTHERS) -> Selection:
     """One frame a stage, then the best others.
 
-    A stage takes, of frames not taken yet, the one of its own with the highest (probability, total), or of all if it has none left. As
-    each stage picks one frame, only as many candidates as there are stages can matter in each ranking.
+    A stage takes, of frames not taken yet, the one of its own with the highest (probability, total), or of all if it has none left. Of
+    n stages only the first n in each ranking can be taken, so one scan gathers n x n candidates and the chain is resolved on those.
     """
     rows = _staged(_explained(frames, rules), phases)
-    taken = rows.limit(0).select("name", F.lit("").alias("category"), F.lit(0).alias("cat_idx"))
-    for k, (stage, label) in enumerate(phases.items()):
-        free = rows.join(taken.select("name"), "name", "left_anti")
-        ours = (F.col("category") == stage).cast("int")
-        p = F.coalesce(F.try_element_at(F.col("probs"), F.lit(label)), F.lit(0.0))
-        pick = free.orderBy(F.desc(ours), F.desc(p), F.desc("total"), F.asc("name")).limit(1)
-        taken = taken.unionByName(pick.select("name", F.lit(stage).alias("category"), F.lit(k).alias("cat_idx")))
-    rest = rank.ranked(rank.top(rows.join(taken.select("name"), "name", "left_anti"), others, _best()), _best())
-    picked = taken.withColumn("rank", F.lit(1)).unionByName(rest.select("name", F.lit("others").alias("category"), F.lit(len(phases)).alias("cat_idx"), "rank"))
-    return Selection(picked.select("category", "cat_idx", "rank", "name"), explain=rows.select("name", "breakdown"))
+    n = len(phases)
+    wish = [F.struct(F.lit(k).alias("k"), (F.col("category") == stage).alias("own"), F.coalesce(F.try_element_at(F.col("probs"), F.lit(label)), F.lit(0.0)).alias("p")) for k, (stage, label) in enumerate(phases.items())]
+    each = rows.select("name", "total", F.explode(F.array(*wish)).alias("w")).select("name", "total", "w.*")
+    best = rank.top_per_group(each, ["k"], n, [F.desc("own"), F.desc("p"), F.desc("total"), F.asc("name")])
+    taken: dict[str, int] = {}
+    for r in sorted(best.select("k", "rank", "name").collect()):  # n x n rows at most
+        if r.k not in taken.values() and r.name not in taken:
+            taken[r.name] = r.k
+    spark = frames.sparkSession
+    chosen = spark.createDataFrame([(list(phases)[k], k, 1, name) for name, k in taken.items()], "category string, cat_idx int, rank int, name string")
+    rest = rank.ranked(rank.top(rows.where(~F.col("name").isin(*taken)), others, _best()), _best())
+    picked = chosen.unionByName(rest.select(F.lit("others").alias("category"), F.lit(n).alias("cat_idx"), "rank", "name"))
+    return Selection(picked, explain=rows.select("name", "breakdown"))
 
 
 def gallery(frames: DataFrame, phases: dict[str, str], rules: Rules | None = None, cap: int = PER_PHASE, chronological: bool = True, min_sharpness: float = gate.MIN_SHARPNESS, min_long_edge: int = gate.MIN_LONG_EDGE, threshold: int = neardup.THRESHOLD) -> Selection:
-    """Dedup in order of name, gate, then the best `cap` of each phase by probability x (0.5 + total), oldest first if chronological."""
-    single = twins.collapse_twins(frames)
+    """Dedup in order of name, gate, then the best `cap` of each phase by probability x (0.5 + total), oldest first if chronological.
+
+    The frames that outlive their twins are persisted, so that they are decoded once; unpersist when done.
+    """
+    single = twins.collapse_twins(frames).persist()
     led = neardup.leaders(single, [], threshold)
     kept = single.join(led.where("kept").select("name"), "name", "left_semi")
     gated = gate.with_gate(kept, min_sharpness, min_long_edge)
