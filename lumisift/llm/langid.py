@@ -25,7 +25,7 @@ from .common import ship
 
 ship(__name__)
 
-ORDER, ROWS, MAX_BYTES, GROUP_BYTES = 4, 300, 20_000, 1_000_000
+ORDER, ROWS, MAX_BYTES, GROUP_BYTES = 4, 150, 20_000, 1_000_000
 
 
 class Model:
@@ -38,21 +38,21 @@ class Model:
     def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER):
         self.langs, self.order = sorted(samples), order
         texts = [np.frombuffer(t, dtype=np.uint8) for lang in self.langs for t in samples[lang]]
-        lang_of = np.repeat(np.arange(len(self.langs)), [sum(map(len, samples[x])) for x in self.langs])
+        lang_of = np.repeat(np.arange(len(self.langs), dtype=np.int16), [sum(map(len, samples[x])) for x in self.langs])
         data = np.concatenate(texts) if texts else np.zeros(0, dtype=np.uint8)
-        offset = np.concatenate([np.arange(len(t)) for t in texts]) if texts else np.zeros(0, dtype=np.int64)
+        offset = np.concatenate([np.minimum(np.arange(len(t)), order).astype(np.int8) for t in texts]) if texts else np.zeros(0, dtype=np.int8)
         n, used = len(self.langs), np.unique(data)
         self.symbol = np.zeros(256, dtype=np.int64)
         self.symbol[used] = np.arange(1, len(used) + 1)
         self.width = len(used) + 1
-        sym = self.symbol[data]
+        sym = self.symbol[data].astype(np.int32)
         self.grams, self.cost, self.escape = [], [np.full((1, n), 8.0)], []
-        before = np.zeros(len(data), dtype=np.int64)  # number of the string of j bytes that ends before each place
+        before = np.zeros(len(data), dtype=np.int32)  # number of the string of j bytes that ends before each place
         suffix = before  # number of the shorter string that ends at each place
         known = 1
         for j in range(order + 1):
             at = np.flatnonzero(offset >= j)
-            names, first, number = np.unique(before[at] * self.width + sym[at], return_index=True, return_inverse=True)
+            names, first, number = np.unique(before[at].astype(np.int64) * self.width + sym[at], return_index=True, return_inverse=True)
             table = np.zeros(known * self.width, dtype=np.int32)
             table[names] = np.arange(1, len(names) + 1)
             self.grams.append(table)
@@ -69,10 +69,10 @@ class Model:
             lower[1:] = suffix[at][first]
             self.escape.append(escape)
             self.cost.append(np.where(counts > 0, own, escape[context] + self.cost[j][lower]).astype(np.float64))
-            whole = np.zeros(len(data), dtype=np.int64)
+            whole = np.zeros(len(data), dtype=np.int32)
             whole[at] = number + 1
             suffix, known = whole, len(names) + 1
-            before = np.concatenate(([0], whole[:-1])) if len(whole) else whole
+            before = np.concatenate((whole[:0], np.zeros(min(1, len(whole)), dtype=np.int32), whole[:-1]))
         self.cost = [x.astype(np.float32) for x in self.cost]
         self.escape = [x.astype(np.float32) for x in self.escape]
 
