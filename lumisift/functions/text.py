@@ -34,6 +34,11 @@ def iso(time: Column) -> Column:
     return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss")
 
 
+def shown(time: Column) -> Column:
+    """As a person reads it."""
+    return F.date_format(time, "yyyy-MM-dd HH:mm")
+
+
 def reply(text: Column) -> Column:
     """struct<score, reason> of a model's reply: its first brace-free {...} as JSON, score as a whole number from 0 to 100.
 

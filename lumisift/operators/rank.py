@@ -21,6 +21,13 @@ def presentation(mode: str, score: str = "score", name: str = "name", time: str
     return {"score": [F.desc(score), F.asc(name)], "name": [low, F.asc(name)], "capture-time": [F.asc_nulls_last(time), low, F.asc(name)]}[mode]
 
 
+def review_order(mode: str, score: str = "score", name: str = "filename", time: str = "capture_time") -> list[Column]:
+    """The orders of the review page: a missing time is last, a missing score counts as 0."""
+    check_sort(mode)
+    low = F.lower(F.col(name))
+    return {"score": [F.desc(F.coalesce(score, F.lit(0.0))), low], "name": [low], "capture-time": [F.asc_nulls_last(time), low]}[mode]
+
+
 def top(frames: DataFrame, n: int, by: list[Column]) -> DataFrame:
     return frames.orderBy(*by).limit(n)
 

@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisift.functions import xmp
+from lumisift.functions import raster, xmp
+from lumisift.functions.png import png
 from lumisift.operators.selection import RENAME_SCHEMES
 from lumisift.shipping import ship
 
@@ -38,6 +39,72 @@ def preview_width(width: Column, wanted: int) -> Column:
     return F.least(width, F.lit(wanted))
 
 
+def resized(spark: SparkSession, folder: str, names: DataFrame, longest: int = 1568) -> DataFrame:
+    """(name, content): PNG bytes of names(name) in a folder, the longer side cut to `longest`; null where undecodable."""
+    return _scaled(spark, folder, names.select("name", F.array(F.lit(-longest)).alias("widths"))).select("name", "content")
+
+
+def thumbnails(spark: SparkSession, folder: str, names: DataFrame, widths: list[int]) -> DataFrame:
+    """(name, width, content): PNG bytes at each distinct width narrower than the frame."""
+    return _scaled(spark, folder, names.select("name", F.array(*[F.lit(w) for w in sorted(set(widths))]).alias("widths"))).where("content IS NOT NULL")
+
+
+def _scaled(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """Names are joined before pixels are read into Python; a negative width is a limit of the longer side."""
+    images = spark.read.format("image").option("dropInvalid", False).load(folder).select("image.*")
+    name = F.url_decode(F.regexp_replace(F.element_at(F.split("origin", "/"), -1), r"\+", "%2B"))
+    rows = images.withColumn("name", name).join(wanted, "name").select("name", "widths", "width", "height", "nChannels", "data")
+
+    def run(batches: Iterator):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                name, widths, w, h, c = (batch.column(j)[k].as_py() for j in range(5))
+                pixels = np.frombuffer(batch.column(5)[k].as_buffer(), dtype=np.uint8).reshape(h, w, c)[:, :, 2::-1] if c == 3 else None
+                if w > 0 and c == 1:
+                    pixels = np.frombuffer(batch.column(5)[k].as_buffer(), dtype=np.uint8).reshape(h, w)
+                for width in widths:
+                    scale = min(1.0, -width / max(w, h)) if width < 0 else width / max(w, 1)
+                    if pixels is None:
+                        out.append((name, width, None))
+                    elif width < 0 or width < w:
+                        size = (max(1, round(h * scale)), max(1, round(w * scale)) if width < 0 else width)
+                        planes = [pixels] if pixels.ndim == 2 else [pixels[:, :, j] for j in range(3)]
+                        small = [np.rint(raster.shrunk(p, *size)).clip(0, 255).astype(np.uint8) for p in planes]
+                        out.append((name, width, png(small[0] if len(small) == 1 else np.stack(small, axis=2))))
+            columns = list(zip(*out)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.string(), pa.int32(), pa.binary()))], names=["name", "width", "content"])
+
+    return rows.mapInArrow(run, "name string, width int, content binary")
+
+
+def tally(report: DataFrame) -> DataFrame:
+    """Counts of a sink's report(name, output_path, ok, error): written, failed."""
+    return report.agg(F.count_if("ok").alias("written"), F.count_if(~F.col("ok")).alias("failed"))
+
+
+def save_session(path: str, session: dict, attempts: int = 3) -> None:
+    """A session as JSON on a local or shared file system: a draft is written and moved, so readers see the old or the new one."""
+    import json
+
+    from pyarrow import fs
+
+    files, target = fs.FileSystem.from_uri(path)
+    for k in range(attempts):
+        draft = f"{target}.{uuid.uuid4().hex}"
+        try:
+            with files.open_output_stream(draft) as f:
+                f.write(json.dumps(session).encode("utf-8"))
+            files.move(draft, target)
+            return
+        except PermissionError:
+            if k + 1 == attempts:
+                raise
+
+
 def folder_entries(spark: SparkSession, folder: str) -> list[str]:
     """Names in a folder that don't start with a dot; none if it does not exist."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -110,4 +177,4 @@ def summary(counts: dict[str, int], picked: int, total: int) -> str:
     return f"kept {picked} of {total}" + (f" (rejected: {lost})" if lost else "")
 
 
-__all__ = ["RENAME_SCHEMES", "fitted", "folder_entries", "guard_output", "preview_width", "summary", "thumbnail_plan", "write_files", "write_manifest", "write_table"]
+__all__ = ["RENAME_SCHEMES", "fitted", "folder_entries", "guard_output", "preview_width", "resized", "save_session", "summary", "tally", "thumbnail_plan", "thumbnails", "write_files", "write_manifest", "write_table"]

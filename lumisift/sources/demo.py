@@ -3,19 +3,10 @@
 from __future__ import annotations
 
 import os
-import struct
-import zlib
 
 import numpy as np
 
-
-def png(pixels: np.ndarray) -> bytes:
-    """PNG bytes of an HxW or HxWx3 uint8 raster."""
-    h, w = pixels.shape[:2]
-    color = 2 if pixels.ndim == 3 else 0
-    raw = b"".join(b"\0" + row.tobytes() for row in np.ascontiguousarray(pixels))
-    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, color, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 1)) + chunk(b"IEND", b"")
+from lumisift.functions.png import png
 
 
 def checker(side: int, cell: int = 16, low: int = 128, high: int = 255) -> np.ndarray:

@@ -6,7 +6,7 @@ frames wherever order matters; nothing numbers all rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +25,12 @@ def discovered(files: DataFrame, name: str = "name") -> DataFrame:
     return files.where(text.suffix(F.col(name)).isin(*text.SCANNED))
 
 
-def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
+def scan_folder(spark: SparkSession, folder: str, decoders: dict[str, Callable[[bytes], np.ndarray]] | None = None) -> DataFrame:
     """Frames of the images directly in a folder. What can't be decoded is a row with decode_ok false.
 
     The suffix filter stands before decoding, pixels are dropped where they are read, and one decode gives every feature.
+    decoders map suffixes that Spark's image reader does not know (.heic, .webp) to functions of file bytes to a uint8 raster in
+    blue-green-red order; without one such files are undecodable rows.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -38,7 +40,26 @@ def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
     if not files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, pattern)):
         return spark.createDataFrame([], f"{FEATURES}, name string, stem string, ext string")
     images = spark.read.format("image").option("dropInvalid", False).option("pathGlobFilter", pattern).load(folder).select("image.*")
-    found = images.mapInArrow(_features, FEATURES)
+    own = text.suffix(F.element_at(F.split("origin", "/"), -1)).isin(*(decoders or {}))
+    found = images.where(~own).mapInArrow(_features, FEATURES)
+    if decoders:
+        raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+        raw = raw.withColumn("suffix", text.suffix(F.element_at(F.split("path", "/"), -1))).where(F.col("suffix").isin(*decoders))
+
+        def decode(batches: Iterator):
+            import pyarrow as pa
+
+            for batch in batches:
+                rows = []
+                for path, content, suffix in zip(*(c.to_pylist() for c in batch.columns)):
+                    try:
+                        pixels = decoders[suffix](content)
+                        rows.append((path, pixels.shape[1], pixels.shape[0], True, *raster.raster_features(raster.luma(pixels))))
+                    except Exception:  # an undecodable file is a row, not the end of a scan
+                        rows.append((path, None, None, False, 0.0, 0.0, None))
+                yield _batch(rows, pa)
+
+        found = found.unionByName(raw.select("path", "content", "suffix").mapInArrow(decode, FEATURES))
     name = F.url_decode(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\+", "%2B"))
     return found.withColumn("name", name).withColumn("stem", text.stem(F.col("name"))).withColumn("ext", text.suffix(F.col("name")))
 
@@ -56,9 +77,13 @@ def _features(batches: Iterator):
                 continue
             pixels = np.frombuffer(row["data"].as_buffer(), dtype=np.uint8).reshape(h, w, c)
             rows.append((row["origin"].as_py(), w, h, True, *raster.raster_features(raster.luma(pixels))))
-        types = [pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.float64(), pa.float64(), pa.list_(pa.int32())]
-        columns = zip(*rows) if rows else [[] for _ in types]
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, types)], names=["path", "width", "height", "decode_ok", "sharpness", "exposure", "grid"])
+        yield _batch(rows, pa)
+
+
+def _batch(rows: list, pa):
+    types = [pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.float64(), pa.float64(), pa.list_(pa.int32())]
+    columns = zip(*rows) if rows else [[] for _ in types]
+    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, types)], names=["path", "width", "height", "decode_ok", "sharpness", "exposure", "grid"])
 
 
 def with_features(frames: DataFrame) -> DataFrame:

@@ -50,3 +50,11 @@ def latest(changed: DataFrame) -> DataFrame:
     """The newest state of each run, for batches and for streams in complete or update mode; slow readers skip what lies between."""
     best = F.max_by(F.struct("stage", "done", "total", "serial"), "serial")
     return changed.groupBy("run").agg(best.alias("s")).select("run", "s.*", (F.col("s.stage") == "done").alias("finished"))
+
+
+def watched(rows: DataFrame, name: str):
+    """(rows, observation): the observation's `rows` is how many passed once an action has run."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows")), seen

@@ -152,3 +152,41 @@ def test_commands(spark, shoot, tmp_path, capsys):
     assert cli.main(["pick", shoot, "--profile", "nothing"]) == 1
     assert cli.main(["pick", shoot, "--weight", "x=1"]) == 1
     profiles._REGISTRY.pop("mine")
+
+
+def decode(data):
+    if data == b"bad":
+        raise ValueError("bad")
+    return np.frombuffer(data, dtype=np.uint8).reshape(20, 10)
+
+
+def test_decoders_and_scaled_images(spark, tmp_path):
+    for name, data in {"a.heic": bytes(range(200)), "b.HEIC": b"bad", "c.webp": b"x", "d.png": demo.png(demo.scene(1, 640)), "e.png": demo.png(np.stack([demo.scene(2, 64)] * 3, axis=2))}.items():
+        with open(f"{tmp_path}/{name}", "wb") as f:
+            f.write(data)
+    got = {r.name: (r.decode_ok, r.width) for r in frames.scan_folder(spark, str(tmp_path), {".heic": decode}).collect()}
+    assert got == {"a.heic": (True, 10), "b.HEIC": (False, None), "c.webp": (False, None), "d.png": (True, 640), "e.png": (True, 64)}
+    names = spark.createDataFrame([("d.png",), ("e.png",), ("c.webp",)], "name string")
+    small = {r.name: r.content for r in sinks.resized(spark, str(tmp_path), names, 100).collect()}
+    assert small["c.webp"] is None
+    thumbs = sinks.thumbnails(spark, str(tmp_path), names, [320, 32, 320]).collect()
+    assert sorted((r.name, r.width) for r in thumbs) == [("d.png", 32), ("d.png", 320), ("e.png", 32)]
+    os.makedirs(f"{tmp_path}/out")
+    for k, content in enumerate([small["d.png"], small["e.png"], *(r.content for r in thumbs)]):
+        with open(f"{tmp_path}/out/{k}.png", "wb") as f:
+            f.write(content)
+    back = {r.name: (r.decode_ok, r.width, r.height) for r in frames.scan_folder(spark, f"{tmp_path}/out").collect()}
+    assert back["0.png"] == (True, 100, 100) and back["1.png"] == (True, 64, 64) and all(x[0] for x in back.values())
+
+
+def test_session_save_and_counts(spark, tmp_path):
+    from lumisift.streaming.progress import watched
+
+    path = f"file://{tmp_path}/lumisift-session.json"
+    sinks.save_session(path, {"source_folder": "f", "candidates": [{"idx": 0, "path": "a", "decision": "keep"}], "history": []})
+    sinks.save_session(path, {"source_folder": "g", "candidates": [], "history": []})
+    assert os.listdir(tmp_path) == ["lumisift-session.json"] and sessions.read_sessions(spark, str(tmp_path)).first().source_folder == "g"
+    report = spark.createDataFrame([("a", "x", True, None), ("b", None, False, "e")], "name string, output_path string, ok boolean, error string")
+    assert tuple(sinks.tally(report).first()) == (1, 1)
+    rows, seen = watched(report, "report")
+    assert rows.count() == 2 and seen.get["rows"] == 2
