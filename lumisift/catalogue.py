@@ -164,19 +164,19 @@ _PAIRS = f"""WITH {FRAMES}, d AS (SELECT DISTINCT h FROM frames WHERE h IS NOT N
 SELECT x.h AS a, y.h AS b, CAST(bit_count(xor(x.h, y.h)) AS INTEGER) AS bits FROM d x JOIN d y ON x.h < y.h AND bit_count(xor(x.h, y.h)) <= 6"""
 
 
-def _pairs(spark, sf_dir, rows: int | None):
+def _pairs(spark, sf_dir, **how):
     hashes = testdata.frames(spark, sf_dir).where("h IS NOT NULL").select("h").distinct()
-    return neardup.similar_pairs(hashes, neardup.THRESHOLD, rows).withColumn("bits", raster.hamming(F.col("a"), F.col("b")))
+    return neardup.similar_pairs(hashes, neardup.THRESHOLD, **how).withColumn("bits", raster.hamming(F.col("a"), F.col("b")))
 
 
 @query(_PAIRS)
 def hamming_pairs_naive(spark, sf_dir):
-    return _pairs(spark, sf_dir, 1)  # for one row no bands pay
+    return _pairs(spark, sf_dir, compare_all=True)
 
 
 @query(_PAIRS)
 def hamming_pairs_banded(spark, sf_dir):
-    return _pairs(spark, sf_dir, 10_000_000)  # planned as for many
+    return _pairs(spark, sf_dir, plan=neardup.plan_bands(10_000_000, neardup.THRESHOLD))
 
 
 @query(f"WITH {FILES},{_twins('files')} SELECT name, size FROM kept_twins")

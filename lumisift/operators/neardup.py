@@ -52,15 +52,19 @@ def band_keys(h: Column, bands: int, used: int) -> Column:
     return F.array(*out)
 
 
-def similar_pairs(hashes: DataFrame, threshold: int = THRESHOLD, rows: int | None = None) -> DataFrame:
-    """hashes(h long, distinct) -> (a, b): all pairs a < b within the threshold, each once."""
+def similar_pairs(hashes: DataFrame, threshold: int = THRESHOLD, rows: int | None = None, plan: tuple[int, int] | None = None, compare_all: bool = False) -> DataFrame:
+    """hashes(h long, distinct) -> (a, b): all pairs a < b within the threshold, each once.
+
+    rows: their number, counted if not given. The plan is chosen by it unless one is given, or compare_all asks for none.
+    """
     rows = hashes.count() if rows is None else rows
-    plan = plan_bands(rows, threshold)
+    if plan is None and not compare_all:
+        plan = plan_bands(rows, threshold)
     left, right = hashes.select(F.col("h").alias("a")), hashes.select(F.col("h").alias("b"))
     near = (F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= threshold)
     if plan is None:
         if rows > NAIVE_ROWS:
-            raise ValueError(f"no bands are selective at {threshold} bits, and {rows} hashes are too many to compare all pairs")
+            raise ValueError(f"{rows} hashes are too many to compare all pairs, and at {threshold} bits no bands are selective or none were wanted")
         return left.join(F.broadcast(right), near)
     keyed = hashes.select("h", F.explode(band_keys(F.col("h"), *plan)).alias("key"))
     x = keyed.select(F.col("h").alias("a"), F.col("key.which").alias("which"), F.col("key.value").alias("value"))
