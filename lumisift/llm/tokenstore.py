@@ -1,7 +1,8 @@
 """Training-order materialisation of token ids as fixed-stride binary shards.
 
 Every document is encoded, ended by `eos` and cut into sequences of `seq_len` ids, the last one padded. A sequence has an
-address: its document's number times the most sequences any document can have, plus its own number. A keyed Feistel
+address: its document's number (doc_id, and a little of the text's hash) times the most sequences any document can have, plus
+its own number. A keyed Feistel
 network with cycle-walking permutes the whole address space, which is known from one cheap pass (ids, longest text) before
 anything is encoded, so texts are encoded once. A shard is a range of permuted addresses; it is written in their order, and
 places no sequence uses are closed up: a sequence's global slot is its rank. Slots depend on the key, ids and texts alone,
@@ -15,7 +16,7 @@ another name and then moved, so a repeated task leaves one whole file. Addresses
 task holds more than a record batch.
 
 Defined cases: null or empty text is one sequence of `eos` alone; a null doc_id is numbered by its text's hash; rows with
-equal addresses (repeated doc_ids) follow each other in the order (doc_id, text hash); an empty table gives no shard and no rows.
+equal addresses (repeated rows) follow each other in the order (doc_id, text hash); an empty table gives no shard and no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from .common import scratch_path, ship, worker_cache
 ship(__name__)
 
 SEQ_LEN, SHARD_BYTES, KEY, EOS, PIECE_CHARS = 512, 16_000_000, 20_240_607, 50_256, 500_000
+#: Addresses of each doc_id, dealt by the text's hash, so that rows that share a doc_id do not share a shard.
+SAME_ID = 1024
 HEAD = 16
 _U = np.uint64
 
@@ -100,14 +103,16 @@ def write_shards(docs: DataFrame, out: str, tokenizer_path: str, pattern: str, s
     low, high, longest, total, n = docs.select("doc_id", F.octet_length(text).cast("long").alias("b")).agg(F.min("doc_id"), F.max("doc_id"), F.max("b"), F.sum("b"), F.count("*")).first()
     manifest = {"seq_len": seq_len, "stride": stride, "key": key, "eos": eos, "shards": []}
     if n:
-        low, span, most = low or 0, (high or 0) - (low or 0) + 1, (longest + 1 + seq_len - 1) // seq_len  # no id is less than a byte
+        low, span, most = low or 0, max((high or 0) - (low or 0) + 1, n), (longest + 1 + seq_len - 1) // seq_len  # no id is less than a byte
         wide = span * most > 1 << 62
         span = (1 << 62) // most if wide else span
-        size = span * most
+        twins = SAME_ID if span * most * SAME_ID < 1 << 62 else 1
+        size = span * twins * most
         expected = (total / 2.5 + n * (1 + seq_len / 2)) / seq_len * stride
         shards = max(1, round(expected / shard_bytes))
         per_shard = -(-size // shards)
-        number = F.when(F.lit(wide) | F.col("doc_id").isNull(), F.expr(f"pmod(xxhash64(coalesce(cast(doc_id as string), text, '')), {span}L)")).otherwise(F.col("doc_id") - low)
+        own = F.when(F.lit(wide) | F.col("doc_id").isNull(), F.expr(f"pmod(xxhash64(coalesce(cast(doc_id as string), text, '')), {span}L)")).otherwise(F.col("doc_id") - low)
+        number = own * twins + F.pmod(F.coalesce(F.xxhash64("text"), F.lit(0)), F.lit(twins))
 
         def encode(batches: Iterator):
             import pyarrow as pa
