@@ -78,7 +78,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, penalty: int =
     return best.where(F.col("score") >= score)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **how) -> DataFrame:
     """The documents, all columns, that overlap no benchmark item."""
-    leaks = overlaps(docs, benchmark, **how).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "left_anti")
+    leaks = materialise(overlaps(docs, benchmark, broadcast_rows=broadcast_rows, **how).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    few = leaks.count() <= broadcast_rows
+    return docs.join(F.broadcast(leaks) if few else leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "left_anti")
