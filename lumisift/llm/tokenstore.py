@@ -2,13 +2,12 @@
 
 Every document is encoded, ended by `eos` and cut into sequences of `seq_len` ids, the last one padded. A sequence has an
 address: its document's number (doc_id, and a little of the text's hash) times the most sequences any document can have, plus
-its own number. A keyed Feistel
-network with cycle-walking permutes the whole address space, which is known from one cheap pass (ids, longest text) before
-anything is encoded, so texts are encoded once. A shard is a range of permuted addresses; it is written in their order, and
+its own number. A keyed Feistel network with cycle-walking permutes the whole address space, which is known from one cheap pass
+(ids, longest text) before anything is encoded, so texts are encoded once. A shard is a range of permuted addresses; it is written in their order, and
 places no sequence uses are closed up: a sequence's global slot is its rank. Slots depend on the key, ids and texts alone,
 not on partitions, so a rerun or a lost executor writes the same bytes.
 
-A record is doc_id (8 bytes, -1 for null), sequence number (4), ids used (4), then seq_len little-endian uint16 ids. All records have
+A record is doc_id (8 bytes, NULL_ID for null), sequence number (4), ids used (4), then seq_len little-endian uint16 ids. All records have
 one stride, so slot s stands at a computed offset, and reading can stop and resume anywhere.
 
 Encoding and file writing are Arrow batches on the executors: the encoder and raw files need Python. Files are written under
@@ -39,7 +38,7 @@ ship(__name__)
 SEQ_LEN, SHARD_BYTES, KEY, EOS, PIECE_CHARS = 512, 16_000_000, 20_240_607, 50_256, 500_000
 #: Addresses of each doc_id, dealt by the text's hash, so that rows that share a doc_id do not share a shard.
 SAME_ID = 1024
-HEAD = 16
+HEAD, NULL_ID = 16, -(2**63)
 _U = np.uint64
 
 
@@ -156,7 +155,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer_path: str, pattern: str, s
                     sink = files.open_output_stream(draft)
                 n = batch.num_rows
                 record = np.zeros((n, stride), dtype=np.uint8)
-                record[:, :8] = batch.column(2).fill_null(-1).to_numpy(zero_copy_only=False).astype("<i8").view(np.uint8).reshape(n, 8)
+                record[:, :8] = batch.column(2).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8").view(np.uint8).reshape(n, 8)
                 record[:, 8:12] = batch.column(4).to_numpy().astype("<i4").view(np.uint8).reshape(n, 4)
                 record[:, 12:16] = batch.column(5).to_numpy().astype("<i4").view(np.uint8).reshape(n, 4)
                 data = batch.column(6)
@@ -197,7 +196,7 @@ def unpacked(raw: bytes, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return part(0, 8, "<i8").ravel(), part(8, 12, "<i4").ravel(), part(12, 16, "<i4").ravel(), part(HEAD, stride, "<u2")
 
 
-def records(out: str, slot: int = 0, block: int = 1024) -> Iterator[tuple[int, int, int, np.ndarray]]:
+def records(out: str, slot: int = 0, block: int = 1024) -> Iterator[tuple[int, int | None, int, np.ndarray]]:
     """Sequential read from a slot on: (slot, doc_id, sequence number, ids used)."""
     manifest = load_manifest(out)
     files, folder = opened(out)
@@ -209,7 +208,7 @@ def records(out: str, slot: int = 0, block: int = 1024) -> Iterator[tuple[int, i
             while slot < shard["start"] + shard["rows"]:
                 docs, seqs, used, ids = unpacked(f.read(min(block, shard["start"] + shard["rows"] - slot) * manifest["stride"]), manifest["stride"])
                 for k in range(len(docs)):
-                    yield slot, int(docs[k]), int(seqs[k]), ids[k, : used[k]]
+                    yield slot, None if docs[k] == NULL_ID else int(docs[k]), int(seqs[k]), ids[k, : used[k]]
                     slot += 1
 
 
@@ -232,7 +231,7 @@ def read_shards(spark: SparkSession, out: str, manifest: dict | None = None) ->
                 for at in range(0, len(raw), 4096 * stride):
                     docs, seqs, used, ids = unpacked(raw[at : at + 4096 * stride], stride)
                     crc = [zlib.crc32(x[:n]) for x, n in zip(ids, used)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(slot, slot + len(docs))), pa.array(docs, mask=docs < 0), pa.array(seqs), pa.array(used), pa.array(crc, pa.int64())], names=["slot", "doc_id", "seq", "n_tokens", "crc"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(slot, slot + len(docs))), pa.array(docs, mask=docs == NULL_ID), pa.array(seqs), pa.array(used), pa.array(crc, pa.int64())], names=["slot", "doc_id", "seq", "n_tokens", "crc"])
                     slot += len(docs)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(out)

@@ -19,7 +19,7 @@ def test_feistel_is_a_keyed_permutation(size):
 
 def test_shards_hold_every_token_once(spark, tmp_path):
     texts = {0: "a b c", 1: "", 2: None, 3: "naïve text, don't " * 60, 9: "x" * 3000, 12: "\n\n word " * 200}
-    rows = [*texts.items(), (3, "other text"), (None, "nobody's"), (None, None)]
+    rows = [*texts.items(), (-1, "minus one"), (3, "other text"), (None, "nobody's"), (None, None)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, slot string").repartition(3)
     seen = []
     for run in ("one", "two"):
@@ -28,15 +28,16 @@ def test_shards_hold_every_token_once(spark, tmp_path):
         assert len(manifest["shards"]) > 2
         got = list(tokenstore.records(out))
         assert [x[0] for x in got] == list(range(len(got)))
+        got = [(k, -9 if d is None else d, s, ids) for k, d, s, ids in got]
         seen.append([(d, s, ids.tolist()) for _, d, s, ids in got])
-        back = sorted((r.slot, -1 if r.doc_id is None else r.doc_id, r.seq, r.n_tokens, r.crc) for r in tokenstore.read_shards(spark, out).collect())
+        back = sorted((r.slot, -9 if r.doc_id is None else r.doc_id, r.seq, r.n_tokens, r.crc) for r in tokenstore.read_shards(spark, out).collect())
         assert back == [(k, d, s, len(ids), zlib.crc32(ids.tobytes())) for k, d, s, ids in got]
         later = list(tokenstore.records(out, 7, block=3))
         assert [x[0] for x in later] == list(range(7, len(got))) and later[0][3].tolist() == got[7][3].tolist()
     assert seen[0] == seen[1]  # whatever the partitions
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    want = sorted((-1 if d is None else d, enc.encode_ordinary(t or "") + [50256]) for d, t in rows)
+    want = sorted((-9 if d is None else d, enc.encode_ordinary(t or "") + [50256]) for d, t in rows)
     joined = []
     for d, t in want:
         parts = [t[k : k + 32] for k in range(0, len(t), 32)]
