@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
+from .common import materialise, ship, small_batches
 
 ship(__name__)
 
@@ -148,6 +148,7 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> tuple[Data
 def search(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", recall: float = RECALL, sample: int = SAMPLE, calibration: int = CALIBRATION) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which is_query(id) holds, among all others."""
     spark = vectors.sparkSession
+    small_batches(spark)
     schema = "query_id long, rank int, vec_id long, score double"
     good, width = usable(vectors, id_column, vector_column)
     if not width:

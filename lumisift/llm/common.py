@@ -41,6 +41,16 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bound what a Python worker is handed at once: Spark's own bound, 64 MB for each task and direction, is much for small executors.
+
+    Changes the session's setting only where it is Spark's default.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if str(spark.conf.get(key, "")).startswith("67108864"):
+        spark.conf.set(key, str(size))
+
+
 def worker_cache(key, build):
     """What a Python worker keeps between tasks."""
     kept = sys.__dict__.setdefault("_lumisift_kept", {})

@@ -21,11 +21,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, small_batches
 
 ship(__name__)
 
-ORDER, ROWS, MAX_BYTES, GROUP_BYTES = 4, 150, 20_000, 1_000_000
+ORDER, ROWS, MAX_BYTES, GROUP_BYTES = 3, 150, 20_000, 250_000
 
 
 class Model:
@@ -80,17 +80,17 @@ class Model:
         """(bytes, languages) code lengths; no context reaches back over a place in `fresh`."""
         sym = self.symbol[data]
         n = len(sym)
-        numbers = [np.zeros(n, dtype=np.int64)]
+        numbers = [np.zeros(n, dtype=np.int32)]
         for j in range(self.order + 1):
-            before = np.zeros(n, dtype=np.int64)
+            before = np.zeros(n, dtype=np.int32)
             before[1:] = numbers[j][:-1]
             table = self.grams[j]
             if j:  # the empty string has number 0, longer ones none
                 before[fresh] = 0
-                number = np.where(before > 0, table[before * self.width + sym], 0)
+                number = np.where(before > 0, table[before.astype(np.int64) * self.width + sym], 0)
             else:
                 number = table[sym]
-            numbers.append(number.astype(np.int64))
+            numbers.append(number.astype(np.int32))
         top = self.order + 1
         out = self.cost[top][numbers[top]]
         left = np.flatnonzero(numbers[top] == 0)
@@ -170,6 +170,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     import pyspark.sql.types as T
 
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     names = [f"c{k}" for k in range(len(docs.columns))]  # so that no name clashes
     plain = docs.toDF(*names)
@@ -181,7 +182,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         import pyarrow as pa
 
         model = shared.value
-        for batch in batches:
+        for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
             lettered = batch.column(len(names)).to_pylist()
             texts = [(x.as_py() or "").encode("utf-8") if ok else b"" for x, ok in zip(batch.column(at), lettered)]
             lang, score, bits = [], [], []

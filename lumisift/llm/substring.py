@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, worker_cache
+from .common import materialise, ship, small_batches, worker_cache
 
 ship(__name__)
 
@@ -342,6 +342,7 @@ def factors(docs: DataFrame) -> DataFrame:
     tag: a hash of the text, to tell rows of equal doc_id apart. Spans of a document may touch or overlap. Where ref_doc is the
     document itself, the span repeats an earlier one of its own, and is a duplicate as far as that is.
     """
+    small_batches(docs.sparkSession)
     tagged = docs.select("doc_id", "text", F.hash("text").bitwiseAND(0x7FFFFFFF).alias("tag"))
     indexed = tagged.mapInArrow(index_rows, ROW)
     once = materialise(indexed.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(lambda b: resolve_rows(b, False), ROW), "substring")

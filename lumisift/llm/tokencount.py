@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, worker_cache
+from .common import ship, small_batches, worker_cache
 
 ship(__name__)
 
@@ -195,6 +195,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, chunk:
             n = counts_of(batch.column(1).to_pylist(), tokenizer_path, chunk, overlap)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, ship, worker_cache
+from .common import scratch_path, ship, small_batches, worker_cache
 
 ship(__name__)
 
@@ -97,6 +97,7 @@ def opened(uri: str):
 
 def write_shards(docs: DataFrame, out: str, tokenizer_path: str, pattern: str, seq_len: int = SEQ_LEN, key: int = KEY, eos: int = EOS, shard_bytes: int = SHARD_BYTES) -> dict:
     """Write docs(doc_id, text) as shards under the shared folder `out`; returns the manifest, also written there."""
+    small_batches(docs.sparkSession)
     stride = HEAD + 2 * seq_len
     text = F.coalesce("text", F.lit(""))
     low, high, longest, total, n = docs.select("doc_id", F.octet_length(text).cast("long").alias("b")).agg(F.min("doc_id"), F.max("doc_id"), F.max("b"), F.sum("b"), F.count("*")).first()
