@@ -47,7 +47,7 @@ def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     Changes the session's setting only where it is Spark's default.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if str(spark.conf.get(key, "")).startswith("67108864"):
+    if spark.conf.get(key).startswith("67108864"):
         spark.conf.set(key, str(size))
 
 
