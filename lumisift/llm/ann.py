@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, small_batches
+from .common import Shared, materialise, ship, small_batches, tidied
 
 ship(__name__)
 
@@ -166,7 +166,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id",
     tests = few(good.where(is_query(F.col("id"))), asking, calibration).collect()
     if not tests:
         return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast((tree, np.array([r.id for r in tests]), np.array([r.v for r in tests])))
+    shared = Shared(spark, "ann", (tree, np.array([r.id for r in tests]), np.array([r.v for r in tests])))
 
     def index(batches: Iterator):
         import pyarrow as pa
@@ -177,7 +177,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id",
             leaf = tree.place(lifted(x, longest)) if len(x) else np.zeros(0, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(leaf, pa.int32()), pa.array([r.tobytes() for r in x.astype("<f8")], pa.binary())], names=["id", "leaf", "x"])
 
-    indexed = materialise(good.mapInArrow(index, "id long, leaf int, x binary"), "ann")
+    indexed = materialise(good.mapInArrow(tidied(index), "id long, leaf int, x binary"), "ann")
 
     def exact(batches: Iterator):
         import pyarrow as pa
@@ -191,7 +191,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id",
 
     each = W.partitionBy("q").orderBy(F.desc("score"), "id")
     true: dict[int, list[int]] = {}
-    for r in indexed.mapInArrow(exact, "q int, id long, leaf int, score double").withColumn("k", F.row_number().over(each)).where(F.col("k") <= k).collect():
+    for r in indexed.mapInArrow(tidied(exact), "q int, id long, leaf int, score double").withColumn("k", F.row_number().over(each)).where(F.col("k") <= k).collect():
         true.setdefault(r.q, []).append(r.leaf)
     found = np.zeros(tree.leaves + 1)
     for q, leaves in true.items():
@@ -202,7 +202,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id",
     held = np.zeros(tree.leaves, dtype=np.int64)
     for r in indexed.groupBy("leaf").count().collect():  # a row a leaf
         held[r.leaf] = r["count"]
-    filled = spark.sparkContext.broadcast(held)
+    filled = Shared(spark, "ann-sizes", held)
 
     def walk(batches: Iterator):
         import pyarrow as pa
@@ -217,7 +217,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id",
     # blocks: rows of a leaf by hash, as many blocks as keep each near its size; one row a leaf is counted
     sizes = indexed.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     stored = indexed.join(F.broadcast(sizes), "leaf").select("leaf", F.pmod(F.xxhash64("id", F.lit(3)), "blocks").cast("int").alias("block"), "id", "x", "blocks")
-    asked = indexed.where(is_query(F.col("id"))).select("id", "x").mapInArrow(walk, "query_id long, leaf int, q binary")
+    asked = indexed.where(is_query(F.col("id"))).select("id", "x").mapInArrow(tidied(walk), "query_id long, leaf int, q binary")
     asks = asked.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("int").alias("groups"))
     both = sizes.join(asks, "leaf")
     left = stored.drop("blocks").join(F.broadcast(both.select("leaf", "groups")), "leaf").select("leaf", "block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), "id", "x")

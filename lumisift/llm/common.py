@@ -51,6 +51,43 @@ def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
         spark.conf.set(key, str(size))
 
 
+class Shared:
+    """An object broadcast with its code, so that executors need no copy of this package. A worker keeps the newest of each name only."""
+
+    def __init__(self, spark: SparkSession, name: str, value):
+        from pyspark import cloudpickle
+
+        self.name, self.token = name, uuid.uuid4().hex
+        self.data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        import pickle
+
+        kept = worker_cache("shared", dict)
+        if kept.get(self.name, ("",))[0] != self.token:
+            kept[self.name] = (self.token, pickle.loads(self.data.value))
+        return kept[self.name][1]
+
+
+def tidied(run):
+    """A function over batches that gives freed memory back to the system when a task ends."""
+
+    def whole(batches):
+        yield from run(batches)
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc
+            pass
+
+    return whole
+
+
 def worker_cache(key, build):
     """What a Python worker keeps between tasks."""
     kept = sys.__dict__.setdefault("_lumisift_kept", {})

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, small_batches
+from .common import Shared, ship, small_batches, tidied
 
 ship(__name__)
 
@@ -171,7 +171,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = Shared(spark, "langid", model)
     names = [f"c{k}" for k in range(len(docs.columns))]  # so that no name clashes
     plain = docs.toDF(*names)
     text = F.col(names[docs.columns.index("text")])
@@ -198,4 +198,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lang), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=[*names, "lang_pred", "score", "bits_per_byte"])
 
     schema = T.StructType([*plain.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
-    return flagged.mapInArrow(run, schema).toDF(*docs.columns, "lang_pred", "score", "bits_per_byte")
+    return flagged.mapInArrow(tidied(run), schema).toDF(*docs.columns, "lang_pred", "score", "bits_per_byte")

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, small_batches, worker_cache
+from .common import materialise, ship, small_batches, tidied, worker_cache
 from .graph import components
 
 ship(__name__)
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 def syndrome(words: np.ndarray) -> np.ndarray:
@@ -186,8 +186,8 @@ def links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
         if held:
             yield said(*links_of(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), bits))
 
-    keyed = distinct.select("fp").mapInArrow(expand, "key long, fp long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(match, "u long, v long")
+    keyed = distinct.select("fp").mapInArrow(tidied(expand), "key long, fp long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(tidied(match), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, bits: int = MAX_BITS) -> DataFrame:

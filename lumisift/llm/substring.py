@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, small_batches, worker_cache
+from .common import materialise, ship, small_batches, tidied, worker_cache
 
 ship(__name__)
 
@@ -344,9 +344,9 @@ def factors(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     tagged = docs.select("doc_id", "text", F.hash("text").bitwiseAND(0x7FFFFFFF).alias("tag"))
-    indexed = tagged.mapInArrow(index_rows, ROW)
-    once = materialise(indexed.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(lambda b: resolve_rows(b, False), ROW), "substring")
-    hot = once.where(F.col("kind") == HOT).repartition("key").sortWithinPartitions("key", "kind").mapInArrow(lambda b: resolve_rows(b, True), ROW)
+    indexed = tagged.mapInArrow(tidied(index_rows), ROW)
+    once = materialise(indexed.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(tidied(lambda b: resolve_rows(b, False)), ROW), "substring")
+    hot = once.where(F.col("kind") == HOT).repartition("key").sortWithinPartitions("key", "kind").mapInArrow(tidied(lambda b: resolve_rows(b, True)), ROW)
     whole = once.where(F.col("kind") == FACTOR).unionByName(hot)
 
     def decode(batches):
@@ -357,7 +357,7 @@ def factors(docs: DataFrame) -> DataFrame:
             x = np.ascontiguousarray(rows.data).view("<i8").reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rows.doc, rows.meta >> 32, rows.meta & 0xFFFFFFFF, x[:, 0] + WINDOW - 1, x[:, 1].copy(), x[:, 2].copy())], names=["doc_id", "tag", "at", "n_words", "ref_doc", "ref_at"])
 
-    return whole.mapInArrow(decode, "doc_id long, tag long, at long, n_words long, ref_doc long, ref_at long")
+    return whole.mapInArrow(tidied(decode), "doc_id long, tag long, at long, n_words long, ref_doc long, ref_at long")
 
 
 def cut_text(text: str | None, spans) -> tuple[int, int, bytes]:
@@ -408,4 +408,4 @@ def _cut(docs: DataFrame, digest: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array(last, pa.string())], names=["doc_id", "n_words", "n_removed", "last"])
 
     joined = tagged.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, last string").withColumnRenamed("last", "kept_sha256" if digest else "kept")
+    return joined.mapInArrow(tidied(run), "doc_id long, n_words long, n_removed long, last string").withColumnRenamed("last", "kept_sha256" if digest else "kept")

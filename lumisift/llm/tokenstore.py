@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, ship, small_batches, worker_cache
+from .common import scratch_path, ship, small_batches, tidied, worker_cache
 
 ship(__name__)
 
@@ -171,10 +171,10 @@ def write_shards(docs: DataFrame, out: str, tokenizer_path: str, pattern: str, s
         files, folder = opened(out)
         files.create_dir(folder, recursive=True)
         rows = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tag"), text.alias("text"), number.cast("long").alias("number"))
-        coded = rows.mapInArrow(encode, "shard int, place long, doc_id long, tag long, seq int, used int, data binary")
+        coded = rows.mapInArrow(tidied(encode), "shard int, place long, doc_id long, tag long, seq int, used int, data binary")
         ordered = coded.repartitionById(shards, F.col("shard")).sortWithinPartitions("place", "doc_id", "tag")
         start = 0
-        for shard, count in sorted(tuple(r) for r in ordered.mapInArrow(write, "shard int, rows long").collect()):
+        for shard, count in sorted(tuple(r) for r in ordered.mapInArrow(tidied(write), "shard int, rows long").collect()):
             manifest["shards"].append({"shard": shard, "file": f"shard-{shard:08d}.bin", "start": start, "rows": count})
             start += count
     files, folder = opened(out)
@@ -236,7 +236,7 @@ def read_shards(spark: SparkSession, out: str, manifest: dict | None = None) ->
                     slot += len(docs)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(out)
-    return files.select("path", "content").mapInArrow(run, schema)
+    return files.select("path", "content").mapInArrow(tidied(run), schema)
 
 
 def materialise_order(docs: DataFrame, tokenizer_path: str, pattern: str, **how) -> DataFrame:
