@@ -69,3 +69,42 @@ def test_an_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_at_similarities_of_0_8_to_0_9(spark):
+    rng = random.Random(12)
+    draw = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    grams = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    texts = []
+    for k in range(40):
+        base = draw(rng.randrange(150, 400))
+        other = list(base)
+        for _ in range(round(len(base) * rng.uniform(0.008, 0.035))):
+            other[rng.randrange(len(other))] = "changed"
+        texts += [" ".join(base), " ".join(other)]
+    base = draw(200)  # many copies under one key
+    for _ in range(200):
+        other = list(base)
+        for _ in range(4):
+            other[rng.randrange(200)] = f"x{rng.randrange(9999)}"
+        texts.append(" ".join(other))
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    close = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            alike = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            if alike >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+                close += i < 80 and alike < 0.9
+    assert close >= 15
+    rows = [(k, t, "en", "a", None) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert kept == [k for k in range(len(texts)) if find(k) == k]
