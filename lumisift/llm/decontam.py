@@ -1,7 +1,8 @@
 r"""Benchmark decontamination by spaced-seed hashing.
 
-Native: DataFrame functions only. Tokens are runs of letters and digits, lower-cased. A seed looks at SPAN tokens in a row through a fixed
-mask that ignores some of them, so a substituted token under an ignored place does not hide a match. Seeds of the benchmark,
+Native: DataFrame functions only. Tokens are runs of letters and digits, lower-cased. A seed looks at a few tokens in a row through a fixed
+mask that ignores some of them, so a substituted token under an ignored place does not hide a match. The masks are chosen so that no
+stretch that scores enough is without a seed, wherever its substitutions lie (the tests go through all of them). Seeds of the benchmark,
 one at each place and mask, are joined with those of the documents. Around each hit the whole diagonal is verified on
 the texts: a token that agrees scores 1, one that does not -PENALTY, and the best stretch must score SCORE or more, so ten
 tokens in a row, or fourteen of sixteen.
@@ -9,7 +10,7 @@ tokens in a row, or fourteen of sixteen.
 The benchmark side is broadcast only if its seeds number at most BROADCAST_ROWS; so are the hits. Beyond that both are shuffled
 joins, in which Spark splits hot keys. Documents never meet each other, and nothing is grouped but by document and item.
 
-Defined cases: null or empty texts and items of fewer than SPAN tokens have no seeds and give no rows; repeated rows give one row for
+Defined cases: null or empty texts and items of fewer than SCORE tokens cannot score enough and give no rows; repeated rows give one row for
 each pair of ids; null ids are kept as they are; an empty table gives no rows.
 """
 
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Fixed masks over twelve tokens: 1 looks, 0 ignores.
+#: Fixed masks: 1 looks, 0 ignores. Every stretch of SCORE or more holds a place of one of them.
+SEEDS = ("111101", "10110011")
+#: The masks over SPAN tokens of the SQL, which misses stretches that SEEDS find.
 MASKS = ("110110110111", "101110011011")
 SPAN, PENALTY, SCORE, BROADCAST_ROWS = 12, 2, 10, 500_000
 TOKEN = r"[\p{L}\p{N}]+"
@@ -30,21 +33,20 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
 
 
-def seeds(hashes: str, masks=MASKS) -> Column:
-    """Seeds of an array column by mask, then by place."""
-    places = F.sequence(F.lit(0), F.size(hashes) - len(masks[0]))
+def seeds(hashes: str, masks=SEEDS) -> Column:
+    """(at, seed) structs of an array column by mask, then by place."""
 
     def one(k: int, mask: str) -> Column:
         looked = [j for j, x in enumerate(mask) if x == "1"]
-        return F.transform(places, lambda i: F.xxhash64(F.lit(k), *[F.get(F.col(hashes), i + j) for j in looked]))
+        seed = lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(k), *[F.get(F.col(hashes), i + j) for j in looked]).alias("seed"))
+        return F.when(F.size(hashes) >= len(mask), F.transform(F.sequence(F.lit(0), F.size(hashes) - len(mask)), seed)).otherwise(F.array().cast("array<struct<at:int,seed:bigint>>"))
 
-    return F.when(F.size(hashes) >= len(masks[0]), F.concat(*[one(k, m) for k, m in enumerate(masks)])).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(*[one(k, m) for k, m in enumerate(masks)])
 
 
-def seeded(keyed: DataFrame, key: str, masks=MASKS) -> DataFrame:
+def seeded(keyed: DataFrame, key: str, masks=SEEDS) -> DataFrame:
     """keyed(key, h) -> key, at, seed."""
-    found = keyed.select(key, (F.size("h") - len(masks[0]) + 1).alias("n"), F.posexplode(seeds("h", masks)).alias("k", "seed"))
-    return found.select(key, (F.col("k") % F.col("n")).alias("at"), "seed")
+    return keyed.select(key, F.inline(seeds("h", masks)))
 
 
 def best_stretch(doc: Column, item: Column, shift: Column, penalty: int = PENALTY) -> Column:
@@ -60,7 +62,7 @@ def best_stretch(doc: Column, item: Column, shift: Column, penalty: int = PENALT
     return F.when(high > low, F.aggregate(step, zero, add)["best"]).otherwise(F.lit(0))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, penalty: int = PENALTY, score: int = SCORE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, masks=SEEDS, penalty: int = PENALTY, score: int = SCORE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, score, item_tokens: one row for each pair that overlaps."""
     items = materialise(benchmark.select("item_id", F.xxhash64("item_id", "text").alias("ik"), token_hashes(F.col("text")).alias("t")), "bench")
     test = seeded(items.select("ik", F.col("t").alias("h")), "ik", masks).select("ik", F.col("at").alias("item_at"), "seed")

@@ -65,6 +65,27 @@ def test_one_substitution_anywhere_is_found(spark):
     assert sorted(r.doc_id for r in got.collect() if r.score >= 10) == [k for k in range(15) ]
 
 
+def test_no_stretch_is_without_a_seed(spark):
+    masks, width = [(int(m, 2), len(m)) for m in decontam.SEEDS], max(map(len, decontam.SEEDS))
+    seen = todo = {(1, 1, 1)}  # the last matches as bits, how many, the score of a stretch so far
+    while todo:  # all stretches, by what a seed or the score can still depend on
+        found = set()
+        for bits, n, score in todo:
+            for bit, gain in ((1, 1), (0, -decontam.PENALTY)):
+                now = ((bits << 1 | bit) & ((1 << width) - 1), min(width, n + 1), score + gain)
+                if now[2] > 0 and not any(now[1] >= w and now[0] & m == m for m, w in masks):
+                    assert now[2] < decontam.SCORE
+                    found.add(now)
+        todo = found - seen
+        seen = seen | found
+    words = [f"t{k}" for k in range(60)]
+    fifth = [w if k % 5 else "other" for k, w in enumerate(words)]
+    items = [(10, " ".join(words[:10])), (11, " ".join(words[:11])), (60, " ".join(words)), (9, " ".join(words[:9]))]
+    docs = [(0, " ".join(["a", *words[:10], "b"]), None, None), (1, " ".join(["a", *words[:11], "b"]), None, None), (2, " ".join(fifth), None, None)]
+    got = decontam.overlaps(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.score for r in got.collect()} == {(0, 10): 10, (0, 11): 10, (0, 60): 10, (1, 10): 10, (1, 11): 11, (1, 60): 11, (2, 60): 26}
+
+
 def test_licences(spark):
     mit = "\n\n".join([*licenses.SENTENCES["mit-title"][:1], "Copyright (c) 2020 Somebody", licenses.SENTENCES["mit-grant"][0].replace("copies of", "copies\nof"), licenses.SENTENCES["mit-notice"][0], licenses.SENTENCES["mit-asis"][0]])
     bsd = " ".join(licenses.SENTENCES[k][0] for k in ("bsd-redist", "bsd-source", "bsd-binary", "bsd-endorse"))
