@@ -62,8 +62,8 @@ def best_stretch(doc: Column, item: Column, shift: Column, penalty: int = PENALT
     return F.when(high > low, F.aggregate(step, zero, add)["best"]).otherwise(F.lit(0))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks=SEEDS, penalty: int = PENALTY, score: int = SCORE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, score, item_tokens: one row for each pair that overlaps."""
+def _scored(docs: DataFrame, benchmark: DataFrame, masks, penalty: int, broadcast_rows: int) -> DataFrame:
+    """A row for each diagonal that was hit: dk (names the row of the document), doc_id, item_id, item_tokens, score."""
     items = materialise(benchmark.select("item_id", F.xxhash64("item_id", "text").alias("ik"), token_hashes(F.col("text")).alias("t")), "bench")
     test = seeded(items.select("ik", F.col("t").alias("h")), "ik", masks).select("ik", F.col("at").alias("item_at"), "seed")
     small = test.count() <= broadcast_rows
@@ -73,15 +73,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks=SEEDS, penalty: int =
     hits = materialise(met, "hits")
     few = hits.count() <= broadcast_rows
     around = named.join(F.broadcast(hits) if few else hits, "dk").join(F.broadcast(items) if small else items, "ik")
-    laid = around.select("doc_id", "item_id", "t", "shift", token_hashes(F.col("text")).alias("h"))
-    scored = laid.select("doc_id", "item_id", F.size("t").alias("item_tokens"), best_stretch(F.col("h"), F.col("t"), F.col("shift"), penalty).alias("score"))
+    laid = around.select("dk", "doc_id", "item_id", "t", "shift", token_hashes(F.col("text")).alias("h"))
+    return laid.select("dk", "doc_id", "item_id", F.size("t").alias("item_tokens"), best_stretch(F.col("h"), F.col("t"), F.col("shift"), penalty).alias("score"))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, masks=SEEDS, penalty: int = PENALTY, score: int = SCORE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, score, item_tokens: one row for each pair that overlaps."""
+    scored = _scored(docs, benchmark, masks, penalty, broadcast_rows)
     # filtered after the maximum: a filter before it would be pushed into the join and tokenise texts there again and again
     best = scored.groupBy("doc_id", "item_id").agg(F.max("score").cast("long").alias("score"), F.max("item_tokens").cast("long").alias("item_tokens"))
     return best.where(F.col("score") >= score)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **how) -> DataFrame:
-    """The documents, all columns, that overlap no benchmark item."""
-    leaks = materialise(overlaps(docs, benchmark, broadcast_rows=broadcast_rows, **how).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS, masks=SEEDS, penalty: int = PENALTY, score: int = SCORE) -> DataFrame:
+    """The documents, all columns, that overlap no benchmark item; rows that share a doc_id, null or not, are judged one by one."""
+    best = _scored(docs, benchmark, masks, penalty, broadcast_rows).groupBy("dk").agg(F.max("score").alias("score"))
+    leaks = materialise(best.where(F.col("score") >= score).select(F.col("dk").alias("_leak")), "leaks")
     few = leaks.count() <= broadcast_rows
-    return docs.join(F.broadcast(leaks) if few else leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "left_anti")
+    return docs.join(F.broadcast(leaks) if few else leaks, F.xxhash64(docs["doc_id"], docs["text"]) == leaks["_leak"], "left_anti")

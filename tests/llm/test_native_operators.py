@@ -86,6 +86,15 @@ def test_no_stretch_is_without_a_seed(spark):
     assert {(r.doc_id, r.item_id): r.score for r in got.collect()} == {(0, 10): 10, (0, 11): 10, (0, 60): 10, (1, 10): 10, (1, 11): 11, (1, 60): 11, (2, 60): 26}
 
 
+def test_clean_namesakes_of_a_leak_stay(spark):
+    item = " ".join(f"t{k}" for k in range(20))
+    docs = [(None, item, None, None), (None, "clean one", None, None), (7, f"it says {item}", None, None), (7, "clean two", None, None), (8, None, None, None), (None, None, None, None)]
+    df, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, item)], "item_id long, text string")
+    for limit in (500_000, 0):
+        kept = decontam.decontaminate(df, bench, limit).collect()
+        assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(None, "clean one"), (7, "clean two"), (8, None), (None, None)], key=str)
+
+
 def test_licences(spark):
     mit = "\n\n".join([*licenses.SENTENCES["mit-title"][:1], "Copyright (c) 2020 Somebody", licenses.SENTENCES["mit-grant"][0].replace("copies of", "copies\nof"), licenses.SENTENCES["mit-notice"][0], licenses.SENTENCES["mit-asis"][0]])
     bsd = " ".join(licenses.SENTENCES[k][0] for k in ("bsd-redist", "bsd-source", "bsd-binary", "bsd-endorse"))
