@@ -86,8 +86,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("All-Rights-Reserved", ("reserved",)),
 )
 
-#: Every known sentence has one of these once lower-cased, so texts with none need not be cut.
-HINTS = ("licen", "permission", "copyright", "warrant", "redistribut", "rights reserved")
+#: Every known sentence has one of these in a single word once lower-cased (words may stand on two lines), so texts with none need not be cut.
+HINTS = ("licen", "permission", "copyright", "warrant", "redistribut", "reserved")
 
 
 def normalised_text(text: str) -> str:

@@ -108,6 +108,12 @@ def test_licences(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_rights_reserved_over_two_lines(spark):
+    texts = ["All rights\nreserved.", "ALL-RIGHTS-RESERVED", "All  rights   reserved", "rights reserved"]
+    got = licenses.scan_licenses(spark.createDataFrame([(k, t, None, "x") for k, t in enumerate(texts)], DOCS)).collect()
+    assert [r.licences for r in sorted(got)] == [["All-Rights-Reserved"]] * 3 + [[]]
+
+
 def plain_targets(sizes, weights, cap=3):
     left, open_, out = float(sum(sizes.values())), set(sizes), {}
     while open_:
