@@ -86,6 +86,28 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("All-Rights-Reserved", ("reserved",)),
 )
 
+_GPL = "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
+_LATER = "either version {} of the License, or (at your option) any later version."
+_ONLY = "version {} of the License."
+
+#: What the texts are held against: as SENTENCES and RULES (which the SQL has), with the GPL notices in the pieces that a text is cut into. A
+#: piece that ends before the version says no licence by itself.
+PIECES: dict[str, tuple[str, ...]] = {k: v for k, v in SENTENCES.items() if k not in ("gpl3-later", "gpl2-later")} | {
+    "gpl-terms": (f"{_GPL};",),
+    **{f"gpl{n}-later": (f"{_GPL}, {_LATER.format(n)}",) for n in (2, 3)},
+    **{f"gpl{n}-only": (f"{_GPL}, {_ONLY.format(n)}",) for n in (2, 3)},
+    **{f"version{n}-later": (_LATER.format(n),) for n in (2, 3)},
+    **{f"version{n}-only": (_ONLY.format(n),) for n in (2, 3)},
+}
+_GPL_RULES = tuple(
+    (f"GPL-{n}.0{suffix}", rule)
+    for n in (3, 2)
+    for suffix, kind in (("-or-later", "later"), ("", "only"))
+    for rule in ((f"gpl{n}-{kind}",), ("gpl-terms", f"version{n}-{kind}"))
+)
+_AT = [name for name, _ in RULES].index("GPL-3.0-or-later")
+PIECE_RULES = RULES[:_AT] + _GPL_RULES + tuple(x for x in RULES[_AT:] if not x[0].endswith("-or-later"))
+
 #: Every known sentence has one of these in a single word once lower-cased (words may stand on two lines), so texts with none need not be cut.
 HINTS = ("licen", "permission", "copyright", "warrant", "redistribut", "reserved")
 
@@ -95,8 +117,8 @@ def normalised_text(text: str) -> str:
     return " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in text.lower()).split())
 
 
-def known() -> dict[str, str]:
-    return {normalised_text(s): name for name, all_of in SENTENCES.items() for s in all_of}
+def known(sentences: dict[str, tuple[str, ...]] = SENTENCES) -> dict[str, str]:
+    return {normalised_text(s): name for name, all_of in sentences.items() for s in all_of}
 
 
 def normalised(sentence: Column) -> Column:
@@ -107,13 +129,13 @@ def _identifiers(text: Column, by_line: bool) -> Column:
     if not by_line:
         text = F.translate(F.regexp_replace(text, "\n[ \t\r\n]*\n", "\u0001"), "\n\u0001", " \n")
     sentences = F.split(F.regexp_replace(text, "([.!?;:])[ \\t\\r\\n\\f]+", "$1\n"), "\n")
-    names = F.create_map(*[F.lit(x) for pair in known().items() for x in pair])
+    names = F.create_map(*[F.lit(x) for pair in known(PIECES).items() for x in pair])
     return F.filter(F.transform(sentences, lambda s: names[normalised(s)]), lambda x: x.isNotNull())
 
 
 def _matched(sequence: Column) -> Column:
     found, rest = [], F.array_join(F.transform(sequence, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
-    for licence, rule in RULES:
+    for licence, rule in PIECE_RULES:
         say = "".join(f"<{x}>" for x in rule)
         found.append(F.when(F.contains(rest, F.lit(say)), F.lit(licence)))
         rest = F.replace(rest, F.lit(say), F.lit("|"))

@@ -108,6 +108,18 @@ def test_licences(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_each_rule_matches_its_own_text(spark):
+    cut = r"(?<=[.!?;:])[ \t\r\n\f]+"
+    assert all(len(re.split(cut, s)) == 1 for all_of in licenses.PIECES.values() for s in all_of)
+    texts = [(licence, "\n".join(licenses.PIECES[x][0] for x in rule)) for licence, rule in licenses.PIECE_RULES]
+    gpl = "# This program is free software{} you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation{} "
+    later = "either version {} of the License, or\n# (at your option) any later version.\n"
+    texts += [("GPL-3.0-or-later", gpl.format(":", ",") + later.format(3)), ("GPL-2.0-or-later", gpl.format(";", ";") + later.format(2))]
+    texts += [("GPL-2.0", gpl.format(";", ";") + "version 2 of the License.\n"), ("", gpl.format(";", ";") + "some version.")]
+    got = licenses.scan_licenses(spark.createDataFrame([(k, t, None, "x") for k, (_, t) in enumerate(texts)], DOCS)).collect()
+    assert [",".join(r.licences) for r in sorted(got)] == [x for x, _ in texts]
+
+
 def test_rights_reserved_over_two_lines(spark):
     texts = ["All rights\nreserved.", "ALL-RIGHTS-RESERVED", "All  rights   reserved", "rights reserved"]
     got = licenses.scan_licenses(spark.createDataFrame([(k, t, None, "x") for k, t in enumerate(texts)], DOCS)).collect()
