@@ -11,7 +11,7 @@ shuffle by anchor key.
 A key that is frequent in a batch even after that is marked hot. Its windows are then dealt out by the window itself, for
 every batch, in a second (normally tiny) shuffle, so no task gathers one key's rows.
 
-A window is known by 104 hash bits (64 of its anchor, 40 of its own); windows are judged on the input.
+A window is known by 128 hash bits (64 of its anchor, 64 of its own, so windows under one anchor are told apart by 64); windows are judged on the input.
 Words are runs of other than ASCII white space, unchanged. Hashing is numpy over whole batches.
 
 Defined cases: null text has no words; a null doc_id is neither judged nor a reference; rows with equal doc_id don't judge each
@@ -30,7 +30,7 @@ from .common import materialise, ship, small_batches, tidied, worker_cache
 
 ship(__name__)
 
-WINDOW, GRAM, HASH_BYTES = 50, 26, 5
+WINDOW, GRAM, HASH_BYTES = 50, 26, 8
 GROUP_BYTES, SEGMENT_WORDS, HOT_ROWS = 800_000, 150_000, 64
 MARK, COLD, FACTOR, HOT = 0, 1, 2, 3
 ROW = "key long, kind int, doc_id long, meta long, data binary"

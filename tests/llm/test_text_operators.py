@@ -176,3 +176,20 @@ def test_substring_dedup_against_every_window(spark, seed, monkeypatch):
     assert got == plain_cut(rows)
     assert sum(x[2] for x in got) > 0
     assert substring.dedup_substrings(df.limit(0)).count() == 0
+
+
+def test_windows_under_one_anchor_differ_by_all_64_bits(monkeypatch):
+    import pyarrow as pa
+    from lumisift.llm import substring
+
+    words = [f"w{k}" for k in range(49)]
+    real, rows, keys = substring.mixed, [], set()
+    for doc in (1, 2):  # one window each: its own hash differs from the other's above bit 40 only
+        own = np.array([(doc << 40) | 12345], dtype=np.uint64)
+        monkeypatch.setattr(substring, "mixed", lambda x, own=own: own if len(x) == 1 else real(x))
+        found = list(substring.texts_rows([(0, " ".join([*words, f"last{doc}"]).encode())], np.array([doc]), np.array([0])))
+        rows += found
+        keys |= {x for batch in found for x in batch.column(0).to_pylist()}
+    assert len(keys) == 1
+    table = pa.Table.from_batches(rows).combine_chunks().to_batches()
+    assert not [batch for batch in substring.resolve_rows(iter(table), True) if batch.num_rows]
