@@ -22,7 +22,7 @@ def best(doc, item, shift):
 def test_overlaps_against_every_alignment(spark):
     rng = random.Random(2)
     vocab = [f"w{k}" for k in range(300)]
-    items = [(k, " ".join(rng.choice(vocab) for _ in range(rng.choice([5, 12, 15, 40])))) for k in range(12)] + [(12, None), (13, ""), (3, "again " * 20)]
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(rng.choice([1, 2, 5, 9, 10, 12, 15, 40])))) for k in range(12)] + [(12, None), (13, ""), (3, "again " * 20)]
     docs = [(0, None), (1, ""), (2, "short"), (3, "again " * 30)]
     for k in range(4, 60):
         words = [rng.choice(vocab) for _ in range(rng.randrange(5, 60))]
@@ -36,22 +36,18 @@ def test_overlaps_against_every_alignment(spark):
         docs.append((k, ", ".join(words).upper() if k % 2 else " ".join(words)))
     docs += docs[-3:]
     tokens = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    want, missed = {}, 0
+    want = {}
     for d, text in docs:
         for k, item in items:
             a, b = tokens(text), tokens(item)
-            if len(b) < decontam.SPAN:
-                continue
             top = max((best(a, b, s) for s in range(-len(b), len(a) + 1)), default=0)
-            if top >= decontam.SCORE:
+            if b and top >= min(decontam.SCORE, len(b)):
                 want[d, k] = max(top, want.get((d, k), 0))
     df = spark.createDataFrame([(d, t, None, "x") for d, t in docs], DOCS)
     bench = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, score string")
     for limit in (500_000, 1):  # broadcast, and not
         got = {(r.doc_id, r.item_id): r.score for r in decontam.overlaps(df, bench, broadcast_rows=limit).collect()}
-        assert all(want[k] == v for k, v in got.items())
-        missed = [k for k in want if k not in got]
-        assert len(missed) <= 0.1 * len(want) and len(got) > 10  # a stretch may lie where no mask fits
+        assert got == want and len(got) > 10
     for limit in (500_000, 1):
         kept = {r.doc_id for r in decontam.decontaminate(df, bench, limit).collect()}
         assert kept == {d for d, _ in docs} - {d for d, _ in got}
@@ -83,7 +79,15 @@ def test_no_stretch_is_without_a_seed(spark):
     items = [(10, " ".join(words[:10])), (11, " ".join(words[:11])), (60, " ".join(words)), (9, " ".join(words[:9]))]
     docs = [(0, " ".join(["a", *words[:10], "b"]), None, None), (1, " ".join(["a", *words[:11], "b"]), None, None), (2, " ".join(fifth), None, None)]
     got = decontam.overlaps(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
-    assert {(r.doc_id, r.item_id): r.score for r in got.collect()} == {(0, 10): 10, (0, 11): 10, (0, 60): 10, (1, 10): 10, (1, 11): 11, (1, 60): 11, (2, 60): 26}
+    assert {(r.doc_id, r.item_id): r.score for r in got.collect()} == {(0, 10): 10, (0, 11): 10, (0, 60): 10, (1, 10): 10, (1, 11): 11, (1, 60): 11, (2, 60): 26, (0, 9): 9, (1, 9): 9}
+
+
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_texts_that_repeat_themselves(spark, limit):
+    docs = [(1, "again " * 20_000, None, None), (2, "ha ho " * 10_000, None, None), (3, "x " * 30 + "again " * 19 + "y", None, None), (4, "ho ha " * 8, None, None)]
+    items = [(1, "again " * 20), (2, "ha ho " * 12), (3, "again"), (4, "again " * 9), (5, "x again again")]
+    got = decontam.overlaps(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=limit)
+    assert {(r.doc_id, r.item_id): r.score for r in got.collect()} == {(1, 1): 20, (1, 3): 1, (1, 4): 9, (2, 2): 24, (3, 1): 19, (3, 3): 1, (3, 4): 9, (3, 5): 3, (4, 2): 16}
 
 
 def test_clean_namesakes_of_a_leak_stay(spark):
