@@ -122,10 +122,9 @@ def _op3_sql() -> str:
     def matched(column: str) -> tuple[list[str], str]:
         rest, found = f"list_aggregate(list_transform({column}, lambda x: '<' || x || '>'), 'string_agg', '')", []
         steps = [f"coalesce({rest}, '') AS r0"]
-        for k, (_, rule) in enumerate(licenses.RULES):
-            steps.append(f"replace(r{k}, {_quoted(''.join(f'<{x}>' for x in rule))}, '|') AS r{k + 1}")
         for k, (licence, rule) in enumerate(licenses.RULES):
-            found.append(f"CASE WHEN contains(r{k}, {_quoted(''.join(f'<{x}>' for x in rule))}) THEN {_quoted(licence)} END")
+            steps.append(f"replace(r{k}, {_quoted(licenses.said(rule))}, '|') AS r{k + 1}")
+            found.append(f"CASE WHEN contains(r{k}, {_quoted(licenses.said(rule))}) THEN {_quoted(licence)} END")
         return steps, "[" + ", ".join(found) + "]"
 
     steps, found = matched("ids")
@@ -137,7 +136,7 @@ def _op3_sql() -> str:
     folded = r"translate(regexp_replace(text, '\n[ \t\r\n]*\n', chr(1), 'g'), chr(10) || chr(1), ' ' || chr(10))"
     return f"""
 WITH names(sentence, id) AS (VALUES {names}),
-texts AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
+texts AS (SELECT row_number() OVER () AS row_no, doc_id, regexp_replace(coalesce(text, ''), '({licenses.TAG}):[ \t]*', '\\1 ', 'gi') AS text FROM documents),
 views AS (
   SELECT row_no, doc_id, 1 AS view, {cut.format("text")} AS ss FROM texts
   UNION ALL SELECT row_no, doc_id, 2, {cut.format(folded)} FROM texts),
