@@ -1,25 +1,29 @@
 """Approximate nearest neighbours by largest inner product: a hierarchical k-means tree, searched best bin first.
 
 Inner products become distances by one more component, sqrt(longest**2 - |x|**2), zero for queries (Bachrach et al., RecSys 2014).
-A tree of `branching` k-means clusters at each level is fitted on a bounded sample (SAMPLE vectors, taken in the order of a hash) and
-broadcast: its size is bounded by the sample's. Every vector is indexed in the leaf it descends to. A query walks the tree with a
-priority queue of bins by distance to their centre and visits leaves in the order they come out.
+A tree of `branching` k-means clusters at each level is fitted on a bounded sample (SAMPLE vectors, taken in the order of a hash) on the
+driver. Where the table has more than LEAF_SIZE vectors a leaf, each leaf is parted further, on executors and on a bounded sample of
+its own vectors, so that leaves keep their size up to MAX_LEAVES of them; this bounds what is collected and broadcast. Every vector is indexed
+in the leaf it descends to. A query walks the tree with a priority queue of bins, by the inner product with the bin's centre and
+REACH deviations of the bin along the query, and visits leaves in the order they come out.
 
 How many leaves: CALIBRATION queries (a bounded set, in the order of a hash) are answered exactly by a scan; the visits are
 widened until the leaves seen hold at least `recall` of their true neighbours.
 
-A leaf is stored in blocks of at most BLOCK vectors, dealt to tasks by (leaf, block), so a frequent vector fills blocks and not
-a task; queries of a leaf are blocked too. Blocks are matched as matrices; what may be among the k best is scored again in
-double precision, adding components in order, so equal vectors tie exactly.
+Leaves next to each other in the tree are stored together, in groups of about BLOCK vectors; a leaf that is larger fills several blocks of a
+group of its own, so a frequent vector fills blocks and not a task. A query goes once to each group in which it visits leaves, with the
+list of them; queries of a group are blocked too. Blocks are matched as matrices, and what lies in leaves that a query does not visit is
+left out; what may be among the k best is scored again in double precision, adding components in order, so equal vectors tie exactly.
 
 Defined cases: vectors null, empty, zero, of another length than most, or with null or non-finite components take no part; fewer
-candidates than k give all of them (if all leaves are visited); repeated ids are candidates each; a row is no candidate of a
-query with its own id; an empty table gives no rows.
+candidates than k give all of them (visits go on until the leaves hold more than k); repeated ids are candidates each, but ask once, with the
+vector whose bytes come first; a row is no candidate of a query with its own id; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,75 +35,114 @@ from .common import Shared, materialise, ship, small_batches, tidied
 
 ship(__name__)
 
-SAMPLE, BRANCHING, LEAF_SAMPLE, CALIBRATION, RECALL, BLOCK, QUERY_BLOCK = 20_000, 8, 64, 200, 0.95, 2048, 512
+SAMPLE, BRANCHING, LEAF_SAMPLE, CALIBRATION, RECALL, BLOCK, QUERY_BLOCK = 20_000, 8, 24, 200, 0.95, 4096, 512
+LEAF_SIZE, MAX_LEAVES, REACH = 64, 100_000, 2.5
 
 
-class Tree:
-    """Nodes of a hierarchical k-means tree: centres, and the children or the leaf number of each."""
+def grown(points: np.ndarray, branching: int = BRANCHING, least: int = LEAF_SAMPLE, seed: int = 7) -> tuple:
+    """A tree of k-means clusters as nested (centre, spread, children); clusters of at most `least` points have none."""
+    rng = np.random.default_rng(seed)
 
-    def __init__(self, points: np.ndarray, branching: int = BRANCHING, least: int = LEAF_SAMPLE, seed: int = 7):
-        self.centres, self.children, self.leaf, self.leaves = [points.mean(axis=0)], [[]], [-1], 0
-        rng = np.random.default_rng(seed)
-        todo = [(0, points)]
-        while todo:
-            node, own = todo.pop()
-            parts = [] if len(own) <= least else kmeans(own, branching, rng)
-            if len(parts) < 2:
-                self.leaf[node] = self.leaves
+    def node(own: np.ndarray) -> tuple:
+        centre = own.mean(axis=0)
+        spread = float(np.sqrt(((own - centre) ** 2).mean()))
+        parts = [] if len(own) <= least else kmeans(own, branching, rng)
+        return centre, spread, [node(own[rows]) for rows in parts] if len(parts) > 1 else []
+
+    return node(points)
+
+
+def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmin((centres**2).sum(axis=1)[None, :] - 2 * points @ centres.T, axis=1)
+
+
+def kmeans(points: np.ndarray, k: int, rng, rounds: int = 8) -> list[np.ndarray]:
+    """Rows of the clusters that are not empty; less than two if the points can't be parted."""
+    centres = np.unique(points[rng.choice(len(points), min(k, len(points)), replace=False)], axis=0)
+    for _ in range(rounds):
+        own = nearest(points, centres)
+        centres = np.array([points[own == j].mean(axis=0) for j in range(len(centres)) if (own == j).any()])
+    own = nearest(points, centres)
+    return [np.flatnonzero(own == j) for j in range(len(centres)) if (own == j).any()]
+
+
+class Tree:
+    """A grown tree as arrays. Children of a node stand together; leaves are numbered from left to right, so neighbours are alike."""
+
+    def __init__(self, root: tuple):
+        self.root, self.leaves = root, 0
+        centres, spread, self.first, self.count, self.leaf, todo = [root[0]], [root[1]], [0], [0], [-1], [(0, root)]
+        while todo:  # depth first, so that leaves come out from left to right
+            at, (_, _, children) = todo.pop()
+            if not children:
+                self.leaf[at] = self.leaves
                 self.leaves += 1
                 continue
-            for centre, rows in parts:
-                self.centres.append(centre), self.children.append([]), self.leaf.append(-1)
-                self.children[node].append(len(self.centres) - 1)
-                todo.append((len(self.centres) - 1, own[rows]))
-        self.centres = np.array(self.centres)
+            self.first[at], self.count[at] = len(centres), len(children)
+            for child in children:
+                centres.append(child[0]), spread.append(child[1]), self.first.append(0), self.count.append(0), self.leaf.append(-1)
+            todo += [(self.first[at] + k, child) for k, child in reversed(list(enumerate(children)))]
+        self.centres, self.spread = np.array(centres, dtype=np.float64), np.array(spread)
+
+    def __reduce__(self):
+        return Tree, (self.root,)
+
+    def grafted(self, parts: dict[int, tuple]) -> "Tree":
+        """The tree with other nodes in place of some leaves."""
+        at = -1
+
+        def node(old: tuple) -> tuple:
+            nonlocal at
+            if old[2]:
+                return old[0], old[1], [node(child) for child in old[2]]
+            at += 1
+            new = parts.get(at)
+            return (old[0], old[1], new[2]) if new else old
+
+        return Tree(node(self.root))
 
     def place(self, points: np.ndarray) -> np.ndarray:
         """The leaf that each point descends to."""
-        out = np.zeros(len(points), dtype=np.int32)
-        todo = [(0, np.arange(len(points)))]
+        out, todo = np.zeros(len(points), dtype=np.int32), [(0, np.arange(len(points)))]
         while todo:
-            node, rows = todo.pop()
-            if not self.children[node]:
-                out[rows] = self.leaf[node]
+            at, rows = todo.pop()
+            if not self.count[at]:
+                out[rows] = self.leaf[at]
             elif len(rows):
-                near = nearest(points[rows], self.centres[self.children[node]])
-                todo += [(child, rows[near == k]) for k, child in enumerate(self.children[node])]
+                children = range(self.first[at], self.first[at] + self.count[at])
+                near = nearest(points[rows], self.centres[children.start : children.stop])
+                todo += [(child, rows[near == k]) for k, child in enumerate(children)]
         return out
 
-    def visits(self, query: np.ndarray, most: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+    def promise(self, queries: np.ndarray) -> np.ndarray:
+        """(queries, nodes): how large an inner product a bin may hold."""
+        width = queries.shape[1]
+        return queries @ self.centres[:, :width].T + REACH * np.sqrt((queries**2).sum(axis=1))[:, None] * self.spread[None, :]
+
+    def visits(self, promise: np.ndarray, most: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
         """Leaves in the order in which a priority queue of bins yields them: `most`, and on until they hold `least` vectors."""
-        queue, out, seen = [(0.0, 0)], [], 0
+        away = (-promise).tolist()
+        queue, out, seen = [(away[0], 0)], [], 0
         while queue and (len(out) < most or seen < least):
-            _, node = heapq.heappop(queue)
-            if not self.children[node]:
-                out.append(self.leaf[node])
-                seen += least if held is None else held[self.leaf[node]]
+            at = heapq.heappop(queue)[1]
+            if not self.count[at]:
+                out.append(self.leaf[at])
+                seen += least if held is None else held[self.leaf[at]]
                 continue
-            away = ((self.centres[self.children[node]] - query) ** 2).sum(axis=1)
-            for d, child in zip(away.tolist(), self.children[node]):
-                heapq.heappush(queue, (d, child))
+            for child in range(self.first[at], self.first[at] + self.count[at]):
+                heapq.heappush(queue, (away[child], child))
         return out
 
+    def walks(self, queries: np.ndarray, most: int, held: np.ndarray | None = None, least: int = 0) -> Iterator[list[int]]:
+        step = max(1, 2_000_000 // len(self.centres))
+        for at in range(0, len(queries), step):
+            for promise in self.promise(queries[at : at + step]):
+                yield self.visits(promise, most, held, least)
 
-def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.argmin((centres**2).sum(axis=1)[None, :] - 2 * points @ centres.T, axis=1)
 
-
-def kmeans(points: np.ndarray, k: int, rng, rounds: int = 8) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(centre, rows) of the clusters that are not empty; less than two if the points can't be parted."""
-    centres = np.unique(points[rng.choice(len(points), min(k, len(points)), replace=False)], axis=0)
-    for _ in range(rounds):
-        own = nearest(points, centres)
-        centres = np.array([points[own == j].mean(axis=0) for j in range(len(centres)) if (own == j).any()])
-    own = nearest(points, centres)
-    return [(centres[j], np.flatnonzero(own == j)) for j in range(len(centres)) if (own == j).any()]
-
-
-def lifted(x: np.ndarray, longest: float | None) -> np.ndarray:
-    """Vectors with the component that makes inner products distances; none for queries (longest is None)."""
-    more = np.zeros(len(x)) if longest is None else np.sqrt(np.maximum(0.0, longest**2 - (x**2).sum(axis=1)))
-    return np.concatenate([x, more[:, None]], axis=1)
+def lifted(x: np.ndarray, longest: float) -> np.ndarray:
+    """Vectors with the component that makes inner products distances."""
+    return np.concatenate([x, np.sqrt(np.maximum(0.0, longest**2 - (x**2).sum(axis=1)))[:, None]], axis=1)
 
 
 def in_order(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -110,17 +153,19 @@ def in_order(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vector row, score) of the k best of a block for each query, ties to smaller ids."""
+def best_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vector row, score) of the k best of a block for each query, ties to smaller ids. seen: which vectors count for which query."""
     rough = queries @ vectors.T
-    own = query_ids[:, None] == ids[None, :]
-    rough[own] = -np.inf
+    out = query_ids[:, None] == ids[None, :]
+    if seen is not None:
+        out |= ~seen
+    rough[out] = -np.inf
     if vectors.shape[0] > k:
         edge = -np.partition(-rough, k - 1, axis=1)[:, k - 1]
-        slack = 1e-9 * (1 + np.abs(rough[np.isfinite(rough)]).max(initial=0))
-        maybe = (rough >= (edge - slack)[:, None]) & ~own
+        slack = 1e-9 * (1 + np.abs(rough[~out]).max(initial=0))
+        maybe = (rough >= (edge - slack)[:, None]) & ~out
     else:
-        maybe = ~own
+        maybe = ~out
     q, v = np.nonzero(maybe)
     score = in_order(queries[q], vectors[v])
     order = np.lexsort((ids[v], -score, q))
@@ -130,6 +175,11 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids
     return q[keep], v[keep], score[keep]
 
 
+def rows_of(column, width: int) -> np.ndarray:
+    """A list column as a matrix."""
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, width)
+
+
 def matrix(column, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(-1, width)
 
@@ -146,7 +196,7 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> tuple[Data
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", recall: float = RECALL, sample: int = SAMPLE, calibration: int = CALIBRATION) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row for which is_query(id) holds, among all others."""
+    """query_id, rank, vec_id, score: the k nearest found of each id for which is_query(id) holds, among all others."""
     spark = vectors.sparkSession
     small_batches(spark)
     schema = "query_id long, rank int, vec_id long, score double"
@@ -156,88 +206,129 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id",
     by_hash = F.xxhash64(F.lit(2), "id")
     count, asking, longest = good.select(is_query(F.col("id")).alias("q"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("n")).agg(F.count("*"), F.count_if("q"), F.sqrt(F.max("n"))).first()
 
-    def few(rows: DataFrame, of: int, n: int) -> DataFrame:
-        """About the n first by hash, sorted out of no more than a few times as many."""
-        edge = int(-(2**63) + 2**64 * min(1.0, 1.5 * n / max(1, of)))
-        return rows.withColumn("h", by_hash).where(F.col("h") <= F.lit(min(edge, 2**63 - 1))).orderBy("h", "id", "v").limit(n)
+    def some(rows: DataFrame, share: float) -> DataFrame:
+        """About a share of the rows, by hash."""
+        return rows.withColumn("h", by_hash).where(F.col("h") <= F.lit(min(int(-(2**63) + 2**64 * min(1.0, share)), 2**63 - 1)))
+
+    def few(rows: DataFrame, of: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and vectors of about the n first by hash, sorted out of no more than a few times as many."""
+        got = some(rows, 1.5 * n / max(1, of)).orderBy("h", "id", "v").limit(n).select("id", "v").toArrow()
+        return got.column(0).to_numpy(), rows_of(got.column(1).combine_chunks(), width)
 
-    fitted = np.array([r.v for r in few(good, count, sample).collect()])
-    tree = Tree(lifted(fitted, longest))
-    tests = few(good.where(is_query(F.col("id"))), asking, calibration).collect()
-    if not tests:
+    tree = Tree(grown(lifted(few(good, count, sample)[1], longest)))
+    test_ids, tests = few(good.where(is_query(F.col("id"))), asking, calibration)
+    if not len(tests):
         return spark.createDataFrame([], schema)
-    shared = Shared(spark, "ann", (tree, np.array([r.id for r in tests]), np.array([r.v for r in tests])))
 
-    def index(batches: Iterator):
-        import pyarrow as pa
+    def index(shared: Shared):
+        def run(batches: Iterator):
+            import pyarrow as pa
 
-        tree = shared.value[0]
-        for batch in batches:
-            x = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, width)
-            leaf = tree.place(lifted(x, longest)) if len(x) else np.zeros(0, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(leaf, pa.int32()), pa.array([r.tobytes() for r in x.astype("<f8")], pa.binary())], names=["id", "leaf", "x"])
+            tree = shared.value
+            for batch in batches:
+                x = rows_of(batch.column(1), width)
+                leaf = tree.place(lifted(x, longest)) if len(x) else np.zeros(0, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(leaf, pa.int32()), pa.array([r.tobytes() for r in x.astype("<f8")], pa.binary())], names=["id", "leaf", "x"])
+
+        return tidied(run)
 
-    indexed = materialise(good.mapInArrow(tidied(index), "id long, leaf int, x binary"), "ann")
+    wanted = min(count // LEAF_SIZE, MAX_LEAVES)
+    if wanted > tree.leaves:  # part each leaf of the sample's tree on its own vectors
+        each = LEAF_SAMPLE * -(-wanted // tree.leaves)
+
+        def fit(group):
+            import pyarrow as pa
+
+            root = grown(lifted(matrix(group.column("x"), width), longest).astype(np.float32))
+            return pa.table({"leaf": group.column("leaf")[:1], "part": pa.array([pickle.dumps(root)], pa.binary())})
+
+        inside = some(good, 3 * each * tree.leaves / count).select("id", "v").mapInArrow(index(Shared(spark, "ann", tree)), "id long, leaf int, x binary")
+        first = W.partitionBy("leaf").orderBy(F.xxhash64(F.lit(3), "id"), "x")
+        bounded = inside.withColumn("k", F.row_number().over(first)).where(F.col("k") <= each).select("leaf", "x")
+        fitted = bounded.groupBy("leaf").applyInArrow(fit, "leaf int, part binary").collect()  # bounded by MAX_LEAVES
+        tree = tree.grafted({r.leaf: pickle.loads(r.part) for r in fitted})
+
+    shared = Shared(spark, "ann", tree)
+    indexed = materialise(good.mapInArrow(index(shared), "id long, leaf int, x binary"), "ann")
+    asked_first = Shared(spark, "ann-tests", (test_ids, tests))
 
     def exact(batches: Iterator):
         import pyarrow as pa
 
-        _, ids, queries = shared.value
+        ids, queries = asked_first.value
         for batch in batches:
             if batch.num_rows:
                 own = batch.column(0).to_numpy()
                 q, v, score = best_of(queries, ids, matrix(batch.column(2), width), own, k)
                 yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(own[v]), pa.array(batch.column(1).to_numpy()[v]), pa.array(score)], names=["q", "id", "leaf", "score"])
 
-    each = W.partitionBy("q").orderBy(F.desc("score"), "id")
+    each_test = W.partitionBy("q").orderBy(F.desc("score"), "id")
     true: dict[int, list[int]] = {}
-    for r in indexed.mapInArrow(tidied(exact), "q int, id long, leaf int, score double").withColumn("k", F.row_number().over(each)).where(F.col("k") <= k).collect():
+    for r in indexed.mapInArrow(tidied(exact), "q int, id long, leaf int, score double").withColumn("k", F.row_number().over(each_test)).where(F.col("k") <= k).collect():
         true.setdefault(r.q, []).append(r.leaf)
     found = np.zeros(tree.leaves + 1)
-    for q, leaves in true.items():
-        seen = {leaf: n + 1 for n, leaf in enumerate(tree.visits(lifted(np.array([tests[q].v]), None)[0], tree.leaves))}
-        np.add.at(found, [seen[x] for x in leaves], 1)
+    for q, leaves in enumerate(tree.walks(tests, tree.leaves)):
+        place = np.zeros(tree.leaves, dtype=np.int64)
+        place[leaves] = np.arange(1, len(leaves) + 1)
+        np.add.at(found, place[true.get(q, [])], 1)
     share = np.cumsum(found) / max(1, found.sum())
     most = min(tree.leaves, max(1, int(np.searchsorted(share, recall - 1e-12))))
     held = np.zeros(tree.leaves, dtype=np.int64)
     for r in indexed.groupBy("leaf").count().collect():  # a row a leaf
         held[r.leaf] = r["count"]
-    filled = Shared(spark, "ann-sizes", held)
+    large = held > BLOCK
+    start = np.cumsum(np.where(large, 0, held)) // BLOCK
+    # a large leaf is a group of its own, so are the leaves between two of them that fall into one block
+    group = np.cumsum(np.concatenate(([0], (np.diff(start) > 0) | large[1:] | large[:-1])))
+    blocks = np.ones(int(group[-1]) + 1, dtype=np.int64)
+    blocks[group[large]] = -(-held[large] // BLOCK)
+    laid = Shared(spark, "ann-laid", (held, group))
 
     def walk(batches: Iterator):
         import pyarrow as pa
 
-        tree = shared.value[0]
-        for batch in batches:
-            x = lifted(matrix(batch.column(1), width), None) if batch.num_rows else np.zeros((0, width + 1))
-            leaves = [tree.visits(q, most, filled.value, k + 1) for q in x]
-            at = np.repeat(np.arange(len(x)), [len(y) for y in leaves])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate(leaves).astype(np.int32) if leaves else np.zeros(0, dtype=np.int32)), batch.column(1).take(pa.array(at))], names=["query_id", "leaf", "q"])
-
-    # blocks: rows of a leaf by hash, as many blocks as keep each near its size; one row a leaf is counted
-    sizes = indexed.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    stored = indexed.join(F.broadcast(sizes), "leaf").select("leaf", F.pmod(F.xxhash64("id", F.lit(3)), "blocks").cast("int").alias("block"), "id", "x", "blocks")
-    asked = indexed.where(is_query(F.col("id"))).select("id", "x").mapInArrow(tidied(walk), "query_id long, leaf int, q binary")
-    asks = asked.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("int").alias("groups"))
-    both = sizes.join(asks, "leaf")
-    left = stored.drop("blocks").join(F.broadcast(both.select("leaf", "groups")), "leaf").select("leaf", "block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), "id", "x")
-    right = asked.join(F.broadcast(both), "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id", F.lit(5)), "groups").cast("int").alias("part"), "query_id", "q")
+        tree, (held, group) = shared.value, laid.value
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+            at, groups, leaves = [], [], []
+            for row, visited in enumerate(tree.walks(matrix(batch.column(1), width), most, held, k + 1)):
+                visited = np.sort(np.array(visited, dtype=np.int32))
+                own = group[visited]
+                cuts = np.flatnonzero(np.diff(own)) + 1
+                at += [row] * (len(cuts) + 1)
+                groups += own[np.concatenate(([0], cuts))].tolist()
+                leaves += np.split(visited, cuts)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(groups, pa.int32()), pa.array([x.tobytes() for x in leaves], pa.binary()), batch.column(1).take(pa.array(at))], names=["query_id", "grp", "leaves", "q"])
+
+    dealt = max(spark.sparkContext.defaultParallelism, asking // 4096)  # walks are long and rows short, so partitions go by number
+    queries = indexed.where(is_query(F.col("id"))).select("id", "x").repartition(dealt, "id").groupBy("id").agg(F.min("x").alias("x"))
+    asked = materialise(queries.mapInArrow(tidied(walk), "query_id long, grp int, leaves binary, q binary"), "ann-asked")
+    places = spark.createDataFrame([(leaf, int(group[leaf]), int(blocks[group[leaf]])) for leaf in range(tree.leaves) if held[leaf]], "leaf int, grp int, blocks int")  # MAX_LEAVES bounds it
+    asks = asked.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("int").alias("groups"))  # a row a group
+    both = places.select("grp", "blocks").distinct().join(F.broadcast(asks), "grp")
+    stored = indexed.join(F.broadcast(places.join(F.broadcast(asks), "grp")), "leaf").select("grp", F.pmod(F.xxhash64("id", "x"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), "leaf", "id", "x")
+    sent = asked.join(F.broadcast(both), "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id", F.lit(5)), "groups").cast("int").alias("part"), "query_id", "leaves", "q")
 
     def match(_, stored, asked):
         import pyarrow as pa
 
         if not stored.num_rows or not asked.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids, query_ids = stored.column("id").to_numpy(), asked.column("query_id").to_numpy()
+        ids, query_ids, leaf = stored.column("id").to_numpy(), asked.column("query_id").to_numpy(), stored.column("leaf").to_numpy()
         vectors, queries = matrix(stored.column("x"), width), matrix(asked.column("q"), width)
-        parts = []
+        visited = [np.frombuffer(x, dtype=np.int32) for x in asked.column("leaves").to_pylist()]
+        low, parts = int(leaf.min()), []
         for at in range(0, len(queries), 128):
-            q, v, score = best_of(queries[at : at + 128], query_ids[at : at + 128], vectors, ids, k)
+            own = visited[at : at + 128]
+            seen = np.zeros((len(own), int(leaf.max()) - low + 1), dtype=bool)
+            for row, leaves in enumerate(own):
+                near = leaves[(leaves >= low) & (leaves < low + seen.shape[1])]
+                seen[row, near - low] = True
+            q, v, score = best_of(queries[at : at + 128], query_ids[at : at + 128], vectors, ids, k, seen[:, leaf - low])
             parts.append((query_ids[at : at + 128][q], ids[v], score))
         a, b, c = (np.concatenate(x) for x in zip(*parts))
         return pa.table({"query_id": a, "vec_id": b, "score": c})
 
-    keys = ("leaf", "block", "part")
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(match, "query_id long, vec_id long, score double")
+    keys = ("grp", "block", "part")
+    met = stored.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(match, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
