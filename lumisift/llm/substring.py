@@ -2,20 +2,22 @@
 
 The reference is every document: its text is indexed by blocks, where a block is a run of windows (50 consecutive words) that share
 an anchor, the least 26-word hash among the 25 in a window. Equal windows pick equal anchors, so what a block can match
-lies under its anchor's key. A document is parsed greedily: at each word, the index gives the earliest document (smallest
-doc_id, then place) in which the window at that word starts; while the next window continues there on the same diagonal, the
-factor grows. A factor of 50 words or more becomes a duplicate span. Windows across factor boundaries are looked up like
-any other, so none is lost at a boundary. A document's repeats of itself are factors that refer to it. A factor found in one batch of documents is settled there; the rest meets in a
-shuffle by anchor key.
-
-A key that is frequent in a batch even after that is marked hot. Its windows are then dealt out by the window itself, for
-every batch, in a second (normally tiny) shuffle, so no task gathers one key's rows.
-
-A window is known by 128 hash bits (64 of its anchor, 64 of its own, so windows under one anchor are told apart by 64); windows are judged on the input.
+lies under its anchor's key. The index gives, for each window, the earliest document (smallest doc_id, then place) in which it starts; what
+continues there on the same diagonal is one match. A document is then parsed greedily from left to right: at each word the longest match
+that covers it is taken as a factor, and parsing goes on at the first matched window that the factor does not hold. That window
+may start before the factor's end, so words across a factor's boundary are looked up like any others and none is lost there. Factors have 50
+words or more and become duplicate spans; a document's repeats of itself are factors that refer to it.
+
+A match found in one group of texts is settled there, so a group gives a window once; the rest meets in a shuffle by anchor key. Blocks are
+counted by key beforehand, with partial sums: a key with HOT_ROWS or more is hot (the MOST_HOT largest, if there are more, which bounds the
+list that workers are given and the rows of any other key). Windows under hot keys are not dealt by key. They are spread evenly, and
+the earliest place of each is found by partial minima and joined back, a join in which Spark splits large keys; so no task gathers one key's rows.
+
+A window is known by 128 hash bits (64 of its anchor, 64 of its own); windows are judged on the input.
 Words are runs of other than ASCII white space, unchanged. Hashing is numpy over whole batches.
 
 Defined cases: null text has no words; a null doc_id is neither judged nor a reference; rows with equal doc_id don't judge each
-other; an empty table gives no rows; a text of fewer than 50 words is kept.
+other; other columns are ignored, whatever their names; an empty table gives no rows; a text of fewer than 50 words is kept.
 """
 
 from __future__ import annotations
@@ -26,13 +28,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, small_batches, tidied, worker_cache
+from .common import Shared, materialise, ship, small_batches, tidied, worker_cache
 
 ship(__name__)
 
 WINDOW, GRAM, HASH_BYTES = 50, 26, 8
-GROUP_BYTES, SEGMENT_WORDS, HOT_ROWS = 800_000, 150_000, 64
-MARK, COLD, FACTOR, HOT = 0, 1, 2, 3
+GROUP_BYTES, SEGMENT_WORDS, HOT_ROWS, MOST_HOT = 800_000, 150_000, 4096, 1_000_000
+COLD, FACTOR, HOT = 1, 2, 3
 ROW = "key long, kind int, doc_id long, meta long, data binary"
 _U = np.uint64
 
@@ -153,65 +155,71 @@ def factor_rows(row, doc, tag, at, ref_doc, ref_row, ref_at):
     return record(mixed(doc[first].view(_U) ^ meta.view(_U)), np.full(len(first), FACTOR), doc[first], meta, binary(np.arange(len(first) + 1) * 24, data))
 
 
-def group_rows(words: np.ndarray, doc_of: np.ndarray, place: np.ndarray, docs: np.ndarray, tags: np.ndarray) -> Iterator:
-    """Rows for one group: words' hashes, the document index and the place in it of each."""
+def windows_in(words: np.ndarray, doc_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where windows within one document start, the hashes of all runs of GRAM words, and which of them is each window's anchor."""
     n = len(words)
     if n < WINDOW:
-        return
+        return (np.zeros(0, dtype=np.int64),) * 3
     at = np.arange(n - WINDOW + 1)
     whole = at[doc_of[: n - WINDOW + 1] == doc_of[WINDOW - 1 :]]
-    if not len(whole):
-        return
     every = np.arange(n - GRAM + 1)
     grams = mixed(span_hashes(words, every, every + GRAM, WORD_BASE))
-    anchor = anchors(grams)[whole]
+    return whole, grams, anchors(grams)[whole]
+
+
+def block_counts(words: np.ndarray, doc_of: np.ndarray, *_) -> Iterator:
+    """(key, blocks) of one group, before anything is settled."""
+    import pyarrow as pa
+
+    whole, grams, anchor = windows_in(words, doc_of)
+    if len(whole):
+        begins = np.concatenate(([True], (np.diff(anchor) != 0) | (np.diff(whole) != 1)))
+        keys, n = np.unique(grams[anchor[begins]], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+
+def group_rows(words: np.ndarray, doc_of: np.ndarray, place: np.ndarray, docs: np.ndarray, tags: np.ndarray, hot: np.ndarray) -> Iterator:
+    """Rows for one group: words' hashes, the document index and the place in it of each. hot: sorted keys."""
+    whole, grams, anchor = windows_in(words, doc_of)
+    if not len(whole):
+        return
     own = mixed(span_hashes(words, whole, whole + WINDOW, WORD_BASE) ^ _U(0x5851F42D4C957F2D))
     row = doc_of[whole]
     doc, tag, pos = docs[row], tags[row], place[whole]
     # settle what an earlier document of this group already has
     again, first = earliest((own,), doc, tag, pos)
+    key = grams[anchor]
+    alike = key == key[first]  # both hashes must agree
+    again &= alike
     if again.any():
         hit = np.flatnonzero(again)
         ref = first[hit]
         yield factor_rows(row[hit], doc[hit], tag[hit], pos[hit], doc[ref], row[ref], pos[ref])
     # a document's own repeats are looked up once: factors that refer to the document itself say what else that settles
-    own_repeat = ~again & (first != np.arange(len(first))) & (row[first] == row)
+    own_repeat = ~again & alike & (first != np.arange(len(first))) & (row[first] == row)
     if own_repeat.any():
         hit = np.flatnonzero(own_repeat)
         ref = first[hit]
         yield factor_rows(row[hit], doc[hit], tag[hit], pos[hit], doc[ref], row[ref], pos[ref])
     keep = ~(again | own_repeat)
-    whole, anchor, own, row, doc, tag, pos = whole[keep], anchor[keep], own[keep], row[keep], doc[keep], tag[keep], pos[keep]
-    if not len(whole):
+    if not keep.any():
         return
-    begins = np.flatnonzero(np.concatenate(([True], (np.diff(anchor) != 0) | (np.diff(whole) != 1))))
-    sizes = np.diff(np.concatenate((begins, [len(whole)])))
-    key = grams[anchor[begins]]
-    names, counts = np.unique(key, return_counts=True)
-    hot = names[counts >= HOT_ROWS]
-    data = own.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
-    if len(hot):
-        none = np.zeros(0, dtype=np.uint8)
-        zero = np.zeros(len(hot), dtype=np.int64)
-        yield record(hot, zero + MARK, zero, zero, binary(np.zeros(len(hot) + 1), none))
-        is_hot = np.isin(key, hot)
-        each = np.flatnonzero(np.repeat(is_hot, sizes))
-        yield hot_rows(np.repeat(key, sizes)[each], doc[each], (tag[each] << 32) | pos[each], data[each])
-        keep = ~np.repeat(is_hot, sizes)
-        data, begins, sizes, key = data[keep], begins[~is_hot], sizes[~is_hot], key[~is_hot]
-    if len(key):
-        yield record(key, np.full(len(key), COLD), doc[begins], (tag[begins] << 32) | pos[begins], binary(np.concatenate(([0], np.cumsum(sizes))) * HASH_BYTES, data))
-
-
-def hot_rows(key, doc, meta, data):
-    """Rows of single windows, dealt by the window."""
-    own = np.zeros((len(key), 8), dtype=np.uint8)
-    own[:, :HASH_BYTES] = data
-    return record(mixed(key ^ mixed(own.view(_U).ravel())), np.full(len(key), HOT), doc, meta, binary(np.arange(len(key) + 1) * HASH_BYTES, data))
-
-
-def index_rows(batches: Iterator) -> Iterator:
-    """doc_id, text, tag -> rows of ROW."""
+    whole, anchor, own, doc, tag, pos, key = (x[keep] for x in (whole, anchor, own, doc, tag, pos, key))
+    is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key if len(hot) else np.zeros(len(key), dtype=bool)
+    if is_hot.any():
+        where = (tag << 32) | pos
+        window = np.stack([key, own], axis=1)[is_hot]
+        yield record(mixed(own[is_hot] ^ mixed(doc[is_hot].view(_U) ^ where[is_hot].view(_U))), np.full(len(window), HOT), doc[is_hot], where[is_hot], binary(np.arange(len(window) + 1) * 16, window.view(np.uint8)))
+        whole, anchor, own, doc, tag, pos, key = (x[~is_hot] for x in (whole, anchor, own, doc, tag, pos, key))
+    if len(whole):
+        begins = np.flatnonzero(np.concatenate(([True], (np.diff(anchor) != 0) | (np.diff(whole) != 1))))
+        sizes = np.diff(np.concatenate((begins, [len(whole)])))
+        data = own.view(np.uint8).reshape(-1, 8)
+        yield record(key[begins], np.full(len(begins), COLD), doc[begins], (tag[begins] << 32) | pos[begins], binary(np.concatenate(([0], np.cumsum(sizes))) * HASH_BYTES, data))
+
+
+def index_rows(batches: Iterator, rows=group_rows, *more) -> Iterator:
+    """doc_id, text, tag -> what `rows` gives for each group of texts."""
     for batch in batches:
         ids, texts, tags = batch.column(0), batch.column(1), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
         known = np.array([x is not None for x in ids.to_pylist()], dtype=bool)
@@ -226,24 +234,24 @@ def index_rows(batches: Iterator) -> Iterator:
                 words = long_hashes(raw)
                 for s in range(0, max(1, len(words) - WINDOW + 1), SEGMENT_WORDS):
                     part = words[s : s + SEGMENT_WORDS + WINDOW - 1]
-                    yield from group_rows(part, np.zeros(len(part), dtype=np.int64), np.arange(s, s + len(part)), docs[k : k + 1], tags[k : k + 1])
+                    yield from rows(part, np.zeros(len(part), dtype=np.int64), np.arange(s, s + len(part)), docs[k : k + 1], tags[k : k + 1], *more)
                 continue
             group.append((k, raw))
             held += len(raw)
             if held >= GROUP_BYTES:
-                yield from texts_rows(group, docs, tags)
+                yield from texts_rows(group, docs, tags, rows, *more)
                 group, held = [], 0
         if group:
-            yield from texts_rows(group, docs, tags)
+            yield from texts_rows(group, docs, tags, rows, *more)
 
 
-def texts_rows(group: list, docs: np.ndarray, tags: np.ndarray) -> Iterator:
+def texts_rows(group: list, docs: np.ndarray, tags: np.ndarray, rows, *more) -> Iterator:
     words, starts = word_hashes(b"\n".join(raw for _, raw in group))
     edges = np.concatenate(([0], np.cumsum([len(raw) + 1 for _, raw in group])))
     doc_of = np.searchsorted(edges, starts, side="right") - 1
     begin = np.searchsorted(doc_of, np.arange(len(group)))
     at = np.array([k for k, _ in group])
-    yield from group_rows(words, doc_of, np.arange(len(words)) - begin[doc_of], docs[at], tags[at])
+    yield from rows(words, doc_of, np.arange(len(words)) - begin[doc_of], docs[at], tags[at], *more)
 
 
 class Held:
@@ -271,8 +279,8 @@ class Held:
         return Held(*(x[rows] for x in self.columns[:5]), self.data[np.repeat(rows, self.sizes)])
 
 
-def resolve_rows(batches: Iterator, last: bool) -> Iterator:
-    """Rows sorted by (key, kind): settled factors, and (unless last) the windows of hot keys, dealt by window."""
+def resolve_rows(batches: Iterator) -> Iterator:
+    """Rows sorted by key: settled factors and the windows of hot keys go on, the blocks under one key are resolved."""
     held: list[Held] = []  # whole batches of one key, which may go on in the next
     for batch in batches:
         if not batch.num_rows:
@@ -285,37 +293,23 @@ def resolve_rows(batches: Iterator, last: bool) -> Iterator:
             got = part + got
         done, rest = got.cut(int(np.searchsorted(got.key, got.key[-1])))
         held = [rest]
-        yield from resolved(done, last)
+        yield from resolved(done)
     if held:
         got = held[-1]
         for part in held[-2::-1]:
             got = part + got
-        yield from resolved(got, last)
-
-
-def resolved(rows: Held, last: bool) -> Iterator:
-    is_factor = rows.kind == FACTOR
-    if is_factor.any():
-        yield said(rows.take(is_factor))
-        rows = rows.take(~is_factor)
-    if not last:
-        onward = rows.kind == HOT
-        if onward.any():
-            yield said(rows.take(onward))
-        marked = np.unique(rows.key[rows.kind == MARK])
-        rows = rows.take(rows.kind == COLD)
-        if len(marked):
-            hot = np.isin(rows.key, marked)
-            if hot.any():
-                key, doc, meta, _, data = windows(rows.take(hot))
-                yield hot_rows(key.view(_U), doc, meta, data)
-                rows = rows.take(~hot)
+        yield from resolved(got)
+
+
+def resolved(rows: Held) -> Iterator:
+    onward = rows.kind != COLD
+    if onward.any():
+        yield said(rows.take(onward))
+        rows = rows.take(~onward)
     if not len(rows.key):
         return
     key, doc, meta, row, data = windows(rows)
-    own = np.zeros((len(key), 8), dtype=np.uint8)
-    own[:, :HASH_BYTES] = data
-    own = own.view(_U).ravel()
+    own = np.ascontiguousarray(data).view(_U).ravel()
     tag, at = meta >> 32, meta & 0xFFFFFFFF
     again, first = earliest((own, key), doc, tag, at)
     hit = np.flatnonzero(again)
@@ -336,18 +330,25 @@ def said(rows: Held):
     return record(rows.key.view(_U), rows.kind, rows.doc, rows.meta, binary(np.concatenate(([0], np.cumsum(rows.sizes))), rows.data))
 
 
-def factors(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, tag, at, n_words, ref_doc, ref_at: spans of 50 words or more that an earlier document has.
+def hot_keys(tagged: DataFrame) -> np.ndarray:
+    """The keys under which HOT_ROWS blocks or more stand, the MOST_HOT largest if there are more; sorted."""
+    counted = tagged.mapInArrow(tidied(lambda b: index_rows(b, block_counts)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = counted.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"), "key").limit(MOST_HOT).select("key").toArrow()
+    return np.sort(found.column(0).to_numpy().view(_U))
+
 
-    tag: a hash of the text, to tell rows of equal doc_id apart. Spans of a document may touch or overlap. Where ref_doc is the
-    document itself, the span repeats an earlier one of its own, and is a duplicate as far as that is.
+def matches(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, tag, at, n_words, ref_doc, ref_at: runs of 50 words or more that an earlier document has.
+
+    tag: a hash of the text, to tell rows of equal doc_id apart. Matches of a document may touch or overlap. Where ref_doc is the
+    document itself, the words repeat earlier ones of its own, and are duplicates as far as those are.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     tagged = docs.select("doc_id", "text", F.hash("text").bitwiseAND(0x7FFFFFFF).alias("tag"))
-    indexed = tagged.mapInArrow(tidied(index_rows), ROW)
-    once = materialise(indexed.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(tidied(lambda b: resolve_rows(b, False)), ROW), "substring")
-    hot = once.where(F.col("kind") == HOT).repartition("key").sortWithinPartitions("key", "kind").mapInArrow(tidied(lambda b: resolve_rows(b, True)), ROW)
-    whole = once.where(F.col("kind") == FACTOR).unionByName(hot)
+    hot = Shared(spark, "substring-hot", hot_keys(tagged))
+    indexed = tagged.mapInArrow(tidied(lambda b: index_rows(b, group_rows, hot.value)), ROW)
+    once = materialise(indexed.repartition("key").sortWithinPartitions("key").mapInArrow(tidied(resolve_rows), ROW), "substring")
 
     def decode(batches):
         import pyarrow as pa
@@ -357,29 +358,83 @@ def factors(docs: DataFrame) -> DataFrame:
             x = np.ascontiguousarray(rows.data).view("<i8").reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rows.doc, rows.meta >> 32, rows.meta & 0xFFFFFFFF, x[:, 0] + WINDOW - 1, x[:, 1].copy(), x[:, 2].copy())], names=["doc_id", "tag", "at", "n_words", "ref_doc", "ref_at"])
 
-    return whole.mapInArrow(tidied(decode), "doc_id long, tag long, at long, n_words long, ref_doc long, ref_at long")
+    settled = once.where(F.col("kind") == FACTOR).mapInArrow(tidied(decode), "doc_id long, tag long, at long, n_words long, ref_doc long, ref_at long")
+    if not len(hot.value):
+        return settled
+    windows = once.where(F.col("kind") == HOT).select(F.col("data").alias("window"), "doc_id", "meta")
+    # written, so that the join has an exchange on both sides and Spark can split a window that many groups have
+    first = materialise(windows.groupBy("window").agg(F.min(F.struct("doc_id", "meta")).alias("first")), "substring-first")
+    place = lambda c: F.col(c).bitwiseAND(0xFFFFFFFF)
+    again = windows.join(first, "window").where(F.col("doc_id") > F.col("first.doc_id"))
+    return settled.unionByName(again.select("doc_id", F.shiftright("meta", 32).alias("tag"), place("meta").alias("at"), F.lit(WINDOW).cast("long").alias("n_words"), F.col("first.doc_id").alias("ref_doc"), place("first.meta").alias("ref_at")))
+
+
+def parsed(found: list[dict], doc_id: int) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (at, n_words, ref_doc, ref_at) of a document from its matches; what repeats only the document itself is left out."""
+    runs: list[list[int]] = []  # of windows: first, last, ref_doc, where the first stands there
+    for at, n, ref, ref_at in sorted((x["at"], x["n_words"] - WINDOW + 1, x["ref_doc"], x["ref_at"]) for x in found):
+        runs.append([at, at + n - 1, ref, ref_at])
+    before = [r for r in runs if r[2] != doc_id]
+    if len(before) < len(runs):  # a repeat is a duplicate as far as what it repeats is
+        at, end, ref, ref_at = (np.array(x, dtype=np.int64) for x in zip(*before)) if before else (np.zeros(0, dtype=np.int64),) * 4
+        for first, last, _, own_at in (r for r in runs if r[2] == doc_id):
+            for k in np.flatnonzero((at <= own_at + last - first) & (end >= own_at)):
+                low, high = max(own_at, int(at[k])), min(own_at + last - first, int(end[k]))
+                before.append([first + low - own_at, first + high - own_at, int(ref[k]), int(ref_at[k]) + low - int(at[k])])
+    lines: dict[tuple[int, int], list[list[int]]] = {}  # by reference and diagonal, where runs that touch are one
+    for run in sorted(before):
+        line = lines.setdefault((run[2], run[3] - run[0]), [])
+        if line and run[0] <= line[-1][1] + 1:
+            line[-1][1] = max(line[-1][1], run[1])
+        else:
+            line.append(list(run))
+    todo, out, reached, best = sorted(r for line in lines.values() for r in line), [], -1, None
+    k = 0
+    while True:
+        while k < len(todo) and todo[k][0] <= reached + 1:  # of those that hold the next window, the longest
+            if best is None or todo[k][1] > best[1]:
+                best = todo[k]
+            k += 1
+        if best is not None and best[1] > reached:
+            start = max(best[0], reached + 1)
+            out.append((start, best[1] - start + WINDOW, best[2], best[3] + start - best[0]))
+            reached, best = best[1], None if k == len(todo) else best
+        elif k < len(todo):
+            reached, best = todo[k][0] - 1, None
+        else:
+            return out
+
+
+FACTORS = "array<struct<at:bigint,n_words:bigint,ref_doc:bigint,ref_at:bigint>>"
+
+
+def _factors(docs: DataFrame) -> DataFrame:
+    """doc_id, tag, factors, for the rows that have any."""
+    found = matches(docs).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n_words", "ref_doc", "ref_at")).alias("found")).where(F.exists("found", lambda s: s["ref_doc"] != F.col("doc_id")))
+
+    def run(batches):
+        import pyarrow as pa
+
+        kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("at", "n_words", "ref_doc", "ref_at")]))
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
+            each = [[dict(zip(("at", "n_words", "ref_doc", "ref_at"), x)) for x in parsed(f, d)] for d, f in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(each, kind)], names=["doc_id", "tag", "factors"])
+
+    return found.mapInArrow(tidied(run), f"doc_id long, tag long, factors {FACTORS}")
+
+
+def factors(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, tag, at, n_words, ref_doc, ref_at: the greedy factors of each document, in no order."""
+    return _factors(docs).select("doc_id", "tag", F.inline("factors"))
 
 
 def cut_text(text: str | None, spans) -> tuple[int, int, bytes]:
-    """Words of a text, words removed, and what is kept, joined by one space. spans: at, n_words, and ref_at of those within the text."""
+    """Words of a text, words removed, and what is kept, joined by one space. spans: at and n_words."""
     words = text.encode("utf-8").split() if text else []
-    if not spans:
-        return len(words), 0, b" ".join(words)
-    again = np.zeros(len(words), dtype=bool)  # windows that an earlier document has, by their first word
-    for span in spans:
-        if span["ref_at"] is None:
-            again[span["at"] : span["at"] + span["n_words"] - WINDOW + 1] = True
-    known = again.copy()
-    for span in spans:
-        if span["ref_at"] is not None:
-            n = span["n_words"] - WINDOW + 1
-            again[span["at"] : span["at"] + n] |= known[span["ref_at"] : span["ref_at"] + n]
-    edge = np.zeros(len(words) + WINDOW, dtype=np.int64)
-    at = np.flatnonzero(again)
-    edge[at] += 1
-    edge[at + WINDOW] -= 1
-    gone = np.cumsum(edge)[: len(words)] > 0
-    return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
+    gone = np.zeros(len(words), dtype=bool)
+    for span in spans or ():
+        gone[span["at"] : span["at"] + span["n_words"]] = True
+    return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if spans else words)
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
@@ -393,8 +448,7 @@ def dedup_digests(docs: DataFrame) -> DataFrame:
 
 
 def _cut(docs: DataFrame, digest: bool) -> DataFrame:
-    span = F.struct("at", "n_words", F.when(F.col("ref_doc") == F.col("doc_id"), F.col("ref_at")).alias("ref_at"))
-    spans = factors(docs).groupBy("doc_id", "tag").agg(F.collect_list(span).alias("spans")).where(F.exists("spans", lambda s: s["ref_at"].isNull()))
+    spans = _factors(docs).select("doc_id", "tag", F.transform("factors", lambda x: F.struct(x["at"].alias("at"), x["n_words"].alias("n_words"))).alias("spans"))
     tagged = docs.select("doc_id", "text", F.hash("text").bitwiseAND(0x7FFFFFFF).cast("long").alias("tag"))
 
     def run(batches):

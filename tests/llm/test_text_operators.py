@@ -154,10 +154,11 @@ def plain_cut(rows, window=50):
 def test_substring_dedup_against_every_window(spark, seed, monkeypatch):
     from lumisift.llm import substring
 
-    if seed == 2:  # small groups, so that hot keys and long texts take their own ways
+    if seed >= 2:  # small groups, so that hot keys and long texts take their own ways
         monkeypatch.setattr(substring, "GROUP_BYTES", 3000)
         monkeypatch.setattr(substring, "SEGMENT_WORDS", 70)
-        monkeypatch.setattr(substring, "HOT_ROWS", 3)
+        monkeypatch.setattr(substring, "HOT_ROWS", 3 if seed == 2 else 10)
+        monkeypatch.setattr(substring, "MOST_HOT", 5)
     rng = random.Random(seed)
     new = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
     passages = [new(rng.choice([49, 50, 51, 60, 90, 300])) for _ in range(8)] + [["x"] * 120, ["y", "z"] * 60, [*"abcdefghij"] * 12]
@@ -171,7 +172,7 @@ def test_substring_dedup_against_every_window(spark, seed, monkeypatch):
             parts += rng.choice([new(rng.randrange(0, 90)), p, p[rng.randrange(len(p)) :]])
         rows.append((rng.randrange(70), rng.choice([" ", "\n", " \t "]).join(parts)))
     rows += rows[-5:]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df = spark.createDataFrame([(*r, r[0], 1, "x") for r in rows], "doc_id long, text string, tag long, spans int, key string").repartition(3)
     got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup_digests(df).collect()), key=str)
     assert got == plain_cut(rows)
     assert sum(x[2] for x in got) > 0
@@ -187,9 +188,40 @@ def test_windows_under_one_anchor_differ_by_all_64_bits(monkeypatch):
     for doc in (1, 2):  # one window each: its own hash differs from the other's above bit 40 only
         own = np.array([(doc << 40) | 12345], dtype=np.uint64)
         monkeypatch.setattr(substring, "mixed", lambda x, own=own: own if len(x) == 1 else real(x))
-        found = list(substring.texts_rows([(0, " ".join([*words, f"last{doc}"]).encode())], np.array([doc]), np.array([0])))
+        found = list(substring.texts_rows([(0, " ".join([*words, f"last{doc}"]).encode())], np.array([doc]), np.array([0]), substring.group_rows, np.zeros(0, dtype=np.uint64)))
         rows += found
         keys |= {x for batch in found for x in batch.column(0).to_pylist()}
     assert len(keys) == 1
     table = pa.Table.from_batches(rows).combine_chunks().to_batches()
-    assert not [batch for batch in substring.resolve_rows(iter(table), True) if batch.num_rows]
+    assert not [batch for batch in substring.resolve_rows(iter(table)) if batch.num_rows]
+
+
+def test_a_passage_in_every_group_is_dealt_by_window(spark, monkeypatch):
+    """One boilerplate in each of 10,000 groups: no task of any stage has a large part of its rows."""
+    from lumisift.llm import substring
+
+    monkeypatch.setattr(substring, "GROUP_BYTES", 1)  # a text a group
+    monkeypatch.setattr(substring, "HOT_ROWS", 1000)
+    passage = " ".join(f"p{k}" for k in range(60))
+    df = spark.range(10_000).selectExpr("id AS doc_id", f"concat('a', id, ' {passage} ', 'z', id) AS text").repartition(8)
+    tagged = df.selectExpr("doc_id", "text", "hash(text) & 2147483647 AS tag")
+    hot = substring.hot_keys(tagged)
+    assert 1 <= len(hot) <= 35
+    rows = [b for batch in tagged.toArrow().to_batches() for b in substring.index_rows([batch], substring.group_rows, hot)]
+    by_kind = {}
+    for b in rows:
+        for key, kind in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            by_kind.setdefault(kind, {}).setdefault(key, []).append(1)
+    assert max(map(len, by_kind.get(substring.COLD, {0: []}).values())) < 1000
+    assert max(map(len, by_kind[substring.HOT].values())) <= 3  # spread, though each window stands there 10,000 times
+    got = substring.dedup_digests(df).groupBy("n_words", "n_removed").count().collect()
+    assert sorted(tuple(r) for r in got) == [(62, 0, 1), (62, 60, 9_999)]
+
+
+def test_factors_are_greedy_and_the_longest(spark):
+    from lumisift.llm import substring
+
+    a, b, c = ([f"{x}{k}" for k in range(100)] for x in "abc")
+    rows = [(1, " ".join(a + b)), (2, " ".join(b[:70] + c)), (3, " ".join(["new", *b, *c[:80], "end"])), (4, " ".join(a[:49]))]
+    found = sorted(tuple(r) for r in substring.factors(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "at", "n_words", "ref_doc", "ref_at").collect())
+    assert found == [(2, 0, 70, 1, 100), (3, 1, 100, 1, 100), (3, 101, 80, 2, 70)]
