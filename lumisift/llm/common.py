@@ -6,7 +6,8 @@ import sys
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumisift.shipping import ship
 
@@ -41,6 +42,16 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_ranges(df: DataFrame, order: list[Column], what: str, least: int = 1, each: int = 200_000) -> DataFrame:
+    """df, written, with `part`: the number of the range of the order in which a row lies, each of about `each` rows.
+
+    Ranges are cut at sampled rows, and written with them, as another run of the plan would cut elsewhere. An order without large ties
+    gives ranges of like size, so sums by range and then within each are running sums over all rows that no task gathers.
+    """
+    parts = max(least, -(-df.count() // each))
+    return materialise(df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), what)
+
+
 def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Bound what a Python worker is handed at once: Spark's own bound, 64 MB for each task and direction, is much for small executors.
 

@@ -6,11 +6,13 @@ source's documents, in a keyed order, are read round and round until the target
 the word where the target is reached. A taken copy sits at the training time at which its source's cumulative demand
 reaches the copy's middle, found by inverting the integral, and rows are range-sorted by that position.
 
-Running sums never need a source in one task: documents of a source are dealt by hash into BUCKETS ranges of the keyed
-order, whose sums (sources x BUCKETS rows) are accumulated first.
+Running sums never need a source in one task: documents are dealt into ranges of (source, keyed order), whose sums are
+accumulated first, a row a source and range. Rows that share a doc_id, null or not, are told apart by their text, and repeated rows by a
+number, so they spread over ranges like any others. The sources too are numbered by ranges, and the water level is found by rounds of sums.
 
 Defined cases: null text has size 0 and takes nothing; a null source is a source, last; null doc_ids count as rows;
-repeated rows are mixed each for itself; rows that tie in the keyed order are interchangeable; an empty table gives no rows.
+repeated rows are mixed each for itself, and are interchangeable; rows of one doc_id are taken by size, then by a hash of the text; other
+columns are ignored but for those in `carry`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,11 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import in_ranges, materialise
 
 #: Schedules of the sources by turns: (time, weight) knots from 0 to 1. Their integrals are 5, 2 and 1.
 SCHEDULES = (((0.0, 7.5), (1.0, 2.5)), ((0.0, 2.0), (1.0, 2.0)), ((0.0, 0.0), (0.5, 1.0), (1.0, 2.0)))
-BUCKETS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -53,17 +54,29 @@ def n_words(text: Column) -> Column:
 
 
 def targets(sources: DataFrame, schedules=SCHEDULES, cap: int = 3) -> DataFrame:
-    """sources(skey, source_size) -> with class (index of its schedule) and target. One row a source: a small table."""
-    order = W.orderBy(F.col("skey").startswith("n"), "skey")
+    """sources(skey, source_size) -> with class (index of its schedule) and target."""
+    order = [F.col("skey").startswith("n"), F.col("skey")]
+    dealt = in_ranges(sources, order, "mix-sources")
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row a range of sources
+    counts = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.col("before") + F.row_number().over(W.partitionBy("part").orderBy(*order)) - 1
     weight = F.element_at(F.array(*[F.lit(float(integral(k))) for k in schedules]), F.col("class") + 1)
-    ranked = sources.withColumn("class", ((F.row_number().over(order) - 1) % len(schedules)).cast("int")).withColumn("weight", weight).withColumn("limit", F.col("source_size") * F.lit(float(cap)))
-    # sources reach their limit in order of limit/weight: find how many do, the others share the rest by weight
-    fill = W.orderBy(F.col("limit") / F.col("weight"), "skey")
-    before, whole = fill.rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    leveled = ranked.withColumn("level", level).withColumn("open", F.col("limit") / F.col("weight") > F.col("level"))
-    first = leveled.withColumn("fill", F.min(F.when(F.col("open"), F.struct(F.col("limit") / F.col("weight"), F.col("skey"), F.col("level").alias("level")))).over(whole)["level"])
-    return first.select("skey", "source_size", "class", F.when(F.col("fill").isNull(), F.col("limit")).otherwise(F.least(F.col("limit"), F.col("weight") * F.col("fill"))).alias("target"))
+    ranked = dealt.join(F.broadcast(counts), "part").select("skey", "source_size", (place % len(schedules)).cast("int").alias("class"))
+    ranked = materialise(ranked.withColumn("weight", weight).withColumn("limit", F.col("source_size") * F.lit(float(cap))), "mix-ranked")
+    size, weights = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    # sources at their limit give the rest to the others, until no more reach theirs; the level only rises
+    level, full = None, None
+    while weights is not None:
+        limit, weighed = full or (0.0, 0.0)
+        level = (size - limit) / (weights - weighed) if weights > weighed else None
+        if level is None:
+            break
+        at = ranked.where(F.col("limit") / F.col("weight") <= level).agg(F.coalesce(F.sum("limit"), F.lit(0.0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+        if tuple(at) == (limit, weighed):
+            break
+        full = tuple(at)
+    reached = F.col("limit") if level is None else F.least(F.col("limit"), F.col("weight") * F.lit(level))
+    return ranked.select("skey", "source_size", "class", reached.alias("target"))
 
 
 def _position(share: Column, schedules) -> Column:
@@ -82,21 +95,24 @@ def mix(docs: DataFrame, schedules=SCHEDULES, cap: int = 3, seed: int = 8, carry
     """
     key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("long")
     skey = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
-    sized = docs.select("doc_id", "source", *carry, n_words(F.col("text")).alias("size"), skey.alias("skey"), key.alias("h"))
-    slim = materialise(sized.withColumn("bucket", F.shiftright("h", 60 - BUCKETS.bit_length() + 1)), "mix")
-    sums = slim.groupBy("skey", "bucket").agg(F.sum("size").alias("words"))
+    tie = [F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("tie2")]
+    slim = materialise(docs.select("doc_id", "source", *carry, n_words(F.col("text")).alias("size"), skey.alias("skey"), key.alias("h"), *tie), "mix")
+    by = [F.col(c) for c in ("h", "doc_id", "size", "tie", "tie2")]
+    dealt = in_ranges(slim, [F.col("skey"), *by], "mix-ranges", least=int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sums = dealt.groupBy("skey", "part").agg(F.sum("size").alias("words"))
     goal = targets(sums.groupBy("skey").agg(F.sum("words").alias("source_size")), schedules, cap)
-    before = W.partitionBy("skey").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("skey").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     ranges = sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words").join(goal, "skey")
-    within = W.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = slim.join(ranges, ["skey", "bucket"]).withColumn("start_at", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    within = W.partitionBy("skey", "part").orderBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    placed = dealt.join(ranges, ["skey", "part"]).withColumn("start_at", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     goal_words, whole = F.round("target").cast("long"), F.col("source_size")
     full = F.expr("CAST(round(target) AS BIGINT) div greatest(source_size, 1L)")
     cut = F.greatest(F.lit(0), F.least(F.col("size"), goal_words - full * whole - F.col("start_at")))
     taken = placed.withColumn("taken", full * F.col("size") + cut).withColumn("passes", (full * (F.col("size") > 0).cast("long") + (cut > 0).cast("long")).cast("int"))
     share = (F.col("start_at") + F.least("size", "taken") / 2) / F.greatest(goal_words, F.lit(1))
     out = taken.withColumn("position", F.when(F.col("taken") > 0, _position(share, schedules)))
-    return out.select("doc_id", "source", *carry, "size", "source_size", "target", "taken", "passes", "position", "class", "start_at").repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    order = ["position", "doc_id", "tie", "tie2"]
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "source", *carry, "size", "source_size", "target", "taken", "passes", "position", "class", "start_at")
 
 
 def copies(mixed: DataFrame, schedules=SCHEDULES) -> DataFrame:

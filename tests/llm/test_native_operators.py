@@ -188,6 +188,26 @@ def test_mix_meets_targets(spark):
         assert [x[2] for x in own] == sorted(x[2] for x in own)
 
 
+def test_rows_that_share_an_id_spread(spark):
+    """Many rows without an id, many of them equal: ranges stay even, sums stay right."""
+    from lumisift.llm import common
+
+    rows = spark.range(300_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CASE WHEN id % 3 = 0 THEN 'same words here' ELSE concat('text ', id % 1000) END AS text", "CASE WHEN id % 10 < 7 THEN 'hot' WHEN id % 10 < 9 THEN 'b' END AS source", "1 AS part", "2 AS tie")
+    got = mixing.mix(rows).groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("taken").alias("taken"), F.max("source_size").alias("whole"), F.max("target").alias("target")).collect()
+    assert {r.source: r.n for r in got} == {"hot": 210_000, "b": 60_000, None: 30_000}
+    assert all(r.size == r.whole and abs(r.taken - r.target) <= 1 for r in got)
+    dealt = common.in_ranges(rows.select("doc_id", F.xxhash64("text").alias("a"), F.monotonically_increasing_id().alias("b")), [F.col("doc_id"), F.col("a"), F.col("b")], "test", each=20_000)
+    assert max(r["count"] for r in dealt.groupBy("part").count().collect()) <= 60_000
+
+
+def test_targets_of_many_sources(spark):
+    sizes = {f"s{k:04d}": (k * 7919) % 1000 for k in range(2000)} | {"n": 17}
+    got = {r.skey: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "skey string, source_size long")).collect()}
+    weights = {s: [5, 2, 1][k % 3] for k, s in enumerate(sorted(sizes, key=lambda s: (s == "n", s)))}
+    want = plain_targets(sizes, weights)
+    assert set(got) == set(want) and all(got[s] == pytest.approx(want[s]) for s in want)
+
+
 def test_positions_follow_the_schedule(spark):
     knots = ((0.0, 0.0), (0.5, 1.0), (1.0, 2.0))
     shares = spark.range(0, 101).select((F.col("id") / 100).alias("s"))
