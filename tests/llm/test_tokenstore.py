@@ -56,3 +56,28 @@ def test_long_texts_are_coded_in_pieces(monkeypatch):
     text = "some words  here,\n\n and\tmore don't " * 9
     enc = tokenstore.coder(PATH, P.PATTERN)
     assert tokenstore.ids_of(text, PATH, P.PATTERN).tolist() == enc.encode_ordinary(text)
+
+
+def test_many_repeated_rows_fill_shards_of_their_own(spark, tmp_path):
+    """The same records in the same order as without, in even shards."""
+    long = "many words of a text that is repeated " * 20
+    rows = [(7, long)] * 300 + [(None, "no id")] * 200 + [(k, f"text {k} " * (k % 30)) for k in range(20, 120)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, tag long, number int").repartition(4)
+    out, plain = f"file://{tmp_path}/hot", f"file://{tmp_path}/plain"
+    manifest = tokenstore.write_shards(docs, out, PATH, P.PATTERN, seq_len=32, shard_bytes=2400)
+    assert max(x["rows"] for x in manifest["shards"]) <= 4 * 2400 / manifest["stride"]
+    tokenstore.write_shards(docs.repartition(7), plain, PATH, P.PATTERN, seq_len=32, shard_bytes=10_000_000)
+    read = lambda at: [(s, d, n, ids.tobytes()) for s, d, n, ids in tokenstore.records(at)]
+    assert read(out) == read(plain) and len(read(out)) > 1500
+
+
+def test_ids_over_two_bytes_are_kept(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
+    out = f"file://{tmp_path}/wide"
+    manifest = tokenstore.write_shards(docs, out, PATH, P.PATTERN, seq_len=8, eos=70_000)
+    assert manifest["id_bytes"] == 4 and manifest["stride"] == 16 + 32
+    got = {d: ids.tolist() for _, d, _, ids in tokenstore.records(out)}
+    assert got[2] == [70_000] and got[1] == [*tokenstore.coder(PATH, P.PATTERN).encode_ordinary("a b c"), 70_000]
+    assert {r.doc_id: r.n_tokens for r in tokenstore.read_shards(spark, out).collect()} == {1: len(got[1]), 2: 1}
+    with pytest.raises(ValueError):
+        tokenstore.id_bytes(PATH, 1 << 32)
