@@ -7,10 +7,11 @@ code of the whole text wins; the score is its share of 2**-length over all langu
 
 The trees of all languages share one numbering of the byte strings seen, so a text is scored by array look-ups,
 `order` + 1 for a byte, whatever the number of languages. The model's size is bounded by the sample's (ROWS rows of at most MAX_BYTES bytes a
-language), and so is what the driver collects and broadcasts. Prediction reads whole texts and is narrow.
+language, of LANGS languages at most) times the languages, and so is what the driver collects and broadcasts. Prediction reads whole texts and is narrow.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; so is everything if nothing was learned;
-ties go to the smaller language name; repeated rows stay; an empty table gives no rows; a null doc_id is hashed as empty text.
+ties go to the smaller language name; repeated rows stay; an empty table gives no rows; a null doc_id is hashed as empty text; columns
+named like those that `identify` adds are replaced; more than LANGS labels are an error, as such a column does not hold languages.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, ship, small_batches, tidied
+from .common import Shared, materialise, ship, small_batches, tidied
 
 ship(__name__)
 
-ORDER, ROWS, MAX_BYTES, GROUP_BYTES = 3, 150, 20_000, 250_000
+ORDER, ROWS, MAX_BYTES, GROUP_BYTES, LANGS = 3, 150, 20_000, 250_000, 256
+ADDED = ("lang_pred", "score", "bits_per_byte")
 
 
 class Model:
@@ -155,7 +157,9 @@ def train(labelled: DataFrame, order: int = ORDER, rows: int = ROWS, max_bytes:
     """
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= max_bytes)).select("lang", "text", F.xxhash64(F.lit(4), "doc_id", "text").alias("h"))
     share = F.least(F.lit(1.0), F.lit(1.5 * rows) / F.count("*"))
-    limit = usable.groupBy("lang").agg((share * F.lit(float(2**63))).alias("most"))  # a row a language
+    limit = materialise(usable.groupBy("lang").agg((share * F.lit(float(2**63))).alias("most")), "langs")  # a row a language
+    if limit.count() > LANGS:
+        raise ValueError(f"more than {LANGS} labels: not a column of languages")
     near = usable.join(F.broadcast(limit), "lang").where(F.abs(F.col("h").cast("double")) <= F.col("most"))
     samples: dict[str, list[bytes]] = {}
     for lang, _, text in sorted(tuple(r) for r in near.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()):
@@ -169,6 +173,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs(doc_id, text, ...) -> all columns, with lang_pred, score and bits_per_byte (of the winner; null for und)."""
     import pyspark.sql.types as T
 
+    docs = docs.drop(*ADDED)
     spark = docs.sparkSession
     small_batches(spark)
     shared = Shared(spark, "langid", model)
@@ -195,7 +200,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 lang.append(model.langs[best])
                 score.append(float(1 / np.exp2(np.maximum(cost[best] - cost, -1000)).sum()))
                 bits.append(float(cost[best] / len(text)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lang), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=[*names, "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lang), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=[*names, *ADDED])
 
     schema = T.StructType([*plain.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
-    return flagged.mapInArrow(tidied(run), schema).toDF(*docs.columns, "lang_pred", "score", "bits_per_byte")
+    return flagged.mapInArrow(tidied(run), schema).toDF(*docs.columns, *ADDED)

@@ -60,3 +60,14 @@ def test_predictions_and_odd_rows(spark):
     nothing = langid.train(docs.limit(0))
     assert {r.lang_pred for r in langid.identify(docs.select("doc_id", "text"), nothing).collect()} == {"und"}
     assert langid.identify(docs.limit(0), model).count() == 0
+
+
+def test_columns_named_like_the_added_ones_are_replaced(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "foo bar " * 5 if k % 2 else "lorem dolor " * 4, "x" if k % 2 else "y", 9, "old", "c", -1) for k in range(40)], "doc_id long, text string, lang string, score int, lang_pred string, c0 string, bits_per_byte int")
+    model = langid.train(docs)
+    out = langid.identify(docs, model)
+    assert out.columns == ["doc_id", "text", "lang", "c0", "lang_pred", "score", "bits_per_byte"]
+    assert all(r.lang_pred == r.lang and r.c0 == "c" and 0.5 < r.score <= 1 and r.bits_per_byte > 0 for r in out.collect())
+    monkeypatch.setattr(langid, "LANGS", 1)
+    with pytest.raises(ValueError):
+        langid.train(docs)
