@@ -3,7 +3,7 @@
 Texts up to `chunk_chars` are encoded as they are. A longer one is encoded in overlapping chunks with offsets. Two
 neighbouring encodings are spliced at a place inside their overlap where neither has a token across and where the text goes
 from other than white space to white space. Such a place is proven stable: the tokenizers served here cut a text
-there before they merge (`splits_at_blanks` tells whether a given file does; if not, texts are encoded whole), so what stands
+there before they merge (`splits_at_blanks` tells whether a given file is known to; if not, texts are encoded whole), so what stands
 before it can't change what comes after, nor the reverse. An overlap without such a place is doubled until one is found.
 By the same proof a shorter text's count is the sum over its stretches between such places, so a worker asks the library
 once for each different stretch and keeps the answers (KEPT at most).
@@ -38,6 +38,22 @@ _STRETCH = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
 _OTHER_BLANK = re.compile(r"[^\S \n\r\t]")
 
 
+#: Patterns of Split steps that cut wherever text turns to one of the blanks of _TURN. Others may let a piece run on into blanks, as
+#: those do in which line ends follow punctuation.
+KNOWN_SPLITS = frozenset((
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+))
+
+
+def cuts_at_blanks(step: dict) -> bool:
+    """Whether a step of a pre-tokenizer is known to part a text wherever it turns to white space."""
+    if step.get("type") == "ByteLevel":
+        return step.get("use_regex", True)
+    pattern = step.get("pattern")
+    return step.get("type") == "Split" and step.get("behavior") in ("Isolated", "Removed") and isinstance(pattern, dict) and pattern.get("Regex") in KNOWN_SPLITS
+
+
 class JsonEncoder:
     """A file of the tokenizers library."""
 
@@ -52,7 +68,7 @@ class JsonEncoder:
             said = json.load(f)
         kinds = said.get("pre_tokenizer") or {}
         steps = kinds.get("pretokenizers", [kinds])
-        cuts = any(s.get("type") == "ByteLevel" and s.get("use_regex", True) or s.get("type") == "Split" and r"[^\s\p{L}\p{N}]+" in str(s.get("pattern")) for s in steps)
+        cuts = any(map(cuts_at_blanks, steps))
         self.known: dict[str, int] = {}
         self.splits_at_blanks = cuts and not any(t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in said["added_tokens"])
 

@@ -26,6 +26,35 @@ def test_long_texts_splice_to_the_same_count():
             assert enc.sums([text, "", text[3:]]) == enc.counts([text, "", text[3:]]), (name, text)
 
 
+def test_which_files_cut_at_blanks(tmp_path):
+    import json
+
+    assert all(tokencount.encoder(public_tokenizers.path(x)).splits_at_blanks for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        said = json.load(f)
+    text = "one two,\n\n three!\r\n" * 40 + "don't 12 " * 60
+    for pattern, cuts in ((public_tokenizers.PATTERN, True), (r"\p{L}+| ?[^\s\p{L}\p{N}]+[\r\n]*|\s+|\p{N}", False)):
+        byte = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        said["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": pattern}, "behavior": "Isolated", "invert": False}, byte]}
+        path = tmp_path / f"{cuts}.json"
+        path.write_text(json.dumps(said), encoding="utf-8")
+        enc = tokencount.JsonEncoder(str(path))
+        assert enc.splits_at_blanks is cuts
+        assert tokencount.spliced_count(text, enc, 100, 8) == enc.counts([text])[0] == enc.sums([text])[0]
+
+
+def test_repeated_rows_and_null_ids_are_counted(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (None, None)], "doc_id long, text string")
+    got = tokencount.count_tokens(docs.selectExpr("*", "1 AS n_tokens", "2 AS n_bytes"), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert sorted(((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in got)) == [(0, 0, 0), (0, 1, 1), (1, 3, 2), (1, 3, 2)]
+
+
+def test_simhash_of_repeated_rows_and_null_ids(spark):
+    rows = [(5, "one two three four five"), (5, "one two three four five"), (None, "one two three four five"), (9, None), (None, "alone in its text")]
+    got = simhash.near_duplicates(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, component_id string, fp int")).collect()
+    assert sorted(((r.doc_id or 0, r.component_id or 0) for r in got)) == [(0, 0), (0, 5), (5, 5), (5, 5), (9, 9)]
+
+
 def test_overlap_widens_where_nothing_aligns():
     enc = tokencount.encoder(public_tokenizers.path("byte_bpe_50k.json"))
     text = "ab" * 700 + " tail end " + "z9" * 500
