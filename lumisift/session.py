@@ -23,12 +23,17 @@ def session(app: str = "lumisift", master: str | None = None, **conf: str) -> Sp
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The shared folder named in spark.checkpoint.dir; a temporary one only where none is set and the master is local (tests).
+
+    Checkpoints are Spark's to remove: set spark.cleaner.referenceTracking.cleanCheckpoints, or clear the folder when no job runs.
+    """
     import tempfile
 
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or getattr(context, "_lumisift_checkpoints", None)
     if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = context._lumisift_checkpoints = "file://" + tempfile.mkdtemp(prefix="lumisift-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(base)

@@ -388,3 +388,27 @@ def test_raster_kernels():
     want = (padded[:-2, 1:-1] + padded[2:, 1:-1] + padded[1:-1, :-2] + padded[1:-1, 2:] - 4 * padded[1:-1, 1:-1]).var()
     assert raster.raster_features(small)[0] == pytest.approx(want) and raster.raster_features(small)[2] == list(range(64))
     assert raster.luma(np.array([[[255, 0, 0], [0, 255, 0], [0, 0, 255]]], dtype=np.uint8)).tolist() == [[29, 150, 76]]
+
+
+def test_no_local_scratch_on_a_cluster(monkeypatch):
+    from lumisift.session import checkpoint_dir
+
+    class Conf:
+        def get(self, key):
+            return None
+
+    class Context:
+        master, found = "spark://host:7077", None
+        getConf = lambda self: Conf()
+        getCheckpointDir = lambda self: self.found
+
+        def setCheckpointDir(self, at):
+            self.found = at
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(Session())
+    Session.sparkContext.master = "local[2]"
+    assert checkpoint_dir(Session()).startswith("file://") and Session.sparkContext.found
