@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import sys
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumisift.session import checkpoint_dir
 from lumisift.shipping import ship
 
 ship(__name__)
@@ -19,19 +21,28 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the session names in spark.checkpoint.dir; a local one only where none is set."""
+def scratch_path(spark: SparkSession, what: str) -> str:
+    """A new path in this session's own folder of the shared one (spark.checkpoint.dir), which is removed when the driver's Python ends."""
     context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or getattr(context, "_lumisift_scratch", None)
-    if not base:
-        base = context._lumisift_scratch = "file://" + tempfile.mkdtemp(prefix="lumisift-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(base)
-    return base.rstrip("/")
+    if not hasattr(context, "_lumisift_llm_scratch"):
+        context._lumisift_llm_scratch = f"{checkpoint_dir(spark).rstrip('/')}/lumisift-{uuid.uuid4().hex}"
+        atexit.register(_at_exit, spark)
+    return f"{context._lumisift_llm_scratch}/{what}-{uuid.uuid4().hex}"
 
 
-def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{scratch_dir(spark)}/{what}-{uuid.uuid4().hex}"
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove what this session's operators wrote for themselves; frames that they returned can't be read any more."""
+    at = getattr(spark.sparkContext, "_lumisift_llm_scratch", None)
+    if at:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
+def _at_exit(spark: SparkSession) -> None:
+    from py4j.protocol import Py4JError
+
+    with contextlib.suppress(Py4JError, OSError):  # the JVM has gone, and what it ran with
+        remove_scratch(spark)
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_dir
+from lumisift.session import checkpoint_dir
 
 
 def _pointed(pairs: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round is a few grouped minima and joins over what is left of the edges, written to the shared checkpoint folder.
     Rounds grow with the logarithm of the longest path. Nothing but a count and a sum reaches the driver.
     """
-    scratch_dir(edges.sparkSession)
+    checkpoint_dir(edges.sparkSession)
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     seen = None
     while True:
