@@ -8,7 +8,9 @@ key pair in one of the three pairs of segments. Keys are joined and every candid
 
 Equal fingerprints are merged first (partial sums before the shuffle), so copies cost nothing later. In a bucket, links are
 found as a spanning forest: big buckets by growing from a seed over what is not yet reached, so a bucket of m emits at most
-m-1 links. Components come from `graph.components`.
+m-1 links. A bucket of more than BIG is cut into blocks, and each pair of its blocks is a bucket of its own, so that tasks share it and each
+two members still meet; which buckets are big is estimated on a part of the fingerprints, and decides nothing but how work is dealt.
+Components come from `graph.components`.
 
 Hashing and popcounts run in Arrow batches with numpy and xxhash.
 
@@ -34,6 +36,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Fixed value: the generator polynomial of the (23, 12) Golay code.
 GENERATOR = 0b101011100011
 _SMALL = 48
+#: Buckets above BIG are split; one fingerprint in PART, by hash, is looked at to find them; the list is broadcast up to LISTED keys.
+BIG, PART, LISTED = 16_384, 16, 500_000
 
 
 def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -186,8 +190,23 @@ def links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
         if held:
             yield said(*links_of(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), bits))
 
-    keyed = distinct.select("fp").mapInArrow(tidied(expand), "key long, fp long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(tidied(match), "u long, v long")
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidied(match), "u long, v long")
+
+    def keyed(fps: DataFrame) -> DataFrame:
+        return fps.mapInArrow(tidied(expand), "key long, fp long")
+
+    fps = distinct.select("fp")
+    looked = keyed(fps.where(F.pmod(F.xxhash64("fp"), F.lit(PART)) == 0)).groupBy("key").agg((F.count("*") * PART).alias("n"))
+    big = materialise(looked.where(F.col("n") > BIG).select("key", F.ceil(F.col("n") * 2 / BIG).cast("int").alias("blocks")), "simhash-big")
+    listed = big.count()
+    if not listed:
+        return met(keyed(fps))
+    known = F.broadcast(big) if listed <= LISTED else big
+    split = keyed(fps).join(known, "key").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "fp"), "blocks").cast("int"))
+    other = split.select("key", "fp", "own", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = other.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
+    return met(keyed(fps).join(known, "key", "left_anti").unionByName(pairs))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, bits: int = MAX_BITS) -> DataFrame:

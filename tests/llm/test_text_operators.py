@@ -134,7 +134,10 @@ def test_simhash_against_all_pairs(spark):
     assert simhash.near_duplicates(odd_docs(spark, [])).count() == 0
 
 
-def test_links_connect_random_and_crowded_fingerprints(spark):
+@pytest.mark.parametrize("big", [16_384, 40])
+def test_links_connect_random_and_crowded_fingerprints(spark, monkeypatch, big):
+    monkeypatch.setattr(simhash, "BIG", big)  # small: buckets are split into pairs of blocks
+    monkeypatch.setattr(simhash, "PART", 2)
     rng = np.random.default_rng(9)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     crowd = [int(base[0])]
