@@ -12,6 +12,10 @@ m-1 links. A bucket of more than BIG is cut into blocks, and each pair of its bl
 two members still meet; which buckets are big is estimated on a part of the fingerprints, and decides nothing but how work is dealt.
 Components come from `graph.components`.
 
+`near_copies` asks for a similarity of the texts themselves: fingerprints are of five-word shingles, and what shares keys is verified on the
+shingles. Texts of similarity 0.8 differ in ten of the 64 bits on average, far beyond what the keys are complete for, so `shingles` adds
+candidates, and verifies all of them.
+
 Hashing and popcounts run in Arrow batches with numpy and xxhash.
 
 Defined cases: null or empty text has fingerprint zero and links like any other; repeated rows stay, each with its
@@ -54,10 +58,14 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         hashes = [xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
+    return majority(np.array(hashes, dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: those set in over half the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65_536):
-        block = np.array(hashes[at : at + 65_536], dtype="<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += np.unpackbits(hashes[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
@@ -222,3 +230,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, b
     # written, so that the last join has an exchange on both sides and Spark can split a fingerprint that many documents share
     names = materialise(first.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "simhash-names")
     return each.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_copies(texts: DataFrame) -> DataFrame:
+    """texts(row_key, text), equal keys having equal texts -> row_key, component: equal for texts of a similarity of 0.8 or more on five-word shingles, directly or by way of others."""
+    from . import shingles
+
+    signed = shingles.signed(texts)
+    return shingles.grouped(texts, signed, lambda distinct: linked(distinct.select("fp", "sig")))
+
+
+def linked(named: DataFrame) -> DataFrame:
+    """named(fp, sig) -> (u, v): sigs whose fingerprints are equal or within MAX_BITS, each with the least of its fingerprint, and those with each other."""
+    least = materialise(named.groupBy("fp").agg(F.min("sig").alias("least")), "simhash-least")
+    same = named.join(least, "fp").where(F.col("sig") != F.col("least")).select(F.col("sig").alias("u"), F.col("least").alias("v"))
+    near = links(least).join(least.select(F.col("fp").alias("u"), F.col("least").alias("x")), "u").join(least.select(F.col("fp").alias("v"), F.col("least").alias("y")), "v")
+    return same.unionByName(near.select(F.col("x").alias("u"), F.col("y").alias("v")))

@@ -64,6 +64,16 @@ def test_stages(spark, tmp_path):
     assert sorted(map(str, whole)) == sorted(map(str, shards))
 
 
+def test_other_columns_are_dropped(spark, tmp_path):
+    spark.createDataFrame([(1, "a benchmark item of ten words or more than that here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(k, f"some words of text number {k} " * 9, "en", "a", None, "x", 1, "s") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row_key string, position int, score string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == COLUMNS
+        assert stage(spark, docs, str(tmp_path)).count() >= 1
+    assert {r.doc_id for r in corpus_pipeline.token_shards(spark, docs, str(tmp_path)).collect()} == set(range(6))
+
+
 def test_an_empty_corpus(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
