@@ -11,6 +11,7 @@ ship(__name__)
 
 SIDE = 8
 CELLS = SIDE * SIDE
+#: The sharpness that counts as full, and the shares of sharpness and exposure in a score.
 SHARPNESS_CAP = 1000.0
 SHARPNESS_SHARE, EXPOSURE_SHARE = 0.7, 0.3
 
@@ -71,6 +72,7 @@ def eye_aspect_ratio(p: list[tuple[Column, Column]]) -> Column:
     return F.when(wide == 0, F.lit(0.0)).otherwise((away(p[1], p[5]) + away(p[2], p[4])) / (F.lit(2.0) * wide))
 
 
+#: An eye's ratio below which it is closed, and what that leaves of a score.
 CLOSED_BELOW, CLOSED_PENALTY = 0.2, 0.4
 
 

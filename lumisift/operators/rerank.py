@@ -6,6 +6,8 @@ batches; partitions are its concurrency. Calls cost money: results are checkpoin
 
 from __future__ import annotations
 
+import logging
+import os
 import random
 import time
 from collections.abc import Callable, Iterator
@@ -19,7 +21,11 @@ from lumisift.shipping import ship
 
 ship(__name__)
 
-BASE_DELAY, MAX_DELAY, JITTER, MAX_ATTEMPTS = 1.0, 30.0, 0.25, 4
+#: Fixed values.
+BASE_DELAY, MAX_DELAY, JITTER, MAX_ATTEMPTS = 1.0, 30.0, 0.25, 3
+#: Names the environment's own number of attempts.
+ATTEMPTS_SETTING = "LUMISIFT_MAX_ATTEMPTS"
+log = logging.getLogger(__name__)
 
 
 class RetryError(RuntimeError):
@@ -29,12 +35,12 @@ class RetryError(RuntimeError):
 
 
 def retryable(error: BaseException) -> bool:
-    """Too many requests, server errors, timeouts and broken connections; other refusals are final."""
+    """Too many requests, server errors, timeouts and broken connections; any other refusal (400 to 499) is final."""
     if isinstance(error, (KeyboardInterrupt, SystemExit)):
         return False
     status = getattr(error, "status_code", None) or getattr(getattr(error, "response", None), "status_code", None)
     if isinstance(status, int):
-        return status in (408, 429) or status >= 500
+        return status == 429 or not 400 <= status < 500
     return isinstance(error, (TimeoutError, ConnectionError)) or any(w in type(error).__name__.lower() for w in ("timeout", "connection", "ratelimit", "overloaded"))
 
 
@@ -42,28 +48,49 @@ def delay(attempt: int, rng: random.Random, base: float = BASE_DELAY, most: floa
     return min(base * 2**attempt, most) * (1 + rng.uniform(-jitter, jitter))
 
 
-def with_retries(call: Callable, attempts: int = MAX_ATTEMPTS, sleep: Callable = time.sleep, rng: random.Random | None = None):
-    if attempts < 1:
-        raise ValueError("at least one attempt")
-    rng = rng or random.Random()
+def attempts_of(given: int | None) -> int:
+    """At least one: those given, else the environment's, else MAX_ATTEMPTS."""
+    if given is None:
+        said = os.environ.get(ATTEMPTS_SETTING)
+        try:
+            given = int(said) if said else MAX_ATTEMPTS
+        except ValueError:
+            log.warning("%s=%r is not a whole number", ATTEMPTS_SETTING, said)
+            given = MAX_ATTEMPTS
+    return max(1, given)
+
+
+def with_retries(call: Callable, attempts: int | None = None, sleep: Callable = time.sleep, rng: random.Random | None = None, on_retry: Callable | None = None):
+    """What the call returns; RetryError, with the last error, once it is final or attempts run out.
+
+    on_retry(attempt that failed, error, delay) is told before each wait; what it raises is logged and ignored.
+    """
+    attempts, rng = attempts_of(attempts), rng or random.Random()
     for k in range(attempts):
         try:
             return call()
         except Exception as error:
-            if not retryable(error):
-                raise
-            if k + 1 == attempts:
-                raise RetryError(attempts, error) from error
-            sleep(delay(k, rng))
+            if not retryable(error) or k + 1 == attempts:
+                raise RetryError(k + 1, error) from error
+            wait = delay(k, rng)
+            if on_retry:
+                try:
+                    on_retry(k + 1, error, wait)
+                except Exception:
+                    log.exception("on_retry failed")
+            sleep(wait)
 
 
-def rerank(keepers: DataFrame, client, prompt: str, top_n: int | None = None, attempts: int = MAX_ATTEMPTS, media_type: str = "image/jpeg", sleep: Callable = time.sleep) -> DataFrame:
+def rerank(keepers: DataFrame, client, prompt: str, top_n: int | None = None, attempts: int | None = None, media_type: str = "image/jpeg", sleep: Callable = time.sleep, workers: int | None = None, on_retry: Callable | None = None) -> DataFrame:
     """keepers(name, rank, content binary, ...) -> the same less content, with ai_score, ai_reason and ai_rank.
 
     Keepers without content (they could not be encoded) are left out; a call that fails scores 0. Ties keep the order of rank.
+    workers: how many calls run at a time at most.
     """
     checkpoint_dir(keepers.sparkSession)
-    fields = keepers.drop("content").schema
+    fields, attempts = keepers.drop("content").schema, attempts_of(attempts)
+    if workers is not None:
+        keepers = keepers.repartition(workers)
 
     def run(batches: Iterator):
         import pyarrow as pa
@@ -73,7 +100,7 @@ def rerank(keepers: DataFrame, client, prompt: str, top_n: int | None = None, at
             for content in batch.column("content"):
                 data = content.as_py()
                 try:
-                    said.append(with_retries(lambda d=data: client.score_photo(d, media_type, prompt), attempts, sleep))
+                    said.append(with_retries(lambda d=data: client.score_photo(d, media_type, prompt), attempts, sleep, None, on_retry))
                 except Exception as error:  # one photo must not end the batch
                     said.append(f"scoring failed: {error}")
             rest = [batch.column(f.name) for f in fields]

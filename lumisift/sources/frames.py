@@ -64,6 +64,16 @@ def scan_folder(spark: SparkSession, folder: str, decoders: dict[str, Callable[[
     return found.withColumn("name", name).withColumn("stem", text.stem(F.col("name"))).withColumn("ext", text.suffix(F.col("name")))
 
 
+def with_capture_time(frames: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Adds capture_time (no zone) out of the Exif block of JPEG files; null for others. Their bytes are read again, where the column is used."""
+    from lumisift.functions.exif import taken_at
+
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s[1:]) for s in text.JPEG) + "}").load(folder)
+    name = F.url_decode(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\+", "%2B"))
+    times = raw.select(name.alias("name"), taken_at(F.col("content")).alias("capture_time"))
+    return frames.join(times, "name", "left")
+
+
 def _features(batches: Iterator):
     import pyarrow as pa
 

@@ -2,28 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumisift.shipping import ship
+
+ship(__name__)
+
 SIMILAR = "array<struct<path string, filename string, score double>>"
 CANDIDATE = f"struct<idx int, path string, filename string, score double, ai_score int, ai_reason string, decision string, capture_time string, rejected_reason string, similar {SIMILAR}>"
 SESSION = f"source_folder string, prompt string, input_count int, reject_summary map<string,int>, candidates array<{CANDIDATE}>, history array<int>, _corrupt_record string"
 
 
+def session_paths(spark: SparkSession, folders: list[str], root: str | None, file_name: str) -> list[str]:
+    """Paths of session files directly in `folders`, then any others below `root`; each once. Listed by the file system, which hides none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf, found = spark._jsc.hadoopConfiguration(), {}
+    for folder in folders:
+        path = hadoop.Path(folder, file_name)
+        files = path.getFileSystem(conf)
+        if files.exists(path):
+            found[files.makeQualified(path).toString()] = None
+    if root:
+        files = hadoop.Path(root).getFileSystem(conf)
+        every = files.listFiles(hadoop.Path(root), True)
+        below = []
+        while every.hasNext():
+            at = every.next().getPath()
+            if at.getName() == file_name:
+                below.append(at.toString())
+        found |= dict.fromkeys(sorted(below))
+    return list(found)
+
+
 def read_sessions(spark: SparkSession, *folders: str, root: str | None = None, file_name: str = "lumisift-session.json") -> DataFrame:
     """One row a readable session file: file, and the session's fields. Broken files and records are left out.
 
-    Files directly in `folders`, and any below `root`; each once. Spark skips names that start with a dot.
+    Files directly in `folders`, and any below `root`; each once. The name may start with a dot: files are listed first and then read by path.
     """
-    def read(where, deep):
-        return spark.read.schema(SESSION).option("multiLine", True).option("pathGlobFilter", file_name).option("recursiveFileLookup", deep).json(where).select(F.input_file_name().alias("file"), "*")
-
-    found = read(list(folders), False) if folders else None
-    if root:
-        below = read(root, True)
-        found = below if found is None else found.unionByName(below.join(found.select("file"), "file", "left_anti"))
-    if found is None:
+    if not folders and not root:
         raise ValueError("give at least one folder, or a root")
+    paths = spark.createDataFrame([(p,) for p in session_paths(spark, list(folders), root, file_name)], "file string")
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            said = []
+            for uri in batch.column(0).to_pylist():
+                try:
+                    files, path = fs.FileSystem.from_uri(uri)
+                    with files.open_input_stream(path) as f:
+                        said.append(f.read().decode("utf-8"))
+                except (OSError, ValueError):  # gone, or not text
+                    said.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string())], names=["file", "said"])
+
+    found = paths.mapInArrow(run, "file string, said string").select("file", F.from_json("said", SESSION).alias("s")).select("file", "s.*")
     return found.where(F.col("_corrupt_record").isNull() & F.col("candidates").isNotNull()).drop("_corrupt_record")
 
 

@@ -256,8 +256,33 @@ def test_retries():
     assert rerank.with_retries(call, 3, slept.append, random.Random(1)) == "done" and len(slept) == 2
     assert 0.75 <= slept[0] <= 1.25 and 1.5 <= slept[1] <= 2.5
     assert rerank.delay(50, random.Random(1)) <= 30 * 1.25
-    with pytest.raises(ValueError, match="at least one"):
-        rerank.with_retries(call, 0)
+    class Late(Exception):
+        status_code = 408
+
+    assert not rerank.retryable(Late())
+
+
+def test_retry_attempts_and_hook(monkeypatch):
+    told, tries = [], []
+
+    def call():
+        tries.append(1)
+        raise TimeoutError("late")
+
+    def hook(attempt, error, wait):
+        told.append((attempt, type(error).__name__, wait))
+        raise RuntimeError("a hook's own fault ends nothing")
+
+    with pytest.raises(rerank.RetryError) as caught:
+        rerank.with_retries(call, sleep=_no_sleep, on_retry=hook)
+    assert caught.value.attempts == len(tries) == 3 and [x[:2] for x in told] == [(1, "TimeoutError"), (2, "TimeoutError")]
+    for said, n in (("5", 5), ("0", 1), ("-3", 1), ("many", 3), ("", 3)):
+        monkeypatch.setenv(rerank.ATTEMPTS_SETTING, said)
+        assert rerank.attempts_of(None) == n
+        assert rerank.attempts_of(2) == 2 and rerank.attempts_of(0) == 1
+    with pytest.raises(rerank.RetryError) as caught:
+        rerank.with_retries(lambda: {}["none"])
+    assert caught.value.attempts == 1 and isinstance(caught.value.last, KeyError)
 
 
 CANDIDATES = "session string, idx int, path string, filename string, score double, decision string, rejected_reason string"

@@ -97,6 +97,11 @@ def test_session_files(spark, tmp_path):
     assert every.count() == 1
     both = sessions.read_sessions(spark, f"{tmp_path}/one", root=str(tmp_path))
     assert both.count() == 1
+    os.makedirs(f"{tmp_path}/hidden")
+    with open(f"{tmp_path}/hidden/.other-session.json", "w") as f:
+        f.write(json.dumps(good))
+    assert sessions.read_sessions(spark, root=str(tmp_path), file_name=".other-session.json").count() == 1
+    assert sessions.read_sessions(spark, f"{tmp_path}/hidden", f"{tmp_path}/none", file_name=".other-session.json").count() == 1
     rows = sessions.candidates(both)
     assert [(r.path, r.pos, r.similar[0].path) for r in rows.collect()] == [("a", 0, "b")]
     assert review.override_stats(rows).first().picks == 1
