@@ -7,7 +7,7 @@ global state.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -22,11 +22,20 @@ DEFAULT_TOP, PER_BUCKET, OTHERS, PER_PHASE = 9, 6, 6, 8
 
 @dataclass(frozen=True)
 class Profile:
+    """select(frames), and with rules select(frames, rules) where other weights are asked for."""
+
     name: str
-    select: Callable[[DataFrame], Selection]
+    select: Callable[..., Selection]
     labels: tuple[str, ...] = ()
     rules: Rules | None = None
 
+    def reweighted(self, weights: dict[str, float]) -> "Profile":
+        """The profile with other weights for some of its rules; an error where it has none, or not these."""
+        if self.rules is None:
+            raise ValueError(f"profile {self.name!r} has no rules to weigh")
+        rules = self.rules.reweighted(weights)
+        return replace(self, rules=rules, select=lambda frames: self.select(frames, rules))
+
 
 _REGISTRY: dict[str, Profile] = {}
 
@@ -155,7 +164,7 @@ def from_config(cfg: dict[str, Any]) -> Profile:
         "threshold": int(dedup.get("perceptual_threshold", neardup.THRESHOLD)),
     }
     labels = tuple(dict.fromkeys([*phases.values(), *(rules.labels if rules else ())]))
-    return Profile(cfg.get("name") or "custom", lambda frames: gallery(frames, dict(phases), rules, **how), labels, rules)
+    return Profile(cfg.get("name") or "custom", lambda frames, rules=rules: gallery(frames, dict(phases), rules, **how), labels, rules)
 
 
 #: The built-in profiles. Names and labels are this engine's own; the weights are fixed values.
@@ -165,6 +174,6 @@ STORY = {"before": "work not begun", "during": "work under way", "after": "work
 STORY_RULES = Rules((Rule("glow", "warm glowing light", 0.5), Rule("tidy", "a tidy scene", 0.2), Rule("detail", "fine detail", 0.15), Rule("wide", "a wide view", 0.12)))
 
 register(Profile("default", featured))
-register(Profile("duo", lambda f: bucketed(f, DUO, DUO_RULES), (*DUO.values(), *DUO_RULES.labels), DUO_RULES))
-register(Profile("story", lambda f: staged(f, STORY, STORY_RULES), (*STORY.values(), *STORY_RULES.labels), STORY_RULES))
+register(Profile("duo", lambda f, rules=DUO_RULES: bucketed(f, DUO, rules), (*DUO.values(), *DUO_RULES.labels), DUO_RULES))
+register(Profile("story", lambda f, rules=STORY_RULES: staged(f, STORY, rules), (*STORY.values(), *STORY_RULES.labels), STORY_RULES))
 register(Profile("story-gallery", lambda f: gallery(f, STORY), tuple(STORY.values())))

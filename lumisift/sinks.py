@@ -122,7 +122,7 @@ def guard_output(spark: SparkSession, folder: str, overwrite: bool = False) -> N
 def write_files(picks: DataFrame, folder: str, encoders: dict[str, Callable[[bytes], bytes]] | None = None) -> DataFrame:
     """picks(name, path, output_filename, rating int or null) -> (name, output_path, ok, error): the sink's report.
 
-    encoders map a source suffix to a function of its bytes to JPEG bytes. A rating is embedded in JPEG output.
+    encoders map a source suffix to a function of its bytes to others. A rating is embedded in JPEG output. Output names may hold folders.
     """
     from pyspark.sql.types import StructType
 
@@ -146,8 +146,10 @@ def write_files(picks: DataFrame, folder: str, encoders: dict[str, Callable[[byt
                     if row["rating"] is not None and data[:2] == b"\xff\xd8":
                         data = xmp.with_rating(data, row["rating"])
                     target, base = fs.FileSystem.from_uri(folder)
-                    target.create_dir(base, recursive=True)
-                    draft, final = f"{base}/.{uuid.uuid4().hex}", f"{base}/{row['output_filename']}"
+                    final = f"{base}/{row['output_filename']}"
+                    place = final.rpartition("/")[0]
+                    target.create_dir(place, recursive=True)
+                    draft = f"{place}/.{uuid.uuid4().hex}"
                     with target.open_output_stream(draft) as f:
                         f.write(data)
                     target.move(draft, final)
@@ -160,6 +162,18 @@ def write_files(picks: DataFrame, folder: str, encoders: dict[str, Callable[[byt
     return picks.select("name", "path", "output_filename", F.col("rating").cast("int").alias("rating")).mapInArrow(run, schema)
 
 
+def write_bytes(path: str, content: bytes) -> str:
+    """A file on a local or shared file system, moved into place; returns its path."""
+    from pyarrow import fs
+
+    files, at = (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+    draft = f"{at.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+    with files.open_output_stream(draft) as f:
+        f.write(content)
+    files.move(draft, at)
+    return at
+
+
 def write_manifest(rows: DataFrame, folder: str, overwrite: bool = False) -> None:
     """One JSON object a line; Spark's committed write leaves all or nothing."""
     rows.write.mode("overwrite" if overwrite else "errorifexists").json(folder)
@@ -177,4 +191,4 @@ def summary(counts: dict[str, int], picked: int, total: int) -> str:
     return f"kept {picked} of {total}" + (f" (rejected: {lost})" if lost else "")
 
 
-__all__ = ["RENAME_SCHEMES", "fitted", "folder_entries", "guard_output", "preview_width", "resized", "save_session", "summary", "tally", "thumbnail_plan", "thumbnails", "write_files", "write_manifest", "write_table"]
+__all__ = ["RENAME_SCHEMES", "fitted", "folder_entries", "guard_output", "preview_width", "resized", "save_session", "summary", "tally", "thumbnail_plan", "thumbnails", "write_bytes", "write_files", "write_manifest", "write_table"]

@@ -74,6 +74,12 @@ def with_capture_time(frames: DataFrame, spark: SparkSession, folder: str) -> Da
     return frames.join(times, "name", "left")
 
 
+def file_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, modified, bytes) of the files in a folder; their content is not read."""
+    name = F.url_decode(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\+", "%2B"))
+    return spark.read.format("binaryFile").load(folder).select(name.alias("name"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+
+
 def _features(batches: Iterator):
     import pyarrow as pa
 

@@ -153,7 +153,7 @@ def test_commands(spark, shoot, tmp_path, capsys):
     with open(config, "w") as f:
         json.dump({"name": "mine", "phases": {"one": "a label"}, "per_phase_cap": 3}, f)
     assert cli.main(["pick", shoot, "--config", config, "--json", "--rename-scheme", "category-rank", "--output", f"{tmp_path}/named"]) == 0
-    assert sorted(os.listdir(f"{tmp_path}/named")) == ["one-01.png", "one-02.png", "one-03.png"]
+    assert sorted(os.listdir(f"{tmp_path}/named/one")) == ["one-01.png", "one-02.png", "one-03.png"]
     assert cli.main(["pick", shoot, "--profile", "nothing"]) == 1
     assert cli.main(["pick", shoot, "--weight", "x=1"]) == 1
     profiles._REGISTRY.pop("mine")
@@ -195,3 +195,137 @@ def test_session_save_and_counts(spark, tmp_path):
     assert tuple(sinks.tally(report).first()) == (1, 1)
     rows, seen = watched(report, "report")
     assert rows.count() == 2 and seen.get["rows"] == 2
+
+
+@pytest.fixture(scope="module")
+def jpegs(tmp_path_factory):
+    """Files that only a codec of ours can read: grey rasters of 900x900 behind a JPEG head with a date."""
+    from tests.test_operators import jpeg, tiff
+
+    folder = str(tmp_path_factory.mktemp("jpegs"))
+    demo.write_shoot(folder, scenes=4, variants=2, blurred=1)
+    with open(f"{folder}/dated.jpg", "wb") as f:
+        f.write(jpeg(b"Exif\0\0" + tiff([(0x0132, "2024:01:02 03:04:05")])))
+    return folder
+
+
+def test_capture_times_reach_a_scan(spark, jpegs):
+    rows = frames.with_capture_time(frames.hashed(frames.scan_folder(spark, jpegs)), spark, jpegs).collect()
+    assert {str(r.capture_time) for r in rows if r.name == "dated.jpg"} == {"2024-01-02 03:04:05"}
+    assert {r.capture_time for r in rows if r.name != "dated.jpg"} == {None} and len(rows) == 4 * 2 + 1 + 1
+
+
+class Judge:
+    def score_photo(self, content, media_type, prompt):
+        return json.dumps({"score": len(content) % 90, "reason": prompt})
+
+
+class Labels:
+    calls = 0
+
+    def score(self, key, labels):
+        return {x: (1.0 if x == labels[len(key) % 2] else 0.0) for x in labels}
+
+
+def test_cull_options(spark, jpegs, tmp_path, capsys):
+    manifest = f"{tmp_path}/m/manifest.json"
+    assert cli.main(["cull", jpegs, "--top", "3", "--json", "--manifest", manifest, "--session", "--include-rejects", "--prompt", "why", "--client", "tests.test_sources_and_sinks:Judge", "--ai-workers", "2"]) == 0
+    said = json.loads(capsys.readouterr().out)
+    with open(manifest) as f:
+        wrote = json.load(f)
+    assert [p["filename"] for p in wrote["picks"]] == said["keepers"] and wrote["input_count"] == 10 and wrote["reject_counts"]["unreadable"] == 1
+    assert all(p["ai_reason"] == "why" and p["ai_score"] == said["ai_scores"][p["filename"]]["score"] for p in wrote["picks"])
+    assert [p["ai_score"] for p in wrote["picks"]] == sorted((p["ai_score"] for p in wrote["picks"]), reverse=True)
+    held = json.load(open(f"{jpegs}/lumisift-session.json"))
+    assert [c["filename"] for c in held["candidates"][:3]] == said["keepers"] and held["counts"]["undecided"] == len(held["candidates"]) > 3
+    assert any(c["similar"] for c in held["candidates"]) and all(os.path.exists(c["path"].removeprefix("file:").replace("//", "/")) for c in held["candidates"])
+    assert sessions.read_sessions(spark, jpegs).count() == 1
+    # resume, decide, undo, swap, export
+    assert cli.main(["cull", jpegs, "--resume", "--json"]) == 0 and json.loads(capsys.readouterr().out)["prompt"] == "why"
+    for action, args, keep, reject in (("keep", ["0"], 1, 0), ("reject", ["1"], 1, 1), ("keep", ["1"], 2, 0), ("undo", [], 1, 0), ("swap", [str(next(c["idx"] for c in held["candidates"] if c["similar"])), "0"], 1, 0)):
+        assert cli.main(["review", jpegs, action, *args]) == 0
+        counts = json.loads(capsys.readouterr().out)
+        assert (counts["keep"], counts["reject"]) == (keep, reject), action
+    assert cli.main(["review", jpegs, "keep", "99"]) == 1 and cli.main(["review", jpegs, "reject", "2"]) == 0
+    capsys.readouterr()
+    assert cli.main(["review", jpegs, "export", f"{tmp_path}/export"]) == 0
+    names = [p["filename"] for p in json.load(open(f"{tmp_path}/export/export-manifest.json"))["picks"]]
+    assert set(names) == set(os.listdir(f"{tmp_path}/export")) - {"export-manifest.json"} and len(names) == len(held["candidates"]) - 1
+    assert cli.main(["review", jpegs, "stats"]) == 0 and "override" in capsys.readouterr().out
+    assert cli.main(["overrides", "--root", jpegs]) == 0 and json.loads(capsys.readouterr().out.splitlines()[-1])["sessions"] == 1
+    assert cli.main(["review", jpegs, "reset"]) == 0 and json.loads(capsys.readouterr().out)["keep"] == 0
+    with open(f"{jpegs}/lumisift-session.json", "w") as f:
+        f.write("{broken")
+    assert cli.main(["review", jpegs, "undo"]) == 1
+    assert cli.main(["cull", jpegs, "--resume", "--top", "1", "--no-ai", "--prompt", "x"]) == 0 and "kept 1 of 10" in capsys.readouterr().out
+    os.remove(f"{jpegs}/lumisift-session.json")
+    assert cli.main(["cull", jpegs, "--prompt", "x"]) == 1 and cli.main(["cull", jpegs, "--top", "0"]) == 1 and cli.main(["cull", jpegs, "--sort", "colour"]) == 1
+
+
+def closed(path):
+    eye = [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0), (3.0, 0.0), (2.0, 0.1), (1.0, 0.1)]
+    return [[eye, eye]] if "scene_000" in path else []
+
+
+def test_faces_and_ratings_of_a_cull(spark, tmp_path, capsys, jpegs):
+    assert cli.main(["cull", jpegs, "--top", "4", "--json", "--xmp", "--faces", "tests.test_sources_and_sinks:closed", "--output", f"{tmp_path}/out"]) == 0
+    faced = json.loads(capsys.readouterr().out)
+    assert cli.main(["cull", jpegs, "--top", "4", "--json"]) == 0
+    plain = json.loads(capsys.readouterr().out)
+    assert faced["scores"]["scene_000_0.png"] == pytest.approx(0.4 * plain["scores"]["scene_000_0.png"], abs=1e-3)
+    assert sorted(os.listdir(f"{tmp_path}/out")) == sorted(faced["keepers"])
+
+
+def test_pick_options(spark, jpegs, tmp_path, capsys):
+    pick = ["pick", jpegs, "--json"]
+    assert cli.main([*pick, "--profile", "duo", "--benchmark", "--classifier", "tests.test_sources_and_sinks:Labels", "--cache", f"{tmp_path}/cache"]) == 0
+    one = json.loads(capsys.readouterr().out)
+    assert set(one["benchmark"]) == {x[2] for x in one["selection"]} and all(set(b["contributions"]) == set(profiles.DUO_RULES.names) for b in one["benchmark"].values())
+    assert spark.read.parquet(f"{tmp_path}/cache").count() == 10
+    assert cli.main([*pick, "--profile", "duo", "--benchmark", "--classifier", "tests.test_sources_and_sinks:Labels", "--cache", f"{tmp_path}/cache"]) == 0
+    assert json.loads(capsys.readouterr().out) == one and spark.read.parquet(f"{tmp_path}/cache").count() == 10
+    out, manifest = f"{tmp_path}/out", f"{tmp_path}/m.json"
+    assert cli.main([*pick, "--dry-run", "--output", out, "--manifest", manifest]) == 0 and not os.path.exists(out) and not os.path.exists(manifest)
+    capsys.readouterr()
+    assert cli.main([*pick, "--output", out, "--manifest", manifest, "--thumbnails", "200,100,2000", "--webp", "--rename-scheme", "sequential", "--no-convert-heic"]) == 0
+    wrote = json.load(open(manifest))
+    assert all(p["output_filename"] in os.listdir(f"{out}/{p['category']}") and p["rank"] == k + 1 for k, p in enumerate(wrote["picks"]))
+    with_thumbs = [p for p in wrote["picks"] if p["dimensions"]]
+    assert with_thumbs and all(set(p["thumbnails"]) == {"100", "200"} and set(p["thumbnails"].values()) <= set(os.listdir(f"{out}/featured")) for p in with_thumbs)
+    assert cli.main([*pick, "--thumbnails", "10,x"]) == 1 and cli.main([*pick, "--jpg-quality", "0"]) == 1
+    assert cli.main([*pick, "--profile", "duo", "--weight", "none=1"]) == 1 and cli.main([*pick, "--profile", "duo", "--weight", "glow"]) == 1
+
+
+def test_weights_act(spark, jpegs, capsys):
+    """A weight of 0 switches a rule off; totals and contributions follow."""
+    found = {}
+    for weights in ([], ["--weight", "glow=0"], ["--weight", "glow=2", "--weight", "calm=0"]):
+        assert cli.main(["pick", jpegs, "--json", "--profile", "duo", "--benchmark", *weights]) == 0
+        said = json.loads(capsys.readouterr().out)["benchmark"]
+        name = max(said, key=lambda n: said[n]["quality"])
+        found[len(weights)] = said[name]["contributions"], said[name]["quality"]
+    (plain, quality), (off, _), (more, _) = found[0], found[2], found[4]
+    assert off["glow"] == 0 and off["framing"] == pytest.approx(plain["framing"]) and plain["glow"] > 0 and more["calm"] == 0
+    assert more["glow"] == pytest.approx(4 * plain["glow"]) and plain["glow"] == pytest.approx(quality * 0.5 / 6)
+
+
+def test_a_change_that_can_not_be_saved_is_taken_back(monkeypatch):
+    from lumisift.plans import desk
+
+    held = desk.counted({"candidates": [{"idx": 0, "path": "a", "filename": "a", "score": 1.0, "decision": "", "rejected_reason": "", "similar": []}], "history": []})
+
+    def fail(*_):
+        raise PermissionError("no")
+
+    monkeypatch.setattr(sinks, "save_session", fail)
+    with pytest.raises(desk.SaveError):
+        desk.changed(held, "file:///x", "keep", 0)
+    assert held["counts"]["keep"] == 0 and held["history"] == []
+
+
+def test_codecs_register_where_the_library_is(monkeypatch):
+    from lumisift.functions import codecs
+
+    monkeypatch.setattr(codecs, "has", lambda module: module in present)
+    for present, known, encoded in (((), set(), set()), (("PIL",), {".webp"}, set()), (("PIL", "pillow_heif"), {".webp", ".heic"}, {".heic", ".heif"})):
+        assert set(codecs.decoders()) == known and set(codecs.jpeg_encoders()) == encoded and (codecs.webp_encoder() is None) == (not present)
