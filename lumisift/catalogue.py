@@ -176,7 +176,7 @@ def hamming_pairs_naive(spark, sf_dir):
 
 @query(_PAIRS)
 def hamming_pairs_banded(spark, sf_dir):
-    return _pairs(spark, sf_dir, plan=neardup.plan_bands(10_000_000, neardup.THRESHOLD))
+    return _pairs(spark, sf_dir, plan=neardup.plan_bands(100_000, neardup.THRESHOLD))
 
 
 @query(f"WITH {FILES},{_twins('files')} SELECT name, size FROM kept_twins")

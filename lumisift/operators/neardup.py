@@ -1,8 +1,9 @@
 """Near-duplicate frames: an exact similarity join of 64-bit hashes, and greedy leader selection over it.
 
 Join: to find all pairs within t bits, cut the 64 bits into t+r bands; at least r of them agree, so every choice of r
-bands is an equi-join key. More bands in a key make it rarer, at the price of more keys a row; `plan_bands` weighs
-the two by the number of distinct hashes. Selection keeps a frame unless an earlier kept one is within t bits: the
+bands is an equi-join key, and a pair is given at the first choice that agrees only. More bands in a key make it rarer, at the price of
+more keys a row; `plan_bands` weighs the two by the number of distinct hashes. Where no bands are selective (wide thresholds), hashes are cut into
+blocks and each pair of blocks is compared as a key of its own, so tasks stay of one size whatever the number of hashes. Selection keeps a frame unless an earlier kept one is within t bits: the
 lexicographically first maximal independent set, found in parallel rounds (Blelloch, Fineman and Shun, SPAA 2012).
 Equal hashes are merged first, so bursts and flat frames cost one row.
 """
@@ -19,8 +20,8 @@ from lumisift.functions.raster import hamming
 from lumisift.session import checkpoint_dir
 
 THRESHOLD = 6
-#: Up to so many distinct hashes, all pairs are compared where no bands are selective.
-NAIVE_ROWS = 20_000
+#: Up to so many distinct hashes, one side is broadcast where all are compared; beyond, blocks of so many meet in pairs.
+NAIVE_ROWS, BLOCK_ROWS = 20_000, 8_192
 
 
 def plan_bands(rows: int, threshold: int) -> tuple[int, int] | None:
@@ -37,21 +38,45 @@ def plan_bands(rows: int, threshold: int) -> tuple[int, int] | None:
     return choice
 
 
+def _parts(h: Column, bands: int) -> tuple[list[Column], list[int]]:
+    edges = [64 * k // bands for k in range(bands + 1)]
+    pairs = list(zip(edges, edges[1:]))
+    return [F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << (high - low)) - 1)) if high - low < 64 else h for low, high in pairs], [high - low for low, high in pairs]
+
+
 def band_keys(h: Column, bands: int, used: int) -> Column:
     """array<struct<which, value>>: every choice of `used` of the bands."""
-    edges = [64 * k // bands for k in range(bands + 1)]
-    parts = [F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << (high - low)) - 1)) if high - low < 64 else h for low, high in zip(edges, edges[1:])]
+    parts, widths = _parts(h, bands)
     out = []
     for which, chosen in enumerate(combinations(range(bands), used)):
         value, width = F.lit(0).cast("long"), 0
         for k in chosen:
-            size = edges[k + 1] - edges[k]
-            value = F.shiftleft(value, size).bitwiseOR(parts[k]) if width else parts[k]
-            width += size
+            value = F.shiftleft(value, widths[k]).bitwiseOR(parts[k]) if width else parts[k]
+            width += widths[k]
         out.append(F.struct(F.lit(which).alias("which"), value.cast("long").alias("value")))
     return F.array(*out)
 
 
+def _first_choice(which: Column, bands: int, used: int) -> Column:
+    """Of a pair (a, b) under a key: no earlier choice agrees too. Choices are in order, so none of the bands before its last may agree but its own."""
+    differ, _ = _parts(F.col("a").bitwiseXOR(F.col("b")), bands)
+    agree = sum((F.when(d == 0, F.lit(1 << k)).otherwise(F.lit(0)) for k, d in enumerate(differ[1:], 1)), F.when(differ[0] == 0, F.lit(1)).otherwise(F.lit(0)))
+    chosen = [sum(1 << k for k in c) for c in combinations(range(bands), used)]
+    upto = [(1 << c.bit_length()) - 1 for c in chosen]
+    pick = lambda values: F.get(F.array(*[F.lit(x).cast("long") for x in values]), which)
+    return agree.cast("long").bitwiseAND(pick(upto)) == pick(chosen)
+
+
+def _in_blocks(hashes: DataFrame, rows: int, near: Column) -> DataFrame:
+    """All pairs that are near, from each pair of blocks of about BLOCK_ROWS hashes."""
+    blocks = -(-rows // BLOCK_ROWS)
+    own = F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int")
+    x = hashes.select(F.col("h").alias("x"), own.alias("i"), F.explode(F.sequence(own, F.lit(blocks - 1))).alias("j"))
+    y = hashes.select(F.col("h").alias("y"), own.alias("j"), F.explode(F.sequence(F.lit(0), own)).alias("i"))
+    met = x.join(y, ["i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where(near)
+
+
 def similar_pairs(hashes: DataFrame, threshold: int = THRESHOLD, rows: int | None = None, plan: tuple[int, int] | None = None, compare_all: bool = False) -> DataFrame:
     """hashes(h long, distinct) -> (a, b): all pairs a < b within the threshold, each once.
 
@@ -63,13 +88,11 @@ def similar_pairs(hashes: DataFrame, threshold: int = THRESHOLD, rows: int | Non
     left, right = hashes.select(F.col("h").alias("a")), hashes.select(F.col("h").alias("b"))
     near = (F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= threshold)
     if plan is None:
-        if rows > NAIVE_ROWS:
-            raise ValueError(f"{rows} hashes are too many to compare all pairs, and at {threshold} bits no bands are selective or none were wanted")
-        return left.join(F.broadcast(right), near)
+        return left.join(F.broadcast(right), near) if rows <= NAIVE_ROWS else _in_blocks(hashes, rows, near)
     keyed = hashes.select("h", F.explode(band_keys(F.col("h"), *plan)).alias("key"))
     x = keyed.select(F.col("h").alias("a"), F.col("key.which").alias("which"), F.col("key.value").alias("value"))
     y = keyed.select(F.col("h").alias("b"), F.col("key.which").alias("which"), F.col("key.value").alias("value"))
-    return x.join(y, ["which", "value"]).where(near).select("a", "b").distinct()
+    return x.join(y, ["which", "value"]).where(near & _first_choice(F.col("which"), *plan)).select("a", "b")
 
 
 def leaders(frames: DataFrame, order: list[Column], threshold: int = THRESHOLD) -> DataFrame:
