@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisift.functions import raster, text, xmp
+from lumisift import sinks
+from lumisift.functions import exif, raster, text, xmp
 from lumisift.operators import gate, neardup, rank, review, rules, selection, twins
 from lumisift.plans import profiles
 from lumisift.plans.cull import cull
@@ -692,3 +693,110 @@ def rolling_hash(spark, sf_dir):
 @query("SELECT o_custkey, array_to_string(list_sort(list_distinct(list(o_orderpriority))), '|') AS signature FROM orders GROUP BY o_custkey")
 def label_signature(spark, sf_dir):
     return testdata.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(text.label_signature(F.collect_set("o_orderpriority")).alias("signature"))
+
+
+# --- what scans, sinks and commands compute ------------------------------------------------------------------------
+
+
+@query(f"WITH {FRAMES} SELECT frame_id, CASE WHEN decode_ok THEN width END AS width, CASE WHEN decode_ok THEN height END AS height, CASE WHEN decode_ok THEN greatest(width, height) END AS long_edge FROM frames")
+def frame_dimensions(spark, sf_dir):
+    d = frame_source.dimensions(testdata.frames(spark, sf_dir))
+    return d.select("frame_id", "dimensions.width", "dimensions.height", F.greatest("dimensions.width", "dimensions.height").alias("long_edge"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(((l_partkey % 256) * 19595 + (l_suppkey % 256) * 38470 + (l_orderkey % 256) * 7471 + 32768) >> 16 AS INTEGER) AS level FROM lineitem")
+def luma_levels(spark, sf_dir):
+    level = raster.luma_level(F.col("l_partkey") % 256, F.col("l_suppkey") % 256, F.col("l_orderkey") % 256)
+    return testdata.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", level.alias("level"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS iso, CASE WHEN o_orderkey % 4 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M') END AS shown FROM orders")
+def capture_time_shown(spark, sf_dir):
+    time = F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderdate")).cast("timestamp_ntz")
+    return testdata.table(spark, sf_dir, "orders").select("o_orderkey", text.iso(time).alias("iso"), text.shown(time).alias("shown"))
+
+
+#: A TIFF block with one date of 20 bytes, within a JPEG: start, an Exif segment of 54 bytes, and a scan.
+_DATED = ("FFD8FFE1003645786966000049492A00080000000100", "0200140000001A00000000000000", "00FFDA00020000FFD9")
+
+
+@query("""WITH t AS (SELECT o_orderkey, o_orderkey % 5 AS k, o_orderdate AS d FROM orders)
+SELECT o_orderkey, CASE WHEN k IN (0, 1, 2) THEN strftime(d, '%Y-%m-%dT%H:%M:%S') END AS taken FROM t""")
+def exif_capture_time(spark, sf_dir):
+    """The date tags of JPEG bytes: original, changed and digitised; junk and other bytes have none."""
+    k, day = F.col("o_orderkey") % 5, F.col("o_orderdate").cast("timestamp_ntz")
+    tag = F.element_at(F.array(*[F.unhex(F.lit(x)) for x in ("0390", "3201", "0490", "3201", "3201")]), (k + 1).cast("int"))
+    said = F.when(k == 3, F.lit("0000:00:00 00:00:00")).when(k == 1, F.date_format(day, "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format(day, "yyyy:MM:dd HH:mm:ss"))
+    parts = [F.unhex(F.lit(_DATED[0])), tag, F.unhex(F.lit(_DATED[1])), F.encode(said, "UTF-8"), F.unhex(F.lit(_DATED[2]))]
+    content = F.when(k == 4, F.encode(F.lit("no image"), "UTF-8")).otherwise(F.concat(*parts))
+    rows = testdata.table(spark, sf_dir, "orders").select("o_orderkey", content.alias("content"))
+    return rows.select("o_orderkey", text.iso(exif.taken_at(F.col("content"))).alias("taken"))
+
+
+_HEAD = xmp.HEADER.hex().upper()
+
+
+@query("WITH p AS (SELECT p_partkey, CAST(p_partkey % 8 AS INTEGER) AS rating, replace('" + xmp.PACKET.replace("'", "''") + "', '%d', CAST(p_partkey % 8 AS VARCHAR)) AS packet FROM part),"
+       f" q AS (SELECT *, lpad(to_hex({len(xmp.HEADER) + 2} + octet_length(encode(packet))), 4, '0') AS size FROM p)"
+       f" SELECT p_partkey, rating, CASE WHEN rating <= 5 AND p_partkey % 3 <> 0 THEN md5('FFD8FFE1' || size || '{_HEAD}' || hex(packet) || 'FFDA0002' || hex(CAST(p_partkey AS VARCHAR))) END AS content FROM q")
+def xmp_embed(spark, sf_dir):
+    """Ratings within JPEG bytes; none where the bytes are others, or the rating is not from 0 to 5."""
+    p = testdata.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 8).cast("int").alias("rating"))
+    data = F.when(F.col("p_partkey") % 3 == 0, F.encode(F.lit("PNG"), "UTF-8")).otherwise(F.concat(F.unhex(F.lit("FFD8FFDA0002")), F.encode(F.col("p_partkey").cast("string"), "UTF-8")))
+    return p.withColumn("content", data).select("p_partkey", "rating", F.md5(F.hex(xmp.embed(F.col("content"), F.col("rating")))).alias("content"))
+
+
+_PAIRS_GIVEN = ("glow={}", " tidy = 0.{} ", "wide=-{}", "none={}", "={}", "detail", "glow=x{}", "wide=1e{}", "tidy=inf")
+
+
+@query("WITH t AS (SELECT p_partkey, replace(" + _list(_PAIRS_GIVEN) + f"[p_partkey % {len(_PAIRS_GIVEN)} + 1], '{{}}', CAST(p_size AS VARCHAR)) AS pair FROM part),"
+       " s AS (SELECT *, instr(pair, '=') AS sign FROM t), v AS (SELECT *, trim(CASE WHEN sign > 0 THEN substr(pair, 1, sign - 1) ELSE '' END) AS n, TRY_CAST(trim(substr(pair, sign + 1)) AS DOUBLE) AS w FROM s),"
+       " f AS (SELECT *, CASE WHEN NOT coalesce(sign > 0 AND n <> '' AND w IS NOT NULL AND NOT isnan(w) AND w >= 0 AND NOT isinf(w), false) THEN 'bad' WHEN NOT list_contains(" + _list(_RULES.names) + ", n) THEN 'unknown' ELSE '' END AS fault FROM v)"
+       " SELECT p_partkey, CASE WHEN fault = '' THEN n END AS name, CASE WHEN fault = '' THEN w END AS weight, fault FROM f")
+def weight_pairs(spark, sf_dir):
+    shapes = F.array(*[F.lit(x) for x in _PAIRS_GIVEN])
+    pair = F.replace(F.get(shapes, (F.col("p_partkey") % len(_PAIRS_GIVEN)).cast("int")), F.lit("{}"), F.col("p_size").cast("string"))
+    return testdata.table(spark, sf_dir, "part").select("p_partkey", rules.weight_pair(pair, _RULES.names).alias("w")).select("p_partkey", "w.*")
+
+
+@query(f"WITH {_parts_sql(_DUO_LABELS)} SELECT name, round(score * (0.5::DOUBLE * p[1]), 9) AS known, 0.0::DOUBLE AS missing FROM frames")
+def missing_label_points(spark, sf_dir):
+    stack = rules.Rules((rules.Rule("known", _DUO_LABELS[0], 0.5), rules.Rule("missing", "a label that no frame has", 9.0)))
+    rows = testdata.parts(spark, sf_dir, _DUO_LABELS).select("name", stack.contributions(F.col("score"), F.col("probs")).alias("c"))
+    return rows.select("name", F.round(F.col("c")["known"], 9).alias("known"), F.col("c")["missing"].alias("missing"))
+
+
+@query(f"""WITH {CANDIDATES}, t AS (SELECT session, filename, score, lower(filename) AS low, CASE WHEN idx % 3 <> 0 THEN idx * 7 % 5 END AS taken, CASE WHEN idx % 4 <> 1 THEN score END AS said FROM candidates)
+SELECT session, filename, CAST(row_number() OVER (PARTITION BY session ORDER BY coalesce(said, 0.0) DESC, low) AS INTEGER) AS by_score, CAST(row_number() OVER (PARTITION BY session ORDER BY low) AS INTEGER) AS by_name,
+  CAST(row_number() OVER (PARTITION BY session ORDER BY taken NULLS LAST, low) AS INTEGER) AS by_time FROM t""")
+def review_sort(spark, sf_dir):
+    idx = F.col("idx")
+    rows = testdata.candidates(spark, sf_dir).withColumns({"capture_time": F.when(idx % 3 != 0, idx * 7 % 5), "score": F.when(idx % 4 != 1, F.col("score"))})
+    for name, mode in (("by_score", "score"), ("by_name", "name"), ("by_time", "capture-time")):
+        rows = rank.ranked(rows, rank.review_order(mode), ["session"], name)
+    return rows.select("session", "filename", "by_score", "by_name", "by_time")
+
+
+@query("""WITH t AS (SELECT l_suppkey AS run, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS done, count(*) OVER (PARTITION BY l_suppkey) - 1 AS total FROM lineitem)
+SELECT run, CAST(done AS INTEGER) AS done, total FROM t WHERE done % 20 = 0 OR done = total""")
+def progress_cadence(spark, sf_dir):
+    rows = rank.ranked(testdata.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run"), "l_orderkey", "l_linenumber"), [F.col("l_orderkey"), F.col("l_linenumber")], ["run"], "n")
+    totals = rows.groupBy("run").agg((F.count("*") - 1).alias("total"))
+    told = rows.join(totals, "run").withColumn("done", F.col("n") - 1)
+    return told.where(progress.cadence(F.col("done"), F.col("total"))).select("run", F.col("done").cast("int").alias("done"), "total")
+
+
+@query(f"""WITH {FILES}, o AS (SELECT name, regexp_replace(name, '\.[^.]+$', '') AS stem, lower(regexp_extract(name, '(\.[^.]+)$', 1)) AS ext, size FROM files),
+w AS (SELECT *, CASE WHEN size % 5 = 0 THEN 'new' ELSE stem END AS out_stem, CASE WHEN ext = '.heic' THEN '.jpg' ELSE ext END AS out_ext FROM o WHERE size % 7 <> 0)
+SELECT count(*) AS written, count(*) FILTER (ext <> out_ext) AS transcoded, count(*) FILTER (stem <> out_stem) AS renamed FROM w""")
+def sink_counts(spark, sf_dir):
+    f = testdata.files(spark, sf_dir)
+    stem, ext = text.stem(F.col("name")), text.suffix(F.col("name"))
+    out = F.concat(F.lit("/out/"), F.when(F.col("size") % 5 == 0, F.lit("new")).otherwise(stem), F.when(ext == ".heic", F.lit(".jpg")).otherwise(ext))
+    return sinks.changes_of_name(f.select("name", out.alias("output_path"), (F.col("size") % 7 != 0).alias("ok")))
+
+
+@query(f"WITH RECURSIVE {CULL} SELECT w.name, round(s.score, 9) AS score FROM winners w JOIN survivors s USING (name)")
+def keeper_scores(spark, sf_dir):
+    done = cull(testdata.frames(spark, sf_dir))
+    return done.scored.join(done.keepers.select("name"), "name").select("name", F.round("score", 9).alias("score"))

@@ -84,6 +84,11 @@ def face_multiplier(least_ratio: Column) -> Column:
 # --- decoded rasters ---------------------------------------------------------------------------------------------
 
 
+def luma_level(red: Column, green: Column, blue: Column) -> Column:
+    """The grey level of a pixel, as `luma` has it for rasters."""
+    return F.shiftright(red * 19595 + green * 38470 + blue * 7471 + 0x8000, 16).cast("int")
+
+
 def luma(image: np.ndarray) -> np.ndarray:
     """uint8 grey levels of an HxWxC raster in blue-green-red(-alpha) order, or HxW: 0.299 R + 0.587 G + 0.114 B in 16-bit fixed point."""
     if image.ndim == 2 or image.shape[2] == 1:

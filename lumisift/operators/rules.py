@@ -73,6 +73,17 @@ def parse_weights(given: list[str]) -> dict[str, float]:
     return out
 
 
+def weight_pair(pair: Column, known: tuple[str, ...]) -> Column:
+    """struct<name, weight, fault> of a NAME=VALUE string, as `parse_weights` and `reweighted` judge it: fault is bad, unknown or empty."""
+    at = F.instr(pair, F.lit("="))
+    name = F.trim(F.substr(pair, F.lit(1), F.greatest(at - 1, F.lit(0))))
+    value = F.trim(F.substr(pair, at + 1)).try_cast("double")
+    good = (at > 0) & (name != "") & value.isNotNull() & ~F.isnan(value) & (value >= 0) & (value < float("inf"))
+    fault = F.when(~F.coalesce(good, F.lit(False)), F.lit("bad")).when(~name.isin(*known), F.lit("unknown")).otherwise(F.lit(""))
+    fine = fault == ""
+    return F.struct(F.when(fine, name).alias("name"), F.when(fine, value).alias("weight"), fault.alias("fault"))
+
+
 def softmax(logits: Column) -> Column:
     """exp(x - max) / sum, in array order."""
     shifted = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))

@@ -86,6 +86,15 @@ def tally(report: DataFrame) -> DataFrame:
     return report.agg(F.count_if("ok").alias("written"), F.count_if(~F.col("ok")).alias("failed"))
 
 
+def changes_of_name(report: DataFrame) -> DataFrame:
+    """Of files written (name, output_path, ok): written, transcoded (to another kind of file), renamed (other than by that)."""
+    from lumisift.functions import text
+
+    out = F.element_at(F.split("output_path", "/"), -1)
+    other = text.suffix(out) != text.suffix(F.col("name"))
+    return report.where("ok").agg(F.count("*").alias("written"), F.count_if(other).alias("transcoded"), F.count_if(text.stem(out) != text.stem(F.col("name"))).alias("renamed"))
+
+
 def save_session(path: str, session: dict, attempts: int = 3) -> None:
     """A session as JSON on a local or shared file system: a draft is written and moved, so readers see the old or the new one."""
     import json
@@ -191,4 +200,4 @@ def summary(counts: dict[str, int], picked: int, total: int) -> str:
     return f"kept {picked} of {total}" + (f" (rejected: {lost})" if lost else "")
 
 
-__all__ = ["RENAME_SCHEMES", "fitted", "folder_entries", "guard_output", "preview_width", "resized", "save_session", "summary", "tally", "thumbnail_plan", "thumbnails", "write_bytes", "write_files", "write_manifest", "write_table"]
+__all__ = ["RENAME_SCHEMES", "changes_of_name", "fitted", "folder_entries", "guard_output", "preview_width", "resized", "save_session", "summary", "tally", "thumbnail_plan", "thumbnails", "write_bytes", "write_files", "write_manifest", "write_table"]

@@ -113,6 +113,11 @@ def with_features(frames: DataFrame) -> DataFrame:
     return measured.withColumn("score", raster.composite(F.col("sharpness"), F.col("exposure")))
 
 
+def dimensions(frames: DataFrame) -> DataFrame:
+    """Adds dimensions struct<width, height>, null where undecodable."""
+    return frames.withColumn("dimensions", F.when(F.col("decode_ok"), F.struct("width", "height")))
+
+
 def hashed(frames: DataFrame) -> DataFrame:
     """Adds score and h to frames that come with sharpness and exposure, as from scan_folder."""
     return frames.withColumn("score", raster.composite(F.col("sharpness"), F.col("exposure"))).withColumn("h", F.when(F.col("decode_ok"), raster.average_hash(F.col("grid"))))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from lumisift.shipping import ship
 
 ship(__name__)
 
+#: Fixed value: of so many steps one is told.
+EVERY = 20
 CHANGES = "run string, seq long, stage string, done int, total int, serial long"
 
 
@@ -52,6 +54,11 @@ def latest(changed: DataFrame) -> DataFrame:
     return changed.groupBy("run").agg(best.alias("s")).select("run", "s.*", (F.col("s.stage") == "done").alias("finished"))
 
 
+def cadence(done: Column, total: Column, every: int = EVERY) -> Column:
+    """Whether a step of a stage is told: its start, each `every`-th, and its end."""
+    return (done % every == 0) | (done == total)
+
+
 def watched(rows: DataFrame, name: str):
     """(rows, observation): the observation's `rows` is how many passed once an action has run."""
     from pyspark.sql import Observation
