@@ -786,7 +786,7 @@ def progress_cadence(spark, sf_dir):
     return told.where(progress.cadence(F.col("done"), F.col("total"))).select("run", F.col("done").cast("int").alias("done"), "total")
 
 
-@query(f"""WITH {FILES}, o AS (SELECT name, regexp_replace(name, '\.[^.]+$', '') AS stem, lower(regexp_extract(name, '(\.[^.]+)$', 1)) AS ext, size FROM files),
+@query(f"""WITH {FILES}, o AS (SELECT name, regexp_replace(name, '[.][^.]+$', '') AS stem, lower(regexp_extract(name, '([.][^.]+)$', 1)) AS ext, size FROM files),
 w AS (SELECT *, CASE WHEN size % 5 = 0 THEN 'new' ELSE stem END AS out_stem, CASE WHEN ext = '.heic' THEN '.jpg' ELSE ext END AS out_ext FROM o WHERE size % 7 <> 0)
 SELECT count(*) AS written, count(*) FILTER (ext <> out_ext) AS transcoded, count(*) FILTER (stem <> out_stem) AS renamed FROM w""")
 def sink_counts(spark, sf_dir):
