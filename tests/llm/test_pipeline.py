@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import pytest
 from lumisift.llm import common, decontam, simhash
 from pyspark.sql import functions as F
 
@@ -81,7 +82,14 @@ def test_an_empty_corpus(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-def test_near_copies_at_similarities_of_0_8_to_0_9(spark):
+@pytest.mark.parametrize("small", [32, 3])
+def test_near_copies_at_similarities_of_0_8_to_0_9(spark, monkeypatch, small):
+    from lumisift.llm import shingles
+
+    if small == 3:  # almost every key is a crowd, whose blocks and nearest sets give next to nothing, so that the exact second look must
+        monkeypatch.setattr(shingles, "SMALL", 2)
+        monkeypatch.setattr(shingles, "BLOCK", 4)
+        monkeypatch.setattr(shingles, "NEAREST", 1)
     rng = random.Random(12)
     draw = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
     grams = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
