@@ -4,8 +4,9 @@ Inner products become distances by one more component, sqrt(longest**2 - |x|**2)
 A tree of `branching` k-means clusters at each level is fitted on a bounded sample (SAMPLE vectors, taken in the order of a hash) on the
 driver. Where the table has more than LEAF_SIZE vectors a leaf, each leaf is parted further, on executors and on a bounded sample of
 its own vectors, so that leaves keep their size up to MAX_LEAVES of them; this bounds what is collected and broadcast. Every vector is indexed
-in the leaf it descends to. A query walks the tree with a priority queue of bins, by the inner product with the bin's centre and
-REACH deviations of the bin along the query, and visits leaves in the order they come out.
+in the leaf it descends to. What a leaf may hold for a query is the inner product with the centre of its vectors (of MEASURED of them at most, by a hash)
+and REACH of their deviations along the query; a bin promises what the best of its leaves does. A query walks the tree with a priority queue
+of bins by promise, and visits leaves in the order they come out.
 
 How many leaves: CALIBRATION queries (a bounded set, in the order of a hash) are answered exactly by a scan; the visits are
 widened until the leaves seen hold at least `recall` of their true neighbours.
@@ -36,7 +37,7 @@ from .common import Shared, materialise, ship, small_batches, tidied
 ship(__name__)
 
 SAMPLE, BRANCHING, LEAF_SAMPLE, CALIBRATION, RECALL, BLOCK, QUERY_BLOCK = 20_000, 8, 24, 200, 0.95, 4096, 512
-LEAF_SIZE, MAX_LEAVES, REACH = 64, 100_000, 2.5
+LEAF_SIZE, MAX_LEAVES, REACH, MEASURED = 64, 100_000, 2.5, 256
 
 
 def grown(points: np.ndarray, branching: int = BRANCHING, least: int = LEAF_SAMPLE, seed: int = 7) -> tuple:
@@ -69,7 +70,7 @@ def kmeans(points: np.ndarray, k: int, rng, rounds: int = 8) -> list[np.ndarray]
 class Tree:
     """A grown tree as arrays. Children of a node stand together; leaves are numbered from left to right, so neighbours are alike."""
 
-    def __init__(self, root: tuple):
+    def __init__(self, root: tuple, measured: tuple[np.ndarray, np.ndarray] | None = None):
         self.root, self.leaves = root, 0
         centres, spread, self.first, self.count, self.leaf, todo = [root[0]], [root[1]], [0], [0], [-1], [(0, root)]
         while todo:  # depth first, so that leaves come out from left to right
@@ -82,10 +83,13 @@ class Tree:
             for child in children:
                 centres.append(child[0]), spread.append(child[1]), self.first.append(0), self.count.append(0), self.leaf.append(-1)
             todo += [(self.first[at] + k, child) for k, child in reversed(list(enumerate(children)))]
-        self.centres, self.spread = np.array(centres, dtype=np.float64), np.array(spread)
+        self.centres = np.array(centres, dtype=np.float64)
+        ends = np.flatnonzero(np.array(self.leaf) >= 0)
+        self.end = ends[np.argsort(np.array(self.leaf)[ends])]  # the node of each leaf
+        self.measured = measured or (self.centres[self.end], np.array(spread)[self.end])
 
     def __reduce__(self):
-        return Tree, (self.root,)
+        return Tree, (self.root, self.measured)
 
     def grafted(self, parts: dict[int, tuple]) -> "Tree":
         """The tree with other nodes in place of some leaves."""
@@ -115,9 +119,14 @@ class Tree:
         return out
 
     def promise(self, queries: np.ndarray) -> np.ndarray:
-        """(queries, nodes): how large an inner product a bin may hold."""
-        width = queries.shape[1]
-        return queries @ self.centres[:, :width].T + REACH * np.sqrt((queries**2).sum(axis=1))[:, None] * self.spread[None, :]
+        """(queries, nodes): how large an inner product a bin may hold. Children stand after their parents."""
+        centres, spread = self.measured
+        out = np.empty((len(queries), len(self.centres)))
+        out[:, self.end] = queries @ centres[:, : queries.shape[1]].T + REACH * np.sqrt((queries**2).sum(axis=1))[:, None] * spread[None, :]
+        for at in range(len(self.centres) - 1, -1, -1):
+            if self.count[at]:
+                out[:, at] = out[:, self.first[at] : self.first[at] + self.count[at]].max(axis=1)
+        return out
 
     def visits(self, promise: np.ndarray, most: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
         """Leaves in the order in which a priority queue of bins yields them: `most`, and on until they hold `least` vectors."""
@@ -248,8 +257,21 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id",
         fitted = bounded.groupBy("leaf").applyInArrow(fit, "leaf int, part binary").collect()  # bounded by MAX_LEAVES
         tree = tree.grafted({r.leaf: pickle.loads(r.part) for r in fitted})
 
+    indexed = materialise(good.mapInArrow(index(Shared(spark, "ann", tree)), "id long, leaf int, x binary"), "ann")
+
+    def measure(group):
+        import pyarrow as pa
+
+        x = matrix(group.column("x"), width)
+        centre = x.mean(axis=0)
+        return pa.table({"leaf": group.column("leaf")[:1], "centre": pa.array([centre.tobytes()], pa.binary()), "spread": [float(np.sqrt(((x - centre) ** 2).mean()))]})
+
+    some_of_each = indexed.withColumn("k", F.row_number().over(W.partitionBy("leaf").orderBy(F.xxhash64(F.lit(4), "id"), "x"))).where(F.col("k") <= MEASURED)
+    centres, spread = np.zeros((tree.leaves, width)), np.full(tree.leaves, -np.inf)  # a leaf without vectors promises nothing
+    for r in some_of_each.select("leaf", "x").groupBy("leaf").applyInArrow(measure, "leaf int, centre binary, spread double").collect():  # a row a leaf
+        centres[r.leaf], spread[r.leaf] = np.frombuffer(r.centre, dtype="<f8"), r.spread
+    tree = Tree(tree.root, (centres, spread))
     shared = Shared(spark, "ann", tree)
-    indexed = materialise(good.mapInArrow(index(shared), "id long, leaf int, x binary"), "ann")
     asked_first = Shared(spark, "ann-tests", (test_ids, tests))
 
     def exact(batches: Iterator):
