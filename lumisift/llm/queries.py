@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, licenses, mixing, simhash, substring, tokencount, tokenstore
+from . import ann, chat, decontam, hardneg, langid, licenses, mixing, simhash, substring, tokencount, tokenstore
 from .common import table
 
 #: A conversation whose texts look like control strings, formatted beside the table's own.
@@ -76,6 +76,12 @@ def op10_substring_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(rows.withColumn("label", label), lambda i: i % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op2_kmeans_tree": op2_kmeans_tree,
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_curriculum_mix": op8_curriculum_mix,
     "op9_chat_format": op9_chat_format,
     "op10_substring_rlz": op10_substring_rlz,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 
@@ -227,4 +234,23 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0)
 FROM d LEFT JOIN l USING (row_no)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_spaced_seeds": _op1_sql(), "op3_license_rules": _op3_sql(), "op8_curriculum_mix": _op8_sql(), "op9_chat_format": _op9_sql(), "op10_substring_rlz": _op10_sql()}
+def _op13_sql() -> str:
+    return f"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor({hardneg.SCALE} * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same, CAST(list_dot_product(a.v, e.v) AS BIGINT) AS score
+  FROM e AS a JOIN e ON a.vec_id % 50 = 0 AND a.vec_id <> e.vec_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same),
+n AS (
+  SELECT anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score, CAST(k AS INTEGER) AS positive_rank,
+    CAST(row_number() OVER (PARTITION BY anchor_id, k ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s USING (anchor_id)
+  WHERE k <= {hardneg.POSITIVES} AND NOT s.same AND {hardneg.SHARES[0]} * p.score <= 100 * s.score AND 100 * s.score <= {hardneg.SHARES[1]} * p.score)
+SELECT * FROM n WHERE rank <= {hardneg.NEGATIVES}"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_spaced_seeds": _op1_sql(), "op3_license_rules": _op3_sql(), "op8_curriculum_mix": _op8_sql(), "op9_chat_format": _op9_sql(), "op10_substring_rlz": _op10_sql(), "op13_hard_negatives": _op13_sql()}
