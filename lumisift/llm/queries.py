@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, hardneg, langid, licenses, mixing, simhash, substring, tokencount, tokenstore
+from . import ann, chat, decontam, errata, hardneg, langid, licenses, mixing, simhash, substring, tokencount, tokenstore
 from .common import table
 
 #: A conversation whose texts look like control strings, formatted beside the table's own.
@@ -76,6 +76,10 @@ def op10_substring_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_errata_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return errata.spelling_variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_curriculum_mix": op8_curriculum_mix,
     "op9_chat_format": op9_chat_format,
     "op10_substring_rlz": op10_substring_rlz,
+    "op11_errata_trie": op11_errata_trie,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -234,6 +239,33 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0)
 FROM d LEFT JOIN l USING (row_no)"""
 
 
+def _op11_sql() -> str:
+    step = "CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"  # the polynomial of zip files, reflected
+    cut = f"translate(run, '{errata.UPPER}', '{errata.LOWER}')"
+    return rf"""
+WITH RECURSIVE c AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda a, k: {step}, b)) AS t),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+k AS (SELECT id, {cut} AS w, count(*) AS times FROM r WHERE length(run) >= {errata.LEAST_LENGTH} GROUP BY ALL),
+x AS (SELECT *, hex(encode(id || ':' || w)) AS x FROM k),
+h AS (
+  SELECT w, times, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)),
+    lambda a, y: xor(a >> 8, t[(xor(a, y) & 255) + 1]), 4294967295), 4294967295) AS h FROM x, c),
+l AS (SELECT CASE WHEN h % {errata.SLIPS} = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, times FROM h),
+v AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM l WHERE length(word) >= {errata.LEAST_LENGTH} GROUP BY word HAVING sum(times) >= {errata.LEAST_COUNT}),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS z FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (
+  SELECT d.word AS a, v.word AS b FROM d JOIN v ON v.word = d.z
+  UNION SELECT v.word, d.word FROM d JOIN v ON v.word = d.z
+  UNION SELECT d.word, e.word FROM d JOIN d AS e ON d.z = e.z AND d.i = e.i AND d.word <> e.word),
+b AS (SELECT a, count(*) AS n_near, min((-v.n, v.word)) AS best FROM p JOIN v ON v.word = b GROUP BY a),
+f AS (
+  SELECT word, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN -best[1] >= {errata.TIMES} * n THEN best[2] END AS form, CASE WHEN -best[1] >= {errata.TIMES} * n THEN -best[1] END AS form_n
+  FROM v LEFT JOIN b ON a = word),
+w AS (SELECT word, form AS up FROM f WHERE form IS NOT NULL UNION ALL SELECT w.word, f.form FROM w JOIN f ON f.word = w.up WHERE f.form IS NOT NULL),
+e AS (SELECT w.word, w.up FROM w JOIN f ON f.word = w.up WHERE f.form IS NULL)
+SELECT f.word, form, coalesce(up, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN e ON e.word = f.word"""
+
+
 def _op13_sql() -> str:
     return f"""
 WITH e AS (
@@ -253,4 +285,4 @@ n AS (
 SELECT * FROM n WHERE rank <= {hardneg.NEGATIVES}"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_spaced_seeds": _op1_sql(), "op3_license_rules": _op3_sql(), "op8_curriculum_mix": _op8_sql(), "op9_chat_format": _op9_sql(), "op10_substring_rlz": _op10_sql(), "op13_hard_negatives": _op13_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_spaced_seeds": _op1_sql(), "op3_license_rules": _op3_sql(), "op8_curriculum_mix": _op8_sql(), "op9_chat_format": _op9_sql(), "op10_substring_rlz": _op10_sql(), "op11_errata_trie": _op11_sql(), "op13_hard_negatives": _op13_sql()}
