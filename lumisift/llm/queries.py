@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, errata, hardneg, langid, licenses, mixing, simhash, substring, tokencount, tokenstore
+from . import ann, chat, decontam, errata, hardneg, langid, licenses, mixing, mixture, simhash, substring, tokencount, tokenstore
 from .common import table
 
 #: A conversation whose texts look like control strings, formatted beside the table's own.
@@ -80,6 +80,10 @@ def op11_errata_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errata.spelling_variants(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.score_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_substring_rlz": op10_substring_rlz,
     "op11_errata_trie": op11_errata_trie,
+    "op12_context_mixing": op12_context_mixing,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
