@@ -201,7 +201,7 @@ def neardup_kept(spark, sf_dir):
 @query(f"WITH RECURSIVE {FRAMES},{_greedy('frames', 'score DESC, name')} SELECT winner, CAST(row_number() OVER (PARTITION BY winner ORDER BY score DESC, name) AS INTEGER) AS ord, name AS loser FROM led JOIN frames USING (name) WHERE NOT kept")
 def neardup_clusters(spark, sf_dir):
     rows = testdata.frames(spark, sf_dir)
-    return neardup.clusters(neardup.leaders(rows, [-F.col("score")]), rows, [F.desc("score")])
+    return neardup.clusters(neardup.leaders(rows, [-F.col("score")]), rows, [-F.col("score")])
 
 
 @query(f"WITH RECURSIVE {FRAMES},{_greedy('frames', 'name', threshold=16)} SELECT name, kept, winner FROM led")

@@ -10,6 +10,8 @@ import importlib
 import json
 import os
 import sys
+import threading
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,7 @@ from lumisift.plans.cull import TOP_N, cull
 from lumisift.session import session
 from lumisift.sources import frames as source
 from lumisift.sources import sessions
+from lumisift.streaming import progress, watch
 
 
 def _between(low: int, high: int):
@@ -69,6 +72,8 @@ def _parser() -> argparse.ArgumentParser:
     one.add_argument("--xmp", action="store_true", help="write a star rating by rank into JPEG copies")
     one.add_argument("--session", action="store_true", help=f"write a review session, {desk.FILE}, into the folder")
     one.add_argument("--include-rejects", action="store_true", help="rejected frames are candidates of the session too")
+    one.add_argument("--live-progress", action="store_true", help=f"show each step of the work, for {progress.BOUND} seconds at most, not only the start and end of a stage")
+    one.add_argument("--progress-log", metavar="FOLDER", help="leave each step as a file of JSON there, for a stream to follow")
     one.add_argument("--resume", action="store_true", help="show the folder's session, if it has a usable one, instead of culling")
     two.add_argument("--profile")
     two.add_argument("--config", help="a JSON description of a profile")
@@ -103,6 +108,13 @@ def _provider(named: str):
     return found() if isinstance(found, type) else found
 
 
+def fs_path(uri: str) -> str:
+    """The path that a URI's file system knows it by."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)[1]
+
+
 def _uri(path: str) -> str:
     return path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path)
 
@@ -124,7 +136,7 @@ def _write_json(path: str, said: dict) -> None:
 def _written(spark: SparkSession, picks: DataFrame, folder: str, overwrite: bool, encoders: dict) -> dict[str, str]:
     """Write files; names to output paths. OSError if none could be written."""
     sinks.guard_output(spark, folder, overwrite)
-    report = sinks.write_files(picks, folder, encoders).collect()  # as few as the picks
+    report = sinks.write_files(picks, _uri(folder), encoders).collect()  # as few as the picks
     for r in report:
         if not r.ok:
             _say(f"  could not write {r.name}: {r.error}")
@@ -135,29 +147,66 @@ def _written(spark: SparkSession, picks: DataFrame, folder: str, overwrite: bool
     return done
 
 
+@contextmanager
+def _followed(spark: SparkSession, args):
+    """A watch whose stages are shown on standard error: their starts and ends, or with --live-progress each step."""
+    keep = watch.log_to(_uri(args.progress_log)) if args.progress_log else lambda state: None
+
+    def tell(state: dict) -> None:
+        keep(state)
+        if not args.live_progress and not state["finished"] and state["done"] in (0, state["total"]):
+            _say(f"  {state['stage']}: {state['done']}/{state['total']}")
+
+    broker = watch.Broker(args.folder, tell)
+
+    def show() -> None:
+        for state in broker.states(progress.BOUND):
+            _say(f"  {'finished' if state['finished'] else state['stage']}: {state['done']}/{state['total']}")
+
+    shown = threading.Thread(target=show, daemon=True)
+    if args.live_progress:
+        shown.start()
+    try:
+        yield watch.Watch(spark, broker)
+    except BaseException:
+        broker.update("error", 0, 0)
+        raise
+    finally:
+        broker.finish()
+        if args.live_progress:
+            shown.join()
+
+
 def _cull(spark: SparkSession, args) -> int:
+    with _followed(spark, args) as followed:
+        return _culled(spark, args, followed)
+
+
+def _culled(spark: SparkSession, args, followed: watch.Watch) -> int:
     saved = f"{_uri(args.folder)}/{desk.FILE}"
     if args.resume and (held := desk.load(saved)):
         said = {"source_folder": held["source_folder"], "prompt": held["prompt"], "counts": held["counts"]}
         print(json.dumps(said) if args.json else f"resumed: {said['counts']}")
         return 0
-    frames = _frames(spark, args.folder)
-    if frames.isEmpty():
-        raise ValueError(f"no images in {args.folder}")
+    frames = _frames(spark, args.folder).persist()  # pixels are read once; grids are small
+    with followed.stage("scan"):
+        if not frames.count():
+            raise ValueError(f"no images in {args.folder}")
     client = _provider(args.client) if args.prompt and not args.no_ai and args.client else None
     if args.prompt and not args.no_ai and client is None:
         raise ValueError("a prompt needs a --client, or --no-ai")
     faces = classify.faces(frames, _provider(args.faces), "path") if args.faces else None
     if faces is not None:
         faces = faces.withColumnRenamed("name", "path").join(frames.select("path", "name"), "path")
-    frames = frames.persist()  # pixels are read once; grids are small
-    done = cull(frames, args.top, args.sharpness, args.min_long_edge, args.sort, faces=faces)
+    with followed.stage("dedup"):
+        done = cull(frames, args.top, args.sharpness, args.min_long_edge, args.sort, faces=faces)
     keepers = done.keepers.withColumns({"ai_score": F.lit(None).cast("int"), "ai_reason": F.lit(None).cast("string")})
     if client is not None:
         asked = done.keepers.join(sinks.resized(spark, args.folder, done.keepers.select("name")), "name")
         ranked = rerank.rerank(asked, client, args.prompt, attempts=args.ai_max_attempts, workers=args.ai_workers)
         keepers = ranked.drop("rank").withColumnRenamed("ai_rank", "rank")
-    rows = sorted(keepers.select("rank", "name", "path", "score", text.iso(F.col("capture_time")).alias("taken"), "ai_score", "ai_reason").collect())  # the best n
+    with followed.stage("select" if client is None else "rerank"):
+        rows = sorted(keepers.select("rank", "name", "path", "score", text.iso(F.col("capture_time")).alias("taken"), "ai_score", "ai_reason").collect())  # the best n
     counts, inputs = {r.reason: r.n for r in done.reject_counts().collect()}, done.input_count().first()[0]
     ai = {r.name: {"score": r.ai_score, "reason": r.ai_reason} for r in rows if r.ai_score is not None}
     said = {"folder": args.folder, "top": args.top, "keepers": [r.name for r in rows], "scores": {r.name: round(r.score, 4) for r in rows}, "ai_scores": ai, "reject_counts": counts}
@@ -166,7 +215,9 @@ def _cull(spark: SparkSession, args) -> int:
         encoders = codecs.jpeg_encoders(args.jpg_quality)
         rating = xmp.star_rating(F.col("rank"), F.lit(len(rows))) if args.xmp else F.lit(None).cast("int")
         name = selection.output_name(F.col("name"), F.lit(""), F.lit(1), F.lit(1), F.lit(1), "original", bool(encoders))
-        _written(spark, spark.createDataFrame([(r.name, r.path, r["rank"]) for r in rows], "name string, path string, rank int").select("name", "path", name.alias("output_filename"), rating.alias("rating")), args.output, args.overwrite, encoders)
+        picks = spark.createDataFrame([(r.name, r.path, r["rank"]) for r in rows], "name string, path string, rank int").select("name", "path", name.alias("output_filename"), rating.alias("rating"))
+        with followed.stage("write"):
+            _written(spark, picks, args.output, args.overwrite, encoders)
     if args.manifest:
         picks = [{"rank": r["rank"], "filename": r.name, "path": r.path, "score": round(r.score, 4), "capture_time": r.taken} | ({"ai_score": r.ai_score, "ai_reason": r.ai_reason} if r.ai_score is not None else {}) for r in rows]
         _write_json(args.manifest, {"folder": args.folder, "generated_at": datetime.now(timezone.utc).isoformat(), "top": args.top, "prompt": args.prompt or "", "reject_counts": counts, "input_count": inputs, "picks": picks})
@@ -245,18 +296,19 @@ def _pick(spark: SparkSession, args) -> int:
         name = selection.output_name(F.col("name"), F.col("category"), F.col("rank"), F.col("global_rank"), F.lit(total), args.rename_scheme, bool(encoders))
         picks = picked.select("name", "path", F.concat("category", F.lit("/"), name).alias("output_filename"), F.lit(None).cast("int").alias("rating"))
         outputs = _written(spark, picks, args.output, args.overwrite, encoders)
-        stems = {k: v.rpartition(".")[0] for k, v in outputs.items()}
+        root = _uri(args.output).rstrip("/")
+        stems = {k: v.rpartition(".")[0][len(fs_path(root)) + 1 :] for k, v in outputs.items()}
         if args.thumbnails:
-            for r in sinks.thumbnails(spark, args.folder, picked.select("name"), args.thumbnails).toLocalIterator():
-                if r.name in stems:
-                    thumbs.setdefault(r.name, {})[str(r.width)] = sinks.write_bytes(f"{stems[r.name]}-{r.width}w.png", r.content)
+            beside = spark.createDataFrame(sorted(stems.items()), "name string, stem string")
+            for r in sinks.write_thumbnails(spark, args.folder, beside, args.thumbnails, _uri(args.output)).collect():  # a row a file
+                thumbs.setdefault(r.name, {})[str(r.width)] = r.output_path
         if args.webp:
             encoder = codecs.webp_encoder(args.webp_quality)
             if encoder is None:
                 _say("  no WebP encoder is installed; none are written")
             else:
                 renamed = picks.where(F.col("name").isin(*outputs)).withColumn("output_filename", F.concat(text.stem(F.col("output_filename")), F.lit(".webp")))
-                webps = {r.name: r.output_path for r in sinks.write_files(renamed, args.output, dict.fromkeys(text.SCANNED, encoder)).collect() if r.ok}
+                webps = {r.name: r.output_path for r in sinks.write_files(renamed, _uri(args.output), dict.fromkeys(text.SCANNED, encoder)).collect() if r.ok}
     if args.manifest:
         last = lambda path: path.rpartition("/")[2]
         picks = []

@@ -1,4 +1,4 @@
-"""Capture times out of JPEG bytes: a small reader of Exif date tags, and the order in which they count."""
+"""Capture times out of Exif blocks: a small reader of Exif date tags, and the order in which they count."""
 
 from __future__ import annotations
 
@@ -41,12 +41,19 @@ def _block(data: bytes, at: int, order: str) -> dict[int, object]:
 
 def date_tags(data: bytes | None) -> dict[str, str | None]:
     """FIELDS of JPEG bytes; all None where there is no Exif that can be read."""
+    try:
+        return block_dates(next(body[6:] for marker, body in segments(bytes(data)) if marker == 0xE1 and body.startswith(b"Exif\0\0")))
+    except (StopIteration, ValueError, TypeError, struct.error):
+        return dict.fromkeys(FIELDS)
+
+
+def block_dates(exif: bytes | None) -> dict[str, str | None]:
+    """FIELDS of an Exif block, of whatever file; all None where it can't be read."""
     none: dict[str, str | None] = dict.fromkeys(FIELDS)
     try:
-        exif = next(body[6:] for marker, body in segments(bytes(data)) if marker == 0xE1 and body.startswith(b"Exif\0\0"))
         order = {b"II": "<", b"MM": ">"}[exif[:2]]
         top = _block(exif, struct.unpack_from(order + "I", exif, 4)[0], order)
-    except (StopIteration, KeyError, ValueError, TypeError, struct.error):
+    except (KeyError, TypeError, struct.error):
         return none
     pointer = top.get(EXIF_BLOCK)
     sub = _block(exif, pointer, order) if isinstance(pointer, int) else {}

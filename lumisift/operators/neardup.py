@@ -4,8 +4,9 @@ Join: to find all pairs within t bits, cut the 64 bits into t+r bands; at least
 bands is an equi-join key, and a pair is given at the first choice that agrees only. More bands in a key make it rarer, at the price of
 more keys a row; `plan_bands` weighs the two by the number of distinct hashes. Where no bands are selective (wide thresholds), hashes are cut into
 blocks and each pair of blocks is compared as a key of its own, so tasks stay of one size whatever the number of hashes. Selection keeps a frame unless an earlier kept one is within t bits: the
-lexicographically first maximal independent set, found in parallel rounds (Blelloch, Fineman and Shun, SPAA 2012).
-Equal hashes are merged first, so bursts and flat frames cost one row.
+lexicographically first maximal independent set. Hashes are numbered in the order and cut into ranges of it; each range is scanned in order, in rounds
+that hand decisions from range to range (few for orders that are random to the hashes: Blelloch, Fineman and Shun, SPAA 2012; and never one a link of a chain, as
+frames that drift do so within a range). Equal hashes are merged first, so bursts and flat frames cost one row.
 """
 
 from __future__ import annotations
@@ -17,9 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumisift.functions.raster import hamming
+from lumisift.operators.ordered import numbered, running
 from lumisift.session import checkpoint_dir
+from lumisift.shipping import ship
+
+ship(__name__)
 
 THRESHOLD = 6
+#: Pairs of near hashes that a range of the order holds, more or less.
+RANGE_EDGES = 1_000_000
 #: Up to so many distinct hashes, one side is broadcast where all are compared; beyond, blocks of so many meet in pairs.
 NAIVE_ROWS, BLOCK_ROWS = 20_000, 8_192
 
@@ -95,44 +102,83 @@ def similar_pairs(hashes: DataFrame, threshold: int = THRESHOLD, rows: int | Non
     return x.join(y, ["which", "value"]).where(near & _first_choice(F.col("which"), *plan)).select("a", "b")
 
 
-def leaders(frames: DataFrame, order: list[Column], threshold: int = THRESHOLD) -> DataFrame:
+def scanned(edges: list[tuple[int, int, bool | None]]) -> dict[int, bool]:
+    """Which frames are kept, as far as the open edges(earlier, later, whether the earlier is kept or None) of a range of the order tell, in one scan.
+
+    A frame with a kept one before it is dropped; one with dropped ones only is kept; what hangs on an undecided frame of another range stays open.
+    """
+    into: dict[int, list[tuple[int, bool | None]]] = {}
+    for x, y, known in edges:
+        into.setdefault(y, []).append((x, known))
+    kept: dict[int, bool] = {}
+    for y in sorted(into):
+        said = {kept.get(x) if known is None else known for x, known in into[y]}
+        if True in said:
+            kept[y] = False
+        elif None not in said:
+            kept[y] = True
+    return kept
+
+
+def settled(edges: DataFrame) -> DataFrame:
+    """edges(x, y, part) of numbers x < y, part the range of y -> (n, kept) of all y: y is kept unless a kept x comes before it.
+
+    Each round scans all ranges, each on its own and in order, with what earlier rounds have decided of the others. The first
+    range that is open is decided whole in a round, and so is whatever does not hang on another range's undecided frames: a chain within a
+    range takes no more rounds than a pair, and chains across ranges one a crossing.
+    """
+    roots = edges.select(F.col("x").alias("n")).join(edges.select(F.col("y").alias("n")), "n", "left_anti").distinct()
+    open_ = edges.join(roots.withColumn("known", F.lit(True)), F.col("x") == F.col("n"), "left").select("part", "x", "y", "known").checkpoint()
+    found: list[DataFrame] = []
+
+    def scan(group):
+        import pyarrow as pa
+
+        kept = scanned(list(zip(*(group.column(c).to_pylist() for c in ("x", "y", "known")))))
+        return pa.table({"n": pa.array(list(kept), pa.int64()), "kept": pa.array(list(kept.values()), pa.bool_())})
+
+    while not open_.isEmpty():
+        new = open_.groupBy("part").applyInArrow(scan, "n long, kept boolean").checkpoint()
+        found.append(new)
+        left = open_.join(new.select(F.col("n").alias("y")), "y", "left_anti").join(new.select(F.col("n").alias("x"), F.col("kept").alias("now")), "x", "left")
+        open_ = left.select("part", "x", "y", F.coalesce("known", "now").alias("known")).checkpoint()
+    out = edges.sparkSession.createDataFrame([], "n long, kept boolean")
+    for new in found:
+        out = out.unionByName(new)
+    return out
+
+
+def leaders(frames: DataFrame, order: list[Column], threshold: int = THRESHOLD, each: int | None = None, edges_each: int = RANGE_EDGES) -> DataFrame:
     """frames(name, h, ...) -> (name, kept, winner) under an order that names break.
 
-    winner: the earliest kept frame within the threshold of a dropped one. A null h is kept and joins no cluster.
+    winner: the earliest kept frame within the threshold of a dropped one. A null h is kept and joins no cluster. each, edges_each: hashes and edges of a range.
     """
     checkpoint_dir(frames.sparkSession)
     slim = frames.select("name", "h", F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], F.col("name").alias("name")).alias("ord")).checkpoint()
     known = slim.where(F.col("h").isNotNull())
     first = known.groupBy("h").agg(F.min("ord").alias("ord")).checkpoint()
-    pairs = similar_pairs(first.select("h"), threshold, first.count())
-    a, b = first.select(F.col("h").alias("a"), F.col("ord").alias("ao")), first.select(F.col("h").alias("b"), F.col("ord").alias("bo"))
+    rows = first.count()
+    pairs = similar_pairs(first.select("h"), threshold, rows).checkpoint()
+    ranges = max(1, -(-pairs.count() // edges_each))
+    placed = numbered(first, [F.col("ord")], each, ranges).checkpoint()
+    a, b = (placed.select(F.col("h").alias(c), F.col("pos").alias(c + "p"), F.col("part").alias(c + "r")) for c in "ab")
     laid = pairs.join(a, "a").join(b, "b")
-    swap = F.col("ao") > F.col("bo")
-    edges = laid.select(  # from the earlier hash to the later
-        F.when(swap, F.col("b")).otherwise(F.col("a")).alias("x"), F.when(swap, F.col("bo")).otherwise(F.col("ao")).alias("xo"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("y"),
-    ).checkpoint()
-    open_edges, dropped = edges.select("x", "y"), None
-    while True:
-        if open_edges.isEmpty():
-            break
-        free = open_edges.select(F.col("x").alias("n")).distinct().join(open_edges.select(F.col("y").alias("n")).distinct(), "n", "left_anti")
-        gone = open_edges.join(free.withColumnRenamed("n", "x"), "x", "left_semi").select(F.col("y").alias("n")).distinct().checkpoint()
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        settled = gone.unionByName(free)
-        open_edges = open_edges.join(settled.withColumnRenamed("n", "x"), "x", "left_anti").join(gone.withColumnRenamed("n", "y"), "y", "left_anti").checkpoint()
-    if dropped is None:
-        dropped = first.select(F.col("h").alias("n")).limit(0)
+    edges = laid.select(F.least("ap", "bp").alias("x"), F.greatest("ap", "bp").alias("y"), F.greatest("ar", "br").alias("part")).checkpoint()
+    dropped = settled(edges).where("NOT kept").select("n").checkpoint()
     lost = edges.join(dropped.withColumnRenamed("n", "y"), "y", "left_semi").join(dropped.withColumnRenamed("n", "x"), "x", "left_anti")
-    led = lost.groupBy("y").agg(F.min("xo").alias("lo")).select(F.col("y").alias("h"), "lo")
-    heads = first.join(led, "h", "left").select("h", F.coalesce("lo", "ord").alias("lead"))
+    led = lost.groupBy("y").agg(F.min("x").alias("pos")).join(placed.select("pos", F.col("ord").alias("lo")), "pos").select(F.col("y").alias("pos"), "lo")
+    heads = placed.join(led, "pos", "left").select("h", F.coalesce("lo", "ord").alias("lead"))
     named = known.join(heads, "h").select("name", F.col("lead.name").alias("lead"))
     out = named.select("name", (F.col("lead") == F.col("name")).alias("kept"), F.when(F.col("lead") != F.col("name"), F.col("lead")).alias("winner"))
     return out.unionByName(slim.where(F.col("h").isNull()).select("name", F.lit(True).alias("kept"), F.lit(None).cast("string").alias("winner")))
 
 
 def clusters(led: DataFrame, frames: DataFrame, order: list[Column]) -> DataFrame:
-    """(winner, ord, loser): the dropped frames of each winner, numbered in the order in which they were seen."""
-    from pyspark.sql import Window as W
+    """(winner, ord, loser): the dropped frames of each winner, numbered in the order in which they were seen.
 
-    lost = led.where(~F.col("kept")).join(frames, "name")
-    return lost.select("winner", F.row_number().over(W.partitionBy("winner").orderBy(*order, "name")).alias("ord"), F.col("name").alias("loser"))
+    order is the one that `leaders` was given. Numbers come from ranges of all losers, so a winner of any size meets in no task.
+    """
+    keys = [f"o{k}" for k in range(len(order))]
+    lost = led.where(~F.col("kept")).join(frames.select("name", *[c.alias(k) for c, k in zip(order, keys)]), "name")
+    placed = numbered(lost.select("winner", *keys, F.col("name").alias("loser")), [F.col(c) for c in ("winner", *keys, "loser")])
+    return running(placed, ["winner"], F.lit(1), "ord").select("winner", F.col("ord").cast("int").alias("ord"), "loser")

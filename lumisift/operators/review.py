@@ -1,4 +1,4 @@
-"""Human review: counts, override rates, the session a cull becomes, its restoration, and decisions as a fold of events.
+"""Human review: counts, override rates, the session a cull becomes, its restoration, and what a log of decisions comes to.
 
 candidates(session, idx, path, filename, score, decision, rejected_reason, similar, ...): decision is keep, reject or empty.
 """
@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumisift.operators.ordered import numbered, running
+
 VIEWS = ("all", "undecided", "keep", "reject", "rejected-input")
 
 
@@ -115,31 +117,41 @@ def next_undecided(candidates: DataFrame, focus: Column) -> DataFrame:
     return open_.groupBy("session").agg(F.min_by("idx", F.struct(F.col("idx") <= focus, F.col("idx"))).alias("next_idx"))
 
 
-STATE = "struct<decisions:map<int,string>,history:array<int>>"
-
+def bracketed(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """log(session, at, action, idx) -> what its decisions come to: (session, idx, decision) and what undo would still forget, (session, place, idx) with places from 1.
 
-def folded(events: Column) -> Column:
-    """Decisions and history after events array<struct<at, action, idx>> in order.
+    keep, reject and clear set a decision and are remembered; undo forgets the last remembered one and clears its decision (it does not bring back the one
+    before), and does nothing where none is remembered; reset forgets and clears all. Other actions, and decisions without an index, are passed over.
 
-    keep, reject and clear set a decision and are remembered; undo forgets the last remembered one and clears its
-    decision (it does not bring back the one before); reset clears all. Undo is a stack, so this is a fold.
+    Undo is a closing bracket: the height of the stack after each event is a running sum that never falls below zero, and an undo closes the decision that
+    last rose to its height. At one height of one session decisions and undos alternate, so what an undo closes is the row before it there, and what is still
+    open is the last row there if it is a decision. Heights and rows before come from ranges of events, so a session of any length meets in no task.
     """
-    start = F.struct(F.create_map().cast("map<int,string>").alias("decisions"), F.array().cast("array<int>").alias("history"))
-
-    def put(m: Column, idx: Column, value: Column) -> Column:
-        return F.map_concat(F.map_filter(m, lambda k, _: k != idx), F.create_map(idx, value))
-
-    def step(s: Column, e: Column) -> Column:
-        last = F.try_element_at(s["history"], F.lit(-1))
-        undone = F.struct(put(s["decisions"], F.coalesce(last, F.lit(-1)), F.lit("")).alias("decisions"), F.slice(s["history"], F.lit(1), F.greatest(F.lit(0), F.size(s["history"]) - 1)).alias("history"))
-        said = F.when(e["action"] == "clear", F.lit("")).otherwise(e["action"])
-        decided = F.struct(put(s["decisions"], e["idx"], said).alias("decisions"), F.concat(s["history"], F.array(e["idx"])).alias("history"))
-        return F.when(e["action"] == "reset", start).when(e["action"] == "undo", F.when(last.isNull(), s).otherwise(undone)).when(e["action"].isin("keep", "reject", "clear"), decided).otherwise(s)
-
-    return F.aggregate(events, start, step)
+    said, undo = F.col("action").isin("keep", "reject", "clear") & F.col("idx").isNotNull(), F.col("action") == "undo"
+    events = log.select("session", "at", "action", "idx").where(said | undo | (F.col("action") == "reset"))
+    placed = numbered(events, [F.col(c) for c in ("session", "at", "action", "idx")])
+    live = running(placed, ["session"], (F.col("action") == "reset").cast("int"), "resets", reverse=True).where("resets = 0")
+    summed = running(live, ["session"], F.when(undo, -1).otherwise(1), "sum").checkpoint()
+    least = running(summed, ["session"], F.col("sum"), "least", "min", strict=True)
+    floor = F.least(F.lit(0), F.coalesce("least", F.lit(0)))
+    counted = least.where(~undo | (F.col("sum") >= floor)).withColumn("height", F.col("sum") - F.least(floor, F.col("sum")) + F.when(undo, 1).otherwise(0))
+    levels = numbered(counted.select("session", "height", F.col("pos").alias("event"), "action", "idx"), [F.col("session"), F.col("height"), F.col("event")])
+    closing = running(levels, ["session", "height"], F.col("idx"), "opened", "last", strict=True)
+    touched = closing.select("session", F.when(undo, F.col("opened")).otherwise(F.col("idx")).alias("idx"), "event", F.when(F.col("action").isin("keep", "reject"), F.col("action")).otherwise(F.lit("")).alias("decision"))
+    decided = touched.groupBy("session", "idx").agg(F.max_by("decision", "event").alias("decision"))
+    top = levels.groupBy("session", "height").agg(F.max_by(F.struct("action", "idx"), "event").alias("last"))
+    remembered = top.where("last.action <> 'undo'").select("session", F.col("height").cast("long").alias("place"), F.col("last.idx").alias("idx"))
+    return decided, remembered
 
 
 def fold_decisions(log: DataFrame) -> DataFrame:
-    """log(session, at, action, idx) -> (session, decisions map<idx, decision>, history array<idx>). One session is one person's clicks."""
-    rows = log.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("at", "action", "idx"))).alias("e"))
-    return rows.withColumn("s", folded(F.col("e"))).select("session", "s.decisions", "s.history")
+    """log(session, at, action, idx) -> (session, decisions map<idx, decision>, history array<idx>), a row a session: `bracketed`, nested."""
+    decided, remembered = bracketed(log)
+    maps = decided.groupBy("session").agg(F.map_from_entries(F.collect_list(F.struct("idx", "decision"))).alias("decisions"))
+    stacks = remembered.groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "idx"))), lambda x: x["idx"]).alias("history"))
+    idx = log.schema["idx"].dataType.simpleString()
+    none = F.create_map().cast(f"map<{idx},string>"), F.array().cast(f"array<{idx}>")
+    rows = log.select("session").distinct()
+    for more in (maps, stacks):  # a null session is one, too
+        rows = rows.join(more.withColumnRenamed("session", "_s"), F.col("session").eqNullSafe(F.col("_s")), "left").drop("_s")
+    return rows.select("session", F.coalesce("decisions", none[0]).alias("decisions"), F.coalesce("history", none[1]).alias("history"))

@@ -59,4 +59,4 @@ def cull(frames: DataFrame, top_n: int = TOP_N, min_sharpness: float = gate.MIN_
     near_drops = led.where("NOT kept").select("name", F.lit("duplicates").alias("reason"))
     failed = gated.where("NOT gate.kept").select("name", F.col("gate.code").alias("reason"))
     rejects = twin_drops.unionByName(near_drops).distinct().unionByName(failed)
-    return Cull(keepers, rejects, neardup.clusters(led, survivors, [F.desc("score")]), survivors.select("name", "score"), frames, survivors)
+    return Cull(keepers, rejects, neardup.clusters(led, survivors, [-F.col("score")]), survivors.select("name", "score"), frames, survivors)

@@ -16,6 +16,7 @@ def session(app: str = "lumisift", master: str | None = None, **conf: str) -> Sp
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)

@@ -1,6 +1,6 @@
 """Sinks: copies and transcoded files, thumbnails, manifests, and the guards around an output folder.
 
-Keepers are few, so files are written from the executors that hold them, each under a draft name that is then moved. Encoders
+Files are written from executors into a hidden folder of the target, and moved into place when all tasks have succeeded. Encoders
 are pluggable: without one for a format, files are copied as they are.
 """
 
@@ -11,10 +11,12 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from lumisift.functions import raster, xmp
 from lumisift.functions.png import png
 from lumisift.operators.selection import RENAME_SCHEMES
+from lumisift.session import checkpoint_dir
 from lumisift.shipping import ship
 
 ship(__name__)
@@ -128,47 +130,126 @@ def guard_output(spark: SparkSession, folder: str, overwrite: bool = False) -> N
         raise FileExistsError(f"{folder} is not empty ({found[0]} and others); say overwrite to write there")
 
 
+REPORT = "name string, output_path string, ok boolean, error string"
+
+
+class Staged(WriterCommitMessage):
+    """What a task has written beside the target: (name, staged file or None, output file name, error or None)."""
+
+    def __init__(self, rows: list[tuple]):
+        self.rows = rows
+
+
+class FileWriter(DataSourceArrowWriter):
+    """Rows of (name, output_filename, content, error) as files, all or none: tasks write into a hidden folder of the target, the commit moves each into place."""
+
+    def __init__(self, folder: str, report: str):
+        self.folder, self.report, self.stage = folder, report, f".stage-{uuid.uuid4().hex}"
+
+    def write(self, iterator) -> Staged:
+        from pyarrow import fs
+
+        target, base = fs.FileSystem.from_uri(self.folder)
+        target.create_dir(f"{base}/{self.stage}", recursive=True)
+        done = []
+        for batch in iterator:
+            for row in batch.to_pylist():
+                staged, error = f"{base}/{self.stage}/{uuid.uuid4().hex}", row["error"]
+                if error is None:
+                    with target.open_output_stream(staged) as f:
+                        f.write(row["content"])
+                done.append((row["name"], staged if error is None else None, row["output_filename"], error))
+        return Staged(done)
+
+    def commit(self, messages) -> None:
+        import json
+
+        from pyarrow import fs
+
+        target, base = fs.FileSystem.from_uri(self.folder)
+        out = []
+        for name, staged, file, error in (row for m in messages if m is not None for row in m.rows):
+            final = f"{base}/{file}"
+            if error is None:
+                try:
+                    target.create_dir(final.rpartition("/")[0], recursive=True)
+                    target.move(staged, final)
+                except OSError as failed:
+                    error = str(failed)
+            out.append({"name": name, "output_path": final if error is None else None, "ok": error is None, "error": error})
+        self._clear(target, base)
+        files, at = fs.FileSystem.from_uri(self.report)
+        files.create_dir(at, recursive=True)
+        with files.open_output_stream(f"{at}/report.json") as f:
+            f.write("".join(json.dumps(row) + "\n" for row in out).encode())
+
+    def abort(self, messages) -> None:
+        from pyarrow import fs
+
+        self._clear(*fs.FileSystem.from_uri(self.folder))
+
+    def _clear(self, target, base: str) -> None:
+        from pyarrow import fs
+
+        if target.get_file_info(f"{base}/{self.stage}").type != fs.FileType.NotFound:
+            target.delete_dir(f"{base}/{self.stage}")
+
+
+class FileSink(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "lumisift_files"
+
+    def writer(self, schema, overwrite) -> FileWriter:
+        return FileWriter(self.options["path"], self.options["report"])
+
+
+def write_contents(rows: DataFrame, folder: str) -> DataFrame:
+    """rows(name, output_filename, content, error) -> REPORT. Files are in the folder (a URI) when the job has succeeded and none is if it failed; rows with an error are reported only."""
+    spark = rows.sparkSession
+    report = f"{checkpoint_dir(spark).rstrip('/')}/report-{uuid.uuid4().hex}"
+    spark.dataSource.register(FileSink)
+    rows.select("name", "output_filename", "content", "error").write.format("lumisift_files").mode("append").option("report", report).save(folder)
+    return spark.read.schema(REPORT).json(report)
+
+
 def write_files(picks: DataFrame, folder: str, encoders: dict[str, Callable[[bytes], bytes]] | None = None) -> DataFrame:
-    """picks(name, path, output_filename, rating int or null) -> (name, output_path, ok, error): the sink's report.
+    """picks(name, path, output_filename, rating int or null) -> REPORT: (name, output_path, ok, error), written once.
 
-    encoders map a source suffix to a function of its bytes to others. A rating is embedded in JPEG output. Output names may hold folders.
+    encoders map a source suffix to a function of its bytes to others. A rating is embedded in JPEG output. Output names may hold folders. A file that can't be
+    read or encoded is a row of the report; a job that fails leaves nothing.
     """
-    from pyspark.sql.types import StructType
-
     encoders = encoders or {}
-    schema = StructType.fromDDL("name string, output_path string, ok boolean, error string")
 
     def run(batches: Iterator):
         import pyarrow as pa
         from pyarrow import fs
 
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                try:
-                    files, path = fs.FileSystem.from_uri(row["path"])
-                    with files.open_input_stream(path) as f:
-                        data = f.read()
-                    suffix = "." + row["name"].rpartition(".")[2].lower()
-                    if suffix in encoders:
-                        data = encoders[suffix](data)
-                    if row["rating"] is not None and data[:2] == b"\xff\xd8":
-                        data = xmp.with_rating(data, row["rating"])
-                    target, base = fs.FileSystem.from_uri(folder)
-                    final = f"{base}/{row['output_filename']}"
-                    place = final.rpartition("/")[0]
-                    target.create_dir(place, recursive=True)
-                    draft = f"{place}/.{uuid.uuid4().hex}"
-                    with target.open_output_stream(draft) as f:
-                        f.write(data)
-                    target.move(draft, final)
-                    out.append((row["name"], final, True, None))
-                except Exception as error:  # reported by row
-                    out.append((row["name"], None, False, str(error)))
-            columns = [pa.array(list(c)) for c in zip(*out)] if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.bool_(), pa.string()))], names=schema.names)
-
-    return picks.select("name", "path", "output_filename", F.col("rating").cast("int").alias("rating")).mapInArrow(run, schema)
+        for row in (row for batch in batches for row in batch.to_pylist()):  # a file at a time
+            data, error = None, None
+            try:
+                files, path = fs.FileSystem.from_uri(row["path"])
+                with files.open_input_stream(path) as f:
+                    data = f.read()
+                suffix = "." + row["name"].rpartition(".")[2].lower()
+                if suffix in encoders:
+                    data = encoders[suffix](data)
+                if row["rating"] is not None and data[:2] == b"\xff\xd8":
+                    data = xmp.with_rating(data, row["rating"])
+            except Exception as failed:  # reported by row
+                data, error = None, str(failed)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((row["name"], row["output_filename"], data, error), (pa.string(), pa.string(), pa.binary(), pa.string()))], names=["name", "output_filename", "content", "error"])
+
+    read = picks.select("name", "path", "output_filename", F.col("rating").cast("int").alias("rating")).mapInArrow(run, "name string, output_filename string, content binary, error string")
+    return write_contents(read, folder)
+
+
+def write_thumbnails(spark: SparkSession, folder: str, outputs: DataFrame, widths: list[int], target: str) -> DataFrame:
+    """outputs(name, stem): PNG thumbnails of a folder's images as <stem>-<width>w.png under the target -> (name, width, output_path, ok, error). Their bytes stay on executors."""
+    made = thumbnails(spark, folder, outputs.select("name"), widths).join(outputs, "name")
+    file = F.concat("stem", F.lit("-"), F.col("width").cast("string"), F.lit("w.png"))
+    report = write_contents(made.select("name", file.alias("output_filename"), "content", F.lit(None).cast("string").alias("error")), target)
+    return report.withColumn("width", F.regexp_extract("output_path", r"-(\d+)w\.png$", 1).cast("int"))
 
 
 def write_bytes(path: str, content: bytes) -> str:
@@ -200,4 +281,4 @@ def summary(counts: dict[str, int], picked: int, total: int) -> str:
     return f"kept {picked} of {total}" + (f" (rejected: {lost})" if lost else "")
 
 
-__all__ = ["RENAME_SCHEMES", "changes_of_name", "fitted", "folder_entries", "guard_output", "preview_width", "resized", "save_session", "summary", "tally", "thumbnail_plan", "thumbnails", "write_bytes", "write_files", "write_manifest", "write_table"]
+__all__ = ["RENAME_SCHEMES", "changes_of_name", "fitted", "folder_entries", "guard_output", "preview_width", "resized", "save_session", "summary", "tally", "thumbnail_plan", "thumbnails", "write_bytes", "write_contents", "write_files", "write_manifest", "write_table", "write_thumbnails"]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lumisift.functions import raster, text
 from lumisift.shipping import ship
+from lumisift.sources.images import files_of
 
 ship(__name__)
 
@@ -43,35 +44,24 @@ def scan_folder(spark: SparkSession, folder: str, decoders: dict[str, Callable[[
     own = text.suffix(F.element_at(F.split("origin", "/"), -1)).isin(*(decoders or {}))
     found = images.where(~own).mapInArrow(_features, FEATURES)
     if decoders:
-        raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-        raw = raw.withColumn("suffix", text.suffix(F.element_at(F.split("path", "/"), -1))).where(F.col("suffix").isin(*decoders))
-
-        def decode(batches: Iterator):
-            import pyarrow as pa
-
-            for batch in batches:
-                rows = []
-                for path, content, suffix in zip(*(c.to_pylist() for c in batch.columns)):
-                    try:
-                        pixels = decoders[suffix](content)
-                        rows.append((path, pixels.shape[1], pixels.shape[0], True, *raster.raster_features(raster.luma(pixels))))
-                    except Exception:  # an undecodable file is a row, not the end of a scan
-                        rows.append((path, None, None, False, 0.0, 0.0, None))
-                yield _batch(rows, pa)
-
-        found = found.unionByName(raw.select("path", "content", "suffix").mapInArrow(decode, FEATURES))
+        opened = files_of(spark, qualified(spark, folder), decoders).where(F.col("suffix").isin(*decoders))
+        none = {"sharpness": F.coalesce("sharpness", F.lit(0.0)), "exposure": F.coalesce("exposure", F.lit(0.0)), "width": F.when(F.col("decode_ok"), F.col("width")), "height": F.when(F.col("decode_ok"), F.col("height"))}
+        read = opened.withColumns(none).withColumn("path", F.concat(F.lit("file:"), F.regexp_replace(F.regexp_replace("path", "%", "%25"), " ", "%20")) if qualified(spark, folder).startswith("file:") else F.col("path"))
+        found = found.unionByName(read.select(*(c.split()[0] for c in FEATURES.split(", "))))
     name = F.url_decode(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\+", "%2B"))
     return found.withColumn("name", name).withColumn("stem", text.stem(F.col("name"))).withColumn("ext", text.suffix(F.col("name")))
 
 
-def with_capture_time(frames: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
-    """Adds capture_time (no zone) out of the Exif block of JPEG files; null for others. Their bytes are read again, where the column is used."""
-    from lumisift.functions.exif import taken_at
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder as a URI."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    said = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + said[len("file:") :] if said.startswith("file:/") and not said.startswith("file://") else said
 
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s[1:]) for s in text.JPEG) + "}").load(folder)
-    name = F.url_decode(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\+", "%2B"))
-    times = raw.select(name.alias("name"), taken_at(F.col("content")).alias("capture_time"))
-    return frames.join(times, "name", "left")
+
+def with_capture_time(frames: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Adds capture_time (no zone) out of the Exif blocks of JPEG, PNG, WebP and HEIC files; null for others. Only their first bytes are read for it."""
+    return frames.join(files_of(spark, qualified(spark, folder)).select("name", "capture_time"), "name", "left")
 
 
 def file_facts(spark: SparkSession, folder: str) -> DataFrame:
