@@ -4,12 +4,12 @@ Inner products become distances by one more component, sqrt(longest**2 - |x|**2)
 A tree of `branching` k-means clusters at each level is fitted on a bounded sample (SAMPLE vectors, taken in the order of a hash) on the
 driver. Where the table has more than LEAF_SIZE vectors a leaf, each leaf is parted further, on executors and on a bounded sample of
 its own vectors, so that leaves keep their size up to MAX_LEAVES of them; this bounds what is collected and broadcast. Every vector is indexed
-in the leaf it descends to. What a leaf may hold for a query is the inner product with the centre of its vectors (of MEASURED of them at most, by a hash)
-and REACH of their deviations along the query; a bin promises what the best of its leaves does. A query walks the tree with a priority queue
-of bins by promise, and visits leaves in the order they come out.
+in the leaf it descends to. A bin promises a query the inner product with the centre of its vectors and the most that so many of their deviations reach; leaves are measured on
+MEASURED of their vectors at most, by a hash, and bins above from their leaves. A query walks the tree with a priority queue
+of bins by promise: a bin is looked at when its parent comes out of the queue, and leaves are visited in the order they come out.
 
 How many leaves: CALIBRATION queries (a bounded set, in the order of a hash) are answered exactly by a scan; the visits are
-widened until the leaves seen hold at least `recall` of their true neighbours.
+widened until the leaves seen hold at least `recall` of their true neighbours; their walks, too, run on executors.
 
 Leaves next to each other in the tree are stored together, in groups of about BLOCK vectors; a leaf that is larger fills several blocks of a
 group of its own, so a frequent vector fills blocks and not a task. A query goes once to each group in which it visits leaves, with the
@@ -37,7 +37,7 @@ from .common import Shared, materialise, ship, small_batches, tidied
 ship(__name__)
 
 SAMPLE, BRANCHING, LEAF_SAMPLE, CALIBRATION, RECALL, BLOCK, QUERY_BLOCK = 20_000, 8, 24, 200, 0.95, 4096, 512
-LEAF_SIZE, MAX_LEAVES, REACH, MEASURED = 64, 100_000, 2.5, 256
+LEAF_SIZE, MAX_LEAVES, MEASURED = 64, 100_000, 256
 
 
 def grown(points: np.ndarray, branching: int = BRANCHING, least: int = LEAF_SAMPLE, seed: int = 7) -> tuple:
@@ -70,7 +70,8 @@ def kmeans(points: np.ndarray, k: int, rng, rounds: int = 8) -> list[np.ndarray]
 class Tree:
     """A grown tree as arrays. Children of a node stand together; leaves are numbered from left to right, so neighbours are alike."""
 
-    def __init__(self, root: tuple, measured: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, root: tuple, measured: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+        """measured: how many vectors each leaf holds, their centre and their deviation; without it leaves stand for the vectors they were fitted on."""
         self.root, self.leaves = root, 0
         centres, spread, self.first, self.count, self.leaf, todo = [root[0]], [root[1]], [0], [0], [-1], [(0, root)]
         while todo:  # depth first, so that leaves come out from left to right
@@ -86,7 +87,8 @@ class Tree:
         self.centres = np.array(centres, dtype=np.float64)
         ends = np.flatnonzero(np.array(self.leaf) >= 0)
         self.end = ends[np.argsort(np.array(self.leaf)[ends])]  # the node of each leaf
-        self.measured = measured or (self.centres[self.end], np.array(spread)[self.end])
+        self.measured = measured or (np.ones(self.leaves), self.centres[self.end], np.array(spread)[self.end])
+        self._measure()
 
     def __reduce__(self):
         return Tree, (self.root, self.measured)
@@ -118,35 +120,44 @@ class Tree:
                 todo += [(child, rows[near == k]) for k, child in enumerate(children)]
         return out
 
-    def promise(self, queries: np.ndarray) -> np.ndarray:
-        """(queries, nodes): how large an inner product a bin may hold. Children stand after their parents."""
-        centres, spread = self.measured
-        out = np.empty((len(queries), len(self.centres)))
-        out[:, self.end] = queries @ centres[:, : queries.shape[1]].T + REACH * np.sqrt((queries**2).sum(axis=1))[:, None] * spread[None, :]
-        for at in range(len(self.centres) - 1, -1, -1):
+    def _measure(self) -> None:
+        """The centre and reach of every bin, from those of its leaves. Children stand after their parents."""
+        held, centre, spread = self.measured
+        n, width = len(self.centres), centre.shape[1]
+        self.held, self.mean, square = np.zeros(n), np.zeros((n, width)), np.zeros(n)
+        self.held[self.end], self.mean[self.end], square[self.end] = held, centre, np.maximum(spread, 0) ** 2
+        for at in range(n - 1, -1, -1):
             if self.count[at]:
-                out[:, at] = out[:, self.first[at] : self.first[at] + self.count[at]].max(axis=1)
-        return out
-
-    def visits(self, promise: np.ndarray, most: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
-        """Leaves in the order in which a priority queue of bins yields them: `most`, and on until they hold `least` vectors."""
-        away = (-promise).tolist()
-        queue, out, seen = [(away[0], 0)], [], 0
-        while queue and (len(out) < most or seen < least):
+                own = slice(self.first[at], self.first[at] + self.count[at])
+                share = self.held[own] / max(1.0, self.held[own].sum())
+                self.held[at], self.mean[at] = self.held[own].sum(), share @ self.mean[own]
+                square[at] = share @ (square[own] + ((self.mean[own] - self.mean[at]) ** 2).mean(axis=1))
+        # the most that so many vectors of a bell curve reach, in deviations
+        self.reach = np.sqrt(2 * np.log(self.held + 1)) * np.sqrt(square)
+
+    def visits(self, query: np.ndarray, most: int, least: float = 0, wanted: set[int] | None = None) -> tuple[list[int], int]:
+        """Leaves in the order in which a priority queue of bins yields them, and how many bins were looked at: `most` leaves, and on until they hold `least` vectors; or until all wanted ones are out.
+
+        A bin promises its centre's product and what its deviation along the query adds; it is looked at when its parent comes out of the queue, so whole branches never are.
+        """
+        length = float(np.sqrt(query @ query))
+        queue, out, seen, looked = [(0.0, 0)], [], 0.0, 1
+        missing = set(wanted) if wanted is not None else None
+        while queue and (len(out) < most or seen < least) and (missing is None or missing):
             at = heapq.heappop(queue)[1]
             if not self.count[at]:
                 out.append(self.leaf[at])
-                seen += least if held is None else held[self.leaf[at]]
+                seen += self.held[at]
+                if missing is not None:
+                    missing.discard(self.leaf[at])
                 continue
-            for child in range(self.first[at], self.first[at] + self.count[at]):
-                heapq.heappush(queue, (away[child], child))
-        return out
-
-    def walks(self, queries: np.ndarray, most: int, held: np.ndarray | None = None, least: int = 0) -> Iterator[list[int]]:
-        step = max(1, 2_000_000 // len(self.centres))
-        for at in range(0, len(queries), step):
-            for promise in self.promise(queries[at : at + step]):
-                yield self.visits(promise, most, held, least)
+            low, high = self.first[at], self.first[at] + self.count[at]
+            promise = self.mean[low:high, : len(query)] @ query + length * self.reach[low:high]
+            looked += high - low
+            for child, said, held in zip(range(low, high), promise.tolist(), self.held[low:high].tolist()):
+                if held:
+                    heapq.heappush(queue, (-said, child))
+        return out, looked
 
 
 def lifted(x: np.ndarray, longest: float) -> np.ndarray:
@@ -267,10 +278,12 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id",
         return pa.table({"leaf": group.column("leaf")[:1], "centre": pa.array([centre.tobytes()], pa.binary()), "spread": [float(np.sqrt(((x - centre) ** 2).mean()))]})
 
     some_of_each = indexed.withColumn("k", F.row_number().over(W.partitionBy("leaf").orderBy(F.xxhash64(F.lit(4), "id"), "x"))).where(F.col("k") <= MEASURED)
-    centres, spread = np.zeros((tree.leaves, width)), np.full(tree.leaves, -np.inf)  # a leaf without vectors promises nothing
+    held, centres, spread = np.zeros(tree.leaves), np.zeros((tree.leaves, width)), np.zeros(tree.leaves)
+    for r in indexed.groupBy("leaf").count().collect():  # a row a leaf
+        held[r.leaf] = r["count"]
     for r in some_of_each.select("leaf", "x").groupBy("leaf").applyInArrow(measure, "leaf int, centre binary, spread double").collect():  # a row a leaf
         centres[r.leaf], spread[r.leaf] = np.frombuffer(r.centre, dtype="<f8"), r.spread
-    tree = Tree(tree.root, (centres, spread))
+    tree = Tree(tree.root, (held, centres, spread))
     shared = Shared(spark, "ann", tree)
     asked_first = Shared(spark, "ann-tests", (test_ids, tests))
 
@@ -288,32 +301,41 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id",
     true: dict[int, list[int]] = {}
     for r in indexed.mapInArrow(tidied(exact), "q int, id long, leaf int, score double").withColumn("k", F.row_number().over(each_test)).where(F.col("k") <= k).collect():
         true.setdefault(r.q, []).append(r.leaf)
+
+    def places(batches: Iterator):
+        """When the leaves of each test's true neighbours come out of the queue."""
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for x, leaves in zip(matrix(batch.column(0), width), batch.column(1).to_pylist()):
+                order = {leaf: k for k, leaf in enumerate(shared.value.visits(x, len(held), wanted=set(leaves))[0], 1)}
+                out += [order[leaf] for leaf in leaves]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32())], names=["place"])
+
+    test_rows = spark.createDataFrame([(tests[q].astype("<f8").tobytes(), leaves) for q, leaves in true.items()], "x binary, leaves array<int>")
+    reached = test_rows.repartition(spark.sparkContext.defaultParallelism).mapInArrow(tidied(places), "place int").groupBy("place").count().collect()  # of the tests' neighbours
     found = np.zeros(tree.leaves + 1)
-    for q, leaves in enumerate(tree.walks(tests, tree.leaves)):
-        place = np.zeros(tree.leaves, dtype=np.int64)
-        place[leaves] = np.arange(1, len(leaves) + 1)
-        np.add.at(found, place[true.get(q, [])], 1)
+    for r in reached:
+        found[r.place] = r["count"]
     share = np.cumsum(found) / max(1, found.sum())
     most = min(tree.leaves, max(1, int(np.searchsorted(share, recall - 1e-12))))
-    held = np.zeros(tree.leaves, dtype=np.int64)
-    for r in indexed.groupBy("leaf").count().collect():  # a row a leaf
-        held[r.leaf] = r["count"]
     large = held > BLOCK
     start = np.cumsum(np.where(large, 0, held)) // BLOCK
     # a large leaf is a group of its own, so are the leaves between two of them that fall into one block
     group = np.cumsum(np.concatenate(([0], (np.diff(start) > 0) | large[1:] | large[:-1])))
     blocks = np.ones(int(group[-1]) + 1, dtype=np.int64)
     blocks[group[large]] = -(-held[large] // BLOCK)
-    laid = Shared(spark, "ann-laid", (held, group))
+    laid = Shared(spark, "ann-laid", group)
 
     def walk(batches: Iterator):
         import pyarrow as pa
 
-        tree, (held, group) = shared.value, laid.value
+        tree, group = shared.value, laid.value
         for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             at, groups, leaves = [], [], []
-            for row, visited in enumerate(tree.walks(matrix(batch.column(1), width), most, held, k + 1)):
-                visited = np.sort(np.array(visited, dtype=np.int32))
+            for row, x in enumerate(matrix(batch.column(1), width)):
+                visited = np.sort(np.array(tree.visits(x, most, k + 1)[0], dtype=np.int32))
                 own = group[visited]
                 cuts = np.flatnonzero(np.diff(own)) + 1
                 at += [row] * (len(cuts) + 1)

@@ -6,12 +6,13 @@ an escape, -log2(distinct / (total + distinct)) (method C); below order 0 a byte
 code of the whole text wins; the score is its share of 2**-length over all languages.
 
 The trees of all languages share one numbering of the byte strings seen, so a text is scored by array look-ups,
-`order` + 1 for a byte, whatever the number of languages. The model's size is bounded by the sample's (ROWS rows of at most MAX_BYTES bytes a
-language, of LANGS languages at most) times the languages, and so is what the driver collects and broadcasts. Prediction reads whole texts and is narrow.
+`order` + 1 for a byte. LANGS languages share a model; more are several models, each of which a text is scored by, so their number has no limit. What the driver collects
+and broadcasts is bounded by the sample: ROWS rows of at most MAX_BYTES bytes a language, and of ALL_BYTES divided by the languages where they are many (one row at least). Prediction reads
+whole texts and is narrow.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; so is everything if nothing was learned;
 ties go to the smaller language name; repeated rows stay; an empty table gives no rows; a null doc_id is hashed as empty text; columns
-named like those that `identify` adds are replaced; more than LANGS labels are an error, as such a column does not hold languages.
+named like those that `identify` adds are replaced.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Shared, materialise, ship, small_batches, tidied
 
 ship(__name__)
 
-ORDER, ROWS, MAX_BYTES, GROUP_BYTES, LANGS = 3, 150, 20_000, 250_000, 256
+ORDER, ROWS, MAX_BYTES, GROUP_BYTES, LANGS, ALL_BYTES = 3, 150, 20_000, 250_000, 64, 256 << 20
 ADDED = ("lang_pred", "score", "bits_per_byte")
 
 
@@ -146,30 +148,45 @@ class Model:
         out[group] = np.add.reduceat(costs.astype(np.float64), starts, axis=0)
 
 
+class Models:
+    """Languages in models of `each` at most. A language's code lengths depend on its own rows only."""
+
+    def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER, each: int | None = None):
+        names, each = sorted(samples), each or LANGS
+        self.parts = [Model({x: samples[x] for x in names[k : k + each]}, order) for k in range(0, len(names), each)]
+        self.langs = [x for part in self.parts for x in part.langs]
+
+    def lengths(self, texts: list[bytes]) -> np.ndarray:
+        """(texts, languages) code lengths in bits."""
+        return np.concatenate([np.zeros((len(texts), 0)), *(part.lengths(texts) for part in self.parts)], axis=1)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
 
 
-def train(labelled: DataFrame, order: int = ORDER, rows: int = ROWS, max_bytes: int = MAX_BYTES) -> Model:
+def train(labelled: DataFrame, order: int = ORDER, rows: int = ROWS, max_bytes: int = MAX_BYTES) -> Models:
     """labelled(doc_id, text, lang): counts a sample of at most `rows` rows a language, each of at most max_bytes bytes, in the order of a hash.
 
+    Of very many languages each has fewer rows: as many as fit its share of ALL_BYTES, one at least.
+
     A count by language gives the share of hashes that holds about 1.5 times as many rows; only those are gathered, equal rows once.
     """
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= max_bytes)).select("lang", "text", F.xxhash64(F.lit(4), "doc_id", "text").alias("h"))
     share = F.least(F.lit(1.0), F.lit(1.5 * rows) / F.count("*"))
     limit = materialise(usable.groupBy("lang").agg((share * F.lit(float(2**63))).alias("most")), "langs")  # a row a language
-    if limit.count() > LANGS:
-        raise ValueError(f"more than {LANGS} labels: not a column of languages")
+    most = ALL_BYTES // max(1, limit.count())
     near = usable.join(F.broadcast(limit), "lang").where(F.abs(F.col("h").cast("double")) <= F.col("most"))
+    first = W.partitionBy("lang").orderBy("h")  # a few rows more than are kept
+    once = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    placed = once.withColumn("k", F.row_number().over(first)).withColumn("bytes", F.sum(F.octet_length("text")).over(first))
     samples: dict[str, list[bytes]] = {}
-    for lang, _, text in sorted(tuple(r) for r in near.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()):
-        kept = samples.setdefault(lang, [])
-        if len(kept) < rows:
-            kept.append(text.encode("utf-8"))
-    return Model(samples, order)
+    for lang, _, text in sorted(tuple(r) for r in placed.where((F.col("k") <= rows) & ((F.col("k") == 1) | (F.col("bytes") <= most))).select("lang", "h", "text").collect()):
+        samples.setdefault(lang, []).append(text.encode("utf-8"))
+    return Models(samples, order)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+def identify(docs: DataFrame, model: Model | Models) -> DataFrame:
     """docs(doc_id, text, ...) -> all columns, with lang_pred, score and bits_per_byte (of the winner; null for und)."""
     import pyspark.sql.types as T
 

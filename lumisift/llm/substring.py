@@ -409,8 +409,8 @@ FACTORS = "array<struct<at:bigint,n_words:bigint,ref_doc:bigint,ref_at:bigint>>"
 
 
 def _factors(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, factors, for the rows that have any."""
-    found = matches(docs).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n_words", "ref_doc", "ref_at")).alias("found")).where(F.exists("found", lambda s: s["ref_doc"] != F.col("doc_id")))
+    """doc_id, tag, factors, for the rows that have any. A set, as rows repeated exactly have the same matches each."""
+    found = matches(docs).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("at", "n_words", "ref_doc", "ref_at")).alias("found")).where(F.exists("found", lambda s: s["ref_doc"] != F.col("doc_id")))
 
     def run(batches):
         import pyarrow as pa

@@ -54,6 +54,21 @@ def cuts_at_blanks(step: dict) -> bool:
     return step.get("type") == "Split" and step.get("behavior") in ("Isolated", "Removed") and isinstance(pattern, dict) and pattern.get("Regex") in KNOWN_SPLITS
 
 
+def leaves_text_alone(step: dict) -> bool:
+    """Whether a step of a pre-tokenizer is known to part a text only, adding nothing where one begins; by default a ByteLevel step puts a space there."""
+    return step.get("type") == "Split" or (step.get("type") == "ByteLevel" and not step.get("add_prefix_space", True))
+
+
+def keeps_blanks(normalizer: dict | None) -> bool:
+    """Whether a normaliser is known to do the same to a stretch as to the text it is from: none of these looks across the place before a blank, or adds anything."""
+    if not normalizer:
+        return True
+    if normalizer.get("type") == "Sequence":
+        return all(map(keeps_blanks, normalizer["normalizers"]))
+    blanks = normalizer.get("type") == "Replace" and normalizer.get("pattern") == {"Regex": r"\s+"} and normalizer.get("content") == " "
+    return blanks or normalizer.get("type") in ("NFC", "NFD", "Lowercase")
+
+
 class JsonEncoder:
     """A file of the tokenizers library."""
 
@@ -68,7 +83,7 @@ class JsonEncoder:
             said = json.load(f)
         kinds = said.get("pre_tokenizer") or {}
         steps = kinds.get("pretokenizers", [kinds])
-        cuts = any(map(cuts_at_blanks, steps))
+        cuts = any(map(cuts_at_blanks, steps)) and all(map(leaves_text_alone, steps)) and keeps_blanks(said.get("normalizer")) and not (said.get("model") or {}).get("dropout")
         self.known: dict[str, int] = {}
         self.splits_at_blanks = cuts and not any(t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in said["added_tokens"])
 

@@ -93,6 +93,27 @@ def test_a_tree_visits_each_leaf_once(n):
     tree = ann.Tree(ann.grown(ann.lifted(x, 9.0), least=4))
     grafted = tree.grafted({0: ann.grown(ann.lifted(x[:40], 9.0), least=2)})
     for t in (tree, grafted):
-        leaves = next(t.walks(x[:1], t.leaves))
+        leaves, looked = t.visits(x[0], t.leaves)
+        assert looked == len(t.centres)
         assert sorted(leaves) == list(range(t.leaves)) and set(t.place(ann.lifted(x, 9.0)).tolist()) <= set(leaves)
     assert grafted.leaves > tree.leaves
+
+
+def test_branches_without_promise_are_never_looked_at():
+    rng = np.random.default_rng(8)
+    heads = rng.normal(size=(40, 16)) * 3
+    x = heads[rng.integers(0, 40, 8000)] + 0.2 * rng.normal(size=(8000, 16))
+    longest = float(np.sqrt((x**2).sum(axis=1).max()))
+    tree = ann.Tree(ann.grown(ann.lifted(x, longest), least=24))
+    leaf = tree.place(ann.lifted(x, longest))
+    held = np.bincount(leaf, minlength=tree.leaves).astype(float)
+    centre = np.array([x[leaf == k].mean(axis=0) if held[k] else np.zeros(16) for k in range(tree.leaves)])
+    spread = np.array([np.sqrt(((x[leaf == k] - centre[k]) ** 2).mean()) if held[k] else 0.0 for k in range(tree.leaves)])
+    tree = ann.Tree(tree.root, (held, centre, spread))
+    looked, found = [], []
+    for q in range(0, 8000, 200):
+        near = np.argsort(-(x @ x[q]))[:10]
+        leaves, bins = tree.visits(x[q], tree.leaves, wanted=set(leaf[near].tolist()))
+        looked.append(bins)
+        found.append(set(leaf[near].tolist()) <= set(leaves))
+    assert all(found) and tree.leaves > 300 and np.mean(looked) < len(tree.centres) / 3

@@ -68,6 +68,23 @@ def test_columns_named_like_the_added_ones_are_replaced(spark, monkeypatch):
     out = langid.identify(docs, model)
     assert out.columns == ["doc_id", "text", "lang", "c0", "lang_pred", "score", "bits_per_byte"]
     assert all(r.lang_pred == r.lang and r.c0 == "c" and 0.5 < r.score <= 1 and r.bits_per_byte > 0 for r in out.collect())
-    monkeypatch.setattr(langid, "LANGS", 1)
-    with pytest.raises(ValueError):
-        langid.train(docs)
+    monkeypatch.setattr(langid, "LANGS", 1)  # a model a language
+    apart = langid.identify(docs, langid.train(docs))
+    assert sorted(map(tuple, apart.collect())) == sorted(map(tuple, out.collect()))
+
+
+def test_a_thousand_labels(spark, monkeypatch):
+    def text(k, n):
+        return " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}{j % 3}" for j in range(n))
+
+    docs = spark.createDataFrame([(2 * k + j, text(k, 12 + j), f"l{k:04}") for k in range(1000) for j in range(2)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "ALL_BYTES", 100_000)  # so that only one of a label's two rows is learned from
+    model = langid.train(docs)
+    assert len(model.langs) == 1000 and len(model.parts) == 16
+    asked = docs.where("doc_id % 100 < 2")
+    got = langid.identify(asked, model).collect()
+    assert len(got) == 40 and sum(r.lang_pred == r.lang for r in got) >= 38
+    one = langid.Model({x: [text(int(x[1:]), 12).encode()] for x in model.langs[:70]})
+    two = langid.Models({x: [text(int(x[1:]), 12).encode()] for x in model.langs[:70]}, each=9)
+    texts = [text(k, 9).encode() for k in range(0, 70, 5)]
+    assert np.allclose(one.lengths(texts), two.lengths(texts), rtol=1e-5)  # languages do not see each other

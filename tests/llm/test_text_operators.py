@@ -1,5 +1,6 @@
 """Token counts, SimHash and substring dedup against plain versions."""
 
+import json
 import random
 
 import numpy as np
@@ -27,8 +28,6 @@ def test_long_texts_splice_to_the_same_count():
 
 
 def test_which_files_cut_at_blanks(tmp_path):
-    import json
-
     assert all(tokencount.encoder(public_tokenizers.path(x)).splits_at_blanks for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         said = json.load(f)
@@ -43,6 +42,24 @@ def test_which_files_cut_at_blanks(tmp_path):
         assert tokencount.spliced_count(text, enc, 100, 8) == enc.counts([text])[0] == enc.sums([text])[0]
 
 
+@pytest.mark.parametrize("change", ["prefix", "normalizer", "default"])
+def test_files_that_change_texts_are_not_cut(tmp_path, change):
+    """Each stretch would get what the library gives the beginning of a text only."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        said = json.load(f)
+    if change == "normalizer":
+        said["normalizer"] = {"type": "Prepend", "prepend": "_"}
+    elif change == "prefix":
+        said["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+    else:
+        said["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Metaspace", "replacement": "_", "prepend_scheme": "always", "split": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}]}
+    path = tmp_path / f"{change}.json"
+    path.write_text(json.dumps(said))
+    enc = tokencount.JsonEncoder(str(path))
+    texts = ["a\nfoo bar", "one\n\ntwo\tthree", "plain words here", ""]
+    assert not enc.splits_at_blanks and enc.sums(texts) == [len(enc.encoder.encode(t, add_special_tokens=False)) for t in texts]
+
+
 def test_repeated_rows_and_null_ids_are_counted(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (None, None)], "doc_id long, text string")
     got = tokencount.count_tokens(docs.selectExpr("*", "1 AS n_tokens", "2 AS n_bytes"), public_tokenizers.path("byte_bpe_50k.json")).collect()
