@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumisift import sinks
 from lumisift.functions import exif, raster, text, xmp
-from lumisift.operators import gate, neardup, rank, review, rules, selection, twins
+from lumisift.operators import classify, gate, neardup, rank, review, rules, selection, twins
 from lumisift.plans import profiles
 from lumisift.plans.cull import cull
 from lumisift.sources import frames as frame_source
@@ -619,7 +619,17 @@ SELECT c.path, round(c.score, 9) AS score, rejected_reason, CAST(coalesce(n_simi
 def session_build(spark, sf_dir):
     done = cull(testdata.frames(spark, sf_dir))
     rows = review.build_session(done.keepers, done.clusters, done.scored, done.rejects)
-    return rows.select("path", F.round("score", 9).alias("score"), "rejected_reason", F.size("similar").alias("n_similar"))
+    return rows.groupBy("path", F.round("score", 9).alias("score"), "rejected_reason").agg(F.sum(F.size("similar")).cast("int").alias("n_similar"))
+
+
+@query("""WITH l AS (SELECT 'label ' || vec_id AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 3),
+s AS (SELECT vec_id, label, exp(10 * list_dot_product(CAST(embedding AS DOUBLE[]), v) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(v, v)))) AS odds FROM embeddings, l)
+SELECT vec_id, label, round(odds / sum(odds) OVER (PARTITION BY vec_id), 6) AS prob FROM s""")
+def embedding_labels(spark, sf_dir):
+    rows = testdata.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    labels = {f"label {r.vec_id}": list(r.embedding) for r in rows.where("vec_id < 3").orderBy("vec_id").collect()}  # three
+    probed = classify.embedded(rows, labels, 10.0, "embedding")
+    return probed.select("vec_id", F.explode("probs").alias("label", "prob")).select("vec_id", "label", F.round("prob", 6).alias("prob"))
 
 
 # --- progress, replies, caches, strings ----------------------------------------------------------------------------

@@ -24,10 +24,14 @@ from lumisift.plans import desk, profiles
 from lumisift.plans.cull import TOP_N, cull
 from lumisift.session import session
 from lumisift.sources import frames as source
-from lumisift.sources import sessions
+from lumisift.sources import cache, sessions
 from lumisift.streaming import progress, watch
 
 
+#: A score cache of more versions is compacted.
+MANY_VERSIONS = 16
+
+
 def _between(low: int, high: int):
     def number(said: str) -> int:
         if not said.lstrip("-").isdigit() or not low <= int(said) <= high:
@@ -184,7 +188,7 @@ def _cull(spark: SparkSession, args) -> int:
 
 def _culled(spark: SparkSession, args, followed: watch.Watch) -> int:
     saved = f"{_uri(args.folder)}/{desk.FILE}"
-    if args.resume and (held := desk.load(saved)):
+    if args.resume and (held := desk.Store(saved).newest()[1]):
         said = {"source_folder": held["source_folder"], "prompt": held["prompt"], "counts": held["counts"]}
         print(json.dumps(said) if args.json else f"resumed: {said['counts']}")
         return 0
@@ -230,7 +234,7 @@ def _culled(spark: SparkSession, args, followed: watch.Watch) -> int:
         for c in session_["candidates"]:
             c["path"], c["ai_reason"] = known.get(c["path"], c["path"]), c["ai_reason"] or ""
             c["similar"] = [s | {"path": known.get(s["path"], s["path"])} for s in c["similar"]]
-        sinks.save_session(saved, session_)
+        desk.Store(saved).put(session_)
     frames.unpersist()
     done.survivors.unpersist()
     return 0
@@ -257,11 +261,13 @@ def _pick(spark: SparkSession, args) -> int:
     if args.cache and not args.dry_run:
         key = sessions.cache_key(F.col("path"), F.col("modified"), F.col("bytes"), F.array(*[F.lit(x) for x in labels]))
         keyed = frames.join(source.file_facts(spark, args.folder), "name").withColumn("cache_key", key).drop("modified", "bytes")
-        probed, fresh = classify.classify_cached(keyed, classifier, labels, sessions.read_cache(spark, args.cache))
+        probed, fresh = classify.classify_cached(keyed, classifier, labels, cache.read(spark, args.cache))
         probed, fresh = probed.drop("cache_key").persist(), fresh.persist()
         probed.count()  # before the table it reads is written
         if not fresh.isEmpty():
-            sinks.write_table(fresh, args.cache)
+            cache.append(fresh, args.cache)
+            if len(cache.live(spark, args.cache)) > MANY_VERSIONS:
+                cache.compact(spark, args.cache)
     else:
         probed = classify.classify(frames, classifier, labels)
     probed = probed.persist()
@@ -328,7 +334,7 @@ def _pick(spark: SparkSession, args) -> int:
 
 def _review(spark: SparkSession, args) -> int:
     path = f"{_uri(args.folder)}/{desk.FILE}"
-    held = desk.load(path)
+    held = desk.Store(path).newest()[1]
     if held is None:
         raise ValueError(f"no usable session in {args.folder}")
     if args.action == "export":
@@ -342,7 +348,7 @@ def _review(spark: SparkSession, args) -> int:
         print(found.line if found else "no picks")
         return 0
     try:
-        held = desk.changed(held, path, args.action, *[int(x) for x in args.args[:2]])
+        held = desk.Store(path).change(args.action, *[int(x) for x in args.args[:2]])
     except desk.SaveError as error:
         raise OSError(str(error)) from error
     print(json.dumps(held["counts"]))

@@ -18,6 +18,8 @@ from lumisift.shipping import ship
 ship(__name__)
 
 BATCH = 32
+#: What cosines are scaled by before the softmax.
+SCALE = 100.0
 
 
 def classify(frames: DataFrame, classifier, labels: tuple[str, ...], key: str = "name", batch: int = BATCH) -> DataFrame:
@@ -54,6 +56,37 @@ def classify_cached(frames: DataFrame, classifier, labels: tuple[str, ...], cach
     return both, fresh.select("key", "probs")
 
 
+def embedded(frames: DataFrame, labels: dict[str, list[float]], scale: float = SCALE, vector: str = "vector") -> DataFrame:
+    """Adds probs map<label, double> in label order to frames with an embedding: the softmax of the scaled cosines with each label's own.
+
+    One matrix product a batch of rows. A null or zero vector, or one of another length than the labels', has uniform probabilities.
+    """
+    import numpy as np
+
+    names = list(labels)
+    sides = np.array([labels[x] for x in names], dtype=np.float64).reshape(len(names), -1)
+    sides = sides / np.maximum(np.sqrt((sides**2).sum(axis=1, keepdims=True)), 1e-300)
+    schema = StructType([*frames.schema.fields, StructField("probs", MapType(StringType(), DoubleType()))])
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        for rows in batches:
+            x = np.zeros((rows.num_rows, sides.shape[1]))
+            for k, v in enumerate(rows.column(vector).to_pylist()):
+                if v is not None and len(v) == sides.shape[1] and None not in v:
+                    x[k] = v
+            length = np.sqrt((x**2).sum(axis=1, keepdims=True))
+            logits = scale * (x / np.where(length > 0, length, 1)) @ sides.T
+            odds = np.exp(logits - logits.max(axis=1, keepdims=True))
+            probs = odds / odds.sum(axis=1, keepdims=True)
+            keys = pa.array(np.tile(np.arange(len(names)), rows.num_rows))
+            offsets = pa.array(np.arange(rows.num_rows + 1) * len(names), pa.int32())
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.MapArray.from_arrays(offsets, pa.array(names).take(keys), pa.array(probs.ravel()))], names=schema.names)
+
+    return frames.mapInArrow(run, schema)
+
+
 class Stub:
     """A test double: canned probabilities by file name, uniform for other names."""
 

@@ -1,7 +1,8 @@
 """Reranking keepers with a pluggable scorer: retries with backoff, tolerant replies, stable order.
 
 A client is any object with score_photo(content: bytes, media_type: str, prompt: str) -> str that can be pickled. It runs in Arrow
-batches; partitions are its concurrency. Calls cost money: results are checkpointed before use, so a later stage that is retried does not call again.
+batches; partitions are its concurrency. Calls cost money: results are checkpointed before use, so a later stage that is retried does not call again, and with
+a call log each answer is kept as it comes, so neither does a task that dies between calls, nor a later run with the same photo and prompt.
 """
 
 from __future__ import annotations
@@ -10,12 +11,14 @@ import logging
 import os
 import random
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumisift.functions.text import reply
+from lumisift.operators.ordered import numbered
 from lumisift.session import checkpoint_dir
 from lumisift.shipping import ship
 
@@ -81,13 +84,46 @@ def with_retries(call: Callable, attempts: int | None = None, sleep: Callable =
             sleep(wait)
 
 
-def rerank(keepers: DataFrame, client, prompt: str, top_n: int | None = None, attempts: int | None = None, media_type: str = "image/jpeg", sleep: Callable = time.sleep, workers: int | None = None, on_retry: Callable | None = None) -> DataFrame:
+class CallLog:
+    """Answers by photo and prompt, a file each in a shared folder (a URI), moved into place once it is whole."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def _place(self, content: bytes, prompt: str):
+        import hashlib
+
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(self.folder)
+        key = hashlib.sha256(hashlib.sha256(prompt.encode()).digest() + content).hexdigest()
+        return files, f"{base}/{key[:2]}", f"{key}.txt"
+
+    def answer(self, content: bytes, prompt: str, ask: Callable[[], str]) -> str:
+        """The answer that is kept, or else that of a call, which is kept then. What a call raises is not."""
+        from pyarrow import fs
+
+        files, place, name = self._place(content, prompt)
+        if files.get_file_info(f"{place}/{name}").type == fs.FileType.File:
+            with files.open_input_stream(f"{place}/{name}") as f:
+                return f.read().decode("utf-8")
+        said = ask()
+        files.create_dir(place, recursive=True)
+        draft = f"{place}/.{uuid.uuid4().hex}"
+        with files.open_output_stream(draft) as f:
+            f.write(said.encode("utf-8"))
+        files.move(draft, f"{place}/{name}")
+        return said
+
+
+def rerank(keepers: DataFrame, client, prompt: str, top_n: int | None = None, attempts: int | None = None, media_type: str = "image/jpeg", sleep: Callable = time.sleep, workers: int | None = None, on_retry: Callable | None = None, call_log: str | None = None) -> DataFrame:
     """keepers(name, rank, content binary, ...) -> the same less content, with ai_score, ai_reason and ai_rank.
 
     Keepers without content (they could not be encoded) are left out; a call that fails scores 0. Ties keep the order of rank.
-    workers: how many calls run at a time at most.
+    workers: how many calls run at a time at most. call_log: a shared folder for answers; the same photo is asked about a prompt once, whatever dies.
     """
     checkpoint_dir(keepers.sparkSession)
+    kept = CallLog(call_log) if call_log else None
     fields, attempts = keepers.drop("content").schema, attempts_of(attempts)
     if workers is not None:
         keepers = keepers.repartition(workers)
@@ -100,7 +136,8 @@ def rerank(keepers: DataFrame, client, prompt: str, top_n: int | None = None, at
             for content in batch.column("content"):
                 data = content.as_py()
                 try:
-                    said.append(with_retries(lambda d=data: client.score_photo(d, media_type, prompt), attempts, sleep, None, on_retry))
+                    ask = lambda d=data: with_retries(lambda: client.score_photo(d, media_type, prompt), attempts, sleep, None, on_retry)
+                    said.append(kept.answer(data, prompt, ask) if kept else ask())
                 except Exception as error:  # one photo must not end the batch
                     said.append(f"scoring failed: {error}")
             rest = [batch.column(f.name) for f in fields]
@@ -113,9 +150,10 @@ def rerank(keepers: DataFrame, client, prompt: str, top_n: int | None = None, at
 
 
 def ordered(scored: DataFrame, top_n: int | None = None) -> DataFrame:
-    """Best ai_score first, ties in the order of rank; cut to top_n if given."""
+    """Best ai_score first, ties in the order of rank; cut to top_n if given, else numbered by ranges."""
     from pyspark.sql import Window as W
 
     by = [F.desc("ai_score"), F.asc("rank")]
-    best = scored.orderBy(*by).limit(top_n) if top_n is not None else scored
-    return best.withColumn("ai_rank", F.row_number().over(W.orderBy(*by)))
+    if top_n is not None:
+        return scored.orderBy(*by).limit(top_n).withColumn("ai_rank", F.row_number().over(W.orderBy(*by)))
+    return numbered(scored, by).withColumn("ai_rank", (F.col("pos") + 1).cast("int")).drop("part", "pos")

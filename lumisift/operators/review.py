@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from lumisift.operators.ordered import numbered, running
 
+#: Near-duplicates of a candidate that one row of a new session holds.
+SIMILAR_ROWS = 10_000
 VIEWS = ("all", "undecided", "keep", "reject", "rejected-input")
 
 
@@ -98,17 +100,21 @@ def restore(fresh: DataFrame, saved: DataFrame) -> DataFrame:
     return moved.withColumns({c: F.col(f"_pick.{c}") for c in ("path", "filename", "score", "similar")}).drop("_key", "_path", "_saved", "_pick")
 
 
-def build_session(keepers: DataFrame, clusters: DataFrame, scored: DataFrame, rejects: DataFrame | None = None) -> DataFrame:
-    """Candidates of a cull: its keepers, each with its near-duplicates, then its rejects (but not unreadable ones) if given."""
-    members = clusters.join(scored.select(F.col("name").alias("loser"), "score"), "loser")
-    similar = members.groupBy("winner").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("loser").alias("path"), F.col("loser").alias("filename"), "score"))).alias("m"))
-    nested = similar.select(F.col("winner").alias("path"), F.transform("m", lambda x: F.struct(x["path"].alias("path"), x["filename"].alias("filename"), x["score"].alias("score"))).alias("similar"))
+def build_session(keepers: DataFrame, clusters: DataFrame, scored: DataFrame, rejects: DataFrame | None = None, each: int = SIMILAR_ROWS) -> DataFrame:
+    """Candidates of a cull: its keepers, each with its near-duplicates, then its rejects (but not unreadable ones) if given.
+
+    A candidate is a row for each `each` of its near-duplicates, numbered by chunk from 0, so that no row or task holds a cluster of any size.
+    """
+    chunk = F.floor((F.col("ord") - 1) / each).cast("int")
+    members = clusters.join(scored.select(F.col("name").alias("loser"), "score"), "loser").withColumn("chunk", chunk)
+    similar = members.groupBy("winner", "chunk").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("loser").alias("path"), F.col("loser").alias("filename"), "score"))).alias("m"))
+    nested = similar.select(F.col("winner").alias("path"), "chunk", F.transform("m", lambda x: F.struct(x["path"].alias("path"), x["filename"].alias("filename"), x["score"].alias("score"))).alias("similar"))
     rows = keepers.select(F.col("name").alias("path"), "score", F.lit("").alias("rejected_reason"), F.lit(0).alias("part"), F.col("rank").cast("long").alias("at"))
     if rejects is not None:
         more = rejects.where("reason <> 'unreadable'").join(keepers.select("name"), "name", "left_anti").join(scored.select("name", "score"), "name", "left")
         rows = rows.unionByName(more.select(F.col("name").alias("path"), F.coalesce("score", F.lit(0.0)).alias("score"), F.col("reason").alias("rejected_reason"), F.lit(1).alias("part"), F.lit(0).cast("long").alias("at")))
     none = F.array().cast("array<struct<path:string,filename:string,score:double>>")
-    return rows.join(nested, "path", "left").select("path", F.col("path").alias("filename"), "score", F.lit("").alias("decision"), "rejected_reason", F.coalesce("similar", none).alias("similar"), "part", "at")
+    return rows.join(nested, "path", "left").select("path", F.col("path").alias("filename"), "score", F.lit("").alias("decision"), "rejected_reason", F.coalesce("similar", none).alias("similar"), "part", "at", F.coalesce("chunk", F.lit(0)).alias("chunk"))
 
 
 def next_undecided(candidates: DataFrame, focus: Column) -> DataFrame:

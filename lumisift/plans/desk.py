@@ -36,7 +36,12 @@ def built(folder: str, prompt: str, input_count: int, reject_summary: dict[str,
     """The session of `review.build_session`'s candidates: part and at order them; ai_score, ai_reason and capture_time if they have them."""
     fields = sessions.CANDIDATE[len("struct<") : -1]
     names = [x.split(" ")[0] for x in fields.replace(sessions.SIMILAR, "similar").split(", ")]
-    found = sorted((r.asDict(recursive=True) for r in rows.collect()), key=lambda r: (r["part"], r["at"], r["path"]))  # keepers, and rejects if asked for
+    found: list[dict] = []
+    for r in sorted((r.asDict(recursive=True) for r in rows.collect()), key=lambda r: (r["part"], r["at"], r["path"], r["chunk"])):  # keepers, and rejects if asked for
+        if r.get("chunk"):
+            found[-1]["similar"] += r["similar"]
+        else:
+            found.append(r)
     none = {"ai_score": None, "ai_reason": "", "capture_time": None}
     candidates = [{k: ({"idx": n} | none | r).get(k) for k in names} for n, r in enumerate(found)]
     return counted({"source_folder": folder, "prompt": prompt, "input_count": input_count, "reject_summary": reject_summary, "candidates": candidates, "history": []})
@@ -57,8 +62,8 @@ def load(path: str) -> dict | None:
         return None
 
 
-def changed(session: dict, path: str, action: str, idx: int | None = None, member: int | None = None) -> dict:
-    """The session after an action, saved. Undo clears the last decision; swap makes similar frame `member` the pick."""
+def after(session: dict, action: str, idx: int | None = None, member: int | None = None) -> dict:
+    """The session after an action. Undo clears the last decision; swap makes similar frame `member` the pick."""
     new = copy.deepcopy(session)
     if action in ("keep", "reject", "clear", "swap") and (idx is None or not 0 <= idx < len(new["candidates"])):
         raise ValueError(f"no candidate {idx}")
@@ -76,7 +81,12 @@ def changed(session: dict, path: str, action: str, idx: int | None = None, membe
             c["decision"] = decisions.get(c["idx"], "")
     else:
         raise ValueError(f"{action!r} is not one of {(*ACTIONS, 'swap')}")
-    new = counted(new)
+    return counted(new)
+
+
+def changed(session: dict, path: str, action: str, idx: int | None = None, member: int | None = None) -> dict:
+    """The session after an action, saved."""
+    new = after(session, action, idx, member)
     try:
         sinks.save_session(path, new)
     except OSError as error:
@@ -84,6 +94,72 @@ def changed(session: dict, path: str, action: str, idx: int | None = None, membe
     return new
 
 
+class Store:
+    """A session that several reviewers change: a numbered snapshot with each change, in a folder beside the session file, and the file itself as the newest.
+
+    A change is made on the newest snapshot and counts once it has claimed the next number; who comes second makes the change again on what the first has left, so no event is
+    lost. The snapshots' events are the log, and any of them can be gone back to, as a change of its own.
+    """
+
+    def __init__(self, path: str, attempts: int = 100):
+        self.path, self.folder, self.attempts = path, f"{path}.versions", attempts
+
+    def numbers(self) -> list[int]:
+        from pyarrow import fs
+
+        files, at = fs.FileSystem.from_uri(self.folder)
+        found = files.get_file_info(fs.FileSelector(at, allow_not_found=True))
+        return sorted(int(f.base_name[1:-5]) for f in found if f.base_name.startswith("v") and f.base_name.endswith(".json"))
+
+    def _read(self, number: int) -> dict:
+        from pyarrow import fs
+
+        files, at = fs.FileSystem.from_uri(f"{self.folder}/v{number:08}.json")
+        with files.open_input_stream(at) as f:
+            return json.loads(f.read())
+
+    def newest(self) -> tuple[int, dict | None]:
+        """The newest snapshot's number and session; 0 and the session file's before the first change."""
+        numbers = self.numbers()
+        return (numbers[-1], self._read(numbers[-1])["session"]) if numbers else (0, load(self.path))
+
+    def events(self) -> list[dict]:
+        return [self._read(k)["event"] for k in self.numbers()]
+
+    def _claimed(self, event: dict, make) -> dict:
+        from pyarrow import fs
+
+        files, at = fs.FileSystem.from_uri(self.folder)
+        files.create_dir(at, recursive=True)
+        for _ in range(self.attempts):
+            number, held = self.newest()
+            new = make(held)
+            try:
+                if sinks.claim(f"{self.folder}/v{number + 1:08}.json", json.dumps({"event": event, "session": new}).encode()):
+                    sinks.save_session(self.path, self.newest()[1])  # perhaps one that is newer still
+                    return new
+            except OSError as error:
+                raise SaveError(f"{self.path} could not be written, so nothing is changed: {error}") from error
+        raise SaveError(f"{self.path} is changed too often by others")
+
+    def change(self, action: str, idx: int | None = None, member: int | None = None) -> dict:
+        """The session after an action on its newest state, saved."""
+        def make(held: dict | None) -> dict:
+            if held is None:
+                raise ValueError(f"no usable session in {self.path}")
+            return after(held, action, idx, member)
+
+        return self._claimed({"action": action, "idx": idx, "member": member}, make)
+
+    def put(self, session: dict) -> dict:
+        """A whole session, as of a new cull, in place of the newest."""
+        return self._claimed({"action": "put"}, lambda _: counted(session))
+
+    def back_to(self, number: int) -> dict:
+        """The session as it was in a snapshot, saved as its newest."""
+        return self._claimed({"action": "back", "to": number}, lambda _: self._read(number)["session"])
+
+
 def candidates(spark: SparkSession, session: dict) -> DataFrame:
     rows = [tuple(c.get(k) for k in ("idx", "path", "filename", "score", "decision", "rejected_reason")) for c in session["candidates"]]
     return spark.createDataFrame([("", *r) for r in rows], "session string, idx int, path string, filename string, score double, decision string, rejected_reason string")

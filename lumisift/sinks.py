@@ -116,6 +116,32 @@ def save_session(path: str, session: dict, attempts: int = 3) -> None:
                 raise
 
 
+def claim(path: str, content: bytes) -> bool:
+    """Writes a file whole if there is none of that name, and says whether it did. Of two that try at once one succeeds on a local or Hadoop file system;
+    a store without renames that fail can only be looked at before."""
+    import os
+
+    from pyarrow import fs
+
+    files, at = fs.FileSystem.from_uri(path)
+    draft = f"{at}.{uuid.uuid4().hex}"
+    with files.open_output_stream(draft) as f:
+        f.write(content)
+    try:
+        if isinstance(files, fs.LocalFileSystem):
+            os.link(draft, at)  # fails where the name is taken
+            return True
+        if files.get_file_info(at).type != fs.FileType.NotFound:
+            return False
+        files.move(draft, at)
+        return True
+    except FileExistsError:
+        return False
+    finally:
+        if files.get_file_info(draft).type != fs.FileType.NotFound:
+            files.delete_file(draft)
+
+
 def folder_entries(spark: SparkSession, folder: str) -> list[str]:
     """Names in a folder that don't start with a dot; none if it does not exist."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -281,4 +307,4 @@ def summary(counts: dict[str, int], picked: int, total: int) -> str:
     return f"kept {picked} of {total}" + (f" (rejected: {lost})" if lost else "")
 
 
-__all__ = ["RENAME_SCHEMES", "changes_of_name", "fitted", "folder_entries", "guard_output", "preview_width", "resized", "save_session", "summary", "tally", "thumbnail_plan", "thumbnails", "write_bytes", "write_contents", "write_files", "write_manifest", "write_table", "write_thumbnails"]
+__all__ = ["RENAME_SCHEMES", "changes_of_name", "claim", "fitted", "folder_entries", "guard_output", "preview_width", "resized", "save_session", "summary", "tally", "thumbnail_plan", "thumbnails", "write_bytes", "write_contents", "write_files", "write_manifest", "write_table", "write_thumbnails"]

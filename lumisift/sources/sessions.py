@@ -87,10 +87,7 @@ def cache_split(wanted: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The cache table, or an empty one where there is none that can be read."""
-    from pyspark.errors import AnalysisException
+    """The cache table, each key's newest answer, or an empty one where there is none."""
+    from lumisift.sources import cache
 
-    try:
-        return spark.read.parquet(path).select("key", "probs")
-    except AnalysisException:
-        return spark.createDataFrame([], "key string, probs map<string,double>")
+    return cache.read(spark, path)

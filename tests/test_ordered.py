@@ -125,3 +125,15 @@ def test_a_session_of_many_events(spark):
         applied(decisions, history, "undo" if k % 5 == 4 else "reject" if k % 2 else "keep", k % 1000)
     assert {r.idx: r.decision for r in decided.collect()} == decisions
     assert remembered.count() == len(history) == 600_000
+
+
+def test_similar_frames_come_in_chunks(spark):
+    from lumisift.plans import desk
+
+    clusters = spark.createDataFrame([("k", n, f"l{n}") for n in range(1, 8)], "winner string, ord int, loser string")
+    scored = spark.createDataFrame([("k", 9.0), ("j", 8.0), *((f"l{n}", float(n)) for n in range(1, 8))], "name string, score double")
+    keepers = spark.createDataFrame([("k", 9.0, 1), ("j", 8.0, 2)], "name string, score double, rank int")
+    rows = review.build_session(keepers, clusters, scored, each=3)
+    assert sorted((r.path, r.chunk, [s.path for s in r.similar]) for r in rows.collect()) == [("j", 0, []), ("k", 0, ["l1", "l2", "l3"]), ("k", 1, ["l4", "l5", "l6"]), ("k", 2, ["l7"])]
+    held = desk.built("f", "", 9, {}, rows)
+    assert [(c["path"], len(c["similar"])) for c in held["candidates"]] == [("k", 7), ("j", 0)]
