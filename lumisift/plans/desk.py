@@ -119,9 +119,9 @@ class Store:
             return json.loads(f.read())
 
     def newest(self) -> tuple[int, dict | None]:
-        """The newest snapshot's number and session; 0 and the session file's before the first change."""
-        numbers = self.numbers()
-        return (numbers[-1], self._read(numbers[-1])["session"]) if numbers else (0, load(self.path))
+        """The newest snapshot's number and session; 0 and the session file's before the first change. No session where the file is gone or broken."""
+        numbers, file = self.numbers(), load(self.path)
+        return (numbers[-1], self._read(numbers[-1])["session"] if file else None) if numbers else (0, file)
 
     def events(self) -> list[dict]:
         return [self._read(k)["event"] for k in self.numbers()]
@@ -136,7 +136,7 @@ class Store:
             new = make(held)
             try:
                 if sinks.claim(f"{self.folder}/v{number + 1:08}.json", json.dumps({"event": event, "session": new}).encode()):
-                    sinks.save_session(self.path, self.newest()[1])  # perhaps one that is newer still
+                    sinks.save_session(self.path, self._read(self.numbers()[-1])["session"])  # perhaps one that is newer still
                     return new
             except OSError as error:
                 raise SaveError(f"{self.path} could not be written, so nothing is changed: {error}") from error
