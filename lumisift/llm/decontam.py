@@ -30,9 +30,7 @@ from .common import materialise
 
 #: Fixed masks: 1 looks, 0 ignores. Every stretch of SCORE or more holds a place of one of them.
 SEEDS = ("111101", "10110011")
-#: The masks over SPAN tokens of the SQL, which misses stretches that SEEDS find.
-MASKS = ("110110110111", "101110011011")
-SPAN, PENALTY, SCORE, BROADCAST_ROWS = 12, 2, 10, 500_000
+PENALTY, SCORE, BROADCAST_ROWS = 2, 10, 500_000
 TOKEN = r"[\p{L}\p{N}]+"
 
 

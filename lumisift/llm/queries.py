@@ -113,13 +113,17 @@ def _quoted(text: str) -> str:
 
 def _op1_sql() -> str:
     def seeds(table: str) -> str:
-        looks = [", ".join(f"h[p + {j + 1}]" for j, x in enumerate(m) if x == "1") for m in decontam.MASKS]
-        return " UNION ALL ".join(f"SELECT rn, p, {k} AS m, array_to_string([{x}], ' ') AS seed FROM (SELECT rn, h, unnest(range(0, greatest(len(h) - {decontam.SPAN - 1}, 0))) AS p FROM {table})" for k, x in enumerate(looks))
+        found = []
+        for k, mask in enumerate(decontam.SEEDS):
+            look = ", ".join(f"h[p + {j + 1}]" for j in decontam.looked(mask))
+            found.append(f"SELECT rn, p, {k} AS m, array_to_string([{look}], ' ') AS seed FROM (SELECT rn, h, unnest(range(0, greatest(len(h) - {len(mask) - 1}, 0))) AS p FROM {table})")
+        return " UNION ALL ".join(found)
 
     tokens = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rn, doc_id, {tokens} AS h FROM documents),
-t AS (SELECT row_number() OVER () AS rn, item_id, {tokens} AS h FROM benchmark),
+a AS (SELECT row_number() OVER () AS rn, item_id, {tokens} AS h FROM benchmark),
+t AS (SELECT * FROM a WHERE len(h) >= {decontam.SCORE}),
 ds AS ({seeds("d")}), ts AS ({seeds("t")}),
 hits AS (SELECT DISTINCT ds.rn AS d, ts.rn AS t, ds.p - ts.p AS shift FROM ds JOIN ts USING (m, seed)),
 laid AS (
@@ -128,9 +132,13 @@ laid AS (
 p AS (
   SELECT d, t, shift, i, doc_id, item_id, len(th) AS item_tokens,
     sum(CASE WHEN dh[i + shift + 1] = th[i + 1] THEN 1 ELSE -{decontam.PENALTY} END) OVER (PARTITION BY d, t, shift ORDER BY i) AS p FROM laid),
-b AS (SELECT doc_id, item_id, item_tokens, p - least(0, min(p) OVER (PARTITION BY d, t, shift ORDER BY i)) AS score FROM p)
+b AS (
+  SELECT doc_id, item_id, item_tokens, p - least(0, min(p) OVER (PARTITION BY d, t, shift ORDER BY i)) AS score FROM p
+  UNION ALL
+  SELECT doc_id, item_id, len(a.h), len(a.h) FROM a JOIN (SELECT doc_id, h, unnest(range(1, len(h) + 1)) AS i FROM d) AS e
+    ON len(a.h) BETWEEN 1 AND {decontam.SCORE - 1} AND e.h[i] = a.h[1] AND e.h[i:i + len(a.h) - 1] = a.h)
 SELECT doc_id, item_id, CAST(max(score) AS BIGINT) AS score, CAST(max(item_tokens) AS BIGINT) AS item_tokens
-FROM b WHERE score >= {decontam.SCORE} GROUP BY doc_id, item_id"""
+FROM b WHERE score >= least({decontam.SCORE}, item_tokens) GROUP BY doc_id, item_id"""
 
 
 def _op3_sql() -> str:
