@@ -623,7 +623,7 @@ def session_build(spark, sf_dir):
 
 
 @query("""WITH l AS (SELECT 'label ' || vec_id AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 3),
-s AS (SELECT vec_id, label, exp(10 * list_dot_product(CAST(embedding AS DOUBLE[]), v) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(v, v)))) AS odds FROM embeddings, l)
+s AS (SELECT vec_id, l.label, exp(10 * list_dot_product(CAST(embedding AS DOUBLE[]), v) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(v, v)))) AS odds FROM embeddings, l)
 SELECT vec_id, label, round(odds / sum(odds) OVER (PARTITION BY vec_id), 6) AS prob FROM s""")
 def embedding_labels(spark, sf_dir):
     rows = testdata.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
