@@ -3,7 +3,7 @@
 Join: to find all pairs within t bits, cut the 64 bits into t+r bands; at least r of them agree, so every choice of r
 bands is an equi-join key, and a pair is given at the first choice that agrees only. More bands in a key make it rarer, at the price of
 more keys a row; `plan_bands` weighs the two by the number of distinct hashes. Where no bands are selective (wide thresholds), hashes are cut into
-blocks and each pair of blocks is compared as a key of its own, so tasks stay of one size whatever the number of hashes. Selection keeps a frame unless an earlier kept one is within t bits: the
+blocks, a row each, and each pair of blocks is a row that is compared whole, so tasks stay of one size whatever the number of hashes. Selection keeps a frame unless an earlier kept one is within t bits: the
 lexicographically first maximal independent set. Hashes are numbered in the order and cut into ranges of it; each range is scanned in order, in rounds
 that hand decisions from range to range (few for orders that are random to the hashes: Blelloch, Fineman and Shun, SPAA 2012; and never one a link of a chain, as
 frames that drift do so within a range). Equal hashes are merged first, so bursts and flat frames cost one row.
@@ -11,9 +11,12 @@ frames that drift do so within a range). Equal hashes are merged first, so burst
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterable, Iterator
+from itertools import chain, combinations, groupby, islice
 from math import comb
+from operator import itemgetter
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ THRESHOLD = 6
 RANGE_EDGES = 1_000_000
 #: Up to so many distinct hashes, one side is broadcast where all are compared; beyond, blocks of so many meet in pairs.
 NAIVE_ROWS, BLOCK_ROWS = 20_000, 8_192
+#: Hashes compared with a block at a time; pairs, and decisions of a range, that are handed on at a time.
+COMPARED, GIVEN = 64, 50_000
 
 
 def plan_bands(rows: int, threshold: int) -> tuple[int, int] | None:
@@ -74,14 +79,41 @@ def _first_choice(which: Column, bands: int, used: int) -> Column:
     return agree.cast("long").bitwiseAND(pick(upto)) == pick(chosen)
 
 
-def _in_blocks(hashes: DataFrame, rows: int, near: Column) -> DataFrame:
-    """All pairs that are near, from each pair of blocks of about BLOCK_ROWS hashes."""
+def _in_blocks(hashes: DataFrame, rows: int, threshold: int) -> DataFrame:
+    """All pairs within the threshold, from each pair of blocks of about BLOCK_ROWS hashes: a row a block, and one a pair of them."""
+
+    def compare(batches: Iterator):
+        import pyarrow as pa
+
+        def said(a, b):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+        for batch in batches:
+            same = [i == j for i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            for k, one in enumerate(same):
+                x, y = (batch.column(c)[k].values.to_numpy() for c in (2, 3))
+                a, b, held = [], [], 0
+                for at in range(0, len(x), COMPARED):
+                    part = x[at : at + COMPARED, None]
+                    row, column = np.nonzero(np.bitwise_count((part ^ y).view(np.uint64)) <= threshold)
+                    u, v = part[row, 0], y[column]
+                    if one:  # a block with itself gives each pair twice, and each hash with itself
+                        u, v = u[u < v], v[u < v]
+                    a.append(np.minimum(u, v)), b.append(np.maximum(u, v))
+                    held += len(u)
+                    if held >= GIVEN:
+                        yield said(a, b)
+                        a, b, held = [], [], 0
+                if held:
+                    yield said(a, b)
+
+    checkpoint_dir(hashes.sparkSession)
     blocks = -(-rows // BLOCK_ROWS)
-    own = F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int")
-    x = hashes.select(F.col("h").alias("x"), own.alias("i"), F.explode(F.sequence(own, F.lit(blocks - 1))).alias("j"))
-    y = hashes.select(F.col("h").alias("y"), own.alias("j"), F.explode(F.sequence(F.lit(0), own)).alias("i"))
-    met = x.join(y, ["i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where(near)
+    whole = hashes.groupBy(F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int").alias("own")).agg(F.collect_list("h").alias("hs")).checkpoint()
+    x = whole.select(F.col("own").alias("i"), F.explode(F.sequence("own", F.lit(blocks - 1))).alias("j"), F.col("hs").alias("x"))
+    y = whole.select(F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("hs").alias("y"))
+    spread = x.join(y, ["i", "j"]).select("i", "j", "x", "y")
+    return spread.mapInArrow(compare, "a long, b long")
 
 
 def similar_pairs(hashes: DataFrame, threshold: int = THRESHOLD, rows: int | None = None, plan: tuple[int, int] | None = None, compare_all: bool = False) -> DataFrame:
@@ -95,7 +127,7 @@ def similar_pairs(hashes: DataFrame, threshold: int = THRESHOLD, rows: int | Non
     left, right = hashes.select(F.col("h").alias("a")), hashes.select(F.col("h").alias("b"))
     near = (F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= threshold)
     if plan is None:
-        return left.join(F.broadcast(right), near) if rows <= NAIVE_ROWS else _in_blocks(hashes, rows, near)
+        return left.join(F.broadcast(right), near) if rows <= NAIVE_ROWS else _in_blocks(hashes, rows, threshold)
     keyed = hashes.select("h", F.explode(band_keys(F.col("h"), *plan)).alias("key"))
     x = keyed.select(F.col("h").alias("a"), F.col("key.which").alias("which"), F.col("key.value").alias("value"))
     y = keyed.select(F.col("h").alias("b"), F.col("key.which").alias("which"), F.col("key.value").alias("value"))

@@ -444,3 +444,19 @@ def test_no_local_scratch_on_a_cluster(monkeypatch):
         checkpoint_dir(Session())
     Session.sparkContext.master = "local[2]"
     assert checkpoint_dir(Session()).startswith("file://") and Session.sparkContext.found
+
+
+def test_all_comparisons_are_made_by_blocks(spark, monkeypatch):
+    """Pairs of blocks are rows that are compared whole: no join of hashes with hashes makes a row for each of the comparisons."""
+    monkeypatch.setattr(neardup, "NAIVE_ROWS", 100)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(neardup, "GIVEN", 50)
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(-(2**63), 2**63, 1000)
+    hashes = np.unique(np.concatenate((hashes, hashes ^ (np.int64(1) << rng.integers(0, 64, 1000)), [0, -1, 2**63 - 1, -(2**63)])))
+    df = spark.createDataFrame([(int(h),) for h in hashes], "h long")
+    found = neardup.similar_pairs(df, 6, compare_all=True)
+    near = np.bitwise_count((hashes[:, None] ^ hashes).view(np.uint64)) <= 6
+    assert sorted(map(tuple, found.collect())) == [(int(hashes[i]), int(hashes[j])) for i, j in zip(*np.nonzero(np.triu(near, 1)))]
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "xor" not in plan.lower() and "^" not in plan
