@@ -134,28 +134,34 @@ def similar_pairs(hashes: DataFrame, threshold: int = THRESHOLD, rows: int | Non
     return x.join(y, ["which", "value"]).where(near & _first_choice(F.col("which"), *plan)).select("a", "b")
 
 
-def scanned(edges: list[tuple[int, int, bool | None]]) -> dict[int, bool]:
-    """Which frames are kept, as far as the open edges(earlier, later, whether the earlier is kept or None) of a range of the order tell, in one scan.
+def streamed(edges: Iterable[tuple[int, int, bool | None]]) -> Iterator[tuple[int, bool]]:
+    """(frame, kept) as far as the open edges(earlier, later, whether the earlier is kept or None) of a range tell, in one scan; they come by the later.
 
     A frame with a kept one before it is dropped; one with dropped ones only is kept; what hangs on an undecided frame of another range stays open.
+    What it holds is a row a decided frame of the range, whatever the number of edges.
     """
-    into: dict[int, list[tuple[int, bool | None]]] = {}
-    for x, y, known in edges:
-        into.setdefault(y, []).append((x, known))
     kept: dict[int, bool] = {}
-    for y in sorted(into):
-        said = {kept.get(x) if known is None else known for x, known in into[y]}
-        if True in said:
-            kept[y] = False
-        elif None not in said:
-            kept[y] = True
-    return kept
+    at, lost, open_ = None, False, False
+    for x, y, known in chain(edges, [(None, None, None)]):
+        if y != at:
+            if at is not None and (lost or not open_):
+                kept[at] = not lost
+                yield at, kept[at]
+            at, lost, open_ = y, False, False
+        if not lost:
+            said = kept.get(x) if known is None else known
+            lost, open_ = said is True, open_ or said is None
+
+
+def scanned(edges: list[tuple[int, int, bool | None]]) -> dict[int, bool]:
+    """`streamed`, of edges in any order."""
+    return dict(streamed(sorted(edges, key=itemgetter(1))))
 
 
 def settled(edges: DataFrame) -> DataFrame:
     """edges(x, y, part) of numbers x < y, part the range of y -> (n, kept) of all y: y is kept unless a kept x comes before it.
 
-    Each round scans all ranges, each on its own and in order, with what earlier rounds have decided of the others. The first
+    Each round scans all ranges, each on its own, in order and as its edges stream by, with what earlier rounds have decided of the others. The first
     range that is open is decided whole in a round, and so is whatever does not hang on another range's undecided frames: a chain within a
     range takes no more rounds than a pair, and chains across ranges one a crossing.
     """
@@ -163,14 +169,23 @@ def settled(edges: DataFrame) -> DataFrame:
     open_ = edges.join(roots.withColumn("known", F.lit(True)), F.col("x") == F.col("n"), "left").select("part", "x", "y", "known").checkpoint()
     found: list[DataFrame] = []
 
-    def scan(group):
+    def scan(batches):
         import pyarrow as pa
 
-        kept = scanned(list(zip(*(group.column(c).to_pylist() for c in ("x", "y", "known")))))
-        return pa.table({"n": pa.array(list(kept), pa.int64()), "kept": pa.array(list(kept.values()), pa.bool_())})
+        def rows():
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns))
+
+        def decided():
+            for _, edges in groupby(rows(), itemgetter(0)):
+                yield from streamed(e[1:] for e in edges)
+
+        found = decided()
+        while said := list(islice(found, GIVEN)):
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in said], pa.int64()), pa.array([k for _, k in said], pa.bool_())], names=["n", "kept"])
 
     while not open_.isEmpty():
-        new = open_.groupBy("part").applyInArrow(scan, "n long, kept boolean").checkpoint()
+        new = open_.select("part", "x", "y", "known").repartition("part").sortWithinPartitions("part", "y").mapInArrow(scan, "n long, kept boolean").checkpoint()
         found.append(new)
         left = open_.join(new.select(F.col("n").alias("y")), "y", "left_anti").join(new.select(F.col("n").alias("x"), F.col("kept").alias("now")), "x", "left")
         open_ = left.select("part", "x", "y", F.coalesce("known", "now").alias("known")).checkpoint()

@@ -1,6 +1,7 @@
 """Numbers, running values, greedy selection and undo over ranges of every size, against plain loops."""
 
 import random
+from itertools import chain
 import time
 
 import pytest
@@ -137,3 +138,26 @@ def test_similar_frames_come_in_chunks(spark):
     assert sorted((r.path, r.chunk, [s.path for s in r.similar]) for r in rows.collect()) == [("j", 0, []), ("k", 0, ["l1", "l2", "l3"]), ("k", 1, ["l4", "l5", "l6"]), ("k", 2, ["l7"])]
     held = desk.built("f", "", 9, {}, rows)
     assert [(c["path"], len(c["similar"])) for c in held["candidates"]] == [("k", 7), ("j", 0)]
+
+
+def test_edges_of_a_range_stream_by():
+    """A million edges into one frame and a long chain: what is held is a row a decided frame, not the edges."""
+    import tracemalloc
+
+    edges = chain(((x, 1_000_000, False) for x in range(1_000_000)), ((n - 1, n, None) for n in range(1_000_001, 1_001_000)))
+    tracemalloc.start()
+    got = dict(neardup.streamed(edges))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == {n: n % 2 == 0 for n in range(1_000_000, 1_001_000)} and most < 1 << 20
+
+
+def test_ranges_of_many_edges_reach_python_in_batches(spark, monkeypatch):
+    """No task is handed a range's edges whole."""
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInArrow", None)
+    ordered.checkpoint_dir(spark)
+    rows = [(x, y, y // 40) for y in range(1, 200) for x in range(max(0, y - 3), y)]
+    got = {r.n: r.kept for r in neardup.settled(spark.createDataFrame(rows, "x long, y long, part int")).collect()}
+    assert got == {n: n % 4 == 0 for n in range(1, 200)}
