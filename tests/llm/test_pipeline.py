@@ -118,3 +118,46 @@ def test_near_copies_at_similarities_of_0_8_to_0_9(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
     assert kept == [k for k in range(len(texts)) if find(k) == k]
+
+
+def test_crowds_lose_no_link(spark, monkeypatch):
+    """A crowd whose forest and nearest by sketch are all dissimilar sets: what is left is compared whole, in blocks too."""
+    from lumisift.llm import shingles
+
+    rng = random.Random(5)
+    draw = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base, texts = draw(300), []
+    for k in range(60):  # copies of similarity near 0.7 to each other, in pairs of similarity over 0.8
+        head = list(base)
+        for _ in range(5):
+            head[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        tail = list(head)
+        for _ in range(3):
+            tail[rng.randrange(300)] = f"y{rng.randrange(10**6)}"
+        texts += [" ".join(head), " ".join(tail)]
+    sets, root = [{tuple(t.split()[k : k + 5]) for k in range(296)} for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and root[i] != root[j]:
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    assert 10 < len(set(root)) < 110
+    monkeypatch.setattr(shingles, "SMALL", 2)
+    monkeypatch.setattr(shingles, "NEAREST", 1)
+    monkeypatch.setattr(shingles, "PASSES", 1)
+    monkeypatch.setattr(shingles, "BIG", 40)
+    monkeypatch.setattr(shingles, "GIVEN", 20)
+    df = spark.createDataFrame(list(enumerate(texts)), "row_key long, text string")
+    found = {r.row_key: r.component for r in shingles.grouped(df, shingles.signed(df), lambda d: simhash.linked(d.select("fp", "sig"))).collect()}
+    assert all((found[i] == found[j]) == (root[i] == root[j]) for i in range(len(texts)) for j in range(i))
+
+
+def test_a_key_of_many_gives_pairs_in_proportion():
+    """All alike: a forest, and the same one whatever the key."""
+    import numpy as np
+    from lumisift.llm import shingles
+
+    rows = np.stack([np.arange(3000, dtype=np.uint64) * np.uint64(977), np.full(3000, 100, np.uint64), np.full(3000, 5, np.uint64), np.full(3000, 9, np.uint64)], axis=1)
+    rng = np.random.default_rng(1)
+    one, two = (shingles.pairs_of(np.full(3000, k), rows[rng.permutation(3000)]) for k in (4, 8))
+    assert len(one[0]) == 2999 and (one[0] == two[0]).all() and one[1].tolist() == [[4, 3000]]
+    assert sum(map(len, shingles.between(rows, np.zeros(3000, np.int64), None))) == 0
