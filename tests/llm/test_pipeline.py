@@ -145,7 +145,6 @@ def test_crowds_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(shingles, "NEAREST", 1)
     monkeypatch.setattr(shingles, "PASSES", 1)
     monkeypatch.setattr(shingles, "BIG", 40)
-    monkeypatch.setattr(shingles, "GIVEN", 20)
     df = spark.createDataFrame(list(enumerate(texts)), "row_key long, text string")
     found = {r.row_key: r.component for r in shingles.grouped(df, shingles.signed(df), lambda d: simhash.linked(d.select("fp", "sig"))).collect()}
     assert all((found[i] == found[j]) == (root[i] == root[j]) for i in range(len(texts)) for j in range(i))
