@@ -46,10 +46,12 @@ GATES = 6 * 3 * 2
 PRIOR, FIRM, SEGMENT, LONGEST = 0.2, 400.0, 512, 32_768
 #: Bytes of text whose words are looked up together, and that are mixed together; distinct words counted before they are handed on; slots of a block.
 BATCH, CHUNK, HELD, SLOTS = 1 << 20, 1 << 17, 300_000, 1 << 13
+#: The last bits of nodes, by which the slots of a context differ. Nodes near the root, which are most of those visited, are the last 32: a line of memory.
+NEAR = 127
 #: Bytes of text, and distinct words, that a task counts into its tables.
 TASK_BYTES, TASK_WORDS = 64 << 20, 2_000_000
-#: Decisions of so many, about, are added to a task's table at a time.
-COUNTED = 3_000_000
+#: Tokens whose decisions are laid out at a time.
+LAID = 1 << 13
 SCHEMA = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, rare array<struct<word:binary,tf:int>>"
 
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -131,12 +133,21 @@ class Code:
         self.nodes, self.bits = np.array(nodes, dtype=np.uint8), np.array(bits, dtype=np.uint8)
 
 
-def laid_out(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of words with their terminators, their places in the word, and the words' lengths."""
-    data = np.frombuffer(b"".join([w + b" " if w else b"\n" for w in words]), dtype=np.uint8)
-    lengths = np.array([len(w) + 1 for w in words], dtype=np.int64)
-    first = np.cumsum(lengths) - lengths
-    return data, np.arange(len(data)) - np.repeat(first, lengths), lengths
+def laid_out(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of an Arrow array of words with their terminators, their places in the word, and the words' lengths."""
+    import pyarrow as pa
+
+    words = words.cast(pa.binary())
+    _, offsets, spelled = words.buffers()
+    edges = np.frombuffer(offsets, dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    lengths = np.diff(edges) + 1
+    ends = np.cumsum(lengths) - 1
+    data, inner = np.empty(int(lengths.sum()), dtype=np.uint8), np.ones(int(lengths.sum()), dtype=bool)
+    inner[ends] = False
+    data[ends] = np.where(lengths == 1, 10, 32)
+    if edges[-1] > edges[0]:
+        data[inner] = np.frombuffer(spelled, dtype=np.uint8)[edges[0] : edges[-1]]
+    return data, np.arange(len(data)) - np.repeat(ends + 1 - lengths, lengths), lengths
 
 
 def context_of(data: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -148,41 +159,50 @@ def context_of(data: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 class Decisions:
-    """The decisions of distinct words: where each word's begin and how many they are, their bits, and a hash of each context with its node."""
+    """The decisions of distinct words: where each word's begin and how many they are, their bits, and hashes of the bytes' contexts.
+
+    Decisions of a byte have neighbouring slots: those of its context's hash, each with the last bits of the node turned over, so that they are fetched together.
+    """
 
-    def __init__(self, words: list[bytes], code: Code):
+    def __init__(self, words, code: Code):
+        """words: an Arrow array of binaries."""
         data, place, lengths = laid_out(words)
         self.data, self.place = data, place
-        at = code.tree[context_of(data, place)] * 256 + data
-        size = code.length[at]
-        self.of_byte = np.repeat(np.arange(len(data)), size)
-        first = np.cumsum(size) - size
-        path = code.start[at][self.of_byte] + np.arange(len(self.of_byte)) - first[self.of_byte]
-        self.bits, self.node = code.bits[path], code.nodes[path].astype(np.uint64) * _K[2] + np.uint64(1)
+        at = code.tree.take(context_of(data, place)) * 256 + data
+        self.size = code.length.take(at)
+        last = np.cumsum(self.size, dtype=np.int64)
+        path = np.repeat(code.start.take(at) - (last - self.size), self.size)
+        path += np.arange(len(path))
+        self.bits = code.bits.take(path)
+        self.mark = (code.nodes.take(path) & NEAR) << 1 | self.bits  # what the slot and the bit add to twice the slot of the context
         ends = np.cumsum(lengths) - 1
-        begin = np.concatenate((first, [len(self.of_byte)]))
+        self.first, self.bytes = ends + 1 - lengths, lengths
+        begin = np.concatenate(([0], last))
         self.start, self.count = begin[ends + 1 - lengths], begin[ends + 1] - begin[ends + 1 - lengths]
         powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(int(lengths.max(initial=1)), _K[3], dtype=np.uint64))))
-        sums = np.concatenate(([np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[place])))
+        sums = np.concatenate(([np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers.take(place))))
         opened = np.repeat(sums[ends + 1 - lengths], lengths)
         self.prefix = (sums[:-1] - opened) * _K[1] + place.astype(np.uint64)
         self.whole = sums[ends + 1] - sums[ends + 1 - lengths]  # of each word, terminator and all
 
     def last(self, n: int) -> np.ndarray:
-        """The last n bytes before each, within its word."""
-        out = np.zeros(len(self.data), dtype=np.uint64)
+        """The last n bytes, 4 at most, before each, within its word."""
+        out, place = np.zeros(len(self.data), dtype=np.uint32), np.minimum(self.place, n).astype(np.uint8)
         for back in range(1, n + 1):
-            prior = np.zeros(len(self.data), dtype=np.uint64)
-            prior[back:] = self.data[:-back]
-            prior[self.place < back] = 32
-            out = (out << np.uint64(8)) | prior
-        return out
+            prior = np.full(len(self.data), 32, dtype=np.uint8)
+            prior[back:] = np.where(place[back:] < back, np.uint8(32), self.data[:-back])
+            out = (out << np.uint32(8)) | prior
+        return out.astype(np.uint64)
 
     def hashed(self, which: int) -> np.ndarray:
-        """One number for each decision: its context within the word, and its node."""
+        """One number for each byte: its context within the word."""
         context = self.last(2) if which == 0 else self.last(4) if which == 1 else self.prefix
         context = (context + np.uint64(which + 1)) * _K[0]
-        return (context ^ (context >> np.uint64(31)))[self.of_byte] + self.node
+        return context ^ (context >> np.uint64(31))
+
+    def within(self, which: int, bits: int) -> np.ndarray:
+        """Of each decision: twice its slot, and its bit."""
+        return np.repeat(slots(self.hashed(which), bits) << 1, self.size) ^ self.mark
 
 
 def slots(hashed: np.ndarray, bits: int) -> np.ndarray:
@@ -202,24 +222,39 @@ class Tokens:
     """Texts as numbers of distinct words. Each text's first word follows its end."""
 
     def __init__(self, texts: list[list[bytes]], code: Code):
-        whole = list(chain.from_iterable(texts))
-        self.words = list(dict.fromkeys(whole))
-        number = dict(zip(self.words, range(len(self.words))))
-        self.ids = np.fromiter(map(number.__getitem__, whole), dtype=np.int64, count=len(whole))
+        import pyarrow as pa
+
+        whole = pa.array(chain.from_iterable(texts), pa.binary(), size=sum(map(len, texts))).dictionary_encode()
+        self.words = whole.dictionary
+        self.ids = whole.indices.to_numpy().astype(np.int64)
         self.sizes = np.array([len(t) for t in texts], dtype=np.int64)
         self.ends = np.cumsum(self.sizes)
         self.made = Decisions(self.words, code)
-        hashes = self.made.whole[self.ids]
+        hashes = self.made.whole.take(self.ids)
         self.before = np.concatenate((hashes[:1], hashes[:-1]))
-        self.before[self.ends - self.sizes] = self.made.whole[number[b""]]
+        self.before[self.ends - self.sizes] = hashes[-1]  # an end
 
     def decisions(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of tokens low to high: places among the words' decisions, hashes of the words before, and how many each token has."""
-        count = self.made.count[self.ids[low:high]]
-        first = np.cumsum(count) - count
-        at = np.repeat(self.made.start[self.ids[low:high]] - first, count) + np.arange(int(count.sum()))
+        at, count = _spread(self.made.start, self.made.count, self.ids[low:high])
         return at, np.repeat(self.before[low:high], count), count
 
+    def across(self, hashed: np.ndarray, low: int, high: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of tokens low to high: places among the words' decisions; and twice the slot of the last predictor, and the bit."""
+        ids = self.ids[low:high]
+        at, _ = _spread(self.made.start, self.made.count, ids)
+        byte, count = _spread(self.made.first, self.made.bytes, ids)
+        slot = slots(crossed(hashed.take(byte), np.repeat(self.before[low:high], count)), bits) << 1
+        return at, np.repeat(slot, self.made.size.take(byte)) ^ self.made.mark.take(at)
+
+
+def _spread(start: np.ndarray, count: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """start, start + 1, ... of each id, as many as its count; and the counts."""
+    n = count.take(ids)
+    at = np.repeat(start.take(ids) - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    return at, n
+
 
 def in_batches(batches: Iterator, texts: int, size: int = BATCH):
     """(batch, words of its texts) for slices of Arrow batches of about so many bytes."""
@@ -302,7 +337,7 @@ def byte_contexts(words: DataFrame) -> np.ndarray:
         for batch in batches:
             for at in range(0, batch.num_rows, 50_000):
                 part = batch.slice(at, 50_000)
-                data, place, lengths = laid_out(part.column(0).to_pylist())
+                data, place, lengths = laid_out(part.column(0))
                 np.add.at(total, context_of(data, place) * 256 + data, np.repeat(part.column(1).to_numpy().astype(np.float64), lengths))
         yield from _blocks(0, total.astype(np.uint64))
 
@@ -323,8 +358,8 @@ def _count_words(which: int, code: Shared, bits: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 20_000):
                 part = batch.slice(at, 20_000)
-                made = Decisions(part.column(0).to_pylist(), code.value)
-                np.add.at(total, 2 * slots(made.hashed(which), bits) + made.bits, np.repeat(part.column(1).to_numpy().astype(np.uint64), made.count))
+                made = Decisions(part.column(0), code.value)
+                np.add.at(total, made.within(which, bits), np.repeat(part.column(1).to_numpy().astype(np.uint64), made.count))
         yield from _blocks(which, total)
 
     return tidied(run)
@@ -332,20 +367,12 @@ def _count_words(which: int, code: Shared, bits: int):
 
 def _count_texts(code: Shared, bits: int):
     def run(batches: Iterator):
-        total = np.zeros(2 << bits, dtype=np.uint32)  # a task has fewer decisions than that holds
-        seen, held = [], 0
+        total, one = np.zeros(2 << bits, dtype=np.uint32), np.uint32(1)  # a task has fewer decisions than that holds
         for _, said in in_batches(batches, 0):
             tokens = Tokens(said, code.value)
-            within, step = tokens.made.hashed(2), 1 << 13
-            for low in range(0, len(tokens.ids), step):
-                at, before, _ = tokens.decisions(low, low + step)
-                seen.append((2 * slots(crossed(within.take(at), before), bits) + tokens.made.bits.take(at)).astype(np.int32))
-            held += int(tokens.sizes.sum()) * 20
-            if held >= COUNTED:
-                total += np.bincount(np.concatenate(seen), minlength=len(total)).astype(np.uint32)
-                seen, held = [], 0
-        if seen:
-            total += np.bincount(np.concatenate(seen), minlength=len(total)).astype(np.uint32)
+            hashed = tokens.made.hashed(2)
+            for low in range(0, len(tokens.ids), LAID):
+                np.add.at(total, tokens.across(hashed, low, low + LAID, bits)[1], one)
         yield from _blocks(WITHIN, total)
 
     return tidied(run)
@@ -360,98 +387,95 @@ class Model:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("odds", "level", "rounded", "across_gate")}
 
-    def found(self, which: int, hashed: np.ndarray) -> np.ndarray:
-        """The pair of counts of each context."""
-        return self.tables[which].take(slots(hashed, self.bits))
-
-    def looked_up(self, tokens: Tokens) -> tuple[list[np.ndarray], np.ndarray]:
-        """Of the words' decisions: pairs of counts of the predictors within a word, and hashes for the last predictor."""
-        hashed = [tokens.made.hashed(w) for w in range(WITHIN)]
-        return [self.found(w, h) for w, h in enumerate(hashed)], hashed[2]
+    def looked_up(self, tokens: Tokens) -> tuple[list[np.ndarray], Decisions]:
+        """Of the words' decisions: pairs of counts of the predictors within a word; and what the last predictor needs."""
+        return [self.tables[w].take(tokens.made.within(w, self.bits) >> 1) for w in range(WITHIN)], tokens.made
 
-    def across(self, within: np.ndarray, at: np.ndarray, before: np.ndarray) -> np.ndarray:
-        return self.found(WITHIN, crossed(within.take(at), before))
+    def across(self, made: Decisions, at: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Pairs of counts of the last predictor, of decisions in any order."""
+        byte = np.repeat(np.arange(len(made.data)), made.size).take(at)
+        return self.tables[WITHIN].take(slots(crossed(made.hashed(2).take(byte), before), self.bits) ^ (made.mark.take(at) >> 1))
 
     def ready(self) -> None:
         if not hasattr(self, "odds"):
             self.odds, self.level = _of_pairs()
             self.rounded = np.where(self.odds == 0, 0, np.copysign(np.maximum(1, np.rint(np.abs(self.odds) * ODDS_STEPS)), self.odds)).astype(np.int16)
-            self.across_gate = 2 * np.minimum(self.level, 2).astype(np.int64)
+            self.across_gate = 2 * np.minimum(self.level, 2)
 
     def gate(self, last: np.ndarray, word: np.ndarray) -> np.ndarray:
         """What the contexts within a word add to the gate."""
-        return self.level.take(word).astype(np.int64) * 6 + (self.level.take(last) >= 2)
+        return self.level.take(word) * np.uint8(6) + (self.level.take(last) >= 2)
 
     def scores(self, tokens: Tokens) -> np.ndarray:
         """Bits of each text."""
         self.ready()
-        pairs, within = self.looked_up(tokens)
-        rows = np.empty((len(within), 4), dtype=np.int16)  # three odds, the gate and the bit, as one number to fetch
+        pairs, made = self.looked_up(tokens)
+        sign = (made.bits * 2).astype(np.int16) - np.int16(1)
+        known = np.empty((len(sign), 4), dtype=np.int16)  # three odds of the bit that comes and the gate, as one number to fetch
         for k, p in enumerate(pairs):
-            rows[:, k] = self.rounded.take(p)
-        rows[:, 3] = 2 * self.gate(pairs[1], pairs[2]) + tokens.made.bits
-        known = np.empty((len(within), 2), dtype=np.uint64)
-        known[:, 0], known[:, 1] = rows.view(np.uint64).ravel(), within
-        known = known.view(np.complex128).ravel()
+            known[:, k] = self.rounded.take(p) * sign
+        known[:, 3] = self.gate(pairs[1], pairs[2])
+        known = known.view(np.uint64).ravel(), made.hashed(2)
         out = np.zeros(len(tokens.sizes))
-        decisions = np.concatenate(([0], np.cumsum(tokens.made.count[tokens.ids])))
+        decisions = np.concatenate(([0], np.cumsum(tokens.made.count.take(tokens.ids))))
         begins, ends = decisions[tokens.ends - tokens.sizes], decisions[tokens.ends]
         low = 0
         while low < len(out):
             high = low + 1  # texts low to high are mixed together, a large one alone
-            while high < len(out) and ends[high] - begins[low] <= 4 * CHUNK:
+            while high < len(out) and ends[high] - begins[low] <= CHUNK:
                 high += 1
             self._mix(tokens, decisions, begins[low:high], ends[low:high], known, out[low:high])
             low = high
         return out
 
     def _mix(self, tokens, decisions, begins, ends, known, out) -> None:
-        weights = np.repeat(self.weights[None], len(out), axis=0).astype(np.float32)  # (texts, gates, predictors)
-        bent = np.full((len(out), GATES), FIRM)
-        done, open_ = begins.copy(), np.arange(len(out))
-        size = SEGMENT
+        known, hashed = known
+        order = np.argsort(begins - ends, kind="stable")  # longest first, so that those with more to come are in front
+        length, at_first = (ends - begins)[order], (begins - begins[0])[order]
+        weights = np.tile(self.weights.T, len(out)).astype(np.float32)  # (predictors, texts and their gates)
+        bent, bits = np.full(len(out) * GATES, FIRM), np.zeros(len(out))
+        done, size, open_ = 0, SEGMENT, len(out)
         kept = None  # decisions of a small group are laid out once
-        if ends[-1] - begins[0] <= 8 * CHUNK:
-            kept = self._laid(tokens, decisions, begins[0], ends[-1])
-        while len(open_):
-            step = np.minimum(ends[open_] - done[open_], size)
-            starts = np.cumsum(step) - step
+        if ends[-1] - begins[0] <= 2 * CHUNK:
+            kept = self._laid(tokens, hashed, decisions, begins[0], ends[-1])
+        while open_:
+            step = np.minimum(length[:open_] - done, size)
             if kept is not None:
-                cut = [slice(a, b) for a, b in zip((done[open_] - begins[0]).tolist(), (done[open_] - begins[0] + step).tolist())]
-                at, before = (np.concatenate([x[c] for c in cut]) for x in kept)
+                cut = [slice(a, b) for a, b in zip((at_first[:open_] + done).tolist(), (at_first[:open_] + done + step).tolist())]
+                at, slot = (np.concatenate([x[c] for c in cut]) for x in kept)
             else:
-                at, before = self._laid(tokens, decisions, int(done[open_[0]]), int(done[open_[0]] + step[0]))
-            own = known.take(at).view(np.uint64).reshape(-1, 2)
-            cross = self.found(WITHIN, crossed(own[:, 1], before))
-            said = np.ascontiguousarray(own[:, 0]).view(np.int16).reshape(-1, 4)
-            inputs = said * np.float32(1 / ODDS_STEPS)
-            inputs[:, 3] = self.odds.take(cross)
-            key = np.repeat(np.arange(len(open_)) * GATES, step) + (said[:, 3] >> 1) + self.across_gate.take(cross)
-            dot = np.einsum("ij,ij->i", inputs, weights[open_].reshape(-1, PREDICTORS).view(np.complex128).ravel().take(key).view(np.float32).reshape(-1, PREDICTORS))
-            sign = 1 - 2 * (said[:, 3] & 1).astype(np.float32)
-            wrong = np.exp(np.clip(dot * sign, -30, 30))
-            out[open_] += np.add.reduceat(np.log1p(wrong).astype(np.float64), starts)
-            done[open_] += step
-            more = done[open_] < ends[open_]
-            if more.any():
+                at, slot = self._laid(tokens, hashed, decisions, int(begins[0] + done), int(begins[0] + done + step[0]))
+            own = known.take(at).view(np.int16).reshape(-1, 4)
+            cross = self.tables[WITHIN].take(slot >> 1)
+            inputs = [own[:, k].astype(np.float32) for k in range(WITHIN)]
+            for x in inputs:
+                x *= np.float32(1 / ODDS_STEPS)
+            inputs.append(self.odds.take(cross) * (2 * (slot & 1) - 1).astype(np.float32))
+            key = np.repeat(np.arange(open_) * GATES, step)
+            key += own[:, 3] + self.across_gate.take(cross)
+            dot = inputs[0] * weights[0].take(key)
+            for x, w in zip(inputs[1:], weights[1:]):
+                dot += x * w.take(key)
+            wrong = np.exp(-np.clip(dot, -30, 30))
+            bits[:open_] += np.add.reduceat(np.log1p(wrong), np.cumsum(step) - step, dtype=np.float64)
+            done += size
+            open_ = int(np.count_nonzero(length[:open_] > done))
+            if open_:  # whole segments of the first texts
+                n, key, wrong = open_ * GATES, key[: open_ * size], wrong[: open_ * size]
+                inputs = [x[: open_ * size] for x in inputs]
                 p = wrong / (1 + wrong)
-                n = len(open_) * GATES
-                bent[open_] += np.bincount(key, p * (1 - p) * np.einsum("ij,ij->i", inputs, inputs), n).reshape(-1, GATES)
-                err = -p * sign
-                for k in range(PREDICTORS):
-                    weights[open_, :, k] += (np.bincount(key, err * inputs[:, k], n).reshape(-1, GATES) / bent[open_]).astype(np.float32)
-            open_ = open_[more]
-            if len(open_):  # all as far as each other
-                size = int(min(LONGEST, done[open_[0]] - begins[open_[0]]))
-        out /= np.log(2)
-
-    @staticmethod
-    def _laid(tokens, decisions, low, high) -> tuple[np.ndarray, np.ndarray]:
+                bent[:n] += np.bincount(key, p * (1 - p) * sum(x * x for x in inputs), n)
+                for x, w in zip(inputs, weights):
+                    w[:n] += np.bincount(key, p * x, n) / bent[:n]
+            size = min(LONGEST, done)
+        out[order] = bits / np.log(2)
+
+    def _laid(self, tokens, hashed, decisions, low, high) -> tuple[np.ndarray, np.ndarray]:
         """Decisions low to high of the batch."""
         first, last = int(np.searchsorted(decisions, low, side="right")) - 1, int(np.searchsorted(decisions, high, side="left"))
-        at, before, _ = tokens.decisions(first, last)
+        at, slot = tokens.across(hashed, first, last, self.bits)
         cut = slice(int(low - decisions[first]), int(high - decisions[first]))
-        return at[cut], before[cut]
+        return at[cut], slot[cut]
 
 
 def first_weights(code: Code, bits: int, tables: np.ndarray, sample: list[list[bytes]], rounds: int = 10) -> np.ndarray:
@@ -526,7 +550,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
         for batch, said in in_batches(batches, 2):
             tokens = Tokens(said, model.code)
             bits = model.scores(tokens)
-            common = np.array([model.frequent.get(short_name(w), np.nan) for w in tokens.words])
+            common = np.array([model.frequent.get(short_name(w), np.nan) for w in tokens.words.to_pylist()])
             value = common[tokens.ids]
             rare = np.isnan(value)
             starts = tokens.ends - tokens.sizes
@@ -535,7 +559,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
             text_of = np.repeat(np.arange(len(said)), tokens.sizes)[rare]
             pair, tf = np.unique(text_of * len(tokens.words) + tokens.ids[rare], return_counts=True)
             offsets = np.searchsorted(pair, np.arange(len(said) + 1) * len(tokens.words))
-            spelled = pa.array(tokens.words, pa.binary()).take(pa.array(pair % len(tokens.words)))
+            spelled = tokens.words.take(pa.array(pair % len(tokens.words)))
             entries = pa.StructArray.from_arrays([spelled, pa.array(tf.astype(np.int32))], names=["word", "tf"])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row + np.arange(len(said))), batch.column(0), batch.column(1), pa.array(tokens.sizes), pa.array(known), pa.array(base), pa.array(bits * -np.log10(2.0)), pa.array([sum(map(len, t)) + len(t) for t in said], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)],

@@ -115,6 +115,19 @@ def test_batches_equal_a_loop_over_decisions(monkeypatch):
     assert m.scores(mixture.Tokens(texts, m.code)) == pytest.approx(want, rel=1e-4)
 
 
+def test_decisions_of_a_byte_are_fetched_together():
+    m = model(4)
+    tokens = mixture.Tokens([[b"abc", b"b" * 40, b""], [b"abc", b"", ]], m.code)
+    at, before, _ = tokens.decisions(0, len(tokens.ids))
+    got, slot = tokens.across(tokens.made.hashed(2), 0, len(tokens.ids), m.bits)
+    assert got.tolist() == at.tolist() and (slot & 1).tolist() == tokens.made.bits[at].tolist()
+    assert m.tables[mixture.WITHIN][slot >> 1].tolist() == m.across(tokens.made, at, before).tolist()  # decision by decision
+    byte = np.repeat(np.arange(len(tokens.made.data)), tokens.made.size)
+    for which in range(mixture.WITHIN):
+        own = (tokens.made.within(which, m.bits) >> 1) // (mixture.NEAR + 1)
+        assert all(len(set(own[byte == b])) == 1 for b in range(len(tokens.made.data)))
+
+
 def test_refining_pays():
     m = model(3)
     words = [b"abab", b"cdcd"] * 4000 + [b""]
