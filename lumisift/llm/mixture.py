@@ -8,9 +8,10 @@ word before. Odds are combined by a weight vector chosen by a gate (how much the
 What is learned, from all training rows:
 
 * counts of words, exactly, as a table; the base score uses it, and the first three predictors are counted from it, as their contexts lie within a word;
-* counts of the fourth, by a pass over the texts. Counters stand in tables of 2**bits slots a predictor, where bits follow the
+* counts of the fourth, by a pass over all texts. Counters stand in tables of 2**bits slots a predictor, where bits follow the
   bytes of the training words up to MAX_BITS, since the tables are broadcast; tasks of about TASK_BYTES of text add up dense tables, which are summed by slots;
-* first weights of each gate, by Newton steps on a bounded sample (FIT_ROWS rows of at most FIT_BYTES bytes), each decision predicted as if its own row had not been counted.
+* first weights of each gate, by Newton steps on all decisions of all texts, each predicted as if it had not been counted itself. A second pass over the texts counts decisions by their gate and
+  the step in which each of their four odds lies (CELLS counters in all); the Newton steps see those counts, with each step's middle as its odds.
 
 While a text is scored, its weights are refined: after each of its segments (512 decisions, then each as long as all before, 32,768 at most) by the gradient of the code length over the
 accumulated curvature. A text's score depends on it and the model alone, not on its batch. Frequent words (FREQUENT of them) are broadcast with their counts, the others join the table of counts by
@@ -35,17 +36,22 @@ from .common import Shared, materialise, ship, small_batches, tidied
 
 ship(__name__)
 
-MAX_BITS, FREQUENT, LONG_WORD, FIT_ROWS, FIT_BYTES = 22, 50_000, 64, 200, 8_192
+MAX_BITS, FREQUENT, LONG_WORD = 22, 50_000, 64
 PREDICTORS, WITHIN = 4, 3
 #: Contexts of the trees; one of its own needs so many bytes.
 CONTEXTS, OFTEN = 32 * 256, 256
 #: What a context has seen, in steps: the gate is the step of the word so far, of the word before with it (3 at most), and whether the last 4 bytes reach the second.
 LEVELS = np.array([1, 2, 4, 8, 32])
 GATES = 6 * 3 * 2
+#: Edges of the steps of log-odds of the bit that comes, and each step's middle; first weights are fitted on counts of decisions by gate and steps.
+EDGES = np.array([-4.5, -2, -0.7, -1e-7, 1e-7, 0.3, 0.7, 1.2, 1.8, 2.5, 3.3, 4.3, 5.5, 7, 9])
+MIDDLES = np.array([-6, -3, -1.3, -0.35, 0, 0.15, 0.5, 0.95, 1.5, 2.15, 2.9, 3.8, 4.9, 6.2, 8, 11])
+STEPS = len(MIDDLES)
+CELLS = GATES * STEPS**PREDICTORS
 #: Added to counts; the curvature that first weights are worth; segments in decisions.
 PRIOR, FIRM, SEGMENT, LONGEST = 0.2, 400.0, 512, 32_768
-#: Bytes of text whose words are looked up together, and that are mixed together; distinct words counted before they are handed on; slots of a block.
-BATCH, CHUNK, HELD, SLOTS = 1 << 20, 1 << 17, 300_000, 1 << 13
+#: Bytes of text whose words are looked up together; decisions that are mixed together; distinct words counted before they are handed on; slots of a block.
+BATCH, CHUNK, HELD, SLOTS = 2 << 20, 1 << 19, 300_000, 1 << 13
 #: The last bits of nodes, by which the slots of a context differ. Nodes near the root, which are most of those visited, are the last 32: a line of memory.
 NEAR = 127
 #: Bytes of text, and distinct words, that a task counts into its tables.
@@ -383,9 +389,10 @@ class Model:
 
     def __init__(self, code: Code, bits: int, tables: np.ndarray, weights: np.ndarray, frequent: dict[bytes, float], total: int, distinct: int):
         self.code, self.bits, self.tables, self.weights, self.frequent, self.total, self.distinct = code, bits, tables, weights, frequent, total, distinct
+        self.shared: Shared | None = None  # without its weights
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("odds", "level", "rounded", "across_gate")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("odds", "level", "rounded", "across_gate", "shared")}
 
     def looked_up(self, tokens: Tokens) -> tuple[list[np.ndarray], Decisions]:
         """Of the words' decisions: pairs of counts of the predictors within a word; and what the last predictor needs."""
@@ -414,7 +421,7 @@ class Model:
         known = np.empty((len(sign), 4), dtype=np.int16)  # three odds of the bit that comes and the gate, as one number to fetch
         for k, p in enumerate(pairs):
             known[:, k] = self.rounded.take(p) * sign
-        known[:, 3] = self.gate(pairs[1], pairs[2])
+        known[:, 3] = self.gate(pairs[1], pairs[2]) << 1 | made.bits
         known = known.view(np.uint64).ravel(), made.hashed(2)
         out = np.zeros(len(tokens.sizes))
         decisions = np.concatenate(([0], np.cumsum(tokens.made.count.take(tokens.ids))))
@@ -450,9 +457,12 @@ class Model:
             inputs = [own[:, k].astype(np.float32) for k in range(WITHIN)]
             for x in inputs:
                 x *= np.float32(1 / ODDS_STEPS)
-            inputs.append(self.odds.take(cross) * (2 * (slot & 1) - 1).astype(np.float32))
+            gate = own[:, 3].copy()
+            inputs.append(self.odds.take(cross) * (((gate & 1) << 1) - np.int16(1)))
+            gate >>= 1
+            gate += self.across_gate.take(cross)
             key = np.repeat(np.arange(open_) * GATES, step)
-            key += own[:, 3] + self.across_gate.take(cross)
+            key += gate
             dot = inputs[0] * weights[0].take(key)
             for x, w in zip(inputs[1:], weights[1:]):
                 dot += x * w.take(key)
@@ -478,35 +488,59 @@ class Model:
         return at[cut], slot[cut]
 
 
-def first_weights(code: Code, bits: int, tables: np.ndarray, sample: list[list[bytes]], rounds: int = 10) -> np.ndarray:
-    """Weights of each gate that make the sample's decisions shortest, each predicted without one count of its own; near an even mixture where data is scarce."""
-    even = np.full((GATES, PREDICTORS), 0.3)
-    if not sample:
-        return even
-    model = Model(code, bits, tables, even, {}, 0, 0)
-    model.ready()
-    parts = []
-    for k in range(0, len(sample), 20):  # what is kept of a decision are four odds, a gate and a bit
-        tokens = Tokens(sample[k : k + 20], code)
-        pairs, within = model.looked_up(tokens)
-        at, before, _ = tokens.decisions(0, len(tokens.ids))
-        y = tokens.made.bits[at]
-        said = [less_one(p, y) for p in (*(p[at] for p in pairs), model.across(within, at, before))]
-        parts.append((np.stack([model.odds.take(p) for p in said], axis=1), (model.gate(said[1], said[2]) + model.across_gate.take(said[3])).astype(np.uint8), y))
-    x, gate, y = (np.concatenate(c) for c in zip(*parts))
-    for g in range(GATES):
-        own, target = x[gate == g].astype(np.float64), y[gate == g].astype(np.float64)
-        w = even[g].copy()
+def _count_cells(shared: Shared):
+    """Texts -> counts of their decisions by gate and steps, each decision left out of what predicts it."""
+
+    def run(batches: Iterator):
+        model = shared.value
+        model.ready()
+        left = np.stack([less_one(np.arange(65536), np.full(65536, bit)) for bit in (0, 1)], axis=1).ravel()  # by a pair of counts and the bit
+        step = np.searchsorted(EDGES, model.odds[left] * np.tile([-1, 1], 65536)).astype(np.int32)
+        across = step + model.across_gate[left] * np.int32(STEPS**PREDICTORS)
+        total, one = np.zeros(CELLS, dtype=np.uint32), np.uint32(1)  # a task has fewer decisions than that holds
+        for _, said in in_batches(batches, 0):
+            tokens = Tokens(said, model.code)
+            pairs, made = model.looked_up(tokens)
+            seen = [p.astype(np.int64) << 1 | made.bits for p in pairs]
+            own = model.gate(left.take(seen[1]), left.take(seen[2])).astype(np.int32)
+            for s in seen:
+                own = own * np.int32(STEPS) + step.take(s)
+            own *= np.int32(STEPS)
+            hashed = made.hashed(2)
+            for low in range(0, len(tokens.ids), LAID):
+                at, slot = tokens.across(hashed, low, low + LAID, model.bits)
+                cross = model.tables[WITHIN].take(slot >> 1).astype(np.int64) << 1 | (slot & 1)
+                np.add.at(total, own.take(at) + across.take(cross), one)
+        yield from _blocks(0, total)
+
+    return tidied(run)
+
+
+def decision_cells(texts: DataFrame, shared: Shared) -> np.ndarray:
+    """texts(text) -> how many of all their decisions have each gate and steps."""
+    cells = np.zeros(CELLS, dtype=np.uint64)
+    for r in _summed(texts.mapInArrow(_count_cells(shared), PARTS)).collect():  # CELLS bound them
+        cells[r.block * 2 * SLOTS : (r.block + 1) * 2 * SLOTS] = np.frombuffer(r.sums, dtype="<u8")
+    return cells
+
+
+def first_weights(cells: np.ndarray, rounds: int = 10) -> np.ndarray:
+    """Weights of each gate that make the counted decisions shortest; near an even mixture where they are few."""
+    weights = np.full((GATES, PREDICTORS), 0.3)
+    for g, own in enumerate(cells.reshape(GATES, -1)):
+        some = np.flatnonzero(own)
+        x, n = MIDDLES[np.stack(np.unravel_index(some, (STEPS,) * PREDICTORS), axis=1)], own[some].astype(np.float64)
+        w = weights[g].copy()
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
-            pull = own.T @ (target - p) - 20 * (w - 0.3)
-            bend = (own * (p * (1 - p))[:, None]).T @ own + 20 * np.eye(PREDICTORS)
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            pull = x.T @ (n * (1 - p)) - 20 * (w - 0.3)
+            bend = (x * (n * p * (1 - p))[:, None]).T @ x + 20 * np.eye(PREDICTORS)
             w = w + np.linalg.solve(bend, pull)
-        even[g] = w
-    return even
+        weights[g] = w
+    return weights
 
 
-def train(training: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, max_bits: int = MAX_BITS) -> tuple[Model, DataFrame]:
+def train(training: DataFrame, max_bits: int = MAX_BITS) -> tuple[Model, DataFrame]:
     """training(doc_id, text) -> the model, and (word, n) of all training words."""
     spark = training.sparkSession
     words = materialise(word_counts(training), "mixture-words")
@@ -517,21 +551,19 @@ def train(training: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BY
     code = Code(byte_contexts(few))
     shared = Shared(spark, "mixture-code", code)
     tasks = max(spark.sparkContext.defaultParallelism, int(size) // TASK_BYTES)  # a task's table costs the same however little it has counted
-    parts = training.select("text").coalesce(tasks).mapInArrow(_count_texts(shared, bits), PARTS)
+    texts = training.select("text").coalesce(tasks)
+    parts = texts.mapInArrow(_count_texts(shared, bits), PARTS)
     for which in range(WITHIN):
         parts = parts.unionByName(few.mapInArrow(_count_words(which, shared, bits), PARTS))
     tables = np.zeros((PREDICTORS, 1 << bits), dtype=np.uint16)
     for r in _summed(parts, packed).collect():  # 2**max_bits slots bound them
         tables[r.which, r.block * SLOTS : (r.block + 1) * SLOTS] = np.frombuffer(r.sums, dtype="<u2")
-    usable = training.where(F.octet_length("text") <= fit_bytes)
-    count = max(1, usable.count())
-    by_hash = F.xxhash64(F.lit(12), "doc_id", "text")
-    near = usable.select("text", by_hash.alias("h")).where(F.abs(F.col("h").cast("double")) <= F.lit(min(1.0, 1.5 * fit_rows / count) * 2.0**63))
-    sample = [words_of(r.text) for r in near.orderBy("h", "text").limit(fit_rows).collect()]
-    weights = first_weights(code, bits, tables, sample)
     name = F.when(F.octet_length("word") <= LONG_WORD, F.col("word")).otherwise(F.concat(F.lit(b" "), F.unhex(F.sha2("word", 256))))
     often = {bytes(r.word): float(np.log10(r.n + 0.1)) for r in words.select(name.alias("word"), "n").orderBy(F.desc("n"), "word").limit(FREQUENT).collect()}
-    return Model(code, bits, tables, weights, often, total, distinct), words
+    model = Model(code, bits, tables, np.full((GATES, PREDICTORS), 0.3), often, total, distinct)
+    model.shared = Shared(spark, "mixture", model)
+    model.weights = first_weights(decision_cells(texts, model.shared))
+    return model, words
 
 
 # ---------------------------------------------------------------- scoring
@@ -539,13 +571,14 @@ def train(training: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BY
 def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), bits_per_byte."""
     spark = docs.sparkSession
-    shared = Shared(spark, "mixture", model)
+    shared, weights = model.shared or Shared(spark, "mixture", model), model.weights
 
     def run(batches: Iterator):
         import pyarrow as pa
         from pyspark import TaskContext
 
         model = shared.value
+        model.weights = weights
         row = TaskContext.get().partitionId() << 36
         for batch, said in in_batches(batches, 2):
             tokens = Tokens(said, model.code)

@@ -58,6 +58,37 @@ def test_empty_tables(spark):
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (True, 3, 0, 0, 0.0) and row.score < 0
 
 
+def test_first_weights_come_from_all_rows(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdeth") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(4000)) for _ in range(3)]  # each longer than what was once sampled
+    training = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    m, _ = mixture.train(training)
+    tokens = mixture.Tokens([mixture.words_of(t) for t in texts], m.code)
+    cells = mixture.decision_cells(training.repartition(2).select("text"), m.shared)
+    assert cells.sum() == tokens.made.count[tokens.ids].sum()
+    assert not np.allclose(m.weights, 0.3) and np.allclose(m.weights, mixture.first_weights(cells))
+    even = mixture.Model(m.code, m.bits, m.tables, np.full_like(m.weights, 0.3), {}, 0, 0)
+    assert m.scores(tokens).sum() < even.scores(tokens).sum()
+
+
+def test_weights_are_found_again():
+    rng = np.random.default_rng(5)
+    want = np.array([0.2, 0.5, 0.1, 0.4])
+    cells = np.zeros((mixture.GATES, mixture.STEPS**mixture.PREDICTORS))
+    steps = rng.integers(0, mixture.STEPS, (4000, mixture.PREDICTORS))
+    mirrored = np.abs(mixture.MIDDLES[:, None] + mixture.MIDDLES[None]).argmin(axis=0)  # the step of the other bit, about
+    for row in steps:
+        back = mirrored[row]
+        x, y = mixture.MIDDLES[row], mixture.MIDDLES[back]
+        p = 1 / (1 + np.exp(-(x @ want)))
+        if np.allclose(x, -y, atol=0.6):
+            for s, n in ((row, p), (back, 1 - p)):
+                cells[7, np.ravel_multi_index(tuple(s), (mixture.STEPS,) * mixture.PREDICTORS)] += 1000 * n
+    found = mixture.first_weights(cells)
+    assert np.allclose(found[7], want, atol=0.1) and np.allclose(np.delete(found, 7, axis=0), 0.3)
+
+
 def model(seed=1):
     rng = np.random.default_rng(seed)
     counts = rng.integers(0, 50, (mixture.CONTEXTS, 256)) ** 3 * (rng.random((mixture.CONTEXTS, 1)) < 0.05)
