@@ -55,10 +55,15 @@ def composite(sharp: Column, exposed: Column) -> Column:
 
 
 def average_hash(grid: Column) -> Column:
-    """64 bits as a long: bit i is set where cell i is above (not at) the mean."""
-    whole = grid_sum(grid)
-    bits = F.transform(grid, lambda x, i: F.when(x * CELLS > whole, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    """64 bits as a long: bit i is set where cell i is above (not at) the mean.
+
+    The sum is an element of its own array, so that it is taken once a grid and not anew in each cell's lambda.
+    """
+
+    def bits(whole: Column) -> Column:
+        return F.transform(grid, lambda x, i: F.when(x * CELLS > whole, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+
+    return F.aggregate(F.array(grid_sum(grid)), F.lit(0).cast("long"), lambda _, whole: F.aggregate(bits(whole), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
 
 
 def hamming(a: Column, b: Column) -> Column:

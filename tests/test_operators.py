@@ -460,3 +460,14 @@ def test_all_comparisons_are_made_by_blocks(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == [(int(hashes[i]), int(hashes[j])) for i, j in zip(*np.nonzero(np.triu(near, 1)))]
     plan = found._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "xor" not in plan.lower() and "^" not in plan
+
+
+def test_a_hash_takes_the_sum_of_its_grid_once(spark):
+    rng = random.Random(8)
+    grids = [[rng.randint(0, 255) for _ in range(64)] for _ in range(20)] + [[7] * 64]
+    df = spark.createDataFrame([(g,) for g in grids], "grid array<int>")
+    found = df.select("grid", raster.average_hash(F.col("grid")).alias("h"))
+    for r in found.collect():
+        assert r.h % 2**64 == sum(1 << i for i, x in enumerate(r.grid) if x * 64 > sum(r.grid))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "> aggregate(" not in plan  # a sum in the lambda of a cell is taken 64 times
