@@ -175,3 +175,46 @@ def test_counts_as_bytes():
     pairs = np.array([3 + 256 * 5, 0, 256, 40 + 256 * 40])
     assert mixture.less_one(pairs, np.array([1, 1, 1, 0])).tolist() == [3 + 256 * 4, 0, 0, 40 + 256 * 40]
 
+
+
+def test_split_is_words_of():
+    import pyarrow as pa
+
+    texts = ["", None, " \t\n ", "One two", "x", " é É \x0bD\x1cE\x00f\r", "end ", "  Z" * 5, "a" * 300, None, " q"]
+    for array in (pa.array(texts), pa.array(texts).slice(3, 5), pa.array(["", None]), pa.array(["a", "b", "c d"])):
+        words, sizes = mixture.split(array)
+        want = [mixture.words_of(t) for t in array.to_pylist()]
+        assert words.to_pylist() == [w for said_ in want for w in said_] and sizes.tolist() == [len(said_) for said_ in want]
+
+
+def test_each_pair_of_words_is_laid_out_once(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a", "bb", "ccc", "dD"]) for _ in range(rng.randint(0, 40))) for _ in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    want = Counter()
+    for t in texts:
+        words = [b"", *mixture.words_of(t)]
+        want.update(zip(words, words[1:]))
+    names = {int(h): w for w, h in zip([b"", b"a", b"bb", b"ccc", b"dd"], mixture.whole_hashes(pa.array([b"", b"a", b"bb", b"ccc", b"dd"], pa.binary())))}
+    for spelled in (mixture.SPELLED, 2):  # words laid out in parts, too
+        monkeypatch.setattr(mixture, "SPELLED", spelled)
+        got, laid = Counter(), 0
+        for made, ids, before, often in mixture.pairs_of(iter([batch]), model().code):
+            for k, b, n in zip(ids, before, often):
+                got[names[int(b)], names[int(made.whole[k])]] += int(n)
+                laid += 1
+        assert got == want and laid == len(want)
+
+
+def test_longer_contexts_need_fewer_decisions():
+    import pyarrow as pa
+
+    words = pa.array([b"abcx", b"dbcy", b"ebcz", b"fbcw"] * 300, pa.binary())
+    data, place, _ = mixture.laid_out(words)
+    which, n = np.unique(mixture.context_of(data, place) * 256 + data, return_counts=True)
+    short, long = mixture.Code(mixture.shorter(which, n)), mixture.Code(mixture.shorter(which, n), (which, n))
+    assert mixture.Decisions(words, long).count.sum() < mixture.Decisions(words, short).count.sum()
+    for tree in range(len(long.length) // 256):
+        assert sum(2.0 ** -int(long.length[tree * 256 + b]) for b in range(256)) == pytest.approx(1, abs=1e-9)
