@@ -32,8 +32,11 @@ THRESHOLD = 6
 RANGE_EDGES = 1_000_000
 #: Up to so many distinct hashes, one side is broadcast where all are compared; beyond, blocks of so many meet in pairs.
 NAIVE_ROWS, BLOCK_ROWS = 20_000, 8_192
-#: Hashes compared with a block at a time; pairs, and decisions of a range, that are handed on at a time.
-COMPARED, GIVEN = 64, 50_000
+#: Hashes compared with a block at a time; pairs, and decisions of a range, that are handed on at a time; pairs of blocks a task, and tasks at most.
+COMPARED, GIVEN, DEALT, TASKS = 16, 50_000, 16, 10_000
+#: Work of a hash under a key and of a pair that meets there, in pairs compared in a block. Measured: 4 and 0.1 microseconds, and 0.8 nanoseconds; the
+#: first counts for less, as few hashes are compared by a join, not in blocks.
+KEY_WORK, MET_WORK = 200.0, 32.0
 
 
 def plan_bands(rows: int, threshold: int) -> tuple[int, int] | None:
@@ -44,39 +47,36 @@ def plan_bands(rows: int, threshold: int) -> tuple[int, int] | None:
         if bands > 64:
             break
         keys, bits = comb(bands, used), 64 * used // bands
-        work = rows * keys * 4.0 + rows * rows / 2.0 * keys / 2.0**bits
+        work = rows * keys * KEY_WORK + rows * rows / 2.0 * keys / 2.0**bits * MET_WORK
         if keys <= 1000 and work < best:
             best, choice = work, (bands, used)
     return choice
 
 
-def _parts(h: Column, bands: int) -> tuple[list[Column], list[int]]:
+def _parts(h: Column, bands: int) -> list[Column]:
     edges = [64 * k // bands for k in range(bands + 1)]
-    pairs = list(zip(edges, edges[1:]))
-    return [F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << (high - low)) - 1)) if high - low < 64 else h for low, high in pairs], [high - low for low, high in pairs]
+    return [F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << (high - low)) - 1)) if high - low < 64 else h for low, high in zip(edges, edges[1:])]
 
 
-def band_keys(h: Column, bands: int, used: int) -> Column:
-    """array<struct<which, value>>: every choice of `used` of the bands."""
-    parts, widths = _parts(h, bands)
-    out = []
-    for which, chosen in enumerate(combinations(range(bands), used)):
-        value, width = F.lit(0).cast("long"), 0
-        for k in chosen:
-            value = F.shiftleft(value, widths[k]).bitwiseOR(parts[k]) if width else parts[k]
-            width += widths[k]
-        out.append(F.struct(F.lit(which).alias("which"), value.cast("long").alias("value")))
-    return F.array(*out)
+def _longs(values: Iterable[int]) -> Column:
+    """An array of constants as one expression: one for each would be planned, printed and compiled by the driver."""
+    return F.split(F.lit(",".join(str(x - (x >> 63 << 64)) for x in values)), ",").cast("array<long>")
+
+
+def band_keys(hashes: DataFrame, bands: int, used: int) -> DataFrame:
+    """hashes(h) -> h, which, value: a row for every choice of `used` of the bands, with the bits that it leaves."""
+    edges = [64 * k // bands for k in range(bands + 1)]
+    masks = [sum((1 << edges[k + 1]) - (1 << edges[k]) for k in chosen) for chosen in combinations(range(bands), used)]
+    return hashes.select("h", F.posexplode(_longs(masks)).alias("which", "mask")).select("h", "which", F.col("h").bitwiseAND(F.col("mask")).alias("value"))
 
 
 def _first_choice(which: Column, bands: int, used: int) -> Column:
     """Of a pair (a, b) under a key: no earlier choice agrees too. Choices are in order, so none of the bands before its last may agree but its own."""
-    differ, _ = _parts(F.col("a").bitwiseXOR(F.col("b")), bands)
+    differ = _parts(F.col("a").bitwiseXOR(F.col("b")), bands)
     agree = sum((F.when(d == 0, F.lit(1 << k)).otherwise(F.lit(0)) for k, d in enumerate(differ[1:], 1)), F.when(differ[0] == 0, F.lit(1)).otherwise(F.lit(0)))
     chosen = [sum(1 << k for k in c) for c in combinations(range(bands), used)]
     upto = [(1 << c.bit_length()) - 1 for c in chosen]
-    pick = lambda values: F.get(F.array(*[F.lit(x).cast("long") for x in values]), which)
-    return agree.cast("long").bitwiseAND(pick(upto)) == pick(chosen)
+    return agree.cast("long").bitwiseAND(F.get(_longs(upto), which)) == F.get(_longs(chosen), which)
 
 
 def _in_blocks(hashes: DataFrame, rows: int, threshold: int) -> DataFrame:
@@ -94,9 +94,9 @@ def _in_blocks(hashes: DataFrame, rows: int, threshold: int) -> DataFrame:
                 x, y = (batch.column(c)[k].values.to_numpy() for c in (2, 3))
                 a, b, held = [], [], 0
                 for at in range(0, len(x), COMPARED):
-                    part = x[at : at + COMPARED, None]
-                    row, column = np.nonzero(np.bitwise_count((part ^ y).view(np.uint64)) <= threshold)
-                    u, v = part[row, 0], y[column]
+                    part = x[at : at + COMPARED]
+                    row, column = divmod(np.flatnonzero(np.bitwise_count((part[:, None] ^ y).view(np.uint64)) <= threshold), len(y))
+                    u, v = part[row], y[column]
                     if one:  # a block with itself gives each pair twice, and each hash with itself
                         u, v = u[u < v], v[u < v]
                     a.append(np.minimum(u, v)), b.append(np.maximum(u, v))
@@ -112,7 +112,9 @@ def _in_blocks(hashes: DataFrame, rows: int, threshold: int) -> DataFrame:
     whole = hashes.groupBy(F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int").alias("own")).agg(F.collect_list("h").alias("hs")).checkpoint()
     x = whole.select(F.col("own").alias("i"), F.explode(F.sequence("own", F.lit(blocks - 1))).alias("j"), F.col("hs").alias("x"))
     y = whole.select(F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("hs").alias("y"))
-    spread = x.join(y, ["i", "j"]).select("i", "j", "x", "y")
+    tasks = min(TASKS, -(-blocks * (blocks + 1) // 2 // DEALT))  # a number of its own: by size, many pairs of blocks would meet in one task
+    x, y = (side.repartition(tasks, "i", "j") for side in (x, y))
+    spread = x.hint("merge").join(y, ["i", "j"]).select("i", "j", "x", "y")
     return spread.mapInArrow(compare, "a long, b long")
 
 
@@ -128,9 +130,8 @@ def similar_pairs(hashes: DataFrame, threshold: int = THRESHOLD, rows: int | Non
     near = (F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= threshold)
     if plan is None:
         return left.join(F.broadcast(right), near) if rows <= NAIVE_ROWS else _in_blocks(hashes, rows, threshold)
-    keyed = hashes.select("h", F.explode(band_keys(F.col("h"), *plan)).alias("key"))
-    x = keyed.select(F.col("h").alias("a"), F.col("key.which").alias("which"), F.col("key.value").alias("value"))
-    y = keyed.select(F.col("h").alias("b"), F.col("key.which").alias("which"), F.col("key.value").alias("value"))
+    keyed = band_keys(hashes, *plan)
+    x, y = keyed.withColumnRenamed("h", "a"), keyed.withColumnRenamed("h", "b")
     return x.join(y, ["which", "value"]).where(near & _first_choice(F.col("which"), *plan)).select("a", "b")
 
 

@@ -80,6 +80,19 @@ def test_band_plan_grows_with_the_rows():
     assert plans[0] is None and plans[-1][1] > plans[1][1]
 
 
+def test_hundreds_of_band_keys_are_no_expressions(spark):
+    """Nearly every pair meets under some choice of 19 bands at 16 bits, so no number of hashes makes that cheaper; and where choices are many, the plan stays small."""
+    assert [neardup.plan_bands(n, 16) for n in (10**5, 266_667, 800_000, 10**7)] == [None] * 4
+    rng = random.Random(16)
+    base = [rng.getrandbits(64) for _ in range(8)]
+    hashes = sorted({signed(h ^ sum(1 << b for b in rng.sample(range(64), k))) for h in base for k in (0, 1, 15, 16, 17)} | {0, -1, 2**63 - 1, -(2**63)})
+    df = spark.createDataFrame([(h,) for h in hashes], "h long")
+    found = neardup.similar_pairs(df, 16, plan=(19, 3))
+    want = {(a, b) for k, a in enumerate(hashes) for b in hashes[k + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 16}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert len(found._jdf.queryExecution().analyzed().toString()) < 60_000  # not an expression for each of 969 choices, which the driver plans and compiles
+
+
 def test_wide_thresholds_of_many_hashes(spark):
     """50,000 hashes within 24 bits, where no bands are selective: as many pairs as all comparisons give, and the same."""
     assert neardup.plan_bands(50_000, 24) is None
