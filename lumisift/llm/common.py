@@ -15,6 +15,10 @@ from lumisift.shipping import ship
 
 ship(__name__)
 
+#: Bytes of a row group. A task holds one while it writes and one while it reads, the latter on the heap and in direct buffers too; Spark's own 128 MB, which
+#: files reach as tables grow, would be most of an executor.
+ROW_GROUP = 16 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,7 +53,7 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write a frame to the shared folder and read it again: it is computed once, and its lineage ends there."""
     spark = df.sparkSession
     path = scratch_path(spark, what)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,5 +1,7 @@
 import os
 
+from pyspark.sql import functions as F
+
 from lumisift.llm import common
 
 
@@ -21,3 +23,15 @@ def test_ranges_follow_the_order(spark):
     got = dealt.groupBy("part").agg({"a": "min"}).orderBy("part").collect()
     assert len(got) >= 8 and [r[1] for r in got] == sorted(r[1] for r in got)
     assert dealt.count() == 1000 and common.in_ranges(df.limit(0), [df["a"]], "none").count() == 0
+
+
+def test_written_row_groups_are_small_whatever_a_task_writes(spark):
+    """A task holds a row group while it writes, and its columns twice while it reads: their size may not follow the table's."""
+    import pyarrow.parquet as pq
+
+    text = F.concat(*[F.md5(F.concat("id", F.lit(f"|{k}"))) for k in range(64)])
+    out = common.materialise(spark.range(20_000, numPartitions=1).select("id", text.alias("text")), "groups")
+    files = [pq.ParquetFile(f.removeprefix("file://").removeprefix("file:")).metadata for f in out.inputFiles()]
+    sizes = [meta.row_group(k).total_byte_size for meta in files for k in range(meta.num_row_groups)]
+    assert sum(sizes) > 2 * common.ROW_GROUP and max(sizes) < 1.5 * common.ROW_GROUP
+    assert out.count() == 20_000 and out.agg(F.sum("id")).first()[0] == 199_990_000
